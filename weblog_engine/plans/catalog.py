@@ -84,3 +84,164 @@ SELECT count(*) AS record_count,
        min("timestamp") AS first_timestamp,
        max("timestamp") AS last_timestamp
 FROM weblogs""")(lambda spark, d: stats.describe(weblogs(spark, d)))
+
+# ------------------------------------------------ C/E: features, windows
+
+from ..operators import anomaly, features  # noqa: E402
+from ..functions.scalar import round_half_up  # noqa: E402
+
+_FEATURE_SELECT = """
+  CAST(hour("timestamp") AS INTEGER) AS hour,
+  CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
+  CAST(hour("timestamp") BETWEEN 8 AND 18 AND isodow("timestamp") - 1 <= 4 AS INTEGER) AS is_business_hours,
+  CAST(method = 'GET' AS INTEGER) AS method_GET,
+  CAST(method = 'POST' AS INTEGER) AS method_POST,
+  CAST(method = 'PUT' AS INTEGER) AS method_PUT,
+  CAST(method = 'DELETE' AS INTEGER) AS method_DELETE,
+  CAST(method = 'PATCH' AS INTEGER) AS method_PATCH,
+  CAST(status_code >= 400 AS INTEGER) AS is_error"""
+
+_FEATURES_CTE = f"""feats AS (
+  SELECT id, "timestamp", method, status_code, response_time_ms, {_FEATURE_SELECT},
+    avg(response_time_ms) OVER (ORDER BY "timestamp", id
+                                ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS rolling_avg_response,
+    row_number() OVER (PARTITION BY hour("timestamp") ORDER BY "timestamp", id) AS hourly_frequency
+  FROM weblogs)"""
+
+_FEATURE_COLS = ["id", "timestamp", "method", "status_code", "response_time_ms"] + \
+    features.REGRESSION_FEATURES
+
+
+def _feature_frame(spark, d):
+    f = features.engineer_features(weblogs(spark, d))
+    return f.select(*[round_half_up(c, 4).alias(c) if c == "rolling_avg_response" else F.col(c)
+                      for c in _FEATURE_COLS])
+
+
+register("feature_frame", with_weblogs(_FEATURES_CTE) + f"""
+SELECT {', '.join('"timestamp"' if c == 'timestamp' else (r(c, 4) + ' AS ' + c if c == 'rolling_avg_response' else c) for c in _FEATURE_COLS)}
+FROM feats""")(_feature_frame)
+
+
+def _rolling_exclusive(spark, d):
+    f = features.engineer_features(weblogs(spark, d), exclude_current=True)
+    return f.select("id", round_half_up("rolling_avg_response", 4).alias("rolling_avg_response"))
+
+
+register("rolling_avg_exclusive", with_weblogs() + f"""
+SELECT id, {r('avg(response_time_ms) OVER (ORDER BY "timestamp", id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)', 4)}
+       AS rolling_avg_response
+FROM weblogs""")(_rolling_exclusive)
+
+_MOMENT_FEATURES = features.CLASSIFICATION_FEATURES
+
+
+def _feature_moments(spark, d):
+    f = features.engineer_features(weblogs(spark, d))
+    m = stats.feature_moments(f, _MOMENT_FEATURES)
+    return m.select("position", "feature", round_half_up("mean", 6).alias("mean"),
+                    round_half_up("std", 6).alias("std"), "n_samples", "n_features")
+
+
+register("feature_moments", with_weblogs(_FEATURES_CTE) + "\n UNION ALL ".join(
+    f"""SELECT {i} AS position, '{c}' AS feature, {r(f'avg(CAST({c} AS DOUBLE))', 6)} AS mean,
+       {r(f'stddev_pop(CAST({c} AS DOUBLE))', 6)} AS std, count(*) AS n_samples,
+       {len(_MOMENT_FEATURES)} AS n_features FROM feats"""
+    for i, c in enumerate(_MOMENT_FEATURES)))(_feature_moments)
+
+
+def _batch_zscore(spark, d):
+    z = anomaly.batch_zscore(weblogs(spark, d))
+    return z.select("id", round_half_up("z_score", 6).alias("z_score"), "z_anomaly")
+
+
+register("batch_zscore", with_weblogs(
+    "m AS (SELECT avg(response_time_ms) AS m, stddev_pop(response_time_ms) AS s FROM weblogs)") + f"""
+SELECT id, {r('abs((response_time_ms - m) / nullif(s, 0))', 6)} AS z_score,
+       coalesce(abs((response_time_ms - m) / nullif(s, 0)) > 3, false) AS z_anomaly
+FROM weblogs, m""")(_batch_zscore)
+
+
+def _zscore_detect(spark, d):
+    logs = weblogs(spark, d)
+    det = anomaly.fit_moments(features.row_features(logs), ["hour", "response_time_ms"])
+    res = anomaly.combine(anomaly.zscore_detect(logs, det))
+    return res.select("id", round_half_up("z_score", 4).alias("z_score"), "z_anomaly",
+                      "z_score_normalized", "is_anomaly", "score")
+
+
+register("zscore_detect", with_weblogs(
+    """m AS (SELECT avg(response_time_ms) AS m,
+                    greatest(stddev_pop(response_time_ms), CAST(1e-6 AS DOUBLE)) AS s FROM weblogs)""",
+    "z AS (SELECT id, (response_time_ms - m) / s AS z FROM weblogs, m)") + f"""
+SELECT id, {r('z', 4)} AS z_score, abs(z) > 3 AS z_anomaly,
+       CASE WHEN z > 3 THEN CAST(-1 AS DOUBLE) WHEN z < -3 THEN CAST(1 AS DOUBLE)
+            ELSE CAST(0 AS DOUBLE) END AS z_score_normalized,
+       abs(z) > 3 AS is_anomaly,
+       {r('(CASE WHEN z > 3 THEN CAST(-1 AS DOUBLE) WHEN z < -3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CAST(0 AS DOUBLE)) / 2', 4)} AS score
+FROM z""")(_zscore_detect)
+
+
+def _alerts(spark, d):
+    logs = weblogs(spark, d)
+    det = anomaly.fit_moments(features.row_features(logs), ["hour", "response_time_ms"])
+    a = anomaly.alerts(logs, det)
+    return a.select("id", "alert_type", "severity", "score")
+
+
+register("alert_stream_batch", with_weblogs(
+    """m AS (SELECT avg(response_time_ms) AS m,
+                    greatest(stddev_pop(response_time_ms), CAST(1e-6 AS DOUBLE)) AS s FROM weblogs)""",
+    "z AS (SELECT id, (response_time_ms - m) / s AS z FROM weblogs, m)") + f"""
+SELECT id, 'anomaly' AS alert_type,
+       CASE WHEN abs(z) >= 6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       {r('(CASE WHEN z > 3 THEN CAST(-1 AS DOUBLE) WHEN z < -3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / 2', 4)} AS score
+FROM z WHERE abs(z) > 3""")(_alerts)
+
+
+# Requests derived from the log table: each log row asks for a score.
+def _requests(spark, d):
+    logs = weblogs(spark, d)
+    return logs.select("id", F.lower(F.col("method")).alias("method"),
+                       F.hour("timestamp").alias("hour"),
+                       (F.col("response_time_ms") - F.lit(100.0)).alias("historical_avg_response"),
+                       F.weekday("timestamp").alias("day_of_week"))
+
+
+_REQUESTS_CTE = """requests AS (
+  SELECT id, lower(method) AS method, CAST(hour("timestamp") AS INTEGER) AS hour,
+         response_time_ms - CAST(100 AS DOUBLE) AS historical_avg_response,
+         CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week FROM weblogs)"""
+
+
+def _request_features(spark, d):
+    good, _ = features.validate_requests(_requests(spark, d), "error")
+    f = features.request_features(good)
+    return f.select("id", "method", "hour", "day_of_week", "is_business_hours",
+                    "method_GET", "method_POST", "method_PUT", "method_DELETE", "method_PATCH",
+                    "rolling_avg_response", "hourly_frequency")
+
+
+register("request_features", with_weblogs(_REQUESTS_CTE) + """
+SELECT id, upper(trim(method)) AS method, hour, day_of_week,
+       CAST(hour BETWEEN 8 AND 18 AND day_of_week <= 4 AS INTEGER) AS is_business_hours,
+       CAST(upper(trim(method)) = 'GET' AS INTEGER) AS method_GET,
+       CAST(upper(trim(method)) = 'POST' AS INTEGER) AS method_POST,
+       CAST(upper(trim(method)) = 'PUT' AS INTEGER) AS method_PUT,
+       CAST(upper(trim(method)) = 'DELETE' AS INTEGER) AS method_DELETE,
+       CAST(upper(trim(method)) = 'PATCH' AS INTEGER) AS method_PATCH,
+       historical_avg_response AS rolling_avg_response,
+       CAST(50 AS BIGINT) AS hourly_frequency
+FROM requests WHERE historical_avg_response > 0 AND hour BETWEEN 0 AND 23
+  AND day_of_week BETWEEN 0 AND 6 AND method IS NOT NULL AND length(trim(method)) > 0""")(
+    _request_features)
+
+
+def _request_rejects(spark, d):
+    _, bad = features.validate_requests(_requests(spark, d), "error")
+    return bad.select("id", "reject_reason")
+
+
+register("request_rejects", with_weblogs(_REQUESTS_CTE) + """
+SELECT id, 'invalid historical_avg_response' AS reject_reason
+FROM requests WHERE NOT (historical_avg_response > 0)""")(_request_rejects)
