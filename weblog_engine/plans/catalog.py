@@ -245,3 +245,167 @@ def _request_rejects(spark, d):
 register("request_rejects", with_weblogs(_REQUESTS_CTE) + """
 SELECT id, 'invalid historical_avg_response' AS reject_reason
 FROM requests WHERE NOT (historical_avg_response > 0)""")(_request_rejects)
+
+# --------------------------------------- H: split, weights, evaluation
+
+from ..operators import metrics, split as splitting  # noqa: E402
+from ..functions.scalar import risk_band  # noqa: E402
+
+
+def _labelled(spark, d):
+    return weblogs(spark, d).select("id", (F.col("status_code") >= 400).cast("int").alias("label"))
+
+
+register("split_stratified", with_weblogs(
+    """l AS (SELECT id, CAST(status_code >= 400 AS INTEGER) AS label,
+                    row_number() OVER (PARTITION BY status_code >= 400
+                                       ORDER BY md5(CAST(id AS VARCHAR) || '42'), id) AS pos,
+                    count(*) OVER (PARTITION BY status_code >= 400) AS gn FROM weblogs)""") + """
+SELECT id, label, CASE WHEN pos <= ceil(CAST(0.2 AS DOUBLE) * gn) THEN 'test' ELSE 'train' END AS split
+FROM l""")(lambda spark, d: splitting.split(_labelled(spark, d), by="label")
+           .select("id", "label", "split"))
+
+register("split_random", with_weblogs(
+    """l AS (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '42'), id) AS pos,
+                    count(*) OVER () AS gn FROM weblogs)""") + """
+SELECT id, CASE WHEN pos <= ceil(CAST(0.2 AS DOUBLE) * gn) THEN 'test' ELSE 'train' END AS split
+FROM l""")(lambda spark, d: splitting.split(weblogs(spark, d).select("id")).select("id", "split"))
+
+register("class_weights", with_weblogs(
+    "l AS (SELECT CAST(status_code >= 400 AS INTEGER) AS label FROM weblogs)") + """
+SELECT label, count(*) AS n_c,
+       CAST((SELECT count(*) FROM l) AS DOUBLE) / ((SELECT count(DISTINCT label) FROM l) * count(*)) AS weight
+FROM l GROUP BY label""")(lambda spark, d: splitting.class_weights(_labelled(spark, d)))
+
+
+# Deterministic scorer over the log table: label = is_error,
+# score = least(response_time_ms / 5000, 1) (has ties).
+def _scored(spark, d):
+    return weblogs(spark, d).select(
+        "id", (F.col("status_code") >= 400).cast("int").alias("label"),
+        F.least(F.col("response_time_ms") / F.lit(5000.0), F.lit(1.0)).alias("score"))
+
+
+_SCORED_CTE = """scored AS (
+  SELECT id, CAST(status_code >= 400 AS INTEGER) AS label,
+         least(response_time_ms / CAST(5000 AS DOUBLE), CAST(1 AS DOUBLE)) AS score FROM weblogs)"""
+_SC_CTE = """sc AS (SELECT score, CAST(sum(label) AS BIGINT) AS pos,
+                           CAST(sum(1 - label) AS BIGINT) AS neg FROM scored GROUP BY score)"""
+_TOT_CTE = """tot AS (SELECT CAST(sum(label) AS BIGINT) AS P, CAST(sum(1 - label) AS BIGINT) AS N FROM scored)"""
+
+register("roc_auc", with_weblogs(_SCORED_CTE, _SC_CTE, _TOT_CTE, """pb AS (
+  SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+                                           AND 1 PRECEDING), 0) AS neg_below FROM sc)""") + """
+SELECT (SELECT sum(CAST(pos AS DOUBLE) * (CAST(neg_below AS DOUBLE) + CAST(0.5 AS DOUBLE) * neg)) FROM pb)
+         / CAST(P * N AS DOUBLE) AS roc_auc, P AS n_pos, N AS n_neg
+FROM tot""")(lambda spark, d: metrics.roc_auc(_scored(spark, d)))
+
+register("roc_curve", with_weblogs(_SCORED_CTE, _SC_CTE, _TOT_CTE, """c AS (
+  SELECT score, CAST(sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp,
+         CAST(sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM sc)""") + """
+SELECT score AS threshold, tp, fp, tp / CAST(P AS DOUBLE) AS tpr, fp / CAST(N AS DOUBLE) AS fpr
+FROM c, tot""")(lambda spark, d: metrics.roc_points(_scored(spark, d)))
+
+register("pr_curve", with_weblogs(_SCORED_CTE, _SC_CTE, _TOT_CTE, """c AS (
+  SELECT score, CAST(sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp,
+         CAST(sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM sc)""") + """
+SELECT score AS threshold, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(P AS DOUBLE) AS recall
+FROM c, tot""")(lambda spark, d: metrics.pr_points(_scored(spark, d)))
+
+# Predicted class: score >= 0.1 (0.5 would predict no errors at all).
+_THRESH = 0.1
+_PRED_CTE = f"""pr AS (SELECT label, CAST(score >= CAST({_THRESH} AS DOUBLE) AS INTEGER) AS prediction
+                      FROM scored)"""
+
+
+def _pred(spark, d):
+    return metrics.predictions(_scored(spark, d), threshold=_THRESH)
+
+
+register("confusion_matrix", with_weblogs(_SCORED_CTE, _PRED_CTE) + """
+SELECT a.label, b.prediction,
+       CAST((SELECT count(*) FROM pr WHERE pr.label = a.label AND pr.prediction = b.prediction) AS BIGINT) AS "count"
+FROM (VALUES (0), (1)) a(label), (VALUES (0), (1)) b(prediction)""")(
+    lambda spark, d: metrics.confusion(_pred(spark, d)))
+
+_REPORT_CTES = [_SCORED_CTE, _PRED_CTE, """c AS (SELECT
+   CAST(count(*) FILTER (WHERE label = 0 AND prediction = 0) AS BIGINT) AS c00,
+   CAST(count(*) FILTER (WHERE label = 0 AND prediction = 1) AS BIGINT) AS c01,
+   CAST(count(*) FILTER (WHERE label = 1 AND prediction = 0) AS BIGINT) AS c10,
+   CAST(count(*) FILTER (WHERE label = 1 AND prediction = 1) AS BIGINT) AS c11 FROM pr)""",
+                """k AS (SELECT
+   coalesce(c00 / CAST(nullif(c00 + c10, 0) AS DOUBLE), 0) AS p0,
+   coalesce(c00 / CAST(nullif(c00 + c01, 0) AS DOUBLE), 0) AS r0,
+   coalesce(c11 / CAST(nullif(c11 + c01, 0) AS DOUBLE), 0) AS p1,
+   coalesce(c11 / CAST(nullif(c11 + c10, 0) AS DOUBLE), 0) AS r1,
+   CAST(c00 + c01 AS DOUBLE) AS s0, CAST(c10 + c11 AS DOUBLE) AS s1,
+   CAST(c00 + c01 + c10 + c11 AS DOUBLE) AS n,
+   coalesce((c00 + c11) / CAST(nullif(c00 + c01 + c10 + c11, 0) AS DOUBLE), 0) AS acc FROM c)""",
+                """f AS (SELECT *, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0,
+                                  coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1 FROM k)"""]
+
+register("classification_report", with_weblogs(*_REPORT_CTES) + """
+SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS support FROM f UNION ALL
+SELECT '1', p1, r1, f1, s1 FROM f UNION ALL
+SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM f UNION ALL
+SELECT 'weighted avg', coalesce((p0 * s0 + p1 * s1) / nullif(n, 0), 0),
+       coalesce((r0 * s0 + r1 * s1) / nullif(n, 0), 0), coalesce((f0 * s0 + f1 * s1) / nullif(n, 0), 0), n FROM f
+UNION ALL SELECT 'accuracy', acc, acc, acc, n FROM f""")(
+    lambda spark, d: metrics.class_report(_pred(spark, d)))
+
+register("accuracy_f1", with_weblogs(*_REPORT_CTES) + """
+SELECT acc AS accuracy, coalesce((f0 * s0 + f1 * s1) / nullif(n, 0), 0) AS f1_weighted FROM f""")(
+    lambda spark, d: metrics.accuracy_f1(_pred(spark, d)))
+
+
+# Deterministic regressor: prediction = 100 + 20 * hour.
+def _reg(spark, d):
+    return weblogs(spark, d).select(
+        "id", F.col("response_time_ms").alias("label"),
+        (F.lit(100.0) + F.lit(20.0) * F.hour("timestamp")).alias("prediction"))
+
+
+_REG_CTE = """reg AS (SELECT id, response_time_ms AS label,
+                      CAST(100 AS DOUBLE) + CAST(20 AS DOUBLE) * hour("timestamp") AS prediction FROM weblogs)"""
+
+
+def _reg_metrics(spark, d):
+    m = metrics.regression_metrics(_reg(spark, d))
+    return m.select(*[round_half_up(c, 6).alias(c) for c in ("rmse", "mae", "r2")], "n_samples")
+
+
+register("regression_metrics", with_weblogs(_REG_CTE) + f"""
+SELECT {r('sqrt(sum((prediction - label) * (prediction - label)) / count(*))', 6)} AS rmse,
+       {r('sum(abs(prediction - label)) / count(*)', 6)} AS mae,
+       {r('1 - sum((prediction - label) * (prediction - label)) / (var_pop(label) * count(*))', 6)} AS r2,
+       count(*) AS n_samples FROM reg""")(_reg_metrics)
+
+
+def _interval(spark, d):
+    reg = _reg(spark, d)
+    rmse = metrics.regression_metrics(reg).select(round_half_up("rmse", 6)).first()[0]
+    out = metrics.interval_95(reg, rmse=rmse)
+    return out.select("id", round_half_up("prediction", 2).alias("predicted_response_time_ms"),
+                      "lower_bound_ms", "upper_bound_ms", "confidence_level")
+
+
+register("interval_95", with_weblogs(_REG_CTE, f"""m AS (
+  SELECT {r('sqrt(sum((prediction - label) * (prediction - label)) / count(*))', 6)} AS rmse FROM reg)""") + f"""
+SELECT id, {r('prediction', 2)} AS predicted_response_time_ms,
+       {r('greatest(CAST(0 AS DOUBLE), prediction - CAST(1.96 AS DOUBLE) * rmse)', 2)} AS lower_bound_ms,
+       {r('prediction + CAST(1.96 AS DOUBLE) * rmse', 2)} AS upper_bound_ms,
+       CAST(0.95 AS DOUBLE) AS confidence_level
+FROM reg, m""")(_interval)
+
+
+def _risk(spark, d):
+    s = _scored(spark, d)
+    return s.select("id", round_half_up("score", 4).alias("error_probability"),
+                    risk_band("score").alias("risk_level"))
+
+
+register("risk_band", with_weblogs(_SCORED_CTE) + f"""
+SELECT id, {r('score', 4)} AS error_probability,
+       CASE WHEN score < 0.15 THEN 'LOW' WHEN score < 0.40 THEN 'MEDIUM'
+            WHEN score < 0.70 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level
+FROM scored""")(_risk)
