@@ -16,7 +16,6 @@ any monotone choice of edges gives the same prefix sums.
 from __future__ import annotations
 
 import math
-from itertools import groupby as _groupby
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -94,38 +93,49 @@ def running_sums_multi(df: DataFrame, order_cols: list[str],
                        buckets: int | None = None,
                        bucketed: DataFrame | None = None) -> DataFrame:
     """Several running sums, each ``(name, weight, by, inclusive)``, over one
-    bucketed pass. All windows share the ``_bucket`` exchange."""
+    bucketed pass. Windows with the same grouping share one Window operator
+    and all of them share the ``_bucket`` exchange.
+
+    The sum of earlier buckets comes from a totals table with one row per
+    (bucket, group): a running sum over it (partitioned by group, at most
+    ``buckets`` rows per partition) gives each bucket's offset, joined back
+    on (bucket, group). The join carries no broadcast hint: adaptive
+    execution broadcasts the offsets at run time once their measured size
+    is small, and shuffles otherwise."""
     b = bucketed if bucketed is not None else add_range_bucket(df, order_cols[0], buckets)
-    spark = df.sparkSession
+    finest: list[str] = []
+    for _, _, by, _ in specs:
+        finest += [c for c in by if c not in finest]
     out = b
+    windows = {}
     for name, weight, by, inclusive in specs:
-        part = [BUCKET] + list(by)
-        frame_end = Window.currentRow if inclusive else -1
-        w = Window.partitionBy(*part).orderBy(*order_cols) \
-            .rowsBetween(Window.unboundedPreceding, frame_end)
-        out = out.withColumn(f"_loc_{name}", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    for name, weight, by, inclusive in specs:
-        part = [BUCKET] + list(by)
-        # Totals per (bucket, group): bounded by buckets x groups.
-        totals = b.groupBy(*part).agg(F.sum(weight).alias(name))
-        rows = totals.limit(MAX_TOTAL_ROWS + 1).collect()
-        if len(rows) > MAX_TOTAL_ROWS:
-            raise ValueError(f"more than {MAX_TOTAL_ROWS} (bucket, group) totals; "
-                             "use fewer groups or buckets")
-        rows.sort(key=lambda r: (tuple(r[c] is None for c in by),
-                                 tuple(r[c] for c in by if r[c] is not None), r[BUCKET]))
-        off_rows = []
-        for _, grp in _groupby(rows, key=lambda r: tuple(r[c] for c in by)):
-            acc = 0
-            for r in grp:
-                off_rows.append(tuple(r[c] for c in part) + (acc,))
-                acc = acc + (r[name] or 0)
-        schema = T.StructType([T.StructField(c, b.schema[c].dataType, True) for c in part] +
-                              [T.StructField(f"_off_{name}", totals.schema[name].dataType, True)])
-        offsets = spark.createDataFrame(off_rows, schema)
-        out = out.join(F.broadcast(offsets), on=part, how="left") \
-            .withColumn(name, F.col(f"_loc_{name}") + F.coalesce(F.col(f"_off_{name}"), F.lit(0))) \
-            .drop(f"_loc_{name}", f"_off_{name}")
+        key = (tuple(by), inclusive)
+        if key not in windows:
+            frame_end = Window.currentRow if inclusive else -1
+            windows[key] = Window.partitionBy(BUCKET, *by).orderBy(*order_cols) \
+                .rowsBetween(Window.unboundedPreceding, frame_end)
+        out = out.withColumn(f"_loc_{name}", F.coalesce(F.sum(weight).over(windows[key]), F.lit(0)))
+    totals = b.groupBy(BUCKET, *finest).agg(*[F.coalesce(F.sum(w), F.lit(0)).alias(n)
+                                              for n, w, _, _ in specs])
+    by_sets: dict[tuple, list[str]] = {}
+    for name, _, by, _ in specs:
+        by_sets.setdefault(tuple(by), []).append(name)
+    for by, names in by_sets.items():
+        t = totals if list(by) == finest else \
+            totals.groupBy(BUCKET, *by).agg(*[F.sum(n).alias(n) for n in names])
+        earlier = Window.partitionBy(*by).orderBy(BUCKET) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        offs = t.select(F.col(BUCKET).alias("_ob"), *[F.col(c).alias(f"_o_{c}") for c in by],
+                        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_off_{n}")
+                          for n in names])
+        cond = F.col(BUCKET) == F.col("_ob")
+        for c in by:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+        out = out.join(offs, on=cond, how="left")
+        for n in names:
+            out = out.withColumn(n, F.col(f"_loc_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0)))
+        out = out.drop("_ob", *[f"_o_{c}" for c in by], *[f"_loc_{n}" for n in names],
+                       *[f"_off_{n}" for n in names])
     return out
 
 

@@ -409,3 +409,130 @@ SELECT id, {r('score', 4)} AS error_probability,
        CASE WHEN score < 0.15 THEN 'LOW' WHEN score < 0.40 THEN 'MEDIUM'
             WHEN score < 0.70 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level
 FROM scored""")(_risk)
+
+# ------------------------------------------------------------ I: drift
+
+from ..operators import drift  # noqa: E402
+
+_DRIFT_COLS = ["status_code", "response_time_ms", "bytes_sent", "hour", "day_of_week",
+               "is_business_hours", "is_error"]
+
+
+def _drift_frames(spark, d):
+    f = features.row_features(weblogs(spark, d))
+    first = F.dayofmonth("timestamp") <= 15
+    return f.where(first), f.where(~first)
+
+
+_DRIFT_LONG = f"""f AS (SELECT *, CASE WHEN day("timestamp") <= 15 THEN 0 ELSE 1 END AS src,
+  {_FEATURE_SELECT} FROM weblogs)""", "long AS (" + " UNION ALL ".join(
+    f"SELECT src, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM f" for c in _DRIFT_COLS) + ")"
+_DRIFT_PREFIX = ["""counts AS (SELECT "column", value,
+     CAST(sum(CASE WHEN src = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_ref,
+     CAST(sum(CASE WHEN src = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_cur
+   FROM long WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2)""",
+                 """cum AS (SELECT "column", value,
+     sum(n_ref) OVER (PARTITION BY "column" ORDER BY value ROWS UNBOUNDED PRECEDING) AS c_ref,
+     sum(n_cur) OVER (PARTITION BY "column" ORDER BY value ROWS UNBOUNDED PRECEDING) AS c_cur,
+     lead(value) OVER (PARTITION BY "column" ORDER BY value) AS next_value FROM counts)""",
+                 """sizes AS (SELECT "column", CAST(sum(n_ref) AS BIGINT) AS N_ref,
+     CAST(sum(n_cur) AS BIGINT) AS N_cur FROM counts GROUP BY 1)""",
+                 """sd AS (SELECT "column", stddev_pop(value) AS std_ref FROM long
+     WHERE src = 0 AND value IS NOT NULL GROUP BY 1)"""]
+
+
+def _kolmogorov_sql(lam: str) -> str:
+    big = (f"2 * list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(range(1, 101), "
+           f"lambda k: pow(CAST(-1 AS DOUBLE), k - 1) * exp(CAST(-2 AS DOUBLE) * k * k * {lam} * {lam}))), "
+           f"lambda a, b: a + b)")
+    small = (f"list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(range(1, 101), "
+             f"lambda k: exp(-((2 * k - 1) * (2 * k - 1)) * CAST(3.141592653589793 AS DOUBLE) * "
+             f"CAST(3.141592653589793 AS DOUBLE) / (CAST(8 AS DOUBLE) * {lam} * {lam})))), lambda a, b: a + b)"
+             f" * CAST(2.5066282746310002 AS DOUBLE) / {lam}")
+    return (f"least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), CASE WHEN {lam} <= 0 THEN CAST(1 AS DOUBLE) "
+            f"WHEN {lam} < 1.18 THEN CAST(1 AS DOUBLE) - {small} ELSE {big} END))")
+
+
+def _ks(spark, d):
+    ref, cur = _drift_frames(spark, d)
+    k = drift.ks_columns(ref, cur)
+    return k.select("column", round_half_up("ks_statistic", 9).alias("ks_statistic"),
+                    round_half_up("p_value", 6).alias("p_value"), "drift_detected", "n_ref", "n_cur")
+
+
+_KS_SQL = with_weblogs(*_DRIFT_LONG, *_DRIFT_PREFIX, """d AS (
+  SELECT "column", max(abs(c_ref / CAST(N_ref AS DOUBLE) - c_cur / CAST(N_cur AS DOUBLE))) AS ks_statistic,
+         any_value(N_ref) AS N_ref, any_value(N_cur) AS N_cur
+  FROM cum JOIN sizes USING ("column") GROUP BY 1)""", """l AS (
+  SELECT *, (sqrt(N_ref * N_cur / (N_ref + N_cur)) + CAST(0.12 AS DOUBLE)
+             + CAST(0.11 AS DOUBLE) / sqrt(N_ref * N_cur / (N_ref + N_cur))) * ks_statistic AS lam FROM d)""",
+                       f"""p AS (SELECT *, {_kolmogorov_sql('lam')} AS p_value FROM l)""")
+
+register("ks_drift", _KS_SQL + f"""
+SELECT "column", {r('ks_statistic', 9)} AS ks_statistic, {r('p_value', 6)} AS p_value,
+       p_value < 0.05 AS drift_detected, N_ref AS n_ref, N_cur AS n_cur FROM p""")(_ks)
+
+
+def _dataset_drift(spark, d):
+    ref, cur = _drift_frames(spark, d)
+    return drift.dataset_drift(drift.ks_columns(ref, cur))
+
+
+register("dataset_drift", _KS_SQL + """
+SELECT count(*) AS n_columns, CAST(sum(CAST(p_value < 0.05 AS INTEGER)) AS BIGINT) AS n_drifted_columns,
+       sum(CAST(p_value < 0.05 AS INTEGER)) / CAST(greatest(count(*), 1) AS DOUBLE) AS drift_share,
+       sum(CAST(p_value < 0.05 AS INTEGER)) > 0.5 * count(*) AS dataset_drift FROM p""")(_dataset_drift)
+
+
+def _wasserstein(spark, d):
+    ref, cur = _drift_frames(spark, d)
+    w = drift.wasserstein_columns(ref, cur)
+    return w.select("column", round_half_up("wasserstein", 6).alias("wasserstein"),
+                    round_half_up("drift_score", 6).alias("drift_score"), "drift_detected")
+
+
+register("wasserstein_drift", with_weblogs(*_DRIFT_LONG, *_DRIFT_PREFIX, """w AS (
+  SELECT "column", sum(abs(c_ref / CAST(N_ref AS DOUBLE) - c_cur / CAST(N_cur AS DOUBLE))
+                       * coalesce(next_value - value, 0)) AS wasserstein
+  FROM cum JOIN sizes USING ("column") GROUP BY 1)""") + f"""
+SELECT "column", {r('wasserstein', 6)} AS wasserstein,
+       {r('wasserstein / nullif(std_ref, 0)', 6)} AS drift_score,
+       coalesce(wasserstein / nullif(std_ref, 0) > 0.1, wasserstein > 0) AS drift_detected
+FROM w JOIN sd USING ("column")""")(_wasserstein)
+
+# -------------------------------------------------- F: sorts and top-k
+
+register("latest_5000", with_weblogs() + """
+SELECT id, "timestamp", method, status_code, response_time_ms FROM weblogs
+ORDER BY "timestamp" DESC, id DESC LIMIT 5000""")(
+    lambda spark, d: weblogs(spark, d).orderBy(F.desc("timestamp"), F.desc("id")).limit(5000)
+    .select("id", "timestamp", "method", "status_code", "response_time_ms"))
+
+register("sample_cap", with_weblogs() + """
+SELECT id, method, response_time_ms FROM weblogs
+ORDER BY md5(CAST(id AS VARCHAR) || '42'), id LIMIT 200""")(
+    lambda spark, d: weblogs(spark, d).orderBy(splitting.hash_order("id", 42), "id").limit(200)
+    .select("id", "method", "response_time_ms"))
+
+# ---------------------------------------------- J: streaming batch twin
+
+from ..streaming import windows  # noqa: E402
+
+_WIN_CTE = f"""win AS (
+  SELECT method, time_bucket(INTERVAL 5 MINUTE, "timestamp") AS window_start,
+         time_bucket(INTERVAL 5 MINUTE, "timestamp") + INTERVAL 5 MINUTE AS window_end,
+         count(*) AS "count",
+         {r('CAST(sum(CAST(response_time_ms AS DECIMAL(38, 6))) AS DOUBLE) / count(*)', 2)} AS avg_response_time_ms,
+         CAST(sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END) AS BIGINT) AS error_count
+  FROM weblogs GROUP BY 1, 2, 3)"""
+
+register("tumbling_5m", with_weblogs(_WIN_CTE) + "SELECT * FROM win")(
+    lambda spark, d: windows.windowed_stats(weblogs(spark, d)))
+
+register("window_result_json", with_weblogs(_WIN_CTE) + """
+SELECT method AS key,
+       '{"method":"' || method || '","window_start":"' || strftime(window_start, '%Y-%m-%dT%H:%M:%SZ')
+       || '","window_end":"' || strftime(window_end, '%Y-%m-%dT%H:%M:%SZ') || '","count":' || "count"
+       || ',"avg_response_time_ms":' || printf('%.2f', avg_response_time_ms)
+       || ',"error_count":' || error_count || '}' AS value
+FROM win""")(lambda spark, d: windows.encode_windows(windows.windowed_stats(weblogs(spark, d))))
