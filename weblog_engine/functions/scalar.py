@@ -76,3 +76,14 @@ def method_one_hot(method="method", methods=None) -> list[Column]:
     from ..schema import KNOWN_METHODS
     m = _c(method)
     return [(m == x).cast("int").alias(f"method_{x}") for x in (methods or KNOWN_METHODS)]
+
+
+def exact_sum(c, scale: int = 6) -> Column:
+    """Sum through DECIMAL(38, scale): exact, so the result does not depend
+    on the order rows are added in (partitions, windows, engines)."""
+    return F.sum(_c(c).cast(f"decimal(38,{scale})")).cast("double")
+
+
+def exact_mean(c, scale: int = 6) -> Column:
+    """Mean = exact sum / count of non-null values, as a double."""
+    return exact_sum(c, scale) / F.count(_c(c))

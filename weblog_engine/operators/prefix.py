@@ -149,11 +149,14 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "_idx",
 
 def rolling_mean(df: DataFrame, order_cols: list[str], value: str, rows: int,
                  out: str, chunk_rows: int = 1_000_000, exclude_current: bool = False,
-                 buckets: int | None = None, indexed: DataFrame | None = None) -> DataFrame:
+                 buckets: int | None = None, indexed: DataFrame | None = None,
+                 exact_scale: int | None = 6) -> DataFrame:
     """Mean of ``value`` over the last ``rows`` rows (incl. the current one,
     min 1 row) in the global order, computed in fixed-size chunks of the
     dense index. Each chunk also receives the ``rows`` rows before it (halo),
-    so no task ever sees more than ``chunk_rows + rows`` rows."""
+    so no task ever sees more than ``chunk_rows + rows`` rows. With
+    ``exact_scale`` the frame sum is taken exactly in DECIMAL(38, scale), so
+    the mean does not depend on summation order."""
     idx = indexed if indexed is not None else dense_index(df, order_cols, buckets=buckets)
     c = max(int(chunk_rows), rows + 1)
     chunk = F.floor(F.col("_idx") / F.lit(c)).cast("long")
@@ -164,5 +167,10 @@ def rolling_mean(df: DataFrame, order_cols: list[str], value: str, rows: int,
     x = x.withColumn("_chunk", F.col("_chunk") + F.col("_copy"))
     lo, hi = (-rows, -1) if exclude_current else (-(rows - 1), 0)
     w = Window.partitionBy("_chunk").orderBy("_idx").rowsBetween(lo, hi)
-    res = x.withColumn(out, F.avg(value).over(w)).where(F.col("_copy") == 0)
+    if exact_scale is None:
+        mean = F.avg(value).over(w)
+    else:
+        mean = F.sum(F.col(value).cast(f"decimal(38,{exact_scale})")).over(w).cast("double") \
+            / F.count(F.col(value)).over(w)
+    res = x.withColumn(out, mean).where(F.col("_copy") == 0)
     return res.drop("_chunk", "_copy")

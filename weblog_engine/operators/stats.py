@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import hour_of_day, round_half_up
+from ..functions.scalar import exact_mean, hour_of_day, round_half_up
 from .prefix import running_sums
 
 
@@ -87,7 +87,7 @@ def stats_summary(df: DataFrame, buckets: int | None = None) -> DataFrame:
     """One-row summary; an empty table gives zeros."""
     base = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("response_time_ms").alias("mean"),
+        exact_mean("response_time_ms").alias("mean"),
         F.stddev_samp("response_time_ms").alias("std"),
         F.sum((F.col("status_code") >= 400).cast("long")).alias("errors"),
     )
@@ -129,7 +129,7 @@ def describe(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("record_count"),
         round_half_up(F.coalesce(F.avg((F.col("status_code") >= 400).cast("double")),
                                  F.lit(0.0)), 4).alias("error_rate"),
-        round_half_up(F.avg("response_time_ms"), 4).alias("mean_response_time"),
+        round_half_up(exact_mean("response_time_ms"), 4).alias("mean_response_time"),
         round_half_up(F.stddev_samp("response_time_ms"), 4).alias("std_response_time"),
         F.min("response_time_ms").alias("min_response_time"),
         F.max("response_time_ms").alias("max_response_time"),

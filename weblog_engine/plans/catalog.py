@@ -63,7 +63,7 @@ _SUMMARY_SQL = with_weblogs(
              FROM weblogs GROUP BY 1 ORDER BY c DESC, hour ASC LIMIT 1)""",
 ) + f"""
 SELECT count(*) AS total_records,
-       {r('coalesce(avg(response_time_ms), 0)', 2)} AS mean_response_time,
+       {r('coalesce(CAST(sum(CAST(response_time_ms AS DECIMAL(38, 6))) AS DOUBLE) / count(response_time_ms), 0)', 2)} AS mean_response_time,
        {r('coalesce((SELECT (lo + hi) / CAST(2 AS DOUBLE) FROM q), 0)', 2)} AS median_response_time,
        {r('coalesce(stddev_samp(response_time_ms), 0)', 2)} AS std_dev_response_time,
        {r('coalesce((SELECT p95 FROM q), 0)', 2)} AS percentile95_response_time,
@@ -77,7 +77,7 @@ register("stats_summary", _SUMMARY_SQL)(lambda spark, d: stats.stats_summary(web
 register("describe", with_weblogs() + f"""
 SELECT count(*) AS record_count,
        {r('coalesce(avg(CASE WHEN status_code >= 400 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 0)', 4)} AS error_rate,
-       {r('avg(response_time_ms)', 4)} AS mean_response_time,
+       {r('CAST(sum(CAST(response_time_ms AS DECIMAL(38, 6))) AS DOUBLE) / count(response_time_ms)', 4)} AS mean_response_time,
        {r('stddev_samp(response_time_ms)', 4)} AS std_response_time,
        min(response_time_ms) AS min_response_time,
        max(response_time_ms) AS max_response_time,
@@ -103,7 +103,9 @@ _FEATURE_SELECT = """
 
 _FEATURES_CTE = f"""feats AS (
   SELECT id, "timestamp", method, status_code, response_time_ms, {_FEATURE_SELECT},
-    avg(response_time_ms) OVER (ORDER BY "timestamp", id
+    CAST(sum(CAST(response_time_ms AS DECIMAL(38, 6))) OVER (ORDER BY "timestamp", id
+                                ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS DOUBLE)
+      / count(response_time_ms) OVER (ORDER BY "timestamp", id
                                 ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS rolling_avg_response,
     row_number() OVER (PARTITION BY hour("timestamp") ORDER BY "timestamp", id) AS hourly_frequency
   FROM weblogs)"""
@@ -129,7 +131,7 @@ def _rolling_exclusive(spark, d):
 
 
 register("rolling_avg_exclusive", with_weblogs() + f"""
-SELECT id, {r('avg(response_time_ms) OVER (ORDER BY "timestamp", id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)', 4)}
+SELECT id, {r('CAST(sum(CAST(response_time_ms AS DECIMAL(38, 6))) OVER (ORDER BY "timestamp", id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS DOUBLE) / count(response_time_ms) OVER (ORDER BY "timestamp", id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)', 4)}
        AS rolling_avg_response
 FROM weblogs""")(_rolling_exclusive)
 
