@@ -538,3 +538,95 @@ SELECT method AS key,
        || ',"avg_response_time_ms":' || printf('%.2f', avg_response_time_ms)
        || ',"error_count":' || error_count || '}' AS value
 FROM win""")(lambda spark, d: windows.encode_windows(windows.windowed_stats(weblogs(spark, d))))
+
+# ------------------------------------------------- A/B: sources, sinks
+
+import uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import ingest  # noqa: E402
+
+# Upload written from the log table: mixed-case header with spaces, an
+# unknown column, timestamps in the four accepted formats (by method) and a
+# non-numeric response time on slow server errors (rejected rows).
+_TS_FMT = {"GET": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "POST": "yyyy-MM-dd HH:mm:ss",
+           "PUT": "yyyy-MM-dd'T'HH:mm:ss", "DELETE": "dd/MM/yyyy HH:mm:ss",
+           "PATCH": "yyyy-MM-dd'T'HH:mm"}
+
+
+def _upload(spark, d) -> str:
+    logs = weblogs(spark, d)
+    ts_text = F.coalesce(*[F.when(F.col("method") == m, F.date_format("timestamp", f))
+                           for m, f in _TS_FMT.items()])
+    bad = (F.col("status_code") >= 500) & (F.col("response_time_ms") > 1000)
+    rt_text = F.when(bad, F.lit("slow")).otherwise(F.col("response_time_ms").cast("string"))
+    out = logs.select(ts_text.alias("TimeStamp"), F.lower("method").alias(" Method "),
+                      F.col("path").alias("Path"), F.col("status_code").alias("Status Code"),
+                      rt_text.alias("response_time_ms"), F.col("id").alias("event_kind"),
+                      F.col("bytes_sent").alias("Bytes Sent"))
+    path = scratch_path(spark, f"upload-{uuid.uuid4().hex}.csv")
+    ingest.write_csv(out, path)
+    return path
+
+
+_UPLOAD_TS = """CASE method WHEN 'GET' THEN "timestamp"
+                WHEN 'PATCH' THEN date_trunc('minute', "timestamp")
+                ELSE date_trunc('second', "timestamp") END"""
+
+
+def _csv_ingest(spark, d):
+    return ingest.ingest_csv(spark, _upload(spark, d)).good
+
+
+register("csv_ingest", with_weblogs() + f"""
+SELECT {_UPLOAD_TS} AS "timestamp", method, path, status_code, response_time_ms,
+       CAST(NULL AS VARCHAR) AS user_agent, CAST(NULL AS VARCHAR) AS ip_address, bytes_sent
+FROM weblogs WHERE NOT (status_code >= 500 AND response_time_ms > 1000)""")(_csv_ingest)
+
+
+def _csv_rejects(spark, d):
+    ing = ingest.ingest_csv(spark, _upload(spark, d))
+    return ing.rejects.select("timestamp", "method", "status_code", "reject_reason")
+
+
+register("csv_rejects", with_weblogs() + f"""
+SELECT {_UPLOAD_TS} AS "timestamp", method, status_code, 'bad response_time_ms' AS reject_reason
+FROM weblogs WHERE status_code >= 500 AND response_time_ms > 1000""")(_csv_rejects)
+
+
+def _csv_counts(spark, d):
+    return ingest.ingest_csv(spark, _upload(spark, d)).counts
+
+
+register("csv_ingest_counts", with_weblogs() + """
+SELECT count(*) FILTER (WHERE NOT (status_code >= 500 AND response_time_ms > 1000)) AS processed,
+       count(*) FILTER (WHERE status_code >= 500 AND response_time_ms > 1000) AS failed
+FROM weblogs""")(_csv_counts)
+
+
+def _event_roundtrip(spark, d):
+    msgs = ingest.encode_events(weblogs(spark, d))
+    rows, _ = ingest.decode_events(msgs)
+    return rows
+
+
+register("event_roundtrip", with_weblogs() + "SELECT * FROM weblogs")(_event_roundtrip)
+
+
+def _event_errors(spark, d):
+    msgs = ingest.encode_events(weblogs(spark, d))
+    rows, _ = ingest.decode_events(msgs)
+    return rows.where(F.col("status_code") >= 400).select("id", "method", "status_code")
+
+
+register("event_error_filter", with_weblogs() + """
+SELECT id, method, status_code FROM weblogs WHERE status_code >= 400""")(_event_errors)
+
+
+def _event_keys(spark, d):
+    return ingest.encode_events(weblogs(spark, d)).groupBy("key").agg(
+        F.count(F.lit(1)).alias("messages"))
+
+
+register("event_publish_keys", with_weblogs() + """
+SELECT method AS key, count(*) AS messages FROM weblogs GROUP BY method""")(_event_keys)
