@@ -630,3 +630,89 @@ def _event_keys(spark, d):
 
 register("event_publish_keys", with_weblogs() + """
 SELECT method AS key, count(*) AS messages FROM weblogs GROUP BY method""")(_event_keys)
+
+# ----------------------------------------------------- J: streaming runs
+
+import os  # noqa: E402
+
+from ..streaming import jobs  # noqa: E402
+
+
+def _message_files(spark, d, parts: int = 3) -> str:
+    """Messages of the log table as JSON lines, one folder of files in
+    event-time order (each file a later stretch of days)."""
+    logs = weblogs(spark, d)
+    msgs = ingest.encode_events(logs).select("value") \
+        .withColumn("_part", F.least(F.lit(parts - 1),
+                                     F.floor((F.dayofmonth(F.get_json_object("value", "$.timestamp")
+                                                           .cast("timestamp")) - 1) / 10).cast("int")))
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    src = os.path.join(root, "in")
+    msgs.write.partitionBy("_part").text(os.path.join(root, "staged"))
+    # Move parts into one folder in event-time order: file names sort by part.
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "staged"))
+    fs = fs_path.getFileSystem(conf)
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(src))
+    for p in range(parts):
+        part_dir = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "staged", f"_part={p}"))
+        if not fs.exists(part_dir):
+            continue
+        for st in fs.listStatus(part_dir):
+            name = st.getPath().getName()
+            if name.startswith("part-"):
+                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(os.path.join(src, f"{p:04d}-{name}")))
+    return root
+
+
+def _stream_windows(spark, d):
+    root = _message_files(spark, d)
+    events, _ = jobs.event_stream(jobs.file_source(spark, os.path.join(root, "in"), 1))
+    q = jobs.start_window_job(events, os.path.join(root, "out"), os.path.join(root, "ckpt"))
+    q.processAllAvailable()
+    q.stop()
+    out = spark.read.parquet(os.path.join(root, "out"))
+    return out.select("method", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      "count", "avg_response_time_ms", "error_count")
+
+
+register("stream_window_5m", with_weblogs(_WIN_CTE) + """
+SELECT * FROM win WHERE window_end <= (SELECT max("timestamp") FROM weblogs)""")(_stream_windows)
+
+
+def _stream_persist(spark, d):
+    root = _message_files(spark, d)
+    events, _ = jobs.event_stream(jobs.file_source(spark, os.path.join(root, "in"), 1))
+    q = jobs.persist_stream(events, os.path.join(root, "table"), os.path.join(root, "ckpt"))
+    q.processAllAvailable()
+    q.stop()
+    t = spark.read.parquet(os.path.join(root, "table"))
+    return t.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c == "timestamp" else F.col(c)
+                      for c in ["id", "timestamp", "method", "path", "status_code", "response_time_ms",
+                                "user_agent", "ip_address", "bytes_sent"]])
+
+
+register("stream_to_table", with_weblogs() + "SELECT * FROM weblogs")(_stream_persist)
+
+
+def _stream_alerts(spark, d):
+    logs = weblogs(spark, d)
+    det = anomaly.fit_moments(features.row_features(logs), ["hour", "response_time_ms"])
+    root = _message_files(spark, d)
+    events, _ = jobs.event_stream(jobs.file_source(spark, os.path.join(root, "in"), 1))
+    q = jobs.start_alert_job(events, det, os.path.join(root, "alerts"), os.path.join(root, "ckpt"))
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(os.path.join(root, "alerts")).select("id", "alert_type", "severity", "score")
+
+
+register("stream_alerts", with_weblogs(
+    """m AS (SELECT avg(response_time_ms) AS m,
+                    greatest(stddev_pop(response_time_ms), CAST(1e-6 AS DOUBLE)) AS s FROM weblogs)""",
+    "z AS (SELECT id, (response_time_ms - m) / s AS z FROM weblogs, m)") + f"""
+SELECT id, 'anomaly' AS alert_type,
+       CASE WHEN abs(z) >= 6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       {r('(CASE WHEN z > 3 THEN CAST(-1 AS DOUBLE) WHEN z < -3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / 2', 4)} AS score
+FROM z WHERE abs(z) > 3""")(_stream_alerts)
