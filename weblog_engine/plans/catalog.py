@@ -716,3 +716,114 @@ SELECT id, 'anomaly' AS alert_type,
        CASE WHEN abs(z) >= 6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
        {r('(CASE WHEN z > 3 THEN CAST(-1 AS DOUBLE) WHEN z < -3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / 2', 4)} AS score
 FROM z WHERE abs(z) > 3""")(_stream_alerts)
+
+# ------------------------------------------- K: metric time-series queries
+
+from ..operators import metricsq  # noqa: E402
+
+_BUCKET_TEXT = ["0.05", "0.1", "0.25", "0.5", "1.0", "2.5", "5.0", "+Inf"]
+_SAMPLES_CTE = [f"""per AS (
+  SELECT time_bucket(INTERVAL 1 MINUTE, "timestamp") + INTERVAL 1 MINUTE AS ts, method,
+         CAST(count(*) AS DOUBLE) AS n,
+         sum(CAST(response_time_ms / CAST(1000 AS DOUBLE) AS DECIMAL(38, 9))) AS s
+  FROM weblogs GROUP BY 1, 2)""",
+                """cum AS (SELECT ts, method,
+         sum(n) OVER (PARTITION BY method ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cn,
+         CAST(sum(s) OVER (PARTITION BY method ORDER BY ts ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cs FROM per)""",
+                "perb AS (SELECT time_bucket(INTERVAL 1 MINUTE, \"timestamp\") + INTERVAL 1 MINUTE AS ts, " +
+                ", ".join(f"CAST(count(*) FILTER (WHERE response_time_ms / CAST(1000 AS DOUBLE) <= "
+                          f"{'CAST(' + repr(b) + ' AS DOUBLE)' if b != float('inf') else 'CAST(\'inf\' AS DOUBLE)'})"
+                          f" AS DOUBLE) AS b{i}" for i, b in enumerate(metricsq.LATENCY_BUCKETS)) +
+                " FROM weblogs GROUP BY 1)",
+                "longb AS (" + " UNION ALL ".join(f"SELECT ts, '{t}' AS le, b{i} AS n FROM perb"
+                                                  for i, t in enumerate(_BUCKET_TEXT)) + ")",
+                """samples AS (
+  SELECT 'http_server_requests_seconds_count' AS metric, 'method=' || method AS series, ts, cn AS value FROM cum
+  UNION ALL SELECT 'http_server_requests_seconds_sum', 'method=' || method, ts, cs FROM cum
+  UNION ALL SELECT 'http_server_requests_seconds_bucket', 'le=' || le, ts,
+                   sum(n) OVER (PARTITION BY le ORDER BY ts ROWS UNBOUNDED PRECEDING) FROM longb
+  UNION ALL SELECT 'up', 'job=java-api', ts, CAST(1 AS DOUBLE) FROM perb)""",
+                """inc AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN NULL
+                       WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END AS increase
+  FROM samples WINDOW w AS (PARTITION BY metric, series ORDER BY ts))""",
+                """rates AS (SELECT metric, series, ts,
+     coalesce(sum(increase) OVER (PARTITION BY metric, series ORDER BY epoch_us(ts)
+                                  RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW), 0) / CAST(300 AS DOUBLE) AS rate
+  FROM inc)"""]
+
+
+def _samples(spark, d):
+    return metricsq.request_samples(weblogs(spark, d))
+
+
+def _sample_view(spark, d):
+    s = _samples(spark, d)
+    return s.select("metric", metricsq.series_key().alias("series"), "ts", round_half_up("value", 6).alias("value"))
+
+
+register("metric_samples", with_weblogs(*_SAMPLES_CTE[:5]) + f"""
+SELECT metric, series, ts, {r('value', 6)} AS value FROM samples""")(_sample_view)
+
+
+def _counter_rate(spark, d):
+    rt = metricsq.counter_rate(_samples(spark, d).where(F.col("metric") == "http_server_requests_seconds_count"))
+    return rt.select("series", "ts", round_half_up("rate", 6).alias("rate"),
+                     round_half_up(metricsq.scale(F.col("rate"), 60), 6).alias("rate_per_min"))
+
+
+register("counter_rate_5m", with_weblogs(*_SAMPLES_CTE) + f"""
+SELECT series, ts, {r('rate', 6)} AS rate, {r('rate * CAST(60 AS DOUBLE)', 6)} AS rate_per_min
+FROM rates WHERE metric = 'http_server_requests_seconds_count'""")(_counter_rate)
+
+
+def _mean_latency(spark, d):
+    m = metricsq.rate_ratio(_samples(spark, d), "http_server_requests_seconds_sum",
+                            "http_server_requests_seconds_count", 1000.0)
+    return m.select("series", "ts", round_half_up("value", 4).alias("mean_latency_ms"))
+
+
+register("mean_latency_ms", with_weblogs(*_SAMPLES_CTE) + f"""
+SELECT a.series, a.ts, {r('a.rate / nullif(b.rate, 0) * CAST(1000 AS DOUBLE)', 4)} AS mean_latency_ms
+FROM rates a JOIN rates b ON a.series = b.series AND a.ts = b.ts
+WHERE a.metric = 'http_server_requests_seconds_sum' AND b.metric = 'http_server_requests_seconds_count'""")(
+    _mean_latency)
+
+
+def _hq(q):
+    def run(spark, d):
+        s = _samples(spark, d).where(F.col("metric") == "http_server_requests_seconds_bucket")
+        rates = metricsq.counter_rate(s).withColumn("le", F.col("labels")["le"])
+        h = metricsq.histogram_quantile(q, rates)
+        return h.select("ts", round_half_up("quantile", 6).alias("quantile"))
+    return run
+
+
+def _hq_sql(q):
+    return with_weblogs(*_SAMPLES_CTE, """br AS (
+  SELECT ts, CASE WHEN substr(series, 4) = '+Inf' THEN CAST('inf' AS DOUBLE)
+                  ELSE CAST(substr(series, 4) AS DOUBLE) END AS le, sum(rate) AS c
+  FROM rates WHERE metric = 'http_server_requests_seconds_bucket' GROUP BY 1, 2)""", """b AS (
+  SELECT ts, le, c, coalesce(lag(le) OVER (PARTITION BY ts ORDER BY le), 0) AS prev_le,
+         coalesce(lag(c) OVER (PARTITION BY ts ORDER BY le), 0) AS prev_c,
+         max(c) OVER (PARTITION BY ts) AS total FROM br)""", f"""h AS (
+  SELECT ts, arg_min(struct_pack(le := le, prev_le := prev_le, c := c, prev_c := prev_c, total := total), le) AS h
+  FROM b WHERE c >= CAST({q} AS DOUBLE) * total AND total > 0 GROUP BY ts)""") + f"""
+SELECT ts, {r(f"CASE WHEN h.le = CAST('inf' AS DOUBLE) THEN h.prev_le ELSE coalesce(h.prev_le + (h.le - h.prev_le) * ((CAST({q} AS DOUBLE) * h.total - h.prev_c) / nullif(h.c - h.prev_c, 0)), h.le) END", 6)} AS quantile
+FROM h"""
+
+
+register("histogram_p95", _hq_sql(0.95))(_hq(0.95))
+register("histogram_p99", _hq_sql(0.99))(_hq(0.99))
+
+
+def _instant(spark, d):
+    return metricsq.instant_values(_samples(spark, d)).select(
+        "metric", "series", round_half_up("value", 6).alias("value"), "state")
+
+
+register("instant_values", with_weblogs(*_SAMPLES_CTE[:5]) + f"""
+SELECT metric, series,
+       {r("coalesce(arg_max(CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN value END, CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN ts END), 0)", 6)} AS value,
+       CASE WHEN coalesce(arg_max(CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN value END, CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN ts END), 0) >= 1
+            THEN 'UP' ELSE 'DOWN' END AS state
+FROM samples GROUP BY 1, 2""")(_instant)
