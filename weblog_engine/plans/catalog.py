@@ -827,3 +827,184 @@ SELECT metric, series,
        CASE WHEN coalesce(arg_max(CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN value END, CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN ts END), 0) >= 1
             THEN 'UP' ELSE 'DOWN' END AS state
 FROM samples GROUP BY 1, 2""")(_instant)
+
+# ------------------------------------------------- H/I: models and scoring
+
+from ..operators import explain, iforest, score, train as training, training_job  # noqa: E402
+
+# Ensemble sizes for registered queries (the library defaults are the
+# reference's 200; small ensembles keep each query to seconds).
+_Q_TREES, _Q_ROUNDS, _Q_FOREST = 20, 10, 100
+_TRAINED: dict = {}
+
+
+def _trained(spark, d) -> training_job.TrainResult:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        out = scratch_path(spark, f"train-{uuid.uuid4().hex}")
+        _TRAINED[key] = training_job.train_all(weblogs(spark, d), out, _Q_TREES, _Q_ROUNDS, _Q_FOREST)
+    return _TRAINED[key]
+
+
+register("train_classifiers")(lambda spark, d: _trained(spark, d).classifier_table)
+register("train_regressors")(lambda spark, d: _trained(spark, d).regressor_table)
+
+
+def _score_error(spark, d):
+    t = _trained(spark, d)
+    return score.score_error(_requests(spark, d), t.classifier).select(
+        "id", "error_probability", "risk_level", "model_used")
+
+
+register("score_error_requests")(_score_error)
+
+
+def _score_rt(spark, d):
+    t = _trained(spark, d)
+    req = _requests(spark, d).withColumn("is_error", F.lit(0))
+    return score.score_response_time(req, t.regressor).select(
+        "id", "predicted_response_time_ms", "lower_bound_ms", "upper_bound_ms", "model_used")
+
+
+register("score_response_time_requests")(_score_rt)
+
+
+def _iforest(spark, d):
+    t = _trained(spark, d)
+    s = iforest.score(t.features, t.detector.forest)
+    return s.select("id", round_half_up("if_score", 6).alias("if_score"), "if_anomaly")
+
+
+register("isolation_forest")(_iforest)
+
+
+def _detect_batch(spark, d):
+    t = _trained(spark, d)
+    s = anomaly.batch_zscore(iforest.score(t.features, t.detector.forest))
+    return s.select("id", (F.col("if_anomaly") | F.col("z_anomaly")).alias("is_anomaly"),
+                    F.col("if_score").alias("anomaly_score"))
+
+
+register("detect_batch")(_detect_batch)
+
+
+def _detect_requests(spark, d):
+    t = _trained(spark, d)
+    req = weblogs(spark, d).select("id", "method", F.hour("timestamp").alias("hour"),
+                                   F.weekday("timestamp").alias("day_of_week"), "response_time_ms")
+    good, _ = features.validate_requests(req, "anomaly")
+    feats = features.request_features(good.withColumn("historical_avg_response", F.col("response_time_ms")))
+    z = anomaly.zscore_detect(feats, t.detector)
+    res = anomaly.combine(iforest.score(z, t.detector.forest))
+    return res.select("id", "is_anomaly", "score", "details")
+
+
+register("anomaly_detect_requests")(_detect_requests)
+
+register("feature_importance")(lambda spark, d: training.feature_importance(_trained(spark, d).classifier))
+
+
+def _shapley(spark, d):
+    t = _trained(spark, d)
+    return explain.shapley(t.classifier, t.features)
+
+
+register("shapley_values")(_shapley)
+
+
+def _registry(spark, d):
+    t = _trained(spark, d)
+    meta = spark.read.parquet(t.paths["model_metadata"])
+    return training.active_models(meta).select("model_name", "model_type", "is_active")
+
+
+register("model_registry")(_registry)
+
+
+def _runs(spark, d):
+    t = _trained(spark, d)
+    return spark.read.parquet(t.paths["training_runs"]).select("run_id", "status", "num_samples",
+                                                               "best_classifier", "best_regressor")
+
+
+register("training_runs")(_runs)
+
+
+def _health(spark, d):
+    t = _trained(spark, d)
+    meta = spark.read.parquet(t.paths["model_metadata"])
+    return training.model_health(meta, drift.load_snapshot(spark, t.paths["reference"]) is not None)
+
+
+register("model_health")(_health)
+
+
+def _gate(spark, d):
+    t = _trained(spark, d)
+    ref = drift.load_snapshot(spark, t.paths["reference"])
+    current = ingest.latest(t.features, 5000).select(*ref.columns)
+    return drift.drift_gate(current, ref.drop("id"), trainer=None,
+                            columns=[c for c in ref.columns if c != "id"])
+
+
+register("drift_gate")(_gate)
+
+
+def _reload(spark, d):
+    t = _trained(spark, d)
+    m = training.load_model(t.paths["classifier"])
+    req = _requests(spark, d)
+    a = score.score_error(req, t.classifier).select("id", F.col("error_probability").alias("a"))
+    b = score.score_error(req, m).select("id", F.col("error_probability").alias("b"))
+    return a.join(b, "id").select("id", (F.col("a") == F.col("b")).alias("same_score"))
+
+
+register("model_reload_scores")(_reload)
+
+# Audit of deterministic scoring (type 'error': every request; type
+# 'response_time': requests that did not fail).
+
+
+def _audit(spark, d):
+    s = _scored(spark, d).join(weblogs(spark, d).select("id", "timestamp", "method", "bytes_sent",
+                                                         "status_code"), "id")
+    s = s.withColumn("error_probability", round_half_up("score", 4)).withColumn("risk_level", risk_band("score")) \
+        .withColumn("latency", F.col("bytes_sent") / F.lit(1000.0))
+    err = score.audit_rows(s, "error", "v_fixed", ["method"], ["error_probability", "risk_level"],
+                           "latency", "timestamp")
+    rt = score.audit_rows(s.where(F.col("status_code") < 400), "response_time", "v_fixed", ["method"],
+                          ["error_probability"], "latency", "timestamp")
+    return err.unionByName(rt)
+
+
+_AUDIT_CTE = f"""audit AS (
+  SELECT 'error' AS prediction_type, method, {r('least(response_time_ms / CAST(5000 AS DOUBLE), CAST(1 AS DOUBLE))', 4)} AS p,
+         bytes_sent / CAST(1000 AS DOUBLE) AS latency_ms, "timestamp" AS created_at FROM weblogs
+  UNION ALL
+  SELECT 'response_time', method, {r('least(response_time_ms / CAST(5000 AS DOUBLE), CAST(1 AS DOUBLE))', 4)},
+         bytes_sent / CAST(1000 AS DOUBLE), "timestamp" FROM weblogs WHERE status_code < 400)"""
+
+
+def _audit_view(spark, d):
+    a = _audit(spark, d)
+    return a.select("prediction_type", F.get_json_object("input_data", "$.method").alias("method"),
+                    F.get_json_object("result", "$.error_probability").cast("double").alias("p"),
+                    "model_version", "latency_ms", "created_at")
+
+
+register("prediction_audit", with_weblogs(_AUDIT_CTE) + """
+SELECT prediction_type, method, p, 'v_fixed' AS model_version, latency_ms, created_at FROM audit""")(_audit_view)
+
+register("prediction_volume", with_weblogs(_AUDIT_CTE) + """
+SELECT count(*) AS predictions_total, count(*) FILTER (WHERE prediction_type = 'error') AS error_predictions,
+       count(*) FILTER (WHERE prediction_type = 'response_time') AS response_time_predictions FROM audit""")(
+    lambda spark, d: score.prediction_volume(_audit(spark, d)))
+
+register("prediction_metrics", with_weblogs(_AUDIT_CTE) + """
+SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, count(*) AS predictions,
+       count(*) FILTER (WHERE prediction_type = 'error') AS error_predictions,
+       count(*) FILTER (WHERE prediction_type = 'response_time') AS response_time_predictions,
+       count(latency_ms) AS latency_count,
+       CAST(sum(CAST(latency_ms AS DECIMAL(38, 6))) AS DOUBLE) AS latency_sum_ms,
+       max(latency_ms) AS latency_max_ms
+FROM audit GROUP BY 1""")(lambda spark, d: score.prediction_metrics(_audit(spark, d)))
