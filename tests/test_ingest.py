@@ -105,3 +105,14 @@ def test_encode_events_key(spark):
                                "response_time_ms double, user_agent string, ip_address string, bytes_sent int")
     r = ingest.encode_events(df).first()
     assert r["key"] == "GET" and '"statusCode":200' in r["value"] and '"responseTimeMs":1.0' in r["value"]
+
+
+def test_load_first_nonempty(spark):
+    def broken():
+        raise RuntimeError("database down")
+
+    empty = spark.createDataFrame([], "x int")
+    full = spark.createDataFrame([(1,)], "x int")
+    got = ingest.load_first_nonempty([broken, lambda: empty, lambda: full])
+    assert got.count() == 1
+    assert ingest.load_first_nonempty([broken]) is None

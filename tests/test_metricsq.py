@@ -32,3 +32,11 @@ def test_instant_values(spark):
     s = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp_ntz, value double")
     got = {r["series"]: r["state"] for r in metricsq.instant_values(s, at=F.lit(T0)).collect()}
     assert got == {"job=a": "UP", "job=b": "DOWN", "job=c": "DOWN"}
+
+
+def test_select_series_and_scale(spark):
+    rows = [("jvm_memory_used_bytes", {"area": "heap", "job": "a"}, T0, 2.0 * 1024 * 1024),
+            ("jvm_memory_used_bytes", {"area": "nonheap", "job": "a"}, T0, 1.0)]
+    s = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp_ntz, value double")
+    h = metricsq.select_series(s, "jvm_memory_used_bytes", area="heap")
+    assert h.select(metricsq.scale(F.col("value"), 1 / 1024 / 1024).alias("mib")).first()["mib"] == 2.0

@@ -22,6 +22,15 @@ def series_key(labels: str = "labels") -> Column:
     return F.concat_ws(",", F.array_sort(pairs))
 
 
+def select_series(samples: DataFrame, metric: str | None = None, **labels: str) -> DataFrame:
+    """Series selector: metric name and exact label matches, e.g.
+    ``select_series(s, "jvm_memory_used_bytes", area="heap")``."""
+    cond = F.lit(True) if metric is None else (F.col("metric") == metric)
+    for k, v in labels.items():
+        cond = cond & (F.col("labels")[k] == F.lit(v))
+    return samples.where(cond)
+
+
 def _epoch(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 

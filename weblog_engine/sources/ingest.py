@@ -198,6 +198,13 @@ def encode_events(logs: DataFrame) -> DataFrame:
     return logs.select(F.col("method").alias("key"), value.alias("value"))
 
 
+def publish_events(logs: DataFrame, bootstrap: str, topic: str = "plip.logs.raw") -> None:
+    """Batch publish: every row as one message (key = method) to a Kafka
+    topic. Needs the spark-sql-kafka package on the classpath."""
+    (encode_events(logs).write.format("kafka")
+     .option("kafka.bootstrap.servers", bootstrap).option("topic", topic).save())
+
+
 def decode_events(messages: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """JSON messages -> (log rows, undecodable messages). Numbers may come as
     JSON numbers or numeric text; a missing status is 200 and a missing

@@ -60,8 +60,19 @@ def window_stream(events: DataFrame, size: str = WINDOW, grace: str = GRACE,
     return windowed_stats(src, time_col, key_col, size, grace)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep window state in RocksDB (off-heap, spills to local disk and is
+    checkpointed) instead of the JVM heap; set before a query first starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
 def start_window_job(events: DataFrame, sink_path: str, checkpoint: str, size: str = WINDOW,
                      grace: str = GRACE, fmt: str = "parquet", options: dict | None = None) -> StreamingQuery:
+    """Start the windowed-statistics stream. State is keyed by (window,
+    method) and dropped once the watermark passes the window end."""
     out = window_stream(events, size, grace)
     w = (out.writeStream.outputMode("append").format(fmt)
          .option("checkpointLocation", checkpoint))
