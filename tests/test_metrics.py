@@ -35,3 +35,11 @@ def test_stratified_split_sizes(spark):
     s = split.split(df, by="label", buckets=3)
     c = {(r["label"], r["split"]): r["count"] for r in s.groupBy("label", "split").count().collect()}
     assert c[(1, "test")] == 6 and c[(0, "test")] == 15
+
+
+def test_accuracy_f1_from_counts_matches_report(spark):
+    df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0), (0, 1), (1, 1)], "label int, prediction int")
+    cm = {(r["label"], r["prediction"]): r["count"] for r in metrics.confusion(df).collect()}
+    a = metrics.accuracy_f1_from_counts(cm)
+    b = metrics.accuracy_f1(df).first()
+    assert abs(a["accuracy"] - b["accuracy"]) < 1e-12 and abs(a["f1_weighted"] - b["f1_weighted"]) < 1e-12

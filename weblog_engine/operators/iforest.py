@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,10 +170,14 @@ def fit_forest(df: DataFrame, features: list[str], id_col: str = "id", n_trees:
     trees = [{k: list(r[k]) for k in ("feature", "threshold", "left", "right", "size")}
              for r in sorted(rows, key=lambda r: r["tree"])]
     model = ForestModel(list(features), trees, psi, 0.0, contamination)
-    scored = score(df, model, with_decision=False)
+    # The order statistic reads the scores in three passes; score once and
+    # keep the single score column for its duration.
+    scored = score(df.select(*features), model, with_decision=False).select("if_score_samples") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     cnt = F.col("n")
     pos = F.lit(contamination) * (cnt - 1)
     q = order_statistics(scored, "if_score_samples", {"lo": F.floor(pos), "hi": F.ceil(pos)}).first()
+    scored.unpersist()
     p = contamination * (n - 1)
     frac = p - math.floor(p)
     model.offset = float(q["lo"] + (q["hi"] - q["lo"]) * frac)

@@ -120,6 +120,23 @@ def accuracy_f1(df: DataFrame, label: str = "label", prediction: str = "predicti
                    F.max(F.when(F.col("class") == "weighted avg", F.col("f1"))).alias("f1_weighted"))
 
 
+def accuracy_f1_from_counts(cm: dict) -> dict:
+    """Accuracy and support-weighted F1 from the four confusion counts
+    {(label, prediction): count} (same conventions as ``class_report``)."""
+    n = sum(cm.values())
+    if n == 0:
+        return {"accuracy": 0.0, "f1_weighted": 0.0}
+    f1w = 0.0
+    for k in (0, 1):
+        o = 1 - k
+        tp, fp, fn = cm.get((k, k), 0), cm.get((o, k), 0), cm.get((k, o), 0)
+        p = tp / (tp + fp) if tp + fp else 0.0
+        r = tp / (tp + fn) if tp + fn else 0.0
+        f1 = 2 * p * r / (p + r) if p + r else 0.0
+        f1w += f1 * (tp + fn)
+    return {"accuracy": (cm.get((0, 0), 0) + cm.get((1, 1), 0)) / n, "f1_weighted": f1w / n}
+
+
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """rmse, mae, r2 in one aggregate pass (r2 from the centred sum of squares)."""
     err = F.col(prediction) - F.col(label)

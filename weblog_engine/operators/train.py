@@ -118,9 +118,9 @@ def fit_classifiers(train: DataFrame, test: DataFrame, features: list[str], labe
                                                       "score", F.col("prediction").cast("int").alias("prediction"))
         pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
         auc = metrics.roc_auc(pred).first()["roc_auc"]
-        af = metrics.accuracy_f1(pred).first()
         cm = {(r["label"], r["prediction"]): r["count"] for r in metrics.confusion(pred).collect()}
         pred.unpersist()
+        af = metrics.accuracy_f1_from_counts(cm)
         models[c.name] = m
         rows.append((pos, c.name, float(auc) if auc is not None else None, float(af["f1_weighted"]),
                      float(af["accuracy"]), json.dumps({f"{a}{b}": v for (a, b), v in sorted(cm.items())})))
