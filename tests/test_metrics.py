@@ -43,3 +43,14 @@ def test_accuracy_f1_from_counts_matches_report(spark):
     a = metrics.accuracy_f1_from_counts(cm)
     b = metrics.accuracy_f1(df).first()
     assert abs(a["accuracy"] - b["accuracy"]) < 1e-12 and abs(a["f1_weighted"] - b["f1_weighted"]) < 1e-12
+
+
+def test_curves_documented_example(spark):
+    df = spark.createDataFrame([(0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8)], "label int, score double")
+    roc = sorted(((r["threshold"], r["fpr"], r["tpr"])
+                  for r in metrics.roc_points(df, buckets=2, drop_intermediate=True).collect()), reverse=True)
+    assert roc == [(float("inf"), 0.0, 0.0), (0.8, 0.0, 0.5), (0.4, 0.5, 0.5), (0.35, 0.5, 1.0), (0.1, 1.0, 1.0)]
+    pr = metrics.pr_points(df, buckets=2, end_point=True).collect()
+    got = sorted(((r["threshold"] if r["threshold"] is not None else 9.0), round(r["precision"], 6), r["recall"])
+                 for r in pr)
+    assert got == [(0.1, 0.5, 1.0), (0.35, 0.666667, 1.0), (0.4, 0.5, 0.5), (0.8, 1.0, 0.5), (9.0, 1.0, 0.0)]

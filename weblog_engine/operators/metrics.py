@@ -19,9 +19,11 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
 
 
 def _desc_prefix(df: DataFrame, label: str, score: str, buckets=None) -> DataFrame:
-    """Counts of positives/negatives with score >= s, per distinct s."""
+    """Counts of positives/negatives with score >= s, per distinct s, and
+    ``k`` = 1-based position of s in descending order."""
     sc = score_counts(df, label, score).withColumn("_key", -F.col(score))
-    ps = running_sums(sc, ["_key"], {"tp": F.col("pos"), "fp": F.col("neg")}, buckets=buckets)
+    ps = running_sums(sc, ["_key"], {"tp": F.col("pos"), "fp": F.col("neg"),
+                                     "k": F.lit(1).cast("long")}, buckets=buckets)
     return ps.drop("_key", BUCKET)
 
 
@@ -46,24 +48,49 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score",
-               buckets: int | None = None) -> DataFrame:
+               buckets: int | None = None, drop_intermediate: bool = False) -> DataFrame:
     """One point per distinct threshold (score >= threshold is positive):
-    threshold, tp, fp, tpr, fpr."""
+    threshold, tp, fp, tpr, fpr. With ``drop_intermediate`` the curve is
+    the compact form: points where neither count bends are dropped (the
+    neighbours come from equi-joins on the threshold position, not a
+    global window) and a (0, 0) point at threshold +inf leads."""
     ps = _desc_prefix(df, label, score, buckets)
     t = _totals(df, label, score)
+    if drop_intermediate:
+        prev = ps.select((F.col("k") + 1).alias("k"), F.col("tp").alias("tp_p"), F.col("fp").alias("fp_p"))
+        nxt = ps.select((F.col("k") - 1).alias("k"), F.col("tp").alias("tp_n"), F.col("fp").alias("fp_n"))
+        j = ps.join(prev, "k", "left").join(nxt, "k", "left")
+        bend = (F.col("tp_n") - 2 * F.col("tp") + F.col("tp_p") != 0) | \
+            (F.col("fp_n") - 2 * F.col("fp") + F.col("fp_p") != 0)
+        kept = j.where(F.col("tp_p").isNull() | F.col("tp_n").isNull() | bend).select(score, "tp", "fp")
+        start = df.sparkSession.range(1).select(F.lit(float("inf")).alias(score), F.lit(0).cast("long").alias("tp"),
+                                                F.lit(0).cast("long").alias("fp"))
+        ps = start.unionByName(kept)
     return ps.select(F.col(score).alias("threshold"), "tp", "fp",
                      F.try_divide(F.col("tp"), t["P"]).cast("double").alias("tpr"),
                      F.try_divide(F.col("fp"), t["N"]).cast("double").alias("fpr"))
 
 
 def pr_points(df: DataFrame, label: str = "label", score: str = "score",
-              buckets: int | None = None) -> DataFrame:
-    """Precision and recall per distinct threshold."""
+              buckets: int | None = None, stop_at_full_recall: bool = False,
+              end_point: bool | None = None) -> DataFrame:
+    """Precision and recall per distinct threshold. ``end_point`` adds the
+    point (precision 1, recall 0, no threshold) that curve tools append;
+    ``stop_at_full_recall`` leaves out thresholds below the first one that
+    reaches full recall (older tool versions; implies the end point)."""
     ps = _desc_prefix(df, label, score, buckets)
     t = _totals(df, label, score)
-    return ps.select(F.col(score).alias("threshold"),
+    out = ps
+    if stop_at_full_recall:
+        out = ps.where(F.col("tp") - F.col("pos") < t["P"])
+    res = out.select(F.col(score).alias("threshold"),
                      (F.col("tp") / (F.col("tp") + F.col("fp"))).cast("double").alias("precision"),
                      F.try_divide(F.col("tp"), t["P"]).cast("double").alias("recall"))
+    if end_point or (end_point is None and stop_at_full_recall):
+        end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
+                                              F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+        res = res.unionByName(end)
+    return res
 
 
 def predictions(df: DataFrame, score: str = "score", threshold: float = 0.5,

@@ -26,9 +26,8 @@ from ..session import shuffle_partitions
 
 BUCKET = "_bucket"
 _KEY = "_bucket_key"
-# Upper bound on buckets, and on (bucket, group) rows collected to the driver.
+# Upper bound on buckets.
 MAX_BUCKETS = 65536
-MAX_TOTAL_ROWS = 2_000_000
 
 
 def _numeric_key(c: Column, dtype: T.DataType) -> Column:

@@ -31,10 +31,11 @@ def split(df: DataFrame, frac: float = TEST_FRACTION, seed: int = SEED, by: str
     groups = [by] if by else []
     ps = running_sums(x, ["_hk", "_h", id_col], {"_pos": F.lit(1).cast("long")}, by=groups,
                       buckets=buckets)
-    # Group sizes: one row per class (bounded by the label domain).
+    # Group sizes: one row per group. No broadcast hint: adaptive execution
+    # broadcasts it once measured small (a label), shuffles otherwise.
     sizes = x.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn")) if groups else None
     if sizes is not None:
-        ps = ps.join(F.broadcast(sizes), on=groups, how="left")
+        ps = ps.join(sizes, on=groups, how="left")
     else:
         ps = ps.withColumn("_gn", x.agg(F.count(F.lit(1))).scalar())
     test = F.col("_pos") <= F.ceil(F.lit(float(frac)) * F.col("_gn"))

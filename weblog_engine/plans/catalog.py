@@ -1008,3 +1008,87 @@ SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, count(*) AS p
        CAST(sum(CAST(latency_ms AS DECIMAL(38, 6))) AS DOUBLE) AS latency_sum_ms,
        max(latency_ms) AS latency_max_ms
 FROM audit GROUP BY 1""")(lambda spark, d: score.prediction_metrics(_audit(spark, d)))
+
+# --------------------------------------------- A/B/F: scans, sinks, sorts
+
+register("sorted_logs", with_weblogs() + """
+SELECT id, "timestamp", method, status_code FROM weblogs ORDER BY "timestamp", id""")(
+    lambda spark, d: weblogs(spark, d).orderBy("timestamp", "id").select("id", "timestamp", "method",
+                                                                          "status_code"))
+
+
+def _fallback(spark, d):
+    def database():
+        raise RuntimeError("no database configured")
+
+    def empty_csv():
+        return weblogs(spark, d).where(F.col("status_code") < 0)
+
+    return ingest.load_first_nonempty([database, empty_csv, lambda: weblogs(spark, d)])
+
+
+register("source_fallback", with_weblogs() + "SELECT * FROM weblogs")(_fallback)
+
+
+def _append(spark, d):
+    logs = weblogs(spark, d)
+    path = scratch_path(spark, f"append-{uuid.uuid4().hex}")
+    first = F.dayofmonth("timestamp") <= 15
+    ingest.append_table(logs.where(first), path)
+    ingest.append_table(logs.where(~first), path)
+    return spark.read.parquet(path)
+
+
+register("table_append", with_weblogs() + "SELECT * FROM weblogs")(_append)
+
+
+def _snapshot(spark, d):
+    f = features.row_features(weblogs(spark, d)).select("id", "hour", "day_of_week", "is_error",
+                                                        "response_time_ms")
+    path = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    n = drift.save_snapshot(f, path)
+    return drift.load_snapshot(spark, path).withColumn("snapshot_rows", F.lit(n).cast("long"))
+
+
+register("reference_snapshot", with_weblogs() + """
+SELECT id, CAST(hour("timestamp") AS INTEGER) AS hour, CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
+       CAST(status_code >= 400 AS INTEGER) AS is_error, response_time_ms,
+       (SELECT count(*) FROM weblogs) AS snapshot_rows FROM weblogs""")(_snapshot)
+
+
+def _series_filter(spark, d):
+    s = metricsq.select_series(_samples(spark, d), "http_server_requests_seconds_bucket", le="+Inf")
+    return s.select("ts", F.col("value").alias("requests_total"),
+                    metricsq.scale(F.col("value"), 1 / 1000).alias("requests_thousands"))
+
+
+register("series_filter", with_weblogs(*_SAMPLES_CTE[:5]) + f"""
+SELECT ts, value AS requests_total, value * CAST({1 / 1000!r} AS DOUBLE) AS requests_thousands
+FROM samples WHERE metric = 'http_server_requests_seconds_bucket' AND series = 'le=+Inf'""")(_series_filter)
+
+_DESC_CTE = """c AS (
+  SELECT score, pos, row_number() OVER (ORDER BY score DESC) AS k,
+         CAST(sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp,
+         CAST(sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM sc)"""
+
+register("roc_curve_compact", with_weblogs(_SCORED_CTE, _SC_CTE, _TOT_CTE, _DESC_CTE, """n AS (
+  SELECT score, tp, fp, lag(tp) OVER w AS tp_p, lead(tp) OVER w AS tp_n, lag(fp) OVER w AS fp_p,
+         lead(fp) OVER w AS fp_n FROM c WINDOW w AS (ORDER BY k))""", """kept AS (
+  SELECT CAST('inf' AS DOUBLE) AS score, CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp
+  UNION ALL
+  SELECT score, tp, fp FROM n WHERE tp_p IS NULL OR tp_n IS NULL
+     OR tp_n - 2 * tp + tp_p <> 0 OR fp_n - 2 * fp + fp_p <> 0)""") + """
+SELECT score AS threshold, tp, fp, tp / CAST(P AS DOUBLE) AS tpr, fp / CAST(N AS DOUBLE) AS fpr
+FROM kept, tot""")(lambda spark, d: metrics.roc_points(_scored(spark, d), drop_intermediate=True))
+
+register("pr_curve_full_recall", with_weblogs(_SCORED_CTE, _SC_CTE, _TOT_CTE, _DESC_CTE) + """
+SELECT score AS threshold, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(P AS DOUBLE) AS recall
+FROM c, tot WHERE tp - pos < P
+UNION ALL SELECT CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""")(
+    lambda spark, d: metrics.pr_points(_scored(spark, d), stop_at_full_recall=True))
+
+register("pr_curve_endpoint", with_weblogs(_SCORED_CTE, _SC_CTE, _TOT_CTE, _DESC_CTE) + """
+SELECT score AS threshold, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(P AS DOUBLE) AS recall
+FROM c, tot
+UNION ALL SELECT CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""")(
+    lambda spark, d: metrics.pr_points(_scored(spark, d), end_point=True))
