@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .stats import order_statistics
 
 EULER_GAMMA = 0.5772156649015329
@@ -151,6 +152,7 @@ def _sample(df: DataFrame, id_col: str, n_trees: int, psi: int, n: int, seed: in
 def fit_forest(df: DataFrame, features: list[str], id_col: str = "id", n_trees: int = N_TREES,
                max_samples: int = MAX_SAMPLES, contamination: float = CONTAMINATION,
                seed: int = 42) -> ForestModel:
+    ship_package(df.sparkSession)
     n = df.count()
     if n == 0:
         raise ValueError("cannot fit an isolation forest on an empty table")
@@ -188,6 +190,7 @@ def score(df: DataFrame, model: ForestModel, with_decision: bool = True) -> Data
     """Adds if_score_samples and, with the offset, if_score (decision value)
     and if_anomaly (decision < 0)."""
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast((model.trees, model.psi))
 
     @F.pandas_udf(T.DoubleType())
