@@ -49,3 +49,19 @@ def test_exclusive_rolling(spark, sf_dir):
     got = {r["id"]: r["rolling_avg_response"] for r in f.select("id", "rolling_avg_response").collect()}
     for k, v in want.items():
         assert (v is None and got[k] is None) or abs(v - got[k]) < 1e-9
+
+
+def test_rolling_with_buckets_smaller_than_window(spark, sf_dir):
+    df = weblogs(spark, sf_dir)
+    w = Window.orderBy("timestamp", "id")
+    want = {r["id"]: r["v"] for r in df.select(
+        "id", F.avg("response_time_ms").over(w.rowsBetween(-49, 0)).alias("v")).collect()}
+    want_x = {r["id"]: r["v"] for r in df.select(
+        "id", F.avg("response_time_ms").over(w.rowsBetween(-50, -1)).alias("v")).collect()}
+    for b in (37, 200):
+        got = {r["id"]: r["rolling_avg_response"] for r in features.engineer_features(df, buckets=b)
+               .select("id", "rolling_avg_response").collect()}
+        assert all(abs(want[k] - got[k]) < 1e-9 for k in want)
+        got_x = {r["id"]: r["rolling_avg_response"] for r in features.engineer_features(
+            df, buckets=b, exclude_current=True).select("id", "rolling_avg_response").collect()}
+        assert all((v is None and got_x[k] is None) or abs(v - got_x[k]) < 1e-9 for k, v in want_x.items())

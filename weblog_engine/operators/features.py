@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import day_of_week, hour_of_day, is_business_hours, is_error, method_one_hot
 from ..schema import KNOWN_METHODS
-from .prefix import BUCKET, add_range_bucket, rolling_mean, running_sums_multi
+from .prefix import (BUCKET, add_range_bucket, bucket_window_columns, default_buckets, edge_fix_fits,
+                     rolling_mean, rolling_mean_from_buckets, running_sums_multi)
 
 # Ordered feature lists of the two model families.
 CLASSIFICATION_FEATURES = [
@@ -57,10 +58,17 @@ def engineer_features(df: DataFrame, window: int = 50, exclude_current: bool = F
     base = row_features(df, extra_methods=extra_methods)
     b = add_range_bucket(base, "timestamp", buckets)
     one = F.lit(1).cast("long")
-    x = running_sums_multi(base, ORDER, [
-        ("_idx", one, [], False),
-        ("hourly_frequency", one, ["hour"], True),
-    ], bucketed=b).drop(BUCKET)
+    specs = [("_idx", one, [], False), ("hourly_frequency", one, ["hour"], True)]
+    n_buckets = buckets or default_buckets(base)
+    if edge_fix_fits(n_buckets, window):
+        # One shuffle: the rolling frame is taken inside the bucket pass and
+        # only bucket-edge rows are recomputed from a bounded side set.
+        wc = bucket_window_columns(window, "response_time_ms", ORDER, exclude_current=exclude_current)
+        x = running_sums_multi(base, ORDER, specs, bucketed=b.select("*", *[c.alias(n) for n, c in wc.items()]))
+        out = rolling_mean_from_buckets(x, "response_time_ms", window, "rolling_avg_response",
+                                        exclude_current=exclude_current, chunk_rows=chunk_rows)
+        return out.drop("_idx", BUCKET)
+    x = running_sums_multi(base, ORDER, specs, bucketed=b).drop(BUCKET)
     out = rolling_mean(x, ORDER, "response_time_ms", window, "rolling_avg_response",
                        chunk_rows=chunk_rows, exclude_current=exclude_current, indexed=x)
     return out.drop("_idx")

@@ -173,3 +173,63 @@ def rolling_mean(df: DataFrame, order_cols: list[str], value: str, rows: int,
             / F.count(F.col(value)).over(w)
     res = x.withColumn(out, mean).where(F.col("_copy") == 0)
     return res.drop("_chunk", "_copy")
+
+
+# Largest side table (bytes, by its parameter bound) the bucket-local
+# rolling mean may broadcast; beyond it the chunked form is used.
+MAX_EDGE_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def edge_fix_fits(buckets: int, rows: int) -> bool:
+    return (rows - 1) * buckets * 24 <= MAX_EDGE_BROADCAST_BYTES
+
+
+def bucket_window_columns(rows: int, value: str, order_cols: list[str], exact_scale: int = 6,
+                          exclude_current: bool = False) -> dict[str, Column]:
+    """Window columns for ``rolling_mean_from_buckets``, all partitioned by
+    ``_bucket`` so they share the bucket exchange of ``running_sums_multi``."""
+    lo, hi = (-rows, -1) if exclude_current else (-(rows - 1), 0)
+    w = Window.partitionBy(BUCKET).orderBy(*order_cols)
+    dec = F.col(value).cast(f"decimal(38,{exact_scale})")
+    return {
+        "_rs_in": F.sum(dec).over(w.rowsBetween(lo, hi)),
+        "_rc_in": F.count(F.col(value)).over(w.rowsBetween(lo, hi)),
+        "_bpos": F.row_number().over(w) - 1,
+        "_bsize": F.count(F.lit(1)).over(Window.partitionBy(BUCKET)),
+    }
+
+
+def rolling_mean_from_buckets(x: DataFrame, value: str, rows: int, out: str, exact_scale: int = 6,
+                              exclude_current: bool = False, chunk_rows: int = 1_000_000) -> DataFrame:
+    """Rolling mean of the last ``rows`` rows using the bucket pass only.
+
+    ``x`` carries ``_idx`` and the ``bucket_window_columns``. A row whose
+    frame lies inside its bucket is done. The first ``rows`` rows of a
+    bucket also need rows of earlier buckets: they are recomputed from a
+    side set holding the first and last ``rows`` rows of every bucket, which
+    contains every row such a frame reaches (a range frame on ``_idx`` skips
+    the gaps). The side set is bounded by 2 * rows * buckets rows, so its
+    result is broadcast back. The full-width rows are shuffled once; the
+    side set comes from a replay of the bucket pass that column pruning
+    narrows to (id, order key, value)."""
+    k = rows if exclude_current else rows - 1
+    edge = (F.col("_bpos") < k) & (F.col("_idx") > F.col("_bpos"))
+    tail = (F.col("_bsize") - F.col("_bpos")) <= k
+    dec = F.col(value).cast(f"decimal(38,{exact_scale})")
+    side = x.where((F.col("_bpos") < k) | tail) \
+        .select("_idx", dec.alias("_v"), edge.alias("_edge"))
+    c = max(int(chunk_rows), rows + 1)
+    side = side.withColumn("_chunk", F.floor(F.col("_idx") / F.lit(c)).cast("long")) \
+        .withColumn("_copy", F.explode(F.when((F.col("_idx") % F.lit(c)) >= F.lit(c - rows),
+                                              F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))) \
+        .withColumn("_chunk", F.col("_chunk") + F.col("_copy"))
+    lo, hi = (-rows, -1) if exclude_current else (-(rows - 1), 0)
+    w = Window.partitionBy("_chunk").orderBy("_idx").rangeBetween(lo, hi)
+    fixed = side.select("_idx", "_edge", "_copy", F.sum("_v").over(w).alias("_fs"),
+                        F.count("_v").over(w).alias("_fc")) \
+        .where(F.col("_edge") & (F.col("_copy") == 0)).select("_idx", "_fs", "_fc")
+    j = x.join(F.broadcast(fixed), on="_idx", how="left")
+    s = F.coalesce(F.col("_fs"), F.col("_rs_in")).cast("double")
+    n = F.coalesce(F.col("_fc"), F.col("_rc_in"))
+    return j.withColumn(out, F.try_divide(s, F.when(n > 0, n))) \
+        .drop("_fs", "_fc", "_rs_in", "_rc_in", "_bpos", "_bsize")
