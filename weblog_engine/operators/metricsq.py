@@ -145,6 +145,6 @@ def request_samples(logs: DataFrame, step: str = "1 minute") -> DataFrame:
                            F.create_map(F.lit("le"), "le").alias("labels"), "ts",
                            F.sum("n").over(wb).alias("value"))
     up = logs.groupBy(step_ts.alias("ts")).agg(F.lit(1.0).alias("value")).select(
-        F.lit("up").alias("metric"), F.create_map(F.lit("job"), F.lit("java-api")).alias("labels"),
+        F.lit("up").alias("metric"), F.create_map(F.lit("job"), F.lit("api")).alias("labels"),
         "ts", "value")
     return counts.unionByName(sums).unionByName(buckets).unionByName(up)

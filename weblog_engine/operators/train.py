@@ -82,7 +82,7 @@ class Trained:
         return self.metrics.get(self.best_name, {})
 
 
-def _pipeline(features: list[str], est) -> Pipeline:
+def _model_spec(features: list[str], est) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), est])
 
 
@@ -98,8 +98,20 @@ def _weighted(df: DataFrame, label: str, mode: str | None) -> DataFrame:
     return df
 
 
+def run_concurrently(tasks: list) -> list:
+    """Run independent Spark jobs from driver threads. Small fits leave most
+    executor slots idle; concurrent jobs share them."""
+    if len(tasks) <= 1:
+        return [t() for t in tasks]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        futures = [pool.submit(t) for t in tasks]
+        return [f.result() for f in futures]
+
+
 def fit_classifiers(train: DataFrame, test: DataFrame, features: list[str], label: str = "is_error",
-                    candidates: list[Candidate] | None = None) -> tuple[Trained, DataFrame]:
+                    candidates: list[Candidate] | None = None,
+                    concurrent: bool = True) -> tuple[Trained, DataFrame]:
     """Fit each candidate, score the test split, and keep the best by ROC-AUC
     (first candidate wins ties). Returns the winner and a metrics table
     (one row per candidate). Only metric values reach the driver."""
@@ -109,9 +121,9 @@ def fit_classifiers(train: DataFrame, test: DataFrame, features: list[str], labe
     if candidates is None:
         n = tr.count()
         candidates = classifier_candidates(n_weighted_rows=float(n))
-    models, rows = {}, []
-    for pos, c in enumerate(candidates):
-        m = _pipeline(features, c.estimator).fit(_weighted(tr, "label", c.weight))
+
+    def one(pos, c):
+        m = _model_spec(features, c.estimator).fit(_weighted(tr, "label", c.weight))
         # Three metric passes read the same scored test split: keep it
         # (three narrow columns) for their duration only.
         pred = positive_score(m.transform(te)).select(F.col("label").cast("int").alias("label"),
@@ -121,9 +133,13 @@ def fit_classifiers(train: DataFrame, test: DataFrame, features: list[str], labe
         cm = {(r["label"], r["prediction"]): r["count"] for r in metrics.confusion(pred).collect()}
         pred.unpersist()
         af = metrics.accuracy_f1_from_counts(cm)
-        models[c.name] = m
-        rows.append((pos, c.name, float(auc) if auc is not None else None, float(af["f1_weighted"]),
-                     float(af["accuracy"]), json.dumps({f"{a}{b}": v for (a, b), v in sorted(cm.items())})))
+        return m, (pos, c.name, float(auc) if auc is not None else None, float(af["f1_weighted"]),
+                   float(af["accuracy"]), json.dumps({f"{a}{b}": v for (a, b), v in sorted(cm.items())}))
+
+    tasks = [lambda pos=pos, c=c: one(pos, c) for pos, c in enumerate(candidates)]
+    done = run_concurrently(tasks) if concurrent else [t() for t in tasks]
+    models = {c.name: m for c, (m, _) in zip(candidates, done)}
+    rows = [r for _, r in done]
     table = spark.createDataFrame(rows, "position int, model string, roc_auc double, f1_score double, "
                                         "accuracy double, confusion string")
     best = table.orderBy(F.desc_nulls_last("roc_auc"), "position").first()["model"]
@@ -132,18 +148,24 @@ def fit_classifiers(train: DataFrame, test: DataFrame, features: list[str], labe
 
 
 def fit_regressors(train: DataFrame, test: DataFrame, features: list[str], label: str = "response_time_ms",
-                   candidates: list[Candidate] | None = None) -> tuple[Trained, DataFrame]:
+                   candidates: list[Candidate] | None = None,
+                   concurrent: bool = True) -> tuple[Trained, DataFrame]:
     """Fit each candidate; keep the best by R^2 (first wins ties)."""
     spark = train.sparkSession
     tr = train.withColumn("label", F.col(label).cast("double"))
     te = test.withColumn("label", F.col(label).cast("double"))
-    models, rows = {}, []
-    for pos, c in enumerate(candidates or regressor_candidates()):
-        m = _pipeline(features, c.estimator).fit(tr)
+    cands = candidates or regressor_candidates()
+
+    def one(pos, c):
+        m = _model_spec(features, c.estimator).fit(tr)
         r = metrics.regression_metrics(m.transform(te)).first()
-        models[c.name] = m
-        rows.append((pos, c.name, float(r["rmse"]), float(r["mae"]),
-                     float(r["r2"]) if r["r2"] is not None else None))
+        return m, (pos, c.name, float(r["rmse"]), float(r["mae"]),
+                   float(r["r2"]) if r["r2"] is not None else None)
+
+    tasks = [lambda pos=pos, c=c: one(pos, c) for pos, c in enumerate(cands)]
+    done = run_concurrently(tasks) if concurrent else [t() for t in tasks]
+    models = {c.name: m for c, (m, _) in zip(cands, done)}
+    rows = [r for _, r in done]
     table = spark.createDataFrame(rows, "position int, model string, rmse double, mae double, r2 double")
     best = table.orderBy(F.desc_nulls_last("r2"), "position").first()["model"]
     mets = {r[1]: {"rmse": r[2], "mae": r[3], "r2": r[4]} for r in rows}

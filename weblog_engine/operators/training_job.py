@@ -30,6 +30,12 @@ class TrainResult:
     paths: dict
 
 
+def _fit_detector(feats: DataFrame, clf_f: list[str], baseline: str, forest_trees: int) -> anomaly.Detector:
+    det = anomaly.fit_moments(feats, clf_f, baseline)
+    det.forest = iforest.fit_forest(feats, clf_f, n_trees=forest_trees)
+    return det
+
+
 def train_all(logs: DataFrame, out_dir: str, n_trees: int = train.CLF_FOREST_TREES,
               boost_rounds: int = train.CLF_BOOST_ROUNDS, forest_trees: int = iforest.N_TREES,
               label: str = "is_error", baseline: str = "response_time_ms",
@@ -58,17 +64,19 @@ def train_all(logs: DataFrame, out_dir: str, n_trees: int = train.CLF_FOREST_TRE
     reg_train, reg_test = feats.where(F.col("split_reg") == "train"), feats.where(F.col("split_reg") == "test")
 
     n_train = clf_train.count()
-    clf, clf_table = train.fit_classifiers(
-        clf_train, clf_test, clf_f, label,
-        train.classifier_candidates(n_trees, boost_rounds, n_weighted_rows=float(n_train)))
-    reg, reg_table = train.fit_regressors(
-        reg_train, reg_test, reg_f, "response_time_ms",
-        train.regressor_candidates(n_trees, boost_rounds))
+    # Classifiers, regressors and the detector are independent: run them
+    # as concurrent Spark jobs.
+    (clf, clf_table), (reg, reg_table), det = train.run_concurrently([
+        lambda: train.fit_classifiers(
+            clf_train, clf_test, clf_f, label,
+            train.classifier_candidates(n_trees, boost_rounds, n_weighted_rows=float(n_train))),
+        lambda: train.fit_regressors(
+            reg_train, reg_test, reg_f, "response_time_ms",
+            train.regressor_candidates(n_trees, boost_rounds)),
+        lambda: _fit_detector(feats, clf_f, baseline, forest_trees),
+    ])
     clf.version = reg.version = version
 
-    det = anomaly.fit_moments(feats, clf_f, baseline)
-    det.forest = iforest.fit_forest(feats, clf_f, n_trees=forest_trees)
-
     train.save_model(clf, paths["classifier"])
     train.save_model(reg, paths["regressor"])
     spark.createDataFrame([(det.forest.to_json(), det.baseline, float(det.baseline_mean or 0.0),

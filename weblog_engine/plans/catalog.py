@@ -746,7 +746,7 @@ _SAMPLES_CTE = [f"""per AS (
   UNION ALL SELECT 'http_server_requests_seconds_sum', 'method=' || method, ts, cs FROM cum
   UNION ALL SELECT 'http_server_requests_seconds_bucket', 'le=' || le, ts,
                    sum(n) OVER (PARTITION BY le ORDER BY ts ROWS UNBOUNDED PRECEDING) FROM longb
-  UNION ALL SELECT 'up', 'job=java-api', ts, CAST(1 AS DOUBLE) FROM perb)""",
+  UNION ALL SELECT 'up', 'job=api', ts, CAST(1 AS DOUBLE) FROM perb)""",
                 """inc AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN NULL
                        WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END AS increase
   FROM samples WINDOW w AS (PARTITION BY metric, series ORDER BY ts))""",

@@ -198,7 +198,7 @@ def encode_events(logs: DataFrame) -> DataFrame:
     return logs.select(F.col("method").alias("key"), value.alias("value"))
 
 
-def publish_events(logs: DataFrame, bootstrap: str, topic: str = "plip.logs.raw") -> None:
+def publish_events(logs: DataFrame, bootstrap: str, topic: str = "weblogs.raw") -> None:
     """Batch publish: every row as one message (key = method) to a Kafka
     topic. Needs the spark-sql-kafka package on the classpath."""
     (encode_events(logs).write.format("kafka")

@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.ingest import decode_events
 from .windows import GRACE, WINDOW, windowed_stats
 
-RAW_TOPIC = "plip.logs.raw"
-AGGREGATED_TOPIC = "plip.logs.aggregated"
-CONSUMER_GROUP = "plip-log-consumer"
+RAW_TOPIC = "weblogs.raw"
+AGGREGATED_TOPIC = "weblogs.aggregated"
+CONSUMER_GROUP = "weblog-consumer"
 
 
 def kafka_source(spark: SparkSession, bootstrap: str, topic: str = RAW_TOPIC,
