@@ -87,7 +87,8 @@ def ks_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
     out = d.withColumn("p_value", kolmogorov_sf(lam))
     return out.select("column", "ks_statistic", "p_value",
                       (F.col("p_value") < alpha).alias("drift_detected"),
-                      F.col("tot_ref").alias("n_ref"), F.col("tot_cur").alias("n_cur"))
+                      F.col("tot_ref").alias("n_ref"), F.col("tot_cur").alias("n_cur"),
+                      F.lit("ks_2samp").alias("stattest_name"), F.col("p_value").alias("drift_score"))
 
 
 def wasserstein_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
@@ -107,7 +108,9 @@ def wasserstein_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | Non
     w = w.join(F.broadcast(sizes), on="column")
     normed = F.try_divide(F.col("wasserstein"), F.when(F.col("std_ref") != 0, F.col("std_ref")))
     return w.select("column", "wasserstein", normed.alias("drift_score"),
-                    F.coalesce(normed > threshold, F.col("wasserstein") > 0).alias("drift_detected"))
+                    F.coalesce(normed > threshold, F.col("wasserstein") > 0).alias("drift_detected"),
+                    F.lit("wasserstein_distance_norm").alias("stattest_name"),
+                    F.col("tot_ref").alias("n_ref"), F.col("tot_cur").alias("n_cur"))
 
 
 def dataset_drift(per_column: DataFrame, share: float = DATASET_DRIFT_SHARE) -> DataFrame:
@@ -122,13 +125,28 @@ def dataset_drift(per_column: DataFrame, share: float = DATASET_DRIFT_SHARE) ->
                     (F.col("n_drifted_columns") > F.lit(share) * F.col("n_columns")).alias("dataset_drift"))
 
 
+# Fixed value: above this many reference rows the preset switches from the
+# KS test to the normed Wasserstein distance.
+AUTO_KS_MAX_ROWS = 1000
+REPORT_COLUMNS = ["column", "stattest_name", "drift_score", "drift_detected", "n_ref", "n_cur"]
+
+
 def drift_report(ref: DataFrame, cur: DataFrame, method: str = "ks", columns=None,
                  buckets: int | None = None) -> DataFrame:
+    """Per-column drift rows (column, stattest_name, drift_score,
+    drift_detected, n_ref, n_cur). ``method``: 'ks', 'wasserstein', or
+    'auto' (KS up to 1000 reference rows, normed Wasserstein above, the
+    preset rule; decided per column from its non-null reference count)."""
     if method == "ks":
-        return ks_columns(ref, cur, columns, buckets=buckets)
+        return ks_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
     if method == "wasserstein":
-        return wasserstein_columns(ref, cur, columns, buckets=buckets)
-    raise ValueError("method must be 'ks' or 'wasserstein'")
+        return wasserstein_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
+    if method == "auto":
+        k = ks_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
+        w = wasserstein_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
+        small = F.col("n_ref") <= AUTO_KS_MAX_ROWS
+        return k.where(small).unionByName(w.where(~small))
+    raise ValueError("method must be 'ks', 'wasserstein' or 'auto'")
 
 
 def drift_gate(current: DataFrame, reference: DataFrame | None, trainer=None, method: str = "ks",

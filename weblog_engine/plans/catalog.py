@@ -1096,3 +1096,32 @@ SELECT score AS threshold, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(
 FROM c, tot
 UNION ALL SELECT CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""")(
     lambda spark, d: metrics.pr_points(_scored(spark, d), end_point=True))
+
+
+def _drift_auto(spark, d):
+    ref, cur = _drift_frames(spark, d)
+    rep = drift.drift_report(ref, cur, "auto")
+    return rep.select("column", "stattest_name", round_half_up("drift_score", 6).alias("drift_score"),
+                      "drift_detected", "n_ref", "n_cur")
+
+
+_KS_CTES = [*_DRIFT_LONG, *_DRIFT_PREFIX, """d AS (
+  SELECT "column", max(abs(c_ref / CAST(N_ref AS DOUBLE) - c_cur / CAST(N_cur AS DOUBLE))) AS ks_statistic,
+         any_value(N_ref) AS N_ref, any_value(N_cur) AS N_cur
+  FROM cum JOIN sizes USING ("column") GROUP BY 1)""", """l AS (
+  SELECT *, (sqrt(N_ref * N_cur / (N_ref + N_cur)) + CAST(0.12 AS DOUBLE)
+             + CAST(0.11 AS DOUBLE) / sqrt(N_ref * N_cur / (N_ref + N_cur))) * ks_statistic AS lam FROM d)""",
+             f"""p AS (SELECT *, {_kolmogorov_sql('lam')} AS p_value FROM l)"""]
+
+register("drift_report_auto", with_weblogs(*_KS_CTES, """w AS (
+  SELECT "column", sum(abs(c_ref / CAST(N_ref AS DOUBLE) - c_cur / CAST(N_cur AS DOUBLE))
+                       * coalesce(next_value - value, 0)) AS wasserstein, any_value(N_ref) AS N_ref,
+         any_value(N_cur) AS N_cur
+  FROM cum JOIN sizes USING ("column") GROUP BY 1)""") + f"""
+SELECT "column", 'wasserstein_distance_norm' AS stattest_name,
+       {r('wasserstein / nullif(std_ref, 0)', 6)} AS drift_score,
+       coalesce(wasserstein / nullif(std_ref, 0) > 0.1, wasserstein > 0) AS drift_detected,
+       N_ref AS n_ref, N_cur AS n_cur
+FROM w JOIN sd USING ("column") WHERE N_ref > 1000
+UNION ALL
+SELECT "column", 'ks_2samp', {r('p_value', 6)}, p_value < 0.05, N_ref, N_cur FROM p WHERE N_ref <= 1000""")(_drift_auto)
