@@ -87,3 +87,11 @@ def exact_sum(c, scale: int = 6) -> Column:
 def exact_mean(c, scale: int = 6) -> Column:
     """Mean = exact sum / count of non-null values, as a double."""
     return exact_sum(c, scale) / F.count(_c(c))
+
+
+def with_scalar(df, name: str, one_row) -> "object":
+    """Attach the single row of ``one_row`` (a one-row DataFrame) as a struct
+    column ``name``, via one scalar subquery. Reading fields of the column
+    (``F.col(name + '.x')``) keeps the subquery from being planned once per
+    use."""
+    return df.select("*", one_row.select(F.struct(*one_row.columns)).scalar().alias(name))

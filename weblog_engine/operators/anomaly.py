@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_up
+from ..functions.scalar import round_half_up, with_scalar
 from .stats import feature_moments
 
 Z_THRESHOLD = 3.0
@@ -23,10 +23,10 @@ def batch_zscore(df: DataFrame, col: str = "response_time_ms",
     """abs((x - mean) / population std) over the whole batch; flag > threshold.
     The moments come from one aggregate used as a scalar subquery (no join);
     a zero std gives NULL z and no flag."""
-    m = df.agg(F.struct(F.avg(col).alias("m"), F.stddev_pop(col).alias("s")).alias("st"))
-    st = m.scalar()
-    z = F.abs(F.try_divide(F.col(col) - st["m"], F.when(st["s"] != 0, st["s"])))
-    return df.withColumn("z_score", z) \
+    m = df.agg(F.avg(col).alias("m"), F.stddev_pop(col).alias("s"))
+    x = with_scalar(df, "_st", m)
+    z = F.abs(F.try_divide(F.col(col) - F.col("_st.m"), F.when(F.col("_st.s") != 0, F.col("_st.s"))))
+    return x.withColumn("z_score", z).drop("_st") \
         .withColumn("z_anomaly", F.coalesce(F.col("z_score") > threshold, F.lit(False)))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import with_scalar
 from .prefix import BUCKET, running_sums
 
 
@@ -27,11 +28,11 @@ def _desc_prefix(df: DataFrame, label: str, score: str, buckets=None) -> DataFra
     return ps.drop("_key", BUCKET)
 
 
-def _totals(df: DataFrame, label: str, score: str):
-    t = df.where(F.col(score).isNotNull()).agg(F.struct(
+def _totals(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: P (positives) and N (negatives) among scored rows."""
+    return df.where(F.col(score).isNotNull()).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("P"),
-        F.sum((F.col(label) != 1).cast("long")).alias("N")).alias("t"))
-    return t.scalar()
+        F.sum((F.col(label) != 1).cast("long")).alias("N"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
@@ -40,11 +41,11 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     The numerator is a sum of half-integers, exact in doubles."""
     sc = score_counts(df, label, score)
     ps = running_sums(sc, [score], {"neg_below": F.col("neg")}, inclusive=False, buckets=buckets)
-    t = _totals(df, label, score)
     num = ps.agg(F.sum(F.col("pos").cast("double") *
                        (F.col("neg_below").cast("double") + F.lit(0.5) * F.col("neg"))).alias("u"))
-    return num.select(F.try_divide(F.col("u"), (t["P"] * t["N"]).cast("double")).alias("roc_auc"),
-                      t["P"].alias("n_pos"), t["N"].alias("n_neg"))
+    num = with_scalar(num, "_t", _totals(df, label, score))
+    return num.select(F.try_divide(F.col("u"), (F.col("_t.P") * F.col("_t.N")).cast("double")).alias("roc_auc"),
+                      F.col("_t.P").alias("n_pos"), F.col("_t.N").alias("n_neg"))
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score",
@@ -55,7 +56,6 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
     neighbours come from equi-joins on the threshold position, not a
     global window) and a (0, 0) point at threshold +inf leads."""
     ps = _desc_prefix(df, label, score, buckets)
-    t = _totals(df, label, score)
     if drop_intermediate:
         prev = ps.select((F.col("k") + 1).alias("k"), F.col("tp").alias("tp_p"), F.col("fp").alias("fp_p"))
         nxt = ps.select((F.col("k") - 1).alias("k"), F.col("tp").alias("tp_n"), F.col("fp").alias("fp_n"))
@@ -66,9 +66,10 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
         start = df.sparkSession.range(1).select(F.lit(float("inf")).alias(score), F.lit(0).cast("long").alias("tp"),
                                                 F.lit(0).cast("long").alias("fp"))
         ps = start.unionByName(kept)
+    ps = with_scalar(ps, "_t", _totals(df, label, score))
     return ps.select(F.col(score).alias("threshold"), "tp", "fp",
-                     F.try_divide(F.col("tp"), t["P"]).cast("double").alias("tpr"),
-                     F.try_divide(F.col("fp"), t["N"]).cast("double").alias("fpr"))
+                     F.try_divide(F.col("tp"), F.col("_t.P")).cast("double").alias("tpr"),
+                     F.try_divide(F.col("fp"), F.col("_t.N")).cast("double").alias("fpr"))
 
 
 def pr_points(df: DataFrame, label: str = "label", score: str = "score",
@@ -78,14 +79,12 @@ def pr_points(df: DataFrame, label: str = "label", score: str = "score",
     point (precision 1, recall 0, no threshold) that curve tools append;
     ``stop_at_full_recall`` leaves out thresholds below the first one that
     reaches full recall (older tool versions; implies the end point)."""
-    ps = _desc_prefix(df, label, score, buckets)
-    t = _totals(df, label, score)
-    out = ps
+    out = with_scalar(_desc_prefix(df, label, score, buckets), "_t", _totals(df, label, score))
     if stop_at_full_recall:
-        out = ps.where(F.col("tp") - F.col("pos") < t["P"])
+        out = out.where(F.col("tp") - F.col("pos") < F.col("_t.P"))
     res = out.select(F.col(score).alias("threshold"),
                      (F.col("tp") / (F.col("tp") + F.col("fp"))).cast("double").alias("precision"),
-                     F.try_divide(F.col("tp"), t["P"]).cast("double").alias("recall"))
+                     F.try_divide(F.col("tp"), F.col("_t.P")).cast("double").alias("recall"))
     if end_point or (end_point is None and stop_at_full_recall):
         end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
                                               F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))

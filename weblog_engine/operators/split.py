@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import with_scalar
 from .prefix import BUCKET, running_sums
 
 # Seed and test fraction of the reference's training job.
@@ -46,10 +47,9 @@ def split(df: DataFrame, frac: float = TEST_FRACTION, seed: int = SEED, by: str
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """'balanced' weights n / (k * n_c), one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = df.agg(F.struct(F.count(F.lit(1)).alias("n"),
-                          F.countDistinct(label).alias("k")).alias("t")).scalar()
-    return counts.select(label, "n_c",
-                         (tot["n"] / (tot["k"] * F.col("n_c"))).cast("double").alias("weight"))
+    tot = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"))
+    return with_scalar(counts, "_t", tot).select(
+        label, "n_c", (F.col("_t.n") / (F.col("_t.k") * F.col("n_c"))).cast("double").alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight",
