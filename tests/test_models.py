@@ -96,3 +96,14 @@ def test_fallback_detector_defaults(spark):
     req = spark.createDataFrame([(1, 250.0 + 150.0 * 4)], "id long, response_time_ms double")
     r = anomaly.combine(anomaly.zscore_detect(req, None)).first()
     assert r["z_score"] == 4.0 and r["is_anomaly"] and r["score"] == -0.5
+
+
+def test_alerts_with_forest(spark, feats):
+    f = iforest.fit_forest(feats, features.CLASSIFICATION_FEATURES, n_trees=20)
+    det = anomaly.fit_moments(feats, features.CLASSIFICATION_FEATURES)
+    logs = feats.select("id", "timestamp", "method", "response_time_ms", "status_code", "hour")
+    a = anomaly.alerts(logs, det, forest_scorer=lambda x: iforest.score(x, f))
+    rows = a.collect()
+    assert rows and all(r["alert_type"] == "anomaly" and r["severity"] in ("HIGH", "MEDIUM") for r in rows)
+    z_only = anomaly.alerts(logs, det).count()
+    assert len(rows) >= z_only

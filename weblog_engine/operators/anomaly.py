@@ -121,23 +121,31 @@ def severity(rule: str = "zscore") -> Column:
 
 
 def alerts(logs: DataFrame, det: Detector | None, rule: str = "zscore",
-           forest_scorer=None) -> DataFrame:
+           forest_scorer=None, hourly_frequency: int = 50, day_of_week: int = 2) -> DataFrame:
     """Score each log (batch or streaming) and keep the anomalous ones as
-    alert rows {alert_type, timestamp, severity, log_data, details}."""
-    from .features import request_features
+    alert rows {alert_type, timestamp, severity, log_data, details}.
+    Missing values default to method GET, the current hour and 0 ms. With
+    ``forest_scorer`` (e.g. ``lambda d: iforest.score(d, forest)``) each log
+    also gets the request feature row (weekday ``day_of_week``, rolling mean
+    = its response time, hourly frequency constant) scored by the forest."""
+    from ..functions.scalar import is_business_hours
+    from ..schema import KNOWN_METHODS
     req = logs.select(
         "*",
-        F.coalesce(F.col("method"), F.lit("GET")).alias("_m"),
+        F.upper(F.coalesce(F.col("method"), F.lit("GET"))).alias("_m"),
         F.coalesce(F.hour("timestamp"), F.hour(F.current_timestamp())).alias("_h"),
-        F.coalesce(F.col("response_time_ms"), F.lit(0.0)).alias("_rt"),
+        F.coalesce(F.col("response_time_ms"), F.lit(0.0)).cast("double").alias("_rt"),
     )
     scored = zscore_detect(req, det, "_rt")
     if forest_scorer is not None:
-        feats = request_features(scored.select("*", F.col("_m").alias("__m"))
-                                 .drop("method").withColumnRenamed("__m", "method")
-                                 .drop("hour").withColumnRenamed("_h", "hour")
-                                 .withColumn("historical_avg_response", F.col("_rt")))
-        scored = forest_scorer(feats)
+        dow = F.lit(day_of_week)
+        feats = {"hour": F.col("_h"), "day_of_week": dow,
+                 "is_business_hours": is_business_hours(F.col("_h"), dow),
+                 **{f"method_{m}": (F.col("_m") == m).cast("int") for m in KNOWN_METHODS},
+                 "rolling_avg_response": F.col("_rt"),
+                 "hourly_frequency": F.lit(hourly_frequency).cast("long")}
+        x = scored.drop(*[c for c in feats if c in scored.columns])
+        scored = forest_scorer(x.select("*", *[v.alias(k) for k, v in feats.items()]))
     res = combine(scored).where(F.col("is_anomaly"))
     log_data = F.to_json(F.struct(F.col("_m").alias("method"), F.col("_h").alias("hour"),
                                   F.col("_rt").alias("response_time_ms")))

@@ -1125,3 +1125,13 @@ SELECT "column", 'wasserstein_distance_norm' AS stattest_name,
 FROM w JOIN sd USING ("column") WHERE N_ref > 1000
 UNION ALL
 SELECT "column", 'ks_2samp', {r('p_value', 6)}, p_value < 0.05, N_ref, N_cur FROM p WHERE N_ref <= 1000""")(_drift_auto)
+
+
+def _alerts_forest(spark, d):
+    t = _trained(spark, d)
+    a = anomaly.alerts(weblogs(spark, d), t.detector,
+                       forest_scorer=lambda x: iforest.score(x, t.detector.forest))
+    return a.select("id", "severity", "score", "anomaly_details")
+
+
+register("alert_stream_forest")(_alerts_forest)
