@@ -54,10 +54,11 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight",
                        positive_weight: float | None = None) -> DataFrame:
-    """Attach a weight column: balanced weights (broadcast of one row per
-    class) or, with ``positive_weight``, that weight on label 1 and 1.0 else."""
+    """Attach a weight column: balanced weights (one row per class, joined
+    without a hint so adaptive execution broadcasts it once measured) or,
+    with ``positive_weight``, that weight on label 1 and 1.0 else."""
     if positive_weight is not None:
         return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(positive_weight)))
                              .otherwise(F.lit(1.0)))
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), on=label, how="left")
+    return df.join(w, on=label, how="left")
