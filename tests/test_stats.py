@@ -60,3 +60,13 @@ def test_order_statistics_with_ties(spark):
     s = sorted(vals)
     assert r["lo"] == s[50] and r["first"] == 1.0 and r["last"] == 9.0
     assert r["p95"] == s[95]
+
+
+def test_stats_document(spark):
+    df = spark.createDataFrame(fixture_rows(), WEBLOG_SCHEMA)
+    r = stats.stats_document(df, buckets=3).first()
+    assert r["status_code_frequency_absolute"] == {500: 10, 404: 13, 200: 77}
+    assert r["status_code_frequency_relative"] == {500: 0.1, 404: 0.13, 200: 0.77}
+    assert r["method_frequency"] == {"POST": 34, "GET": 66}
+    e = stats.stats_document(spark.createDataFrame([], WEBLOG_SCHEMA), buckets=3).first()
+    assert e["status_code_frequency_absolute"] == {} and e["total_records"] == 0

@@ -136,3 +136,21 @@ def describe(df: DataFrame) -> DataFrame:
         F.min("timestamp").alias("first_timestamp"),
         F.max("timestamp").alias("last_timestamp"),
     )
+
+
+def stats_document(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The summary as one document row: the scalars of ``stats_summary``
+    plus status-code counts and shares and method counts as maps (built
+    from the grouped tables, whose size is bounded by the code and method
+    domains). An empty table gives zeros and empty maps."""
+    def as_map(grouped: DataFrame, k: str, v: str):
+        entries = grouped.agg(F.collect_list(F.struct(F.col(k), F.col(v))).alias("e"))
+        return F.map_from_entries(F.coalesce(entries.scalar(), F.array()))
+    status = status_frequency(df)
+    base = stats_summary(df, buckets)
+    return base.select(
+        "*",
+        as_map(status, "status_code", "count").alias("status_code_frequency_absolute"),
+        as_map(status, "status_code", "share").alias("status_code_frequency_relative"),
+        as_map(method_frequency(df), "method", "count").alias("method_frequency"),
+    )

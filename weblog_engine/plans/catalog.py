@@ -1135,3 +1135,5 @@ def _alerts_forest(spark, d):
 
 
 register("alert_stream_forest")(_alerts_forest)
+
+register("stats_document")(lambda spark, d: stats.stats_document(weblogs(spark, d)))
