@@ -57,3 +57,34 @@ def test_gate(spark, sf_dir):
     assert g["drift_detected"] and g["action"] == "retrained" and called == [1]
     g2 = drift.drift_gate(cur, None).first()
     assert g2["action"] == "skipped"
+
+
+def test_ks_exact_matches_enumeration():
+    import itertools
+    from fractions import Fraction
+
+    def brute(m, n, d):
+        total = hit = 0
+        for pos in itertools.combinations(range(m + n), m):
+            xs, i, j, dmax = set(pos), 0, 0, Fraction(0)
+            for k in range(m + n):
+                if k in xs:
+                    i += 1
+                else:
+                    j += 1
+                dmax = max(dmax, abs(Fraction(i, m) - Fraction(j, n)))
+            total += 1
+            hit += dmax >= d
+        return hit / total
+
+    for m, n, d in [(4, 5, Fraction(1, 2)), (5, 5, Fraction(3, 5)), (3, 7, Fraction(10, 21)), (6, 4, Fraction(1, 4))]:
+        assert abs(drift.ks_exact_sf(float(d), m, n) - brute(m, n, d)) < 1e-12
+
+
+def test_ks_exact_vs_asymptotic(spark, sf_dir):
+    ref, cur = frames(spark, sf_dir)
+    a = {r["column"]: r["p_value"] for r in drift.ks_columns(ref, cur, ["response_time_ms", "hour"],
+                                                              p_method="asymptotic").collect()}
+    e = {r["column"]: r["p_value"] for r in drift.ks_columns(ref, cur, ["response_time_ms", "hour"],
+                                                              p_method="exact").collect()}
+    assert all(abs(a[k] - e[k]) < 0.05 for k in a)

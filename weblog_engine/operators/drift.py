@@ -73,9 +73,75 @@ def kolmogorov_sf(lam: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
 
 
+# Up to this sample size the exact two-sample p-value is computed.
+KS_EXACT_MAX_N = 10_000
+
+
+def ks_exact_sf(d: float, m: int, n: int) -> float:
+    """P(D >= d) for the two-sided two-sample KS statistic of samples of
+    sizes m and n (no ties), by counting monotone lattice paths from (0, 0)
+    to (m, n) that stay strictly inside |i/m - j/n| < d. The walk goes
+    anti-diagonal by anti-diagonal keeping count(i, j) / C(i + j, i), so the
+    values stay in [0, 1]; each diagonal only visits the band where paths
+    can be inside (width ~ d * (m + n)), vectorised."""
+    import math
+
+    import numpy as np
+    if m <= 0 or n <= 0:
+        return 1.0
+    g = math.gcd(m, n)
+    lcm = m // g * n
+    h = int(round(d * lcm))          # d is a multiple of 1/lcm
+    if h <= 0:
+        return 1.0
+    bound = h * g                    # outside when |i*n - j*m| >= h*g
+    total = m + n
+    prev, plo = np.ones(1), 0        # diagonal s = 0: the origin
+    for s_ in range(1, total + 1):
+        # Only the band |i*(m+n) - s*m| < bound can hold inside paths.
+        lo = max(0, s_ - n, (s_ * m - bound) // total)
+        hi = min(m, s_, (s_ * m + bound) // total + 1)
+        if lo > hi:
+            return 1.0
+        i = np.arange(lo, hi + 1)
+        j = s_ - i
+        cur = np.zeros(len(i))
+        a = i - 1 - plo              # (i - 1, j) on the previous diagonal
+        ok = (i >= 1) & (a >= 0) & (a < len(prev))
+        cur[ok] += prev[a[ok]] * (i[ok] / s_)
+        b = i - plo                  # (i, j - 1) on the previous diagonal
+        ok = (j >= 1) & (b >= 0) & (b < len(prev))
+        cur[ok] += prev[b[ok]] * (j[ok] / s_)
+        cur[np.abs(i * n - j * m) >= bound] = 0.0
+        prev, plo = cur, lo
+    inside = prev[m - plo] if 0 <= m - plo < len(prev) else 0.0
+    return float(min(1.0, max(0.0, 1.0 - inside)))
+
+
+def _exact_p_column(d: Column, m: Column, n: Column) -> Column:
+    from pyspark.sql import SparkSession
+    from pyspark.sql.functions import pandas_udf
+
+    from ..session import ship_package
+    ship_package(SparkSession.getActiveSession())
+
+    @pandas_udf("double")
+    def exact(dd, mm, nn):
+        import pandas as pd
+        return pd.Series([ks_exact_sf(float(a), int(b), int(c)) for a, b, c in zip(dd, mm, nn)])
+    return exact(d, m, n)
+
+
 def ks_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
-               alpha: float = KS_ALPHA, buckets: int | None = None) -> DataFrame:
-    """Per column: ks_statistic, p_value, drift_detected (p < alpha), sizes."""
+               alpha: float = KS_ALPHA, buckets: int | None = None,
+               p_method: str = "auto") -> DataFrame:
+    """Per column: ks_statistic, p_value, drift_detected (p < alpha), sizes.
+
+    ``p_method``: 'asymptotic' (Kolmogorov distribution with the finite-size
+    correction; plain SQL), 'exact' (lattice-path count, see
+    ``ks_exact_sf``), or 'auto' (exact while both samples have at most
+    10,000 values, asymptotic above, as common statistics libraries do).
+    The exact form runs on the per-column result rows only."""
     cols = columns or numeric_columns(ref, cur)
     ps, sizes = _prefix(ref, cur, cols, buckets)
     j = ps.join(F.broadcast(sizes), on="column")
@@ -84,7 +150,15 @@ def ks_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
     d = d.join(F.broadcast(sizes), on="column")
     en = F.sqrt(F.col("tot_ref") * F.col("tot_cur") / (F.col("tot_ref") + F.col("tot_cur")))
     lam = (en + F.lit(0.12) + F.lit(0.11) / en) * F.col("ks_statistic")
-    out = d.withColumn("p_value", kolmogorov_sf(lam))
+    p = kolmogorov_sf(lam)
+    if p_method in ("exact", "auto"):
+        exact = _exact_p_column(F.col("ks_statistic"), F.col("tot_ref"), F.col("tot_cur"))
+        use = F.lit(True) if p_method == "exact" else \
+            (F.greatest(F.col("tot_ref"), F.col("tot_cur")) <= KS_EXACT_MAX_N)
+        p = F.when(use, exact).otherwise(p)
+    elif p_method != "asymptotic":
+        raise ValueError("p_method must be 'asymptotic', 'exact' or 'auto'")
+    out = d.withColumn("p_value", p)
     return out.select("column", "ks_statistic", "p_value",
                       (F.col("p_value") < alpha).alias("drift_detected"),
                       F.col("tot_ref").alias("n_ref"), F.col("tot_cur").alias("n_cur"),
@@ -132,17 +206,17 @@ REPORT_COLUMNS = ["column", "stattest_name", "drift_score", "drift_detected", "n
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, method: str = "ks", columns=None,
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int | None = None, p_method: str = "auto") -> DataFrame:
     """Per-column drift rows (column, stattest_name, drift_score,
     drift_detected, n_ref, n_cur). ``method``: 'ks', 'wasserstein', or
     'auto' (KS up to 1000 reference rows, normed Wasserstein above, the
     preset rule; decided per column from its non-null reference count)."""
     if method == "ks":
-        return ks_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
+        return ks_columns(ref, cur, columns, buckets=buckets, p_method=p_method).select(*REPORT_COLUMNS)
     if method == "wasserstein":
         return wasserstein_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
     if method == "auto":
-        k = ks_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
+        k = ks_columns(ref, cur, columns, buckets=buckets, p_method=p_method).select(*REPORT_COLUMNS)
         w = wasserstein_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
         small = F.col("n_ref") <= AUTO_KS_MAX_ROWS
         return k.where(small).unionByName(w.where(~small))
@@ -150,7 +224,7 @@ def drift_report(ref: DataFrame, cur: DataFrame, method: str = "ks", columns=Non
 
 
 def drift_gate(current: DataFrame, reference: DataFrame | None, trainer=None, method: str = "ks",
-               columns=None) -> DataFrame:
+               columns=None, p_method: str = "auto") -> DataFrame:
     """Retrain decision: compare ``current`` with the reference snapshot;
     on dataset drift call ``trainer()`` (if given). One-row result."""
     spark = current.sparkSession
@@ -159,7 +233,7 @@ def drift_gate(current: DataFrame, reference: DataFrame | None, trainer=None, me
         return spark.createDataFrame([(False, "skipped", "no reference snapshot", None, None)], schema)
     if current.isEmpty():
         return spark.createDataFrame([(False, "skipped", "no current data", None, None)], schema)
-    summary = dataset_drift(drift_report(reference, current, method, columns)).first()
+    summary = dataset_drift(drift_report(reference, current, method, columns, p_method=p_method)).first()
     drifted = bool(summary["dataset_drift"])
     if drifted and trainer is not None:
         trainer()

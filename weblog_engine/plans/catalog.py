@@ -461,7 +461,7 @@ def _kolmogorov_sql(lam: str) -> str:
 
 def _ks(spark, d):
     ref, cur = _drift_frames(spark, d)
-    k = drift.ks_columns(ref, cur)
+    k = drift.ks_columns(ref, cur, p_method="asymptotic")
     return k.select("column", round_half_up("ks_statistic", 9).alias("ks_statistic"),
                     round_half_up("p_value", 6).alias("p_value"), "drift_detected", "n_ref", "n_cur")
 
@@ -481,7 +481,7 @@ SELECT "column", {r('ks_statistic', 9)} AS ks_statistic, {r('p_value', 6)} AS p_
 
 def _dataset_drift(spark, d):
     ref, cur = _drift_frames(spark, d)
-    return drift.dataset_drift(drift.ks_columns(ref, cur))
+    return drift.dataset_drift(drift.ks_columns(ref, cur, p_method="asymptotic"))
 
 
 register("dataset_drift", _KS_SQL + """
@@ -1100,7 +1100,7 @@ UNION ALL SELECT CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""")(
 
 def _drift_auto(spark, d):
     ref, cur = _drift_frames(spark, d)
-    rep = drift.drift_report(ref, cur, "auto")
+    rep = drift.drift_report(ref, cur, "auto", p_method="asymptotic")
     return rep.select("column", "stattest_name", round_half_up("drift_score", 6).alias("drift_score"),
                       "drift_detected", "n_ref", "n_cur")
 
@@ -1137,3 +1137,12 @@ def _alerts_forest(spark, d):
 register("alert_stream_forest")(_alerts_forest)
 
 register("stats_document")(lambda spark, d: stats.stats_document(weblogs(spark, d)))
+
+
+def _ks_exact(spark, d):
+    ref, cur = _drift_frames(spark, d)
+    k = drift.ks_columns(ref, cur, p_method="auto")
+    return k.select("column", "ks_statistic", "p_value", "drift_detected", "n_ref", "n_cur")
+
+
+register("ks_drift_exact")(_ks_exact)
