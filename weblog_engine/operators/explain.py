@@ -45,7 +45,7 @@ def shapley(trained: Trained, df: DataFrame, n_rows: int = SAMPLE_ROWS, n_chains
     x = sample_rows(df, n_rows, seed, id_col).select(id_col, *feats)
     bg = sample_rows(df, n_background, seed + 1, id_col).select(*feats)
     bg = bg.withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
-    n_bg = max(1, min(n_background, df.count()))
+    n_bg = max(1, bg.count())          # bounded by n_background
     chains = x.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1)))) \
         .withColumn("_bi", F.pmod(F.xxhash64(F.col(id_col), F.col("chain"), F.lit(seed)), F.lit(n_bg)))
     chains = chains.join(F.broadcast(bg.select("_bi", *[F.col(f).alias(f"_b_{f}") for f in feats])), "_bi") \

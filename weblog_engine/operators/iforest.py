@@ -153,7 +153,9 @@ def fit_forest(df: DataFrame, features: list[str], id_col: str = "id", n_trees:
                max_samples: int = MAX_SAMPLES, contamination: float = CONTAMINATION,
                seed: int = 42) -> ForestModel:
     ship_package(df.sparkSession)
-    n = df.count()
+    # Only min(n, n_trees * max_samples) matters for the sample; count no
+    # further than that.
+    n = df.limit(n_trees * max_samples).count()
     if n == 0:
         raise ValueError("cannot fit an isolation forest on an empty table")
     psi = min(max_samples, n)
@@ -180,7 +182,7 @@ def fit_forest(df: DataFrame, features: list[str], id_col: str = "id", n_trees:
     pos = F.lit(contamination) * (cnt - 1)
     q = order_statistics(scored, "if_score_samples", {"lo": F.floor(pos), "hi": F.ceil(pos)}).first()
     scored.unpersist()
-    p = contamination * (n - 1)
+    p = contamination * (q["n"] - 1)
     frac = p - math.floor(p)
     model.offset = float(q["lo"] + (q["hi"] - q["lo"]) * frac)
     return model

@@ -45,15 +45,15 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def order_statistics(df: DataFrame, col: str, ranks: dict[str, Column],
                      buckets: int | None = None) -> DataFrame:
-    """One row: for each name, the value at a 0-based rank of the sorted
-    non-null values of ``col``. Ranks are Column expressions of ``n`` (the
-    number of values). Exact, and no task ever holds more than one range of
+    """One row: ``n`` (the number of non-null values) and, for each name, the
+    value at a 0-based rank of the sorted values of ``col``. Ranks are
+    Column expressions of ``n``. Exact, and no task ever holds more than one range of
     distinct values: values are counted, range-bucketed and prefix-summed."""
     vc = value_counts(df, col)
     ps = running_sums(vc, [col], {"_cum": F.col("_n")}, buckets=buckets)
     n = vc.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).scalar()
     with_n = ps.withColumn("n", n)
-    aggs = []
+    aggs = [F.max("n").alias("n")]
     for name, rank in ranks.items():
         hit = (F.col("_cum") - F.col("_n") <= rank) & (F.col("_cum") > rank)
         aggs.append(F.max(F.when(hit, F.col(col))).alias(name))
