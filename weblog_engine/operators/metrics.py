@@ -24,7 +24,8 @@ def _desc_prefix(df: DataFrame, label: str, score: str, buckets=None) -> DataFra
     ``k`` = 1-based position of s in descending order."""
     sc = score_counts(df, label, score).withColumn("_key", -F.col(score))
     ps = running_sums(sc, ["_key"], {"tp": F.col("pos"), "fp": F.col("neg"),
-                                     "k": F.lit(1).cast("long")}, buckets=buckets)
+                                     "k": F.lit(1).cast("long")}, buckets=buckets,
+                      edge_source=df.select((-F.col(score)).alias("_key")))
     return ps.drop("_key", BUCKET)
 
 
@@ -40,7 +41,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     """Exact area under the ROC curve with ties counted half (Mann-Whitney).
     The numerator is a sum of half-integers, exact in doubles."""
     sc = score_counts(df, label, score)
-    ps = running_sums(sc, [score], {"neg_below": F.col("neg")}, inclusive=False, buckets=buckets)
+    ps = running_sums(sc, [score], {"neg_below": F.col("neg")}, inclusive=False, buckets=buckets,
+                      edge_source=df.select(score))
     num = ps.agg(F.sum(F.col("pos").cast("double") *
                        (F.col("neg_below").cast("double") + F.lit(0.5) * F.col("neg"))).alias("u"))
     num = with_scalar(num, "_t", _totals(df, label, score))

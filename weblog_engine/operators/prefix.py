@@ -50,20 +50,26 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def add_range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
-                     accuracy: int | None = None) -> DataFrame:
+                     accuracy: int | None = None, edge_source: DataFrame | None = None) -> DataFrame:
     """Add ``_bucket`` (int), non-decreasing in ``order_col``.
 
-    NULL sorts first and NaN last, as in Spark's ascending order."""
+    NULL sorts first and NaN last, as in Spark's ascending order. Edges are
+    quantiles of ``order_col`` in ``edge_source`` (default ``df``): when
+    ``df`` is an aggregate (e.g. counts per distinct value), pass the raw
+    rows it came from, so the edge pass is a plain scan instead of a second
+    evaluation of the aggregate. Any edges give exact results."""
     b = buckets or default_buckets(df)
-    key = F.coalesce(_numeric_key(F.col(order_col), _col_type(df, order_col)),
-                     F.lit(float("-inf")))
+    dtype = _col_type(df, order_col)
+    key = F.coalesce(_numeric_key(F.col(order_col), dtype), F.lit(float("-inf")))
     keyed = df.withColumn(_KEY, key)
     if b <= 1:
         return keyed.withColumn(BUCKET, F.lit(0)).drop(_KEY)
     probs = [i / b for i in range(1, b)]
     acc = accuracy or max(10_000, 20 * b)
+    src = keyed if edge_source is None else edge_source.select(
+        F.coalesce(_numeric_key(F.col(order_col), dtype), F.lit(float("-inf"))).alias(_KEY))
     # One aggregate pass with bounded memory; returns b-1 numbers.
-    row = keyed.where(~F.isnan(F.col(_KEY)) & ~F.col(_KEY).isin(float("-inf"))) \
+    row = src.where(~F.isnan(F.col(_KEY)) & ~F.col(_KEY).isin(float("-inf"))) \
         .agg(F.percentile_approx(_KEY, probs, acc).alias("q")).first()
     edges = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
     if not edges:
@@ -75,7 +81,8 @@ def add_range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
 
 def running_sums(df: DataFrame, order_cols: list[str], weights: dict[str, Column],
                  by: list[str] | None = None, buckets: int | None = None,
-                 inclusive: bool = True, bucketed: DataFrame | None = None) -> DataFrame:
+                 inclusive: bool = True, bucketed: DataFrame | None = None,
+                 edge_source: DataFrame | None = None) -> DataFrame:
     """Add one running-sum column per entry of ``weights``.
 
     ``out[name]`` = sum of the weight over rows that come before (and, if
@@ -84,6 +91,8 @@ def running_sums(df: DataFrame, order_cols: list[str], weights: dict[str, Column
     be deterministic. Integral weights give exact sums.
     """
     specs = [(n, w, list(by or []), inclusive) for n, w in weights.items()]
+    if bucketed is None:
+        bucketed = add_range_bucket(df, order_cols[0], buckets, edge_source=edge_source)
     return running_sums_multi(df, order_cols, specs, buckets=buckets, bucketed=bucketed)
 
 

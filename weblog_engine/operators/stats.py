@@ -50,7 +50,7 @@ def order_statistics(df: DataFrame, col: str, ranks: dict[str, Column],
     Column expressions of ``n``. Exact, and no task ever holds more than one range of
     distinct values: values are counted, range-bucketed and prefix-summed."""
     vc = value_counts(df, col)
-    ps = running_sums(vc, [col], {"_cum": F.col("_n")}, buckets=buckets)
+    ps = running_sums(vc, [col], {"_cum": F.col("_n")}, buckets=buckets, edge_source=df.select(col))
     n = vc.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).scalar()
     with_n = ps.withColumn("n", n)
     aggs = [F.max("n").alias("n")]
