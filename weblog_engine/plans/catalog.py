@@ -545,6 +545,7 @@ FROM win""")(lambda spark, d: windows.encode_windows(windows.windowed_stats(webl
 
 # ------------------------------------------------- A/B: sources, sinks
 
+import threading  # noqa: E402
 import uuid  # noqa: E402
 
 from ..session import scratch_path  # noqa: E402
@@ -840,14 +841,18 @@ from ..operators import explain, iforest, score, train as training, training_job
 # reference's 200; small ensembles keep each query to seconds).
 _Q_TREES, _Q_ROUNDS, _Q_FOREST = 20, 10, 100
 _TRAINED: dict = {}
+_TRAIN_LOCK = threading.Lock()
 
 
 def _trained(spark, d) -> training_job.TrainResult:
+    """One training job per application and data folder, shared by the
+    model queries (safe when queries run from several threads)."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _TRAINED:
-        out = scratch_path(spark, f"train-{uuid.uuid4().hex}")
-        _TRAINED[key] = training_job.train_all(weblogs(spark, d), out, _Q_TREES, _Q_ROUNDS, _Q_FOREST)
-    return _TRAINED[key]
+    with _TRAIN_LOCK:
+        if key not in _TRAINED:
+            out = scratch_path(spark, f"train-{uuid.uuid4().hex}")
+            _TRAINED[key] = training_job.train_all(weblogs(spark, d), out, _Q_TREES, _Q_ROUNDS, _Q_FOREST)
+        return _TRAINED[key]
 
 
 register("train_classifiers")(lambda spark, d: _trained(spark, d).classifier_table)
