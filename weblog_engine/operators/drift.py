@@ -118,7 +118,10 @@ def ks_exact_sf(d: float, m: int, n: int) -> float:
     return float(min(1.0, max(0.0, 1.0 - inside)))
 
 
-def _exact_p_column(d: Column, m: Column, n: Column) -> Column:
+def _exact_p_column(use: Column, d: Column, m: Column, n: Column) -> Column:
+    """Exact p-value where ``use`` holds, NULL elsewhere. The flag goes into
+    the function: Spark evaluates a Python function on every row of its
+    input, even under a CASE branch that is not taken."""
     from pyspark.sql import SparkSession
     from pyspark.sql.functions import pandas_udf
 
@@ -126,10 +129,11 @@ def _exact_p_column(d: Column, m: Column, n: Column) -> Column:
     ship_package(SparkSession.getActiveSession())
 
     @pandas_udf("double")
-    def exact(dd, mm, nn):
+    def exact(flag, dd, mm, nn):
         import pandas as pd
-        return pd.Series([ks_exact_sf(float(a), int(b), int(c)) for a, b, c in zip(dd, mm, nn)])
-    return exact(d, m, n)
+        return pd.Series([ks_exact_sf(float(a), int(b), int(c)) if f else None
+                          for f, a, b, c in zip(flag, dd, mm, nn)], dtype="float64")
+    return exact(use, d, m, n)
 
 
 def ks_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
@@ -152,9 +156,9 @@ def ks_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
     lam = (en + F.lit(0.12) + F.lit(0.11) / en) * F.col("ks_statistic")
     p = kolmogorov_sf(lam)
     if p_method in ("exact", "auto"):
-        exact = _exact_p_column(F.col("ks_statistic"), F.col("tot_ref"), F.col("tot_cur"))
         use = F.lit(True) if p_method == "exact" else \
             (F.greatest(F.col("tot_ref"), F.col("tot_cur")) <= KS_EXACT_MAX_N)
+        exact = _exact_p_column(use, F.col("ks_statistic"), F.col("tot_ref"), F.col("tot_cur"))
         p = F.when(use, exact).otherwise(p)
     elif p_method != "asymptotic":
         raise ValueError("p_method must be 'asymptotic', 'exact' or 'auto'")
