@@ -559,7 +559,25 @@ _TS_FMT = {"GET": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "POST": "yyyy-MM-dd HH:mm:ss",
            "PATCH": "yyyy-MM-dd'T'HH:mm"}
 
 
+_STAGED: dict = {}
+_STAGE_LOCK = threading.Lock()
+
+
+def _staged(kind, spark, d, make):
+    """Derived input files (an upload, message files) are written once per
+    application and data folder and shared by the queries that read them."""
+    key = (kind, spark.sparkContext.applicationId, d)
+    with _STAGE_LOCK:
+        if key not in _STAGED:
+            _STAGED[key] = make(spark, d)
+        return _STAGED[key]
+
+
 def _upload(spark, d) -> str:
+    return _staged("upload", spark, d, _write_upload)
+
+
+def _write_upload(spark, d) -> str:
     logs = weblogs(spark, d)
     ts_text = F.coalesce(*[F.when(F.col("method") == m, F.date_format("timestamp", f))
                            for m, f in _TS_FMT.items()])
@@ -643,7 +661,14 @@ import os  # noqa: E402
 from ..streaming import jobs  # noqa: E402
 
 
-def _message_files(spark, d, parts: int = 3) -> str:
+def _stream_dirs(spark, d) -> tuple[str, str]:
+    """(shared message folder, fresh root for this stream's output and
+    checkpoint). Streams only read the messages, so they share one copy."""
+    return _staged("messages", spark, d, _write_messages), \
+        scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+
+
+def _write_messages(spark, d, parts: int = 3) -> str:
     """Messages of the log table as JSON lines, one folder of files in
     event-time order (each file a later stretch of days)."""
     logs = weblogs(spark, d)
@@ -651,7 +676,7 @@ def _message_files(spark, d, parts: int = 3) -> str:
         .withColumn("_part", F.least(F.lit(parts - 1),
                                      F.floor((F.dayofmonth(F.get_json_object("value", "$.timestamp")
                                                            .cast("timestamp")) - 1) / 10).cast("int")))
-    root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    root = scratch_path(spark, f"messages-{uuid.uuid4().hex}")
     src = os.path.join(root, "in")
     msgs.write.partitionBy("_part").text(os.path.join(root, "staged"))
     # Move parts into one folder in event-time order: file names sort by part.
@@ -668,12 +693,12 @@ def _message_files(spark, d, parts: int = 3) -> str:
             name = st.getPath().getName()
             if name.startswith("part-"):
                 fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(os.path.join(src, f"{p:04d}-{name}")))
-    return root
+    return src
 
 
 def _stream_windows(spark, d):
-    root = _message_files(spark, d)
-    events, _ = jobs.event_stream(jobs.file_source(spark, os.path.join(root, "in"), 1))
+    msgs, root = _stream_dirs(spark, d)
+    events, _ = jobs.event_stream(jobs.file_source(spark, msgs, 1))
     q = jobs.start_window_job(events, os.path.join(root, "out"), os.path.join(root, "ckpt"))
     q.processAllAvailable()
     q.stop()
@@ -688,8 +713,8 @@ SELECT * FROM win WHERE window_end <= (SELECT max("timestamp") FROM weblogs)""")
 
 
 def _stream_persist(spark, d):
-    root = _message_files(spark, d)
-    events, _ = jobs.event_stream(jobs.file_source(spark, os.path.join(root, "in"), 1))
+    msgs, root = _stream_dirs(spark, d)
+    events, _ = jobs.event_stream(jobs.file_source(spark, msgs, 1))
     q = jobs.persist_stream(events, os.path.join(root, "table"), os.path.join(root, "ckpt"))
     q.processAllAvailable()
     q.stop()
@@ -705,8 +730,8 @@ register("stream_to_table", with_weblogs() + "SELECT * FROM weblogs")(_stream_pe
 def _stream_alerts(spark, d):
     logs = weblogs(spark, d)
     det = anomaly.fit_moments(features.row_features(logs), ["hour", "response_time_ms"])
-    root = _message_files(spark, d)
-    events, _ = jobs.event_stream(jobs.file_source(spark, os.path.join(root, "in"), 1))
+    msgs, root = _stream_dirs(spark, d)
+    events, _ = jobs.event_stream(jobs.file_source(spark, msgs, 1))
     q = jobs.start_alert_job(events, det, os.path.join(root, "alerts"), os.path.join(root, "ckpt"))
     q.processAllAvailable()
     q.stop()
