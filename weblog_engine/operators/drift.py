@@ -51,7 +51,8 @@ def _prefix(ref: DataFrame, cur: DataFrame, columns: list[str], buckets=None) ->
         F.sum((F.col("src") == 1).cast("long")).alias("n_cur"))
     ps = running_sums(counts, ["value"], {"c_ref": F.col("n_ref"), "c_cur": F.col("n_cur"),
                                           "_k": F.lit(1).cast("long")}, by=["column"],
-                      buckets=buckets, edge_source=long.select("value")).drop(BUCKET)
+                      buckets=buckets, edge_source=long.select("value"),
+                      group_domains={"column": len(columns)}).drop(BUCKET)
     # Column-level sizes and moments: one row per column (bounded by schema).
     sizes = long.groupBy("column").agg(
         F.sum((F.col("src") == 0).cast("long")).alias("tot_ref"),

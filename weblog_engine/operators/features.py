@@ -64,11 +64,13 @@ def engineer_features(df: DataFrame, window: int = 50, exclude_current: bool = F
         # One shuffle: the rolling frame is taken inside the bucket pass and
         # only bucket-edge rows are recomputed from a bounded side set.
         wc = bucket_window_columns(window, "response_time_ms", ORDER, exclude_current=exclude_current)
-        x = running_sums_multi(base, ORDER, specs, bucketed=b.select("*", *[c.alias(n) for n, c in wc.items()]))
+        x = running_sums_multi(base, ORDER, specs, bucketed=b.select("*", *[c.alias(n) for n, c in wc.items()]),
+                               buckets=n_buckets, group_domains={"hour": 24})
         out = rolling_mean_from_buckets(x, "response_time_ms", window, "rolling_avg_response",
                                         exclude_current=exclude_current, chunk_rows=chunk_rows)
         return out.drop("_idx", BUCKET)
-    x = running_sums_multi(base, ORDER, specs, bucketed=b).drop(BUCKET)
+    x = running_sums_multi(base, ORDER, specs, bucketed=b, buckets=n_buckets,
+                           group_domains={"hour": 24}).drop(BUCKET)
     out = rolling_mean(x, ORDER, "response_time_ms", window, "rolling_avg_response",
                        chunk_rows=chunk_rows, exclude_current=exclude_current, indexed=x)
     return out.drop("_idx")

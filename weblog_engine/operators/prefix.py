@@ -82,7 +82,8 @@ def add_range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
 def running_sums(df: DataFrame, order_cols: list[str], weights: dict[str, Column],
                  by: list[str] | None = None, buckets: int | None = None,
                  inclusive: bool = True, bucketed: DataFrame | None = None,
-                 edge_source: DataFrame | None = None) -> DataFrame:
+                 edge_source: DataFrame | None = None,
+                 group_domains: dict[str, int] | None = None) -> DataFrame:
     """Add one running-sum column per entry of ``weights``.
 
     ``out[name]`` = sum of the weight over rows that come before (and, if
@@ -93,13 +94,21 @@ def running_sums(df: DataFrame, order_cols: list[str], weights: dict[str, Column
     specs = [(n, w, list(by or []), inclusive) for n, w in weights.items()]
     if bucketed is None:
         bucketed = add_range_bucket(df, order_cols[0], buckets, edge_source=edge_source)
-    return running_sums_multi(df, order_cols, specs, buckets=buckets, bucketed=bucketed)
+    return running_sums_multi(df, order_cols, specs, buckets=buckets, bucketed=bucketed,
+                              group_domains=group_domains)
+
+
+# Offsets tables up to this many rows (buckets x group domain, a bound
+# known before running) are broadcast by hint; larger or unknown ones are
+# left to adaptive execution.
+MAX_OFFSET_BROADCAST_ROWS = 1_000_000
 
 
 def running_sums_multi(df: DataFrame, order_cols: list[str],
                        specs: list[tuple[str, Column, list[str], bool]],
                        buckets: int | None = None,
-                       bucketed: DataFrame | None = None) -> DataFrame:
+                       bucketed: DataFrame | None = None,
+                       group_domains: dict[str, int] | None = None) -> DataFrame:
     """Several running sums, each ``(name, weight, by, inclusive)``, over one
     bucketed pass. Windows with the same grouping share one Window operator
     and all of them share the ``_bucket`` exchange.
@@ -107,10 +116,15 @@ def running_sums_multi(df: DataFrame, order_cols: list[str],
     The sum of earlier buckets comes from a totals table with one row per
     (bucket, group): a running sum over it (partitioned by group, at most
     ``buckets`` rows per partition) gives each bucket's offset, joined back
-    on (bucket, group). The join carries no broadcast hint: adaptive
-    execution broadcasts the offsets at run time once their measured size
-    is small, and shuffles otherwise."""
+    on (bucket, group). The offsets table has at most buckets x (product
+    of the group domains) rows; with no groups, or with every ``by`` column's
+    number of values given in ``group_domains``, that bound is known before
+    running and the table is broadcast by hint when it is small, so the join
+    never reshuffles the full table. Otherwise the join carries no hint and
+    adaptive execution decides from the measured size."""
     b = bucketed if bucketed is not None else add_range_bucket(df, order_cols[0], buckets)
+    n_buckets = buckets or default_buckets(df)
+    domains = group_domains or {}
     finest: list[str] = []
     for _, _, by, _ in specs:
         finest += [c for c in by if c not in finest]
@@ -139,6 +153,13 @@ def running_sums_multi(df: DataFrame, order_cols: list[str],
         cond = F.col(BUCKET) == F.col("_ob")
         for c in by:
             cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+        bound = n_buckets
+        for c in by:
+            bound = bound * domains[c] if domains.get(c) else None
+            if bound is None:
+                break
+        if bound is not None and bound <= MAX_OFFSET_BROADCAST_ROWS:
+            offs = F.broadcast(offs)
         out = out.join(offs, on=cond, how="left")
         for n in names:
             out = out.withColumn(n, F.col(f"_loc_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0)))
