@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.ingest import decode_events
-from .windows import GRACE, WINDOW, windowed_stats
+from .windows import GRACE, WINDOW, encode_windows, windowed_stats
 
 RAW_TOPIC = "weblogs.raw"
 AGGREGATED_TOPIC = "weblogs.aggregated"
@@ -72,8 +72,11 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 def start_window_job(events: DataFrame, sink_path: str, checkpoint: str, size: str = WINDOW,
                      grace: str = GRACE, fmt: str = "parquet", options: dict | None = None) -> StreamingQuery:
     """Start the windowed-statistics stream. State is keyed by (window,
-    method) and dropped once the watermark passes the window end."""
+    method) and dropped once the watermark passes the window end. A Kafka
+    sink gets (key = method, value = JSON result) messages."""
     out = window_stream(events, size, grace)
+    if fmt == "kafka":
+        out = encode_windows(out)
     w = (out.writeStream.outputMode("append").format(fmt)
          .option("checkpointLocation", checkpoint))
     for k, v in (options or {}).items():
