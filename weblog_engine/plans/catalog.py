@@ -661,47 +661,54 @@ import os  # noqa: E402
 from ..streaming import jobs  # noqa: E402
 
 
-def _stream_dirs(spark, d) -> tuple[str, str]:
-    """(shared message folder, fresh root for this stream's output and
-    checkpoint). Streams only read the messages, so they share one copy."""
-    return _staged("messages", spark, d, _write_messages), \
-        scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+_MESSAGE_PARTS = 3
 
 
-def _write_messages(spark, d, parts: int = 3) -> str:
-    """Messages of the log table as JSON lines, one folder of files in
-    event-time order (each file a later stretch of days)."""
-    logs = weblogs(spark, d)
-    msgs = ingest.encode_events(logs).select("value") \
+def _stage_messages(spark, d, root: str, parts: int = _MESSAGE_PARTS) -> str:
+    """Messages of the log table (JSON lines) under ``root/staged/_part=p``,
+    one part per stretch of days, in event-time order of the parts."""
+    msgs = ingest.encode_events(weblogs(spark, d)).select("value") \
         .withColumn("_part", F.least(F.lit(parts - 1),
                                      F.floor((F.dayofmonth(F.get_json_object("value", "$.timestamp")
                                                            .cast("timestamp")) - 1) / 10).cast("int")))
-    root = scratch_path(spark, f"messages-{uuid.uuid4().hex}")
-    src = os.path.join(root, "in")
-    msgs.write.partitionBy("_part").text(os.path.join(root, "staged"))
-    # Move parts into one folder in event-time order: file names sort by part.
+    staged = os.path.join(root, "staged")
+    msgs.write.partitionBy("_part").text(staged)
+    return staged
+
+
+def _run_stream(spark, d, start, parts: int = _MESSAGE_PARTS) -> str:
+    """Drive a streaming query over the log table's messages as they would
+    arrive: the stretches of days are moved (atomic renames) into the
+    source folder one after another, and each arrival is processed before
+    the next, so event time only moves forward between micro-batches. Each
+    run has its own folders (source, output, checkpoint) under a fresh root."""
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    staged = _stage_messages(spark, d, root, parts)
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fs_path = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "staged"))
-    fs = fs_path.getFileSystem(conf)
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(src))
-    for p in range(parts):
-        part_dir = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "staged", f"_part={p}"))
-        if not fs.exists(part_dir):
-            continue
-        for st in fs.listStatus(part_dir):
-            name = st.getPath().getName()
-            if name.startswith("part-"):
-                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(os.path.join(src, f"{p:04d}-{name}")))
-    return src
+    path = jvm.org.apache.hadoop.fs.Path
+    src = os.path.join(root, "in")
+    fs = path(src).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(src))
+    events, _ = jobs.event_stream(jobs.file_source(spark, src))
+    q = start(events, root)
+    try:
+        for p in range(parts):
+            part_dir = path(os.path.join(staged, f"_part={p}"))
+            if not fs.exists(part_dir):
+                continue
+            for st in fs.listStatus(part_dir):
+                name = st.getPath().getName()
+                if name.startswith("part-"):
+                    fs.rename(st.getPath(), path(os.path.join(src, f"{p:04d}-{name}")))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return root
 
 
 def _stream_windows(spark, d):
-    msgs, root = _stream_dirs(spark, d)
-    events, _ = jobs.event_stream(jobs.file_source(spark, msgs, 1))
-    q = jobs.start_window_job(events, os.path.join(root, "out"), os.path.join(root, "ckpt"))
-    q.processAllAvailable()
-    q.stop()
+    root = _run_stream(spark, d, lambda ev, r: jobs.start_window_job(
+        ev, os.path.join(r, "out"), os.path.join(r, "ckpt")))
     out = spark.read.parquet(os.path.join(root, "out"))
     return out.select("method", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"),
@@ -713,11 +720,8 @@ SELECT * FROM win WHERE window_end <= (SELECT max("timestamp") FROM weblogs)""")
 
 
 def _stream_persist(spark, d):
-    msgs, root = _stream_dirs(spark, d)
-    events, _ = jobs.event_stream(jobs.file_source(spark, msgs, 1))
-    q = jobs.persist_stream(events, os.path.join(root, "table"), os.path.join(root, "ckpt"))
-    q.processAllAvailable()
-    q.stop()
+    root = _run_stream(spark, d, lambda ev, r: jobs.persist_stream(
+        ev, os.path.join(r, "table"), os.path.join(r, "ckpt")))
     t = spark.read.parquet(os.path.join(root, "table"))
     return t.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c == "timestamp" else F.col(c)
                       for c in ["id", "timestamp", "method", "path", "status_code", "response_time_ms",
@@ -730,11 +734,8 @@ register("stream_to_table", with_weblogs() + "SELECT * FROM weblogs")(_stream_pe
 def _stream_alerts(spark, d):
     logs = weblogs(spark, d)
     det = anomaly.fit_moments(features.row_features(logs), ["hour", "response_time_ms"])
-    msgs, root = _stream_dirs(spark, d)
-    events, _ = jobs.event_stream(jobs.file_source(spark, msgs, 1))
-    q = jobs.start_alert_job(events, det, os.path.join(root, "alerts"), os.path.join(root, "ckpt"))
-    q.processAllAvailable()
-    q.stop()
+    root = _run_stream(spark, d, lambda ev, r: jobs.start_alert_job(
+        ev, det, os.path.join(r, "alerts"), os.path.join(r, "ckpt")))
     return spark.read.parquet(os.path.join(root, "alerts")).select("id", "alert_type", "severity", "score")
 
 
