@@ -70,3 +70,12 @@ def test_stats_document(spark):
     assert r["method_frequency"] == {"POST": 34, "GET": 66}
     e = stats.stats_document(spark.createDataFrame([], WEBLOG_SCHEMA), buckets=3).first()
     assert e["status_code_frequency_absolute"] == {} and e["total_records"] == 0
+
+
+def test_describe_columns(spark):
+    df = spark.createDataFrame([(1.0, 10), (2.0, 10), (3.0, None), (4.0, 30)], "a double, b int")
+    r = {x["column"]: x for x in stats.describe_columns(df, ["a", "b"], buckets=2).collect()}
+    a = r["a"]
+    assert (a["count"], a["mean"], a["min"], a["max"]) == (4, 2.5, 1.0, 4.0)
+    assert (a["p25"], a["p50"], a["p75"]) == (1.75, 2.5, 3.25)
+    assert r["b"]["count"] == 3 and r["b"]["p50"] == 10.0

@@ -154,3 +154,37 @@ def stats_document(df: DataFrame, buckets: int | None = None) -> DataFrame:
         as_map(status, "status_code", "share").alias("status_code_frequency_relative"),
         as_map(method_frequency(df), "method", "count").alias("method_frequency"),
     )
+
+
+def describe_columns(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+    """Per numeric column: count, mean, sample std, min, 25 %, 50 %, 75 %,
+    max, with quartiles linearly interpolated between order statistics at
+    position q * (n - 1) (the usual table-describe convention). All columns
+    are stacked into (column, value) and handled in one counted, bucketed
+    prefix pass; no column is sorted on one task."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                      for c in columns])
+    long = df.select(F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    ps = running_sums(vc, ["value"], {"_cum": F.col("_n")}, by=["column"], buckets=buckets,
+                      edge_source=long.select("value"), group_domains={"column": len(columns)})
+    moments = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("count"), exact_mean("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    j = ps.join(moments.select("column", F.col("count").alias("_cnt")), "column")
+    picks = []
+    for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
+        pos = F.lit(q) * (F.col("_cnt") - 1)
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            hit = (F.col("_cum") - F.col("_n") <= rank) & (F.col("_cum") > rank)
+            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"_{name}_{side}"))
+    qs = j.groupBy("column").agg(F.max("_cnt").alias("_cnt"), *picks)
+    out = moments.join(qs, "column")
+
+    def interp(q, name):
+        pos = F.lit(q) * (F.col("count") - 1)
+        frac = pos - F.floor(pos)
+        return (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * frac).alias(name)
+
+    return out.select("column", "count", "mean", "std", "min", interp(0.25, "p25"), interp(0.5, "p50"),
+                      interp(0.75, "p75"), "max")

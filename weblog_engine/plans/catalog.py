@@ -1177,3 +1177,22 @@ def _ks_exact(spark, d):
 
 
 register("ks_drift_exact")(_ks_exact)
+
+_DESCRIBE_COLS = ["status_code", "response_time_ms", "bytes_sent"]
+
+
+def _describe_columns(spark, d):
+    out = stats.describe_columns(weblogs(spark, d), _DESCRIBE_COLS)
+    return out.select("column", "count", *[round_half_up(c, 6).alias(c)
+                                            for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
+register("describe_columns", with_weblogs("long AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM weblogs WHERE {c} IS NOT NULL"
+    for c in _DESCRIBE_COLS) + ")") + f"""
+SELECT "column", count(*) AS "count",
+       {r('CAST(sum(CAST(value AS DECIMAL(38, 6))) AS DOUBLE) / count(value)', 6)} AS mean,
+       {r('stddev_samp(value)', 6)} AS std, {r('min(value)', 6)} AS min,
+       {r('quantile_cont(value, 0.25)', 6)} AS p25, {r('quantile_cont(value, 0.5)', 6)} AS p50,
+       {r('quantile_cont(value, 0.75)', 6)} AS p75, {r('max(value)', 6)} AS max
+FROM long GROUP BY 1""")(_describe_columns)
