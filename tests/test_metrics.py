@@ -54,3 +54,11 @@ def test_curves_documented_example(spark):
     got = sorted(((r["threshold"] if r["threshold"] is not None else 9.0), round(r["precision"], 6), r["recall"])
                  for r in pr)
     assert got == [(0.1, 0.5, 1.0), (0.35, 0.666667, 1.0), (0.4, 0.5, 0.5), (0.8, 1.0, 0.5), (9.0, 1.0, 0.0)]
+
+
+def test_split_multi_equals_single_splits(spark):
+    df = spark.createDataFrame([(i, 1 if i % 3 == 0 else 0) for i in range(300)], "id long, label int")
+    m = {r["id"]: (r["a"], r["b"]) for r in split.split_multi(df, {"a": "label", "b": None}, buckets=3).collect()}
+    a = {r["id"]: r["split"] for r in split.split(df, by="label", buckets=5).collect()}
+    b = {r["id"]: r["split"] for r in split.split(df, buckets=2).collect()}
+    assert all(m[k] == (a[k], b[k]) for k in m)

@@ -44,6 +44,28 @@ def split(df: DataFrame, frac: float = TEST_FRACTION, seed: int = SEED, by: str
         .drop("_h", "_hk", "_pos", "_gn", BUCKET)
 
 
+def split_multi(df: DataFrame, outputs: dict[str, str | None], frac: float = TEST_FRACTION,
+                seed: int = SEED, id_col: str = "id", buckets: int | None = None) -> DataFrame:
+    """Several splits in one pass: ``outputs`` maps an output column to the
+    column to stratify by (None = not stratified). All share the hash order,
+    hence one bucketing and one window pass."""
+    from .prefix import running_sums_multi
+    h = hash_order(id_col, seed)
+    x = df.withColumn("_h", h).withColumn("_hk", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
+    one = F.lit(1).cast("long")
+    specs = [(f"_pos_{o}", one, [b] if b else [], True) for o, b in outputs.items()]
+    ps = running_sums_multi(x, ["_hk", "_h", id_col], specs, buckets=buckets)
+    for o, b in outputs.items():
+        if b:
+            sizes = x.groupBy(b).agg(F.count(F.lit(1)).alias(f"_gn_{o}"))
+            ps = ps.join(sizes, on=b, how="left")
+        else:
+            ps = ps.withColumn(f"_gn_{o}", x.agg(F.count(F.lit(1))).scalar())
+        test = F.col(f"_pos_{o}") <= F.ceil(F.lit(float(frac)) * F.col(f"_gn_{o}"))
+        ps = ps.withColumn(o, F.when(test, "test").otherwise("train")).drop(f"_pos_{o}", f"_gn_{o}")
+    return ps.drop("_h", "_hk", BUCKET)
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """'balanced' weights n / (k * n_c), one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))

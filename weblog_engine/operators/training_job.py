@@ -48,8 +48,7 @@ def train_all(logs: DataFrame, out_dir: str, n_trees: int = train.CLF_FOREST_TRE
     # The feature table with both split labels feeds many passes: materialise
     # it once (reliable checkpoint in the shared folder).
     f = features.engineer_features(logs, chunk_rows=chunk_rows)
-    f = split.split(f, by=label).withColumnRenamed("split", "split_clf")
-    f = split.split(f).withColumnRenamed("split", "split_reg")
+    f = split.split_multi(f, {"split_clf": label, "split_reg": None})
     feats = pin(f)
     n = feats.count()
     if n == 0:
