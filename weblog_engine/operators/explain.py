@@ -44,6 +44,8 @@ def shapley(trained: Trained, df: DataFrame, n_rows: int = SAMPLE_ROWS, n_chains
                                     "chain int, rank_of array<int>")
     x = sample_rows(df, n_rows, seed, id_col).select(id_col, *feats)
     bg = sample_rows(df, n_background, seed + 1, id_col).select(*feats)
+    # Index the background rows: at most n_background rows (a parameter),
+    # so this small ordered window is bounded.
     bg = bg.withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
     n_bg = max(1, bg.count())          # bounded by n_background
     chains = x.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1)))) \

@@ -170,6 +170,8 @@ def fit_forest(df: DataFrame, features: list[str], id_col: str = "id", n_trees:
         tree = build_tree(x, rng, max_depth)
         return pd.DataFrame([{"tree": t, **tree}])
 
+    # One row per tree (n_trees rows, each at most 2 * psi nodes) reaches the
+    # driver, to be broadcast for scoring.
     rows = sample.select("tree", *features).groupBy("tree").applyInPandas(fit_one, TREE_SCHEMA).collect()
     trees = [{k: list(r[k]) for k in ("feature", "threshold", "left", "right", "size")}
              for r in sorted(rows, key=lambda r: r["tree"])]

@@ -145,6 +145,8 @@ def running_sums_multi(df: DataFrame, order_cols: list[str],
     for by, names in by_sets.items():
         t = totals if list(by) == finest else \
             totals.groupBy(BUCKET, *by).agg(*[F.sum(n).alias(n) for n in names])
+        # Per group at most `buckets` rows (one per bucket); with no group
+        # this is a single small partition of bucket totals, never data rows.
         earlier = Window.partitionBy(*by).orderBy(BUCKET) \
             .rowsBetween(Window.unboundedPreceding, -1)
         offs = t.select(F.col(BUCKET).alias("_ob"), *[F.col(c).alias(f"_o_{c}") for c in by],
