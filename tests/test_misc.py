@@ -81,3 +81,18 @@ def test_shapley_matches_model_output(spark, sf_dir):
     fb = train.positive_score(t.model.transform(bg)).first()["score"]
     for r in tot.values():
         assert abs(r["score"] - r["total"] - fb) < 1e-9
+
+
+def test_failed_training_run_is_recorded(spark, sf_dir):
+    import uuid
+
+    import pytest
+
+    from weblog_engine.operators import training_job
+    from weblog_engine.session import scratch_path
+    out = scratch_path(spark, f"failrun-{uuid.uuid4().hex}")
+    empty = weblogs(spark, sf_dir).where(F.col("id") < 0)
+    with pytest.raises(ValueError):
+        training_job.train_all(empty, out, 2, 2, 2)
+    r = spark.read.parquet(os.path.join(out, "training_runs")).first()
+    assert r["status"] == "failed" and r["num_samples"] == 0

@@ -41,10 +41,25 @@ def train_all(logs: DataFrame, out_dir: str, n_trees: int = train.CLF_FOREST_TRE
               label: str = "is_error", baseline: str = "response_time_ms",
               clf_features: list[str] | None = None, reg_features: list[str] | None = None,
               chunk_rows: int = 1_000_000) -> TrainResult:
+    """Run the training job; a failure is recorded as a 'failed' run row
+    before the error is raised again."""
     spark = logs.sparkSession
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    version = train.model_version(started)
     run_id = uuid.uuid4().hex
+    try:
+        return _train_all(logs, out_dir, n_trees, boost_rounds, forest_trees, label, baseline,
+                          clf_features, reg_features, chunk_rows, started, run_id)
+    except Exception:
+        completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        train.run_row(spark, run_id, "failed", 0, None, None, started, completed) \
+            .write.mode("append").parquet(os.path.join(out_dir, "training_runs"))
+        raise
+
+
+def _train_all(logs, out_dir, n_trees, boost_rounds, forest_trees, label, baseline,
+               clf_features, reg_features, chunk_rows, started, run_id) -> TrainResult:
+    spark = logs.sparkSession
+    version = train.model_version(started)
     # The feature table with both split labels feeds many passes: materialise
     # it once (reliable checkpoint in the shared folder).
     f = features.engineer_features(logs, chunk_rows=chunk_rows)
