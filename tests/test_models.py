@@ -107,3 +107,16 @@ def test_alerts_with_forest(spark, feats):
     assert rows and all(r["alert_type"] == "anomaly" and r["severity"] in ("HIGH", "MEDIUM") for r in rows)
     z_only = anomaly.alerts(logs, det).count()
     assert len(rows) >= z_only
+
+
+def test_detect_requests_public_api(spark, feats):
+    det = anomaly.fit_detector(feats, features.CLASSIFICATION_FEATURES, n_trees=20)
+    req = spark.createDataFrame([(200.0, "GET", 12), (15000.0, "GET", 3), (-5.0, "GET", 12)] +
+                                [(300.0, m, 12) for m in ("GET", "POST", "PUT", "DELETE", "PATCH")],
+                                "response_time_ms double, method string, hour int")
+    out = anomaly.detect_requests(req, det).collect()
+    assert len(out) == 7
+    big = [r for r in out if r["response_time_ms"] == 15000.0][0]
+    assert big["is_anomaly"] and big["details"]["z_score"]["is_anomaly"]
+    b = anomaly.detect_batch(feats, det)
+    assert b.where("is_anomaly").count() > 0

@@ -158,3 +158,40 @@ def alerts(logs: DataFrame, det: Detector | None, rule: str = "zscore",
         F.col("score"),
         F.col("id"),
     )
+
+
+def fit_detector(df: DataFrame, features: list[str], baseline: str = "response_time_ms",
+                 contamination: float = 0.05, n_trees: int = 200, id_col: str = "id") -> Detector:
+    """Training moments plus an isolation forest on ``features``."""
+    from . import iforest
+    det = fit_moments(df, features, baseline)
+    det.forest = iforest.fit_forest(df, features, id_col=id_col, n_trees=n_trees,
+                                    contamination=contamination)
+    det.contamination = contamination
+    return det
+
+
+def detect_requests(requests: DataFrame, det: Detector) -> DataFrame:
+    """Anomaly check of request rows (response_time_ms, method[, hour,
+    day_of_week]): invalid rows are dropped (see ``validate_requests``); the
+    request's own response time stands in for the rolling mean; result is
+    is_anomaly, score and nested details per row."""
+    from . import iforest
+    from .features import request_features, validate_requests
+    req = requests if "hour" in requests.columns else requests.withColumn("hour", F.lit(12))
+    good, _ = validate_requests(req, "anomaly")
+    feats = request_features(good.withColumn("historical_avg_response", F.col("response_time_ms")))
+    z = zscore_detect(feats, det)
+    scored = iforest.score(z, det.forest) if det.forest is not None else z
+    return combine(scored)
+
+
+def detect_batch(df: DataFrame, det: Detector, col: str = "response_time_ms") -> DataFrame:
+    """Batch check: forest flag (on the detector's features) OR batch z-score
+    flag; anomaly_score = forest decision value. No forest: false / 0.0."""
+    from . import iforest
+    if det is None or det.forest is None:
+        return df.withColumn("is_anomaly", F.lit(False)).withColumn("anomaly_score", F.lit(0.0))
+    s = batch_zscore(iforest.score(df, det.forest), col)
+    return s.withColumn("is_anomaly", F.col("if_anomaly") | F.col("z_anomaly")) \
+        .withColumn("anomaly_score", F.col("if_score"))

@@ -31,9 +31,7 @@ class TrainResult:
 
 
 def _fit_detector(feats: DataFrame, clf_f: list[str], baseline: str, forest_trees: int) -> anomaly.Detector:
-    det = anomaly.fit_moments(feats, clf_f, baseline)
-    det.forest = iforest.fit_forest(feats, clf_f, n_trees=forest_trees)
-    return det
+    return anomaly.fit_detector(feats, clf_f, baseline, n_trees=forest_trees)
 
 
 def train_all(logs: DataFrame, out_dir: str, n_trees: int = train.CLF_FOREST_TREES,

@@ -915,9 +915,7 @@ register("isolation_forest")(_iforest)
 
 def _detect_batch(spark, d):
     t = _trained(spark, d)
-    s = anomaly.batch_zscore(iforest.score(t.features, t.detector.forest))
-    return s.select("id", (F.col("if_anomaly") | F.col("z_anomaly")).alias("is_anomaly"),
-                    F.col("if_score").alias("anomaly_score"))
+    return anomaly.detect_batch(t.features, t.detector).select("id", "is_anomaly", "anomaly_score")
 
 
 register("detect_batch")(_detect_batch)
@@ -927,11 +925,7 @@ def _detect_requests(spark, d):
     t = _trained(spark, d)
     req = weblogs(spark, d).select("id", "method", F.hour("timestamp").alias("hour"),
                                    F.weekday("timestamp").alias("day_of_week"), "response_time_ms")
-    good, _ = features.validate_requests(req, "anomaly")
-    feats = features.request_features(good.withColumn("historical_avg_response", F.col("response_time_ms")))
-    z = anomaly.zscore_detect(feats, t.detector)
-    res = anomaly.combine(iforest.score(z, t.detector.forest))
-    return res.select("id", "is_anomaly", "score", "details")
+    return anomaly.detect_requests(req, t.detector).select("id", "is_anomaly", "score", "details")
 
 
 register("anomaly_detect_requests")(_detect_requests)
