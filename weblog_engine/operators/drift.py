@@ -149,6 +149,11 @@ def ks_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
     The exact form runs on the per-column result rows only."""
     cols = columns or numeric_columns(ref, cur)
     ps, sizes = _prefix(ref, cur, cols, buckets)
+    return _ks_from(ps, sizes, alpha, p_method)
+
+
+def _ks_from(ps: DataFrame, sizes: DataFrame, alpha: float = KS_ALPHA,
+             p_method: str = "auto") -> DataFrame:
     j = ps.join(F.broadcast(sizes), on="column")
     d = j.groupBy("column").agg(F.max(F.abs(F.col("c_ref") / F.col("tot_ref") -
                                             F.col("c_cur") / F.col("tot_cur"))).alias("ks_statistic"))
@@ -179,6 +184,11 @@ def wasserstein_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | Non
     position (no window over a whole column)."""
     cols = columns or numeric_columns(ref, cur)
     ps, sizes = _prefix(ref, cur, cols, buckets)
+    return _wasserstein_from(ps, sizes, threshold)
+
+
+def _wasserstein_from(ps: DataFrame, sizes: DataFrame,
+                      threshold: float = WASSERSTEIN_THRESHOLD) -> DataFrame:
     nxt = ps.select("column", (F.col("_k") - 1).alias("_k"), F.col("value").alias("next_value"))
     j = ps.join(nxt, on=["column", "_k"], how="left").join(F.broadcast(sizes), on="column")
     gap = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
@@ -221,8 +231,11 @@ def drift_report(ref: DataFrame, cur: DataFrame, method: str = "ks", columns=Non
     if method == "wasserstein":
         return wasserstein_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
     if method == "auto":
-        k = ks_columns(ref, cur, columns, buckets=buckets, p_method=p_method).select(*REPORT_COLUMNS)
-        w = wasserstein_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
+        # One prefix table serves both tests.
+        cols = columns or numeric_columns(ref, cur)
+        ps, sizes = _prefix(ref, cur, cols, buckets)
+        k = _ks_from(ps, sizes, p_method=p_method).select(*REPORT_COLUMNS)
+        w = _wasserstein_from(ps, sizes).select(*REPORT_COLUMNS)
         small = F.col("n_ref") <= AUTO_KS_MAX_ROWS
         return k.where(small).unionByName(w.where(~small))
     raise ValueError("method must be 'ks', 'wasserstein' or 'auto'")
