@@ -116,3 +116,13 @@ def test_load_first_nonempty(spark):
     got = ingest.load_first_nonempty([broken, lambda: empty, lambda: full])
     assert got.count() == 1
     assert ingest.load_first_nonempty([broken]) is None
+
+
+def test_read_logs_table(spark, sf_dir, tmp_path):
+    from weblog_engine.sources.tables import read_logs, weblogs
+    w = weblogs(spark, sf_dir)
+    path = str(tmp_path / "web_logs")
+    w.drop("user_agent").withColumn("bytes_sent", F.lit(None).cast("int")).write.parquet(path)
+    r = read_logs(spark, path)
+    assert r.columns == w.columns and r.count() == w.count()
+    assert r.where("bytes_sent != 0 OR user_agent IS NOT NULL").count() == 0

@@ -45,3 +45,20 @@ def weblogs_from_events(events: DataFrame) -> DataFrame:
 
 def weblogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weblogs_from_events(table(spark, sf_dir, "events")).select(*WEBLOG_COLUMNS)
+
+
+def read_logs(spark: SparkSession, source: str) -> DataFrame:
+    """A stored web-log table (parquet folder or catalog table name) in the
+    canonical schema: columns cast to their types, missing optional
+    columns as NULL, and NULL ``bytes_sent`` read as 0."""
+    from ..schema import WEBLOG_SCHEMA
+    df = spark.read.parquet(source) if ("/" in source or source.startswith(".")) else spark.table(source)
+    have = {c.lower(): c for c in df.columns}
+    cols = []
+    for f in WEBLOG_SCHEMA.fields:
+        src = have.get(f.name)
+        c = F.col(src).cast(f.dataType) if src else F.lit(None).cast(f.dataType)
+        if f.name == "bytes_sent":
+            c = F.coalesce(c, F.lit(0))
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
