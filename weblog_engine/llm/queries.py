@@ -40,3 +40,48 @@ def vocabulary_path() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
     return bpe.digests(documents(spark, sf_dir), vocabulary_path())
+
+
+@register("op2_block_join")
+def op2_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import blockjoin
+    vectors = spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
+    return blockjoin.nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors)
+
+
+@register("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+    return packing.pack(documents(spark, sf_dir)).drop("text")
+
+
+@register("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+    return suffix.report(documents(spark, sf_dir))
+
+
+@register("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+    return secrets.report(documents(spark, sf_dir))
+
+
+@register("op6_set_join")
+def op6_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import setjoin
+    return setjoin.join(documents(spark, sf_dir)).drop("tag")
+
+
+@register("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chunks
+    return chunks.edit_report(documents(spark, sf_dir))
+
+
+@register("op9_language")
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ppm
+    return ppm.predictions(documents(spark, sf_dir))
