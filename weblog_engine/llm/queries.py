@@ -85,3 +85,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ppm
     return ppm.predictions(documents(spark, sf_dir))
+
+
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+    return pii.report(documents(spark, sf_dir))
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
+    return toxicity.predictions(documents(spark, sf_dir), labels)
