@@ -126,3 +126,42 @@ def test_read_logs_table(spark, sf_dir, tmp_path):
     r = read_logs(spark, path)
     assert r.columns == w.columns and r.count() == w.count()
     assert r.where("bytes_sent != 0 OR user_agent IS NOT NULL").count() == 0
+
+
+def test_decimal_and_unusable_numbers(spark):
+    msgs = spark.createDataFrame([
+        ('{"timestamp":"2025-01-15T10:30:00.123456789","statusCode":500.0,"responseTimeMs":1}',),
+        ('{"timestamp":"2025-01-15T10:30:00.5","statusCode":"abc","bytesSent":7.9}',),
+        ('{"timestamp":"2025-01-15T10:30:00","statusCode":1e12}',)], "value string")
+    rows = sorted(ingest.decode_events(msgs)[0].collect(), key=lambda r: r["timestamp"])
+    assert [r["status_code"] for r in rows] == [200, 500, 200]
+    assert [r["timestamp"].microsecond for r in rows] == [0, 123456, 500000] and rows[2]["bytes_sent"] == 7
+
+
+def test_quoted_newline_is_one_record(spark):
+    p = write('timestamp,method,path,status_code,response_time_ms\n'
+              '2025-01-15T10:30:00,GET,"/a\nb",200,1\n2025-01-15T10:30:00,GET,/c,200,NaN\n2025-01-15T10:30:00,GET,/d,200,2\n')
+    ing = ingest.ingest_csv(spark, p)
+    assert sorted(r["path"] for r in ing.good.collect()) == ["/a\nb", "/d"]
+    assert [r["reject_reason"] for r in ing.rejects.collect()] == ["bad response_time_ms"]
+
+
+def test_parts_with_different_headers(spark, tmp_path):
+    folder = tmp_path / "up.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("timestamp,method,status_code,response_time_ms\n2025-01-15T10:30:00,GET,500,300\n")
+    (folder / "part-1.csv").write_text("timestamp,method,response_time_ms,status_code\n2025-01-15T10:30:01,GET,7,404\n")
+    rows = sorted((r["status_code"], r["response_time_ms"]) for r in ingest.ingest_csv(spark, str(folder)).good.collect())
+    assert rows == [(404, 7.0), (500, 300.0)]
+
+
+def test_ids_differ_between_uploads(spark):
+    df = spark.range(5).select(F.lit(1).alias("x"))
+    ids = [r.id for u in ("a", "b") for r in ingest.with_ingest_columns(df, upload=u).collect()]
+    assert len(set(ids)) == 10
+
+
+def test_means_cover_the_values_they_count(spark):
+    from weblog_engine.functions.scalar import exact_mean
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (1e33,), (3.0,), (None,)], "x double")
+    assert df.agg(exact_mean("x")).first()[0] == 2.0

@@ -41,20 +41,24 @@ def is_business_hours(hour: Column, dow: Column) -> Column:
     return ((hour >= 8) & (hour <= 18) & (dow <= 4)).cast("int")
 
 
-# Timestamp text formats an upload may use, tried in order.
+# Timestamp text formats an upload may use, tried in order. The
+# fraction of the first has one to nine digits; digits past the sixth are cut.
 TIMESTAMP_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm",
     "yyyy-MM-dd HH:mm:ss",
     "dd/MM/yyyy HH:mm:ss",
 ]
+_FRACTION = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)\.(\d{1,9})$"
 
 
 def parse_timestamp(c) -> Column:
     """First matching format wins; no match gives NULL (the row fails)."""
     s = F.trim(_c(c))
+    micros = F.concat(F.regexp_extract(s, _FRACTION, 1), F.lit("."),
+                      F.rpad(F.substring(F.regexp_extract(s, _FRACTION, 2), 1, 6), 6, "0"))
+    s = F.when(s.rlike(_FRACTION), micros).otherwise(s)
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TIMESTAMP_FORMATS]) \
         .cast("timestamp_ntz")
 
@@ -78,15 +82,28 @@ def method_one_hot(method="method", methods=None) -> list[Column]:
     return [(m == x).cast("int").alias(f"method_{x}") for x in (methods or KNOWN_METHODS)]
 
 
+def exact(c, scale: int = 6) -> Column:
+    """The value as DECIMAL(38, scale); NULL where it is not finite or too
+    large for it, so that sums and counts over the result agree on which
+    values they cover and no sum fails on one cell."""
+    return _c(c).try_cast(f"decimal(38,{scale})")
+
+
 def exact_sum(c, scale: int = 6) -> Column:
     """Sum through DECIMAL(38, scale): exact, so the result does not depend
     on the order rows are added in (partitions, windows, engines)."""
-    return F.sum(_c(c).cast(f"decimal(38,{scale})")).cast("double")
+    return F.try_sum(exact(c, scale)).cast("double")
 
 
 def exact_mean(c, scale: int = 6) -> Column:
-    """Mean = exact sum / count of non-null values, as a double."""
-    return exact_sum(c, scale) / F.count(_c(c))
+    """Mean of the values that ``exact`` can hold, as a double."""
+    return exact_sum(c, scale) / F.count(exact(c, scale))
+
+
+def truncated_int(c) -> Column:
+    """A number or numeric text cut to a 32-bit integer; NULL otherwise."""
+    d = _c(c).try_cast("double")
+    return F.when((d > -2147483649.0) & (d < 2147483648.0), d.try_cast("int"))
 
 
 def with_scalar(df, name: str, one_row) -> "object":

@@ -12,6 +12,7 @@ value order (bucketed, see ``prefix``). From the prefix table:
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,5 +271,7 @@ def save_snapshot(df: DataFrame, path: str) -> int:
 def load_snapshot(spark, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing snapshot means "none yet"
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # none saved yet
+            return None
+        raise

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import exact
 from ..session import shuffle_partitions
 
 BUCKET = "_bucket"
@@ -201,8 +202,8 @@ def rolling_mean(df: DataFrame, order_cols: list[str], value: str, rows: int,
     if exact_scale is None:
         mean = F.avg(value).over(w)
     else:
-        mean = F.sum(F.col(value).cast(f"decimal(38,{exact_scale})")).over(w).cast("double") \
-            / F.count(F.col(value)).over(w)
+        dec = exact(value, exact_scale)
+        mean = F.try_divide(F.try_sum(dec).over(w).cast("double"), F.count(dec).over(w))
     res = x.withColumn(out, mean).where(F.col("_copy") == 0)
     return res.drop("_chunk", "_copy")
 
@@ -222,10 +223,10 @@ def bucket_window_columns(rows: int, value: str, order_cols: list[str], exact_sc
     ``_bucket`` so they share the bucket exchange of ``running_sums_multi``."""
     lo, hi = (-rows, -1) if exclude_current else (-(rows - 1), 0)
     w = Window.partitionBy(BUCKET).orderBy(*order_cols)
-    dec = F.col(value).cast(f"decimal(38,{exact_scale})")
+    dec = exact(value, exact_scale)
     return {
-        "_rs_in": F.sum(dec).over(w.rowsBetween(lo, hi)),
-        "_rc_in": F.count(F.col(value)).over(w.rowsBetween(lo, hi)),
+        "_rs_in": F.try_sum(dec).over(w.rowsBetween(lo, hi)),
+        "_rc_in": F.count(dec).over(w.rowsBetween(lo, hi)),
         "_bpos": F.row_number().over(w) - 1,
         "_bsize": F.count(F.lit(1)).over(Window.partitionBy(BUCKET)),
     }
@@ -247,7 +248,7 @@ def rolling_mean_from_buckets(x: DataFrame, value: str, rows: int, out: str, exa
     k = rows if exclude_current else rows - 1
     edge = (F.col("_bpos") < k) & (F.col("_idx") > F.col("_bpos"))
     tail = (F.col("_bsize") - F.col("_bpos")) <= k
-    dec = F.col(value).cast(f"decimal(38,{exact_scale})")
+    dec = exact(value, exact_scale)
     side = x.where((F.col("_bpos") < k) | tail) \
         .select("_idx", dec.alias("_v"), edge.alias("_edge"))
     c = max(int(chunk_rows), rows + 1)
@@ -257,7 +258,7 @@ def rolling_mean_from_buckets(x: DataFrame, value: str, rows: int, out: str, exa
         .withColumn("_chunk", F.col("_chunk") + F.col("_copy"))
     lo, hi = (-rows, -1) if exclude_current else (-(rows - 1), 0)
     w = Window.partitionBy("_chunk").orderBy("_idx").rangeBetween(lo, hi)
-    fixed = side.select("_idx", "_edge", "_copy", F.sum("_v").over(w).alias("_fs"),
+    fixed = side.select("_idx", "_edge", "_copy", F.try_sum("_v").over(w).alias("_fs"),
                         F.count("_v").over(w).alias("_fc")) \
         .where(F.col("_edge") & (F.col("_copy") == 0)).select("_idx", "_fs", "_fc")
     j = x.join(F.broadcast(fixed), on="_idx", how="left")

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import parse_timestamp
+from ..functions.scalar import parse_timestamp, truncated_int
 from ..schema import EVENT_JSON_SCHEMA, KNOWN_HEADER_NAMES, REQUIRED_HEADER_NAMES, WEBLOG_COLUMNS
 
 CORRUPT = "_corrupt_record"
@@ -43,11 +44,28 @@ def resolve_header(names: list[str]) -> dict[str, int]:
     return mapping
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    if not first or not first[0][0].strip():
+def _fields(line: str) -> list[str]:
+    return next(csv.reader(io.StringIO(line)))
+
+
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> the files of the upload that start with it, from one
+    aggregation over the text: a file's first line is the first row of its
+    first block. One entry unless the parts of a folder differ; the files are
+    listed only then."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")).where("block = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "row").alias("line"))
+    kinds = [r.line for r in first.select("line").distinct().collect()]
+    if not kinds or any(not k.strip() for k in kinds):
         raise ValueError("empty CSV upload")
-    return next(csv.reader(io.StringIO(first[0][0])))
+    if len(kinds) == 1:
+        return {kinds[0]: [path]}
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        out.setdefault(r.line, []).append(r.file)
+    return out
 
 
 def check_upload_name(path: str) -> None:
@@ -55,8 +73,10 @@ def check_upload_name(path: str) -> None:
         raise ValueError("only .csv uploads are accepted")
 
 
-def raw_csv(spark: SparkSession, path: str, n_fields: int) -> DataFrame:
-    """All fields as text, one column per header field, plus the raw line of
+def raw_csv(spark: SparkSession, path: str | list[str], n_fields: int, whole_records: bool = True) -> DataFrame:
+    """With ``whole_records`` a quoted field may hold line breaks; a file is
+    then read by one task. Without it files are split between tasks, and each
+    line is a record. All fields as text, one column per header field, plus the raw line of
     rows whose field count differs from the header. Column pruning is off
     for this read: with it, which rows count as malformed would depend on
     the columns a later projection happens to need."""
@@ -64,7 +84,8 @@ def raw_csv(spark: SparkSession, path: str, n_fields: int) -> DataFrame:
                           [T.StructField(CORRUPT, T.StringType())])
     return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"')
-            .option("enforceSchema", True).option("columnPruning", False).csv(path))
+            .option("enforceSchema", True).option("columnPruning", False)
+            .option("multiLine", whole_records).csv(path))
 
 
 def _strict_int(s: Column) -> Column:
@@ -103,6 +124,8 @@ def parse_rows(raw: DataFrame, mapping: dict[str, int]) -> DataFrame:
     ts = parse_timestamp(ts_s)
     status = _strict_int(st_s)
     rt = rt_s.try_cast("double")
+    # NaN and infinite times would spoil every sum and mean
+    rt = F.when(F.abs(rt) < float("inf"), rt)
     path = p_s if p_s is not None else F.lit("/unknown")
     if by_s is None:
         bytes_ = F.lit(0)
@@ -140,15 +163,24 @@ class Ingested:
     counts: DataFrame      # one row: processed, failed
 
 
-def ingest_csv(spark: SparkSession, path: str, check_name: bool = True) -> Ingested:
+def parse_upload(spark: SparkSession, path: str, whole_records: bool = True) -> DataFrame:
+    """Typed rows of an upload (file or folder of parts), each part by its
+    own header."""
+    parsed = None
+    for line, files in sorted(headers(spark, path).items()):
+        names = _fields(line)
+        part = parse_rows(raw_csv(spark, files, len(names), whole_records), resolve_header(names))
+        parsed = part if parsed is None else parsed.unionByName(part)
+    return parsed
+
+
+def ingest_csv(spark: SparkSession, path: str, check_name: bool = True, whole_records: bool = True) -> Ingested:
     """Parse an uploaded CSV (file or folder of CSV parts) into good rows
     (canonical schema without id/created_at) and rejected rows with a
     reason. Nothing is collected; ``counts`` is one aggregate."""
     if check_name:
         check_upload_name(path)
-    header = read_header(spark, path)
-    mapping = resolve_header(header)
-    parsed = parse_rows(raw_csv(spark, path, len(header)), mapping)
+    parsed = parse_upload(spark, path, whole_records)
     good = parsed.where(F.col("reject_reason").isNull()).drop("reject_reason", "raw_line")
     rejects = parsed.where(F.col("reject_reason").isNotNull())
     counts = parsed.agg(F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("processed"),
@@ -156,13 +188,12 @@ def ingest_csv(spark: SparkSession, path: str, check_name: bool = True) -> Inges
     return Ingested(good, rejects, counts)
 
 
-def land_csv(spark: SparkSession, path: str, dest: str, check_name: bool = True) -> dict:
+def land_csv(spark: SparkSession, path: str, dest: str, check_name: bool = True, whole_records: bool = True) -> dict:
     """Parse once and write good and rejected rows in a single pass,
     partitioned by ``is_valid``; counts come from the written table."""
     if check_name:
         check_upload_name(path)
-    header = read_header(spark, path)
-    tagged = parse_rows(raw_csv(spark, path, len(header)), resolve_header(header)) \
+    tagged = parse_upload(spark, path, whole_records) \
         .withColumn("is_valid", F.col("reject_reason").isNull())
     tagged.write.mode("overwrite").partitionBy("is_valid").parquet(dest)
     c = spark.read.parquet(dest).groupBy("is_valid").count().collect()
@@ -173,10 +204,12 @@ def land_csv(spark: SparkSession, path: str, dest: str, check_name: bool = True)
     return {"processed": processed, "failed": failed}
 
 
-def with_ingest_columns(good: DataFrame, id_col: Column | None = None) -> DataFrame:
-    """Attach ``id`` (from the source, else a unique monotonically increasing
-    id) and ``created_at`` = ingest time."""
-    ident = id_col if id_col is not None else F.monotonically_increasing_id()
+def with_ingest_columns(good: DataFrame, id_col: Column | None = None, upload: str | None = None) -> DataFrame:
+    """Attach ``id`` (from the source, else a hash of the upload's name and the
+    row's place in it, so that uploads do not share ids) and ``created_at`` =
+    ingest time."""
+    place = F.xxhash64(F.lit(upload or uuid.uuid4().hex), F.monotonically_increasing_id())
+    ident = id_col if id_col is not None else place
     return good.select(ident.cast("long").alias("id"), *[c for c in good.columns if c != "id"],
                        F.localtimestamp().alias("created_at"))
 
@@ -207,8 +240,8 @@ def publish_events(logs: DataFrame, bootstrap: str, topic: str = "weblogs.raw")
 
 def decode_events(messages: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """JSON messages -> (log rows, undecodable messages). Numbers may come as
-    JSON numbers or numeric text; a missing status is 200 and a missing
-    response time 0.0; text that is not a JSON object is quarantined."""
+    JSON numbers or numeric text, decimals are cut to integers where one is
+    due; a missing or non-numeric status is 200, such a response time 0.0; text that is not a JSON object is quarantined."""
     schema = T.StructType(EVENT_JSON_SCHEMA.fields + [T.StructField("_bad", T.StringType())])
     j = messages.withColumn("_j", F.from_json(F.col(value_col).cast("string"), schema,
                                               {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
@@ -218,11 +251,11 @@ def decode_events(messages: DataFrame, value_col: str = "value") -> tuple[DataFr
         parse_timestamp(F.col("_j.timestamp")).alias("timestamp"),
         F.upper(F.trim(F.col("_j.method"))).alias("method"),
         F.col("_j.path").alias("path"),
-        F.coalesce(F.col("_j.statusCode").try_cast("int"), F.lit(200)).alias("status_code"),
+        F.coalesce(truncated_int("_j.statusCode"), F.lit(200)).alias("status_code"),
         F.coalesce(F.col("_j.responseTimeMs").try_cast("double"), F.lit(0.0)).alias("response_time_ms"),
         F.col("_j.userAgent").alias("user_agent"),
         F.col("_j.ipAddress").alias("ip_address"),
-        F.coalesce(F.col("_j.bytesSent").try_cast("int"), F.lit(0)).alias("bytes_sent"),
+        F.coalesce(truncated_int("_j.bytesSent"), F.lit(0)).alias("bytes_sent"),
     )
     corrupt = j.where(bad).drop("_j")
     return rows, corrupt

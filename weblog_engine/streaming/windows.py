@@ -6,18 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_up
+from ..functions.scalar import exact_mean, round_half_up
 
 WINDOW = "5 minutes"
 GRACE = "0 seconds"
 
 
-def exact_sum(c):
-    """Sum of a double column through DECIMAL(38,6): exact and independent of
-    the order rows arrive in, so every engine rounds the same value."""
-    return F.sum(F.col(c).cast("decimal(38,6)")).cast("double")
-
-
 def windowed_stats(df: DataFrame, time_col: str = "timestamp", key_col: str = "method",
                    size: str = WINDOW, grace: str | None = None) -> DataFrame:
     """count, error_count and mean response time per (key, tumbling window).
@@ -27,14 +21,14 @@ def windowed_stats(df: DataFrame, time_col: str = "timestamp", key_col: str = "m
     src = df.withWatermark(time_col, grace) if grace is not None else df
     g = src.groupBy(F.window(time_col, size).alias("w"), F.col(key_col).alias("method")).agg(
         F.count(F.lit(1)).alias("count"),
-        exact_sum("response_time_ms").alias("total_response_time"),
+        exact_mean("response_time_ms").alias("mean_response_time"),
         F.sum((F.coalesce(F.col("status_code"), F.lit(200)) >= 400).cast("long")).alias("error_count"))
     return g.select(
         "method",
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
         "count",
-        round_half_up(F.col("total_response_time") / F.col("count"), 2).alias("avg_response_time_ms"),
+        round_half_up(F.col("mean_response_time"), 2).alias("avg_response_time_ms"),
         "error_count",
     )
 
