@@ -3,6 +3,7 @@ isolation forest (see ``iforest``) and their combination."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,21 @@ class Detector:
     extra: dict = field(default_factory=dict)
 
 
+def save_detector(spark, det: Detector, path: str) -> str:
+    """The detector as one JSON document (its size is that of the forest)."""
+    doc = {k: v for k, v in det.__dict__.items() if k != "forest"} | {
+        "forest": det.forest.to_json() if det.forest else None}
+    spark.createDataFrame([(json.dumps(doc),)], "detector string").coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def load_detector(spark, path: str) -> Detector:
+    from .iforest import ForestModel
+    doc = json.loads(spark.read.json(path).first()["detector"])
+    forest = doc.pop("forest")
+    return Detector(**doc, forest=ForestModel.from_json(forest) if forest else None)
+
+
 def fit_moments(df: DataFrame, features: list[str], baseline: str = "response_time_ms") -> Detector:
     """Mean and population std per feature (one pass; feature-count rows reach
     the driver). ``baseline`` names the column whose moments drive the

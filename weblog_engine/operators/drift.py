@@ -140,7 +140,7 @@ def _exact_p_column(use: Column, d: Column, m: Column, n: Column) -> Column:
 
 def ks_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
                alpha: float = KS_ALPHA, buckets: int | None = None,
-               p_method: str = "auto") -> DataFrame:
+               p_method: str = "asymptotic") -> DataFrame:
     """Per column: ks_statistic, p_value, drift_detected (p < alpha), sizes.
 
     ``p_method``: 'asymptotic' (Kolmogorov distribution with the finite-size
@@ -154,7 +154,7 @@ def ks_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | None = None,
 
 
 def _ks_from(ps: DataFrame, sizes: DataFrame, alpha: float = KS_ALPHA,
-             p_method: str = "auto") -> DataFrame:
+             p_method: str = "asymptotic") -> DataFrame:
     j = ps.join(F.broadcast(sizes), on="column")
     d = j.groupBy("column").agg(F.max(F.abs(F.col("c_ref") / F.col("tot_ref") -
                                             F.col("c_cur") / F.col("tot_cur"))).alias("ks_statistic"))
@@ -222,16 +222,16 @@ REPORT_COLUMNS = ["column", "stattest_name", "drift_score", "drift_detected", "n
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, method: str = "ks", columns=None,
-                 buckets: int | None = None, p_method: str = "auto") -> DataFrame:
+                 buckets: int | None = None, p_method: str = "asymptotic") -> DataFrame:
     """Per-column drift rows (column, stattest_name, drift_score,
     drift_detected, n_ref, n_cur). ``method``: 'ks', 'wasserstein', or
-    'auto' (KS up to 1000 reference rows, normed Wasserstein above, the
+    'preset' (KS up to 1000 reference rows, normed Wasserstein above, the
     preset rule; decided per column from its non-null reference count)."""
     if method == "ks":
         return ks_columns(ref, cur, columns, buckets=buckets, p_method=p_method).select(*REPORT_COLUMNS)
     if method == "wasserstein":
         return wasserstein_columns(ref, cur, columns, buckets=buckets).select(*REPORT_COLUMNS)
-    if method == "auto":
+    if method == "preset":
         # One prefix table serves both tests.
         cols = columns or numeric_columns(ref, cur)
         ps, sizes = _prefix(ref, cur, cols, buckets)
@@ -239,11 +239,11 @@ def drift_report(ref: DataFrame, cur: DataFrame, method: str = "ks", columns=Non
         w = _wasserstein_from(ps, sizes).select(*REPORT_COLUMNS)
         small = F.col("n_ref") <= AUTO_KS_MAX_ROWS
         return k.where(small).unionByName(w.where(~small))
-    raise ValueError("method must be 'ks', 'wasserstein' or 'auto'")
+    raise ValueError("method must be 'ks', 'wasserstein' or 'preset'")
 
 
 def drift_gate(current: DataFrame, reference: DataFrame | None, trainer=None, method: str = "ks",
-               columns=None, p_method: str = "auto") -> DataFrame:
+               columns=None, p_method: str = "asymptotic") -> DataFrame:
     """Retrain decision: compare ``current`` with the reference snapshot;
     on dataset drift call ``trainer()`` (if given). One-row result."""
     spark = current.sparkSession
@@ -262,6 +262,15 @@ def drift_gate(current: DataFrame, reference: DataFrame | None, trainer=None, me
                                    int(summary["n_drifted_columns"]))], schema)
 
 
+def current_window(logs: DataFrame, since=None, newest: int | None = None) -> DataFrame:
+    """The rows the gate compares with the snapshot: those from ``since`` on
+    (default all), or the ``newest`` so many."""
+    if newest is not None:
+        from ..sources.ingest import latest
+        return latest(logs, newest)
+    return logs if since is None else logs.where(F.col("timestamp") >= F.lit(since))
+
+
 def save_snapshot(df: DataFrame, path: str) -> int:
     """Store the training features as the drift reference (parquet)."""
     df.write.mode("overwrite").parquet(path)

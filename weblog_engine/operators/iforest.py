@@ -134,28 +134,29 @@ class ForestModel:
 
 
 def _sample(df: DataFrame, id_col: str, n_trees: int, psi: int, n: int, seed: int) -> DataFrame:
-    need = n_trees * psi
-    copies = max(1, math.ceil(need / max(n, 1)))
-    base = df.select(F.col(id_col).alias("_id"), "*")
-    if copies > 1:
-        base = base.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    else:
-        base = base.withColumn("_copy", F.lit(0))
-    keyed = base.withColumn("_h", F.xxhash64(F.col("_id"), F.col("_copy"), F.lit(seed)))
-    # Bounded: top-k per partition, then one merge of k rows.
-    picked = keyed.orderBy("_h", "_id", "_copy").limit(need)
-    # need rows (parameter-bounded) get consecutive ranks; psi per tree.
-    w = Window.orderBy("_h", "_id", "_copy")
-    return picked.withColumn("tree", ((F.row_number().over(w) - 1) / F.lit(psi)).cast("int"))
+    """psi different rows for each tree. A round deals every row to at most
+    one tree; small tables take several rounds, each in an order of its own."""
+    per_round = min(n_trees, max(1, n // psi))
+    rounds = math.ceil(n_trees / per_round)
+    need = per_round * psi
+    # about the share of rows with the least hashes that a round needs, so
+    # that the final sort gets little more than those
+    share = min(1.0, (need + 8 * math.sqrt(need) + 100) / n)
+    keyed = df.select(F.col(id_col).alias("_id"), "*") \
+        .withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))) \
+        .withColumn("_h", F.xxhash64(F.col("_id"), F.col("_round"), F.lit(seed))) \
+        .where(F.pmod(F.xxhash64("_h"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    w = Window.partitionBy("_round").orderBy("_h", "_id")
+    return keyed.withColumn("_rank", F.row_number().over(w) - 1).where(F.col("_rank") < need) \
+        .withColumn("tree", (F.col("_round") * per_round + F.floor(F.col("_rank") / F.lit(psi))).cast("int")) \
+        .where(F.col("tree") < n_trees)
 
 
 def fit_forest(df: DataFrame, features: list[str], id_col: str = "id", n_trees: int = N_TREES,
                max_samples: int = MAX_SAMPLES, contamination: float = CONTAMINATION,
                seed: int = 42) -> ForestModel:
     ship_package(df.sparkSession)
-    # Only min(n, n_trees * max_samples) matters for the sample; count no
-    # further than that.
-    n = df.limit(n_trees * max_samples).count()
+    n = df.count()
     if n == 0:
         raise ValueError("cannot fit an isolation forest on an empty table")
     psi = min(max_samples, n)

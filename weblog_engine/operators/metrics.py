@@ -5,7 +5,7 @@ bucketed running sum, never a global sort on one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import with_scalar
@@ -182,12 +182,12 @@ Z95 = 1.96
 FALLBACK_RMSE_SHARE = 0.2
 
 
-def interval_95(df: DataFrame, prediction: str = "prediction", rmse: float | None = None) -> DataFrame:
+def interval_95(df: DataFrame, prediction: str = "prediction", rmse=None) -> DataFrame:
     """pred +- 1.96*RMSE, lower bound clipped at 0, both rounded 2dp. With no
     RMSE known the half-width uses 0.2 * prediction."""
     from ..functions.scalar import round_half_up
     p = F.col(prediction)
-    e = F.lit(float(rmse)) if rmse is not None else p * F.lit(FALLBACK_RMSE_SHARE)
+    e = (rmse if isinstance(rmse, Column) else F.lit(float(rmse))) if rmse is not None else p * F.lit(FALLBACK_RMSE_SHARE)
     return df.withColumn("lower_bound_ms", round_half_up(F.greatest(F.lit(0.0), p - F.lit(Z95) * e), 2)) \
         .withColumn("upper_bound_ms", round_half_up(p + F.lit(Z95) * e, 2)) \
         .withColumn("confidence_level", F.lit(0.95))

