@@ -65,3 +65,15 @@ def test_rolling_with_buckets_smaller_than_window(spark, sf_dir):
         got_x = {r["id"]: r["rolling_avg_response"] for r in features.engineer_features(
             df, buckets=b, exclude_current=True).select("id", "rolling_avg_response").collect()}
         assert all((v is None and got_x[k] is None) or abs(v - got_x[k]) < 1e-9 for k, v in want_x.items())
+
+
+def test_equal_leading_values_are_divided(spark):
+    df = spark.range(20_000).select(
+        "id", F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(F.lit(5000.0)).alias("x"))
+    b = prefix.add_range_bucket(df, ["x", "id"], 8)
+    sizes = [r["count"] for r in b.groupBy(prefix.BUCKET).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 20_000 / 8
+    got = prefix.running_sums(df, ["x", "id"], {"c": F.lit(1).cast("long")}, buckets=8)
+    w = Window.orderBy("x", "id")
+    want = {r["id"]: r["c"] for r in df.select("id", F.row_number().over(w).alias("c")).collect()}
+    assert {r["id"]: r["c"] for r in got.collect()} == want

@@ -56,7 +56,7 @@ def engineer_features(df: DataFrame, window: int = 50, exclude_current: bool = F
     single hour of day holds most of the table.
     """
     base = row_features(df, extra_methods=extra_methods)
-    b = add_range_bucket(base, "timestamp", buckets)
+    b = add_range_bucket(base, ORDER, buckets)
     one = F.lit(1).cast("long")
     specs = [("_idx", one, [], False), ("hourly_frequency", one, ["hour"], True)]
     n_buckets = buckets or default_buckets(base)

@@ -1,15 +1,15 @@
 """Ordered prefix sums and dense positions without a single-partition window.
 
 Spark runs ``Window.orderBy(...)`` with no ``partitionBy`` on one task. Here
-the global order is cut into value ranges ("buckets") whose edges come from
-an approximate quantile pass over the leading order column, so each bucket
-holds about ``rows / buckets`` rows no matter how the values are spread.
+the global order is cut into ranges ("buckets") whose edges come from Spark's
+range partitioning of the first two order columns, so each bucket holds about
+``rows / buckets`` rows no matter how the values are spread or repeated.
 Inside a bucket an ordinary partitioned window does the running sum; the sum
 of all earlier buckets is added from a per-bucket totals table. That table
 has one row per (bucket, group) and is the only thing that reaches the
 driver, so its size is bounded by the bucket count, never by the data.
 
-The results are exact: approximate quantiles only choose bucket edges, and
+The results are exact: the sampled ranges only choose bucket edges, and
 any monotone choice of edges gives the same prefix sums.
 """
 
@@ -27,8 +27,7 @@ from ..session import shuffle_partitions
 
 BUCKET = "_bucket"
 _KEY = "_bucket_key"
-# Upper bound on buckets.
-MAX_BUCKETS = 65536
+_KEY2 = "_bucket_key2"
 
 
 def _numeric_key(c: Column, dtype: T.DataType) -> Column:
@@ -47,37 +46,66 @@ def _col_type(df: DataFrame, name: str) -> T.DataType:
 
 
 def default_buckets(df: DataFrame) -> int:
-    return max(1, min(MAX_BUCKETS, shuffle_partitions(df.sparkSession)))
+    return max(1, shuffle_partitions(df.sparkSession))
 
 
-def add_range_bucket(df: DataFrame, order_col: str, buckets: int | None = None,
-                     accuracy: int | None = None, edge_source: DataFrame | None = None) -> DataFrame:
-    """Add ``_bucket`` (int), non-decreasing in ``order_col``.
+def _order_key(df: DataFrame, name: str) -> Column:
+    """The order column as a double, NULL before every number."""
+    return F.coalesce(_numeric_key(F.col(name), _col_type(df, name)), F.lit(float("-inf")))
 
-    NULL sorts first and NaN last, as in Spark's ascending order. Edges are
-    quantiles of ``order_col`` in ``edge_source`` (default ``df``): when
-    ``df`` is an aggregate (e.g. counts per distinct value), pass the raw
-    rows it came from, so the edge pass is a plain scan instead of a second
-    evaluation of the aggregate. Any edges give exact results."""
+
+def _range_edges(src: DataFrame, keys: list[str], buckets: int) -> list[tuple]:
+    """Largest key of each of ``buckets`` ranges but the last. Spark's range
+    partitioner deals out the keys alone by a bounded sample; each range then
+    reports its largest key, so no task merges what all others have seen."""
+    ranges = src.where(~F.isnan(keys[0])).repartitionByRange(buckets, *keys) \
+        .groupBy(F.spark_partition_id()).agg(F.max(F.struct(*keys)).alias("top")).collect()
+    return sorted({tuple(r.top) for r in ranges if math.isfinite(r.top[0])})[:-1]
+
+
+def add_range_bucket(df: DataFrame, order_cols: str | list[str], buckets: int | None = None,
+                     edge_source: DataFrame | None = None) -> DataFrame:
+    """Add ``_bucket`` (int), non-decreasing in the order of ``order_cols``.
+
+    NULL sorts first and NaN last, as in Spark's ascending order. Where many
+    rows share a value of the first column, a numeric second column divides
+    them too. Edges come from ``edge_source`` (default ``df``): when ``df`` is
+    an aggregate (e.g. counts per distinct value), pass the raw rows it came
+    from, so the edge pass is a plain scan instead of a second evaluation of
+    the aggregate. Any edges give exact results."""
+    cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     b = buckets or default_buckets(df)
-    dtype = _col_type(df, order_col)
-    key = F.coalesce(_numeric_key(F.col(order_col), dtype), F.lit(float("-inf")))
-    keyed = df.withColumn(_KEY, key)
     if b <= 1:
-        return keyed.withColumn(BUCKET, F.lit(0)).drop(_KEY)
-    probs = [i / b for i in range(1, b)]
-    acc = accuracy or max(10_000, 20 * b)
-    src = keyed if edge_source is None else edge_source.select(
-        F.coalesce(_numeric_key(F.col(order_col), dtype), F.lit(float("-inf"))).alias(_KEY))
-    # One aggregate pass with bounded memory; returns b-1 numbers.
-    row = src.where(~F.isnan(F.col(_KEY)) & ~F.col(_KEY).isin(float("-inf"))) \
-        .agg(F.percentile_approx(_KEY, probs, acc).alias("q")).first()
-    edges = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
-    if not edges:
-        return keyed.withColumn(BUCKET, F.lit(0)).drop(_KEY)
-    splits = [float("-inf")] + edges + [float("inf")]
-    bz = Bucketizer(splits=splits, inputCol=_KEY, outputCol=BUCKET, handleInvalid="keep")
-    return bz.transform(keyed).withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(_KEY)
+        return df.withColumn(BUCKET, F.lit(0))
+    second = cols[1] if len(cols) > 1 and edge_source is None and \
+        isinstance(_col_type(df, cols[1]), T.NumericType) else None
+    keyed = df.withColumn(_KEY, _order_key(df, cols[0]))
+    keys = [_KEY]
+    if second:
+        keyed = keyed.withColumn(_KEY2, _order_key(df, second))
+        keys.append(_KEY2)
+    src = keyed.select(*keys) if edge_source is None else edge_source.select(_order_key(edge_source, cols[0]).alias(_KEY))
+    edges = _range_edges(src, keys, b)
+    firsts = sorted({e[0] for e in edges})
+    if not firsts:
+        return keyed.withColumn(BUCKET, F.lit(0)).drop(*keys)
+    bz = Bucketizer(splits=[float("-inf"), *firsts, float("inf")], inputCol=_KEY, outputCol=BUCKET, handleInvalid="keep")
+    # Bucketizer counts the distinct first values up to the key; a value with
+    # several edges takes more numbers, one for each of its second values.
+    ties = {f: sorted(e[1] for e in edges if e[0] == f) for f in firsts} if second else {}
+    ties = {f: x for f, x in ties.items() if len(x) > 1}
+    out = bz.transform(keyed).withColumn(BUCKET, F.col(BUCKET).cast("int"))
+    if ties:
+        before, n = [0], 0  # edges of values so far beyond one each
+        for f in firsts:
+            n += len(ties.get(f, [0])) - 1
+            before.append(n)
+        more = F.element_at(F.array(*[F.lit(x) for x in [*before, n]]), F.least(F.col(BUCKET), F.lit(len(firsts))) + 1)
+        tied = F.coalesce(*[F.when(F.col(_KEY) == f, F.size(F.filter(
+            F.array(*[F.lit(x) for x in seconds]), lambda e: e <= F.col(_KEY2))) - len(seconds))
+            for f, seconds in ties.items()], F.lit(0))
+        out = out.withColumn(BUCKET, (F.col(BUCKET) + more + tied).cast("int"))
+    return out.drop(*keys)
 
 
 def running_sums(df: DataFrame, order_cols: list[str], weights: dict[str, Column],
@@ -94,7 +122,7 @@ def running_sums(df: DataFrame, order_cols: list[str], weights: dict[str, Column
     """
     specs = [(n, w, list(by or []), inclusive) for n, w in weights.items()]
     if bucketed is None:
-        bucketed = add_range_bucket(df, order_cols[0], buckets, edge_source=edge_source)
+        bucketed = add_range_bucket(df, order_cols, buckets, edge_source=edge_source)
     return running_sums_multi(df, order_cols, specs, buckets=buckets, bucketed=bucketed,
                               group_domains=group_domains)
 
@@ -123,7 +151,7 @@ def running_sums_multi(df: DataFrame, order_cols: list[str],
     running and the table is broadcast by hint when it is small, so the join
     never reshuffles the full table. Otherwise the join carries no hint and
     adaptive execution decides from the measured size."""
-    b = bucketed if bucketed is not None else add_range_bucket(df, order_cols[0], buckets)
+    b = bucketed if bucketed is not None else add_range_bucket(df, order_cols, buckets)
     n_buckets = buckets or default_buckets(df)
     domains = group_domains or {}
     finest: list[str] = []
