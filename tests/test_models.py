@@ -104,7 +104,7 @@ def test_alerts_with_forest(spark, feats):
     logs = feats.select("id", "timestamp", "method", "response_time_ms", "status_code", "hour")
     a = anomaly.alerts(logs, det, forest_scorer=lambda x: iforest.score(x, f))
     rows = a.collect()
-    assert rows and all(r["alert_type"] == "anomaly" and r["severity"] in ("HIGH", "MEDIUM") for r in rows)
+    assert rows and all(r["alert_type"] == "anomaly_detected" and not r["acknowledged"] and r["severity"] in ("HIGH", "MEDIUM") for r in rows)
     z_only = anomaly.alerts(logs, det).count()
     assert len(rows) >= z_only
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_half_up, with_scalar
+from ..schema import WEBLOG_COLUMNS
 from .stats import feature_moments
 
 Z_THRESHOLD = 3.0
@@ -163,16 +164,17 @@ def alerts(logs: DataFrame, det: Detector | None, rule: str = "zscore",
         x = scored.drop(*[c for c in feats if c in scored.columns])
         scored = forest_scorer(x.select("*", *[v.alias(k) for k, v in feats.items()]))
     res = combine(scored).where(F.col("is_anomaly"))
-    log_data = F.to_json(F.struct(F.col("_m").alias("method"), F.col("_h").alias("hour"),
-                                  F.col("_rt").alias("response_time_ms")))
+    # the whole log row, and the whole result
+    log_data = F.to_json(F.struct(*[c for c in logs.columns if c in WEBLOG_COLUMNS], F.col("_h").alias("hour")))
+    result = F.to_json(F.struct("is_anomaly", "score", "details"))
     return res.select(
-        F.lit("anomaly").alias("alert_type"),
-        F.col("timestamp"),
+        F.lit("anomaly_detected").alias("alert_type"),
         severity(rule).alias("severity"),
         log_data.alias("log_data"),
-        F.to_json("details").alias("anomaly_details"),
-        F.col("score"),
-        F.col("id"),
+        result.alias("anomaly_details"),
+        F.lit(False).alias("acknowledged"),
+        F.localtimestamp().alias("created_at"),
+        F.col("timestamp"), F.col("score"), F.col("id"),
     )
 
 

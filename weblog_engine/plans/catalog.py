@@ -192,16 +192,19 @@ def _alerts(spark, d):
     logs = weblogs(spark, d)
     det = anomaly.fit_moments(features.row_features(logs), ["hour", "response_time_ms"])
     a = anomaly.alerts(logs, det)
-    return a.select("id", "alert_type", "severity", "score")
+    return a.select("id", "alert_type", "severity", "score", "acknowledged",
+                    F.get_json_object("log_data", "$.path").alias("path"),
+                    F.get_json_object("anomaly_details", "$.is_anomaly").alias("is_anomaly"))
 
 
 register("alert_stream_batch", with_weblogs(
     """m AS (SELECT avg(response_time_ms) AS m,
                     greatest(stddev_pop(response_time_ms), CAST(1e-6 AS DOUBLE)) AS s FROM weblogs)""",
-    "z AS (SELECT id, (response_time_ms - m) / s AS z FROM weblogs, m)") + f"""
-SELECT id, 'anomaly' AS alert_type,
+    "z AS (SELECT id, path, (response_time_ms - m) / s AS z FROM weblogs, m)") + f"""
+SELECT id, 'anomaly_detected' AS alert_type,
        CASE WHEN abs(z) >= 6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
-       {r('(CASE WHEN z > 3 THEN CAST(-1 AS DOUBLE) WHEN z < -3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / 2', 4)} AS score
+       {r('(CASE WHEN z > 3 THEN CAST(-1 AS DOUBLE) WHEN z < -3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / 2', 4)} AS score,
+       false AS acknowledged, path, 'true' AS is_anomaly
 FROM z WHERE abs(z) > 3""")(_alerts)
 
 
@@ -743,7 +746,7 @@ register("stream_alerts", with_weblogs(
     """m AS (SELECT avg(response_time_ms) AS m,
                     greatest(stddev_pop(response_time_ms), CAST(1e-6 AS DOUBLE)) AS s FROM weblogs)""",
     "z AS (SELECT id, (response_time_ms - m) / s AS z FROM weblogs, m)") + f"""
-SELECT id, 'anomaly' AS alert_type,
+SELECT id, 'anomaly_detected' AS alert_type,
        CASE WHEN abs(z) >= 6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
        {r('(CASE WHEN z > 3 THEN CAST(-1 AS DOUBLE) WHEN z < -3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / 2', 4)} AS score
 FROM z WHERE abs(z) > 3""")(_stream_alerts)
@@ -998,9 +1001,8 @@ SELECT id, true AS same_score FROM weblogs""")(_reload)
 
 
 def _audit(spark, d):
-    s = _scored(spark, d).join(weblogs(spark, d).select("id", "timestamp", "method", "bytes_sent",
-                                                         "status_code"), "id")
-    s = s.withColumn("error_probability", round_half_up("score", 4)).withColumn("risk_level", risk_band("score")) \
+    s = weblogs(spark, d).withColumn("score", F.least(F.col("response_time_ms") / F.lit(5000.0), F.lit(1.0))) \
+        .withColumn("error_probability", round_half_up("score", 4)).withColumn("risk_level", risk_band("score")) \
         .withColumn("latency", F.col("bytes_sent") / F.lit(1000.0))
     err = score.audit_rows(s, "error", "v_fixed", ["method"], ["error_probability", "risk_level"],
                            "latency", "timestamp")

@@ -38,15 +38,6 @@ EVENT_JSON_SCHEMA = T.StructType([
     T.StructField("bytesSent", T.StringType()),
 ])
 
-PREDICTIONS_SCHEMA = T.StructType([
-    T.StructField("prediction_type", T.StringType(), False),
-    T.StructField("input_data", T.StringType()),
-    T.StructField("result", T.StringType()),
-    T.StructField("model_version", T.StringType()),
-    T.StructField("latency_ms", T.DoubleType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-])
-
 TRAINING_RUNS_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType(), False),
     T.StructField("status", T.StringType()),
@@ -69,18 +60,3 @@ MODEL_METADATA_SCHEMA = T.StructType([
     T.StructField("trained_at", T.TimestampType()),
 ])
 
-ALERTS_SCHEMA = T.StructType([
-    T.StructField("alert_type", T.StringType(), False),
-    T.StructField("severity", T.StringType(), False),
-    T.StructField("log_data", T.StringType()),
-    T.StructField("anomaly_details", T.StringType()),
-    T.StructField("acknowledged", T.BooleanType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-])
-
-METRIC_SAMPLE_SCHEMA = T.StructType([
-    T.StructField("metric", T.StringType(), False),
-    T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("ts", T.TimestampNTZType(), False),
-    T.StructField("value", T.DoubleType()),
-])
