@@ -1166,7 +1166,30 @@ def _alerts_forest(spark, d):
 
 register("alert_stream_forest")(_alerts_forest)
 
-register("stats_document")(lambda spark, d: stats.stats_document(weblogs(spark, d)))
+
+
+def _document(spark, d):
+    """The document's maps as text, entries in order of their keys."""
+    def text(m, value):
+        entries = F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"].cast("string"), value(e["value"])))
+        return F.array_join(F.array_sort(entries), ",")
+    doc = stats.stats_document(weblogs(spark, d))
+    whole = lambda v: v.cast("string")
+    return doc.select(
+        "total_records", text("status_code_frequency_absolute", whole).alias("status_absolute"),
+        text("status_code_frequency_relative", lambda v: F.round(v * 10000).cast("long").cast("string")).alias("status_per_10000"),
+        text("method_frequency", whole).alias("methods"))
+
+
+register("stats_document", with_weblogs(
+    """st AS (SELECT CAST(status_code AS VARCHAR) AS k, count(*) AS c,
+                     CAST(floor(count(*) / CAST((SELECT count(*) FROM weblogs) AS DOUBLE) * 10000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS s
+              FROM weblogs GROUP BY 1)""",
+    "me AS (SELECT method AS k, count(*) AS c FROM weblogs GROUP BY 1)") + """
+SELECT (SELECT count(*) FROM weblogs) AS total_records,
+       (SELECT string_agg(k || '=' || c, ',' ORDER BY k || '=' || c) FROM st) AS status_absolute,
+       (SELECT string_agg(k || '=' || s, ',' ORDER BY k || '=' || s) FROM st) AS status_per_10000,
+       (SELECT string_agg(k || '=' || c, ',' ORDER BY k || '=' || c) FROM me) AS methods""")(_document)
 
 
 def _ks_exact(spark, d):
