@@ -97,11 +97,11 @@ def request_features(requests: DataFrame, hourly_frequency: int = 50,
     )
 
 
-def validate_requests(requests: DataFrame, kind: str = "error") -> tuple[DataFrame, DataFrame]:
-    """Split requests into (valid, rejected with reason). ``kind`` is
-    ``error`` / ``response_time`` (method, hour 0-23, average > 0, weekday
-    0-6, is_error 0/1) or ``anomaly`` (response time > 0, hour, weekday)."""
-    cols = requests.columns
+def reject_reason(cols: list[str], kind: str = "error"):
+    """Why a request row with these columns is invalid, NULL where it is not.
+    ``kind`` is ``error`` / ``response_time`` (method, hour 0-23, average > 0,
+    weekday 0-6, is_error 0/1) or ``anomaly`` (response time > 0, hour,
+    weekday)."""
     checks = []
     if "method" in cols:
         checks.append(("method", F.col("method").isNotNull() & (F.length(F.trim(F.col("method"))) > 0)))
@@ -118,7 +118,12 @@ def validate_requests(requests: DataFrame, kind: str = "error") -> tuple[DataFra
     reason = F.lit(None).cast("string")
     for name, ok in reversed(checks):
         reason = F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"invalid {name}")).otherwise(reason)
-    tagged = requests.withColumn("_reject", reason)
+    return reason
+
+
+def validate_requests(requests: DataFrame, kind: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Split requests into (valid, rejected with reason)."""
+    tagged = requests.withColumn("_reject", reject_reason(requests.columns, kind))
     good = tagged.where(F.col("_reject").isNull()).drop("_reject")
     bad = tagged.where(F.col("_reject").isNotNull()).withColumnRenamed("_reject", "reject_reason")
     return good, bad

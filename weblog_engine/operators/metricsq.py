@@ -137,13 +137,18 @@ def request_samples(logs: DataFrame, step: str = "1 minute") -> DataFrame:
                         F.create_map(F.lit("method"), "method").alias("labels"), "ts", F.col("cn").alias("value"))
     sums = cum.select(F.lit("http_server_requests_seconds_sum").alias("metric"),
                       F.create_map(F.lit("method"), "method").alias("labels"), "ts", F.col("cs").alias("value"))
-    bucket_cells = F.array(*[F.struct(F.lit("+Inf" if b == float("inf") else repr(b)).alias("le"),
-                                      F.count(F.when(secs <= F.lit(b), 1)).cast("double").alias("n"))
-                             for b in LATENCY_BUCKETS])
-    per_b = logs.groupBy(step_ts.alias("ts")).agg(bucket_cells.alias("cells")) \
-        .select("ts", F.inline("cells"))
-    wb = Window.partitionBy("le").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = per_b.select(F.lit("http_server_requests_seconds_bucket").alias("metric"),
-                           F.create_map(F.lit("le"), "le").alias("labels"), "ts",
-                           F.sum("n").over(wb).alias("value"))
-    return counts.unionByName(sums).unionByName(buckets)
+    return counts.unionByName(sums).unionByName(bucket_samples(logs, step))
+
+
+def bucket_samples(logs: DataFrame, step: str = "1 minute", by: tuple[str, ...] = ()) -> DataFrame:
+    """Cumulative latency bucket counters, labelled by bucket and ``by``."""
+    secs = F.col("response_time_ms") / F.lit(1000.0)
+    cells = F.array(*[F.struct(F.lit("+Inf" if b == float("inf") else repr(b)).alias("le"),
+                               F.count(F.when(secs <= F.lit(b), 1)).cast("double").alias("n"))
+                      for b in LATENCY_BUCKETS])
+    per = logs.groupBy(F.window("timestamp", step)["end"].alias("ts"), *by).agg(cells.alias("cells")) \
+        .select("ts", *by, F.inline("cells"))
+    w = Window.partitionBy(*by, "le").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    labels = F.create_map(*[x for c in (*by, "le") for x in (F.lit(c), F.col(c))])
+    return per.select(F.lit("http_server_requests_seconds_bucket").alias("metric"), labels.alias("labels"), "ts",
+                      F.sum("n").over(w).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import risk_band, round_half_up
+from ..functions.scalar import exact_sum, risk_band, round_half_up
 from .features import request_features, validate_requests
 from .metrics import interval_95
 from .train import Trained, positive_score
@@ -75,6 +75,14 @@ def prediction_volume(audit: DataFrame) -> DataFrame:
                      F.count_if(F.col("prediction_type") == "response_time").alias("response_time_predictions"))
 
 
+def prediction_failures(requests: DataFrame, kind: str = "error") -> DataFrame:
+    """Failure counter: per method, how many prediction requests came and how
+    many failed validation."""
+    from .features import reject_reason
+    failed = reject_reason(requests.columns, kind).isNotNull()
+    return requests.groupBy("method").agg(F.count(F.lit(1)).alias("requests"), F.count_if(failed).alias("failures"))
+
+
 def prediction_metrics(audit: DataFrame, step: str = "5 minutes") -> DataFrame:
     """Per time step: prediction counters by type and the latency timer
     (count, exact sum, max)."""
@@ -83,6 +91,6 @@ def prediction_metrics(audit: DataFrame, step: str = "5 minutes") -> DataFrame:
         F.count_if(F.col("prediction_type") == "error").alias("error_predictions"),
         F.count_if(F.col("prediction_type") == "response_time").alias("response_time_predictions"),
         F.count("latency_ms").alias("latency_count"),
-        F.sum(F.col("latency_ms").cast("decimal(38,6)")).cast("double").alias("latency_sum_ms"),
+        exact_sum("latency_ms").alias("latency_sum_ms"),
         F.max("latency_ms").alias("latency_max_ms"))
     return g.select(F.col("w.start").alias("window_start"), *[c for c in g.columns if c != "w"])

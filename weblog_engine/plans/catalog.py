@@ -1043,6 +1043,42 @@ SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, count(*) AS p
        max(latency_ms) AS latency_max_ms
 FROM audit GROUP BY 1""")(lambda spark, d: score.prediction_metrics(_audit(spark, d)))
 
+register("prediction_failures", with_weblogs(_REQUESTS_CTE) + """
+SELECT method, count(*) AS requests, count(*) FILTER (WHERE NOT (historical_avg_response > 0)) AS failures
+FROM requests GROUP BY 1""")(lambda spark, d: score.prediction_failures(_requests(spark, d)))
+
+
+def _hq_method(spark, d):
+    rates = metricsq.counter_rate(metricsq.bucket_samples(weblogs(spark, d), by=("method",))) \
+        .withColumn("le", F.col("labels")["le"]).withColumn("method", F.col("labels")["method"])
+    h = metricsq.histogram_quantile(0.95, rates, by=["method"])
+    return h.select("method", "ts", round_half_up(metricsq.scale(F.col("quantile"), 1000), 4).alias("p95_ms"))
+
+
+register("histogram_p95_ms_by_method", with_weblogs(
+    "perm AS (SELECT method, time_bucket(INTERVAL 1 MINUTE, \"timestamp\") + INTERVAL 1 MINUTE AS ts, " +
+    ", ".join(f"CAST(count(*) FILTER (WHERE response_time_ms / CAST(1000 AS DOUBLE) <= "
+              f"CAST('{'inf' if b == float('inf') else repr(b)}' AS DOUBLE)) AS DOUBLE) AS b{i}"
+              for i, b in enumerate(metricsq.LATENCY_BUCKETS)) + " FROM weblogs GROUP BY 1, 2)",
+    "longm AS (" + " UNION ALL ".join(f"SELECT method, ts, '{t}' AS le, b{i} AS n FROM perm"
+                                      for i, t in enumerate(_BUCKET_TEXT)) + ")",
+    """samples AS (SELECT method, le, ts, sum(n) OVER (PARTITION BY method, le ORDER BY ts ROWS UNBOUNDED PRECEDING) AS value
+  FROM longm)""",
+    """inc AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN NULL
+                       WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END AS increase
+  FROM samples WINDOW w AS (PARTITION BY method, le ORDER BY ts))""",
+    """br AS (SELECT method, ts, CASE WHEN le = '+Inf' THEN CAST('inf' AS DOUBLE) ELSE CAST(le AS DOUBLE) END AS le,
+     coalesce(sum(increase) OVER (PARTITION BY method, le ORDER BY epoch_us(ts)
+                                  RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW), 0) / CAST(300 AS DOUBLE) AS c
+  FROM inc)""",
+    """b AS (SELECT method, ts, le, c, coalesce(lag(le) OVER (PARTITION BY method, ts ORDER BY le), 0) AS prev_le,
+         coalesce(lag(c) OVER (PARTITION BY method, ts ORDER BY le), 0) AS prev_c,
+         max(c) OVER (PARTITION BY method, ts) AS total FROM br)""",
+    """h AS (SELECT method, ts, arg_min(struct_pack(le := le, prev_le := prev_le, c := c, prev_c := prev_c, total := total), le) AS h
+  FROM b WHERE c >= CAST(0.95 AS DOUBLE) * total AND total > 0 GROUP BY 1, 2)""") + f"""
+SELECT method, ts, {r("CASE WHEN h.le = CAST('inf' AS DOUBLE) THEN h.prev_le ELSE coalesce(h.prev_le + (h.le - h.prev_le) * ((CAST(0.95 AS DOUBLE) * h.total - h.prev_c) / nullif(h.c - h.prev_c, 0)), h.le) END * CAST(1000 AS DOUBLE)", 4)} AS p95_ms
+FROM h""")(_hq_method)
+
 # --------------------------------------------- A/B/F: scans, sinks, sorts
 
 register("sorted_logs", with_weblogs() + """
