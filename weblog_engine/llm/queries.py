@@ -72,7 +72,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_set_join")
 def op6_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import setjoin
-    return setjoin.join(documents(spark, sf_dir)).drop("tag")
+    return setjoin.join(documents(spark, sf_dir)).drop("tag", "group")
 
 
 @register("op7_fingerprints")

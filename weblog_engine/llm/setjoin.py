@@ -3,12 +3,14 @@ that its links make.
 
 1. Each document's set: 64-bit hashes of its distinct 5-word shingles. Documents
    with equal sets are collapsed into one with a weight.
-2. Two sets with Jaccard similarity t share a shingle among the first
-   n - ceil(t n) + 1 of each, in any common order. Common shingles are put last
-   in that order, so these prefixes are rare shingles. In each shingle's list of
-   sets, sorted by size, neighbours are chained unless the smaller has less than
-   t times the size of the larger: similar sets end up in one chained
-   component, and no list's pairs are written out.
+2. Two sets with Jaccard similarity t share l shingles among the first
+   n - ceil(t n) + l of each, in any common order. A first order by hash, the
+   most common shingles last, sets aside the sets of whose prefixes other sets
+   hold fewer than l, ``EXTRA`` percent of the set. Among the others all
+   shingles are counted: sets with too many shingles of their own drop out, and
+   the prefixes of the rest, rarest first and with l = 1, give the index lists. In each list, sorted by size, neighbours are chained
+   unless the smaller has less than t times the size of the larger: similar sets
+   end up in one chained component, and no list's pairs are written out.
 3. A component's sets meet in tasks, large components in pairs of blocks. There,
    an inverted index over all shingles answers one set after another: index lists
    are ordered by size, so a list's blocks outside a set's size bounds are
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
@@ -38,8 +40,10 @@ from .common import byte_codes, mix64, prepare, saved, signed, text_bytes
 
 WORDS = 5
 PERCENT = 75  # links from 100 * intersection >= PERCENT * union
+EXTRA = 8  # percent of a set that the first prefixes must share
 COMMON = 1 << 16  # shingles whose frequency enters the order; bounds a broadcast
 COMMON_IN_TASK = 8  # occurrences in a task from which a shingle is counted
+MARKS = 1 << 26  # bits of the map of documents that may have partners
 BLOCK_BYTES = 8 << 20  # text that a block of a component holds
 
 _SPACE = np.zeros(256, bool)
@@ -95,7 +99,7 @@ def shingles(data: np.ndarray) -> np.ndarray:
     n = len(w) - m + 1
     s = np.full(n, m, np.uint64)
     for k in range(m):
-        s = s + mix64(w[k:k + n] + _STEPS[k]) * _STEPS[k]
+        s += w[k:k + n] * _STEPS[k]
     return np.unique(mix64(s))
 
 
@@ -105,85 +109,190 @@ def _texts(column) -> Iterator[np.ndarray]:
         yield data[a:z]
 
 
-def common_shingles(rows: DataFrame, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The ``limit`` most frequent shingles and their counts. Tasks report
-    those they see ``COMMON_IN_TASK`` times; what this misses only moves a
-    shingle's place in the order."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        waiting, size = [], 0
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Length of the first prefix of a set of ``n``. A partner has at least
+    ``percent`` of n elements, so it and this set share that many percent of
+    the extra entries, ``least_shared``."""
+    return min(n, n - -(-percent * n // 100) + max(1, -(-EXTRA * n // 100))) if n else 0
+
+
+def least_shared(n, percent: int = PERCENT):
+    """How many prefix entries of a set of ``n`` (a column) other sets hold
+    where it has a partner."""
+    return F.greatest(F.lit(1), F.ceil(F.ceil(n * percent / 100) * EXTRA / 100))
+
+
+def digest(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that stand for a set."""
+    if not len(s):
+        return np.uint64(0), np.uint64(0)
+    return np.bitwise_xor.reduce(s), (mix64(s) * (s | np.uint64(1))).sum()
+
+
+def set_ids(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    return signed(mix64(d1 ^ mix64(d2)))
+
 
-        def merge(keys, n, waiting):
-            new, m = np.unique(np.concatenate(waiting), return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            total = np.bincount(where, np.concatenate([n, m])).astype(np.int64)
-            if len(keys) > 1 << 20:  # bounded: the rare ones go
-                keep = total > np.partition(total, len(total) - (1 << 19))[len(total) - (1 << 19)]
-                keys, total = keys[keep], total[keep]
-            return keys, total
+_SCAN = "key long, tag int, n long, d1 long, d2 long, id long, s long, times long"
 
+
+def scan(rows: DataFrame) -> DataFrame:
+    """Two kinds of rows from one pass over the texts: size, digest and id of
+    each set; and, with ``times``, how often a task saw a shingle that it saw
+    ``COMMON_IN_TASK`` times. What the latter miss only moves a shingle's place
+    in an order."""
+    def merge(keys, n, waiting):
+        new, m = np.unique(np.concatenate(waiting), return_counts=True)
+        keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        total = np.bincount(where, np.concatenate([n, m])).astype(np.int64)
+        if len(keys) > 1 << 20:  # bounded: the rare ones go
+            keep = total > np.partition(total, len(total) - (1 << 19))[len(total) - (1 << 19)]
+            keys, total = keys[keep], total[keep]
+        return keys, total
+
+    names = [x.split(" ")[0] for x in _SCAN.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting, size = [], 0
         for b in batches:
-            for data in _texts(b.column(0)):
-                s = shingles(data)
-                waiting.append(s)
-                size += len(s)
-                if size > 1 << 20:
-                    keys, n = merge(keys, n, waiting)
-                    waiting, size = [], 0
+            found = [shingles(data) for data in _texts(b.column(2))]
+            n = np.array([len(s) for s in found], np.int64)
+            d = np.array([digest(s) for s in found], np.uint64).reshape(-1, 2)
+            nothing = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(n), pa.array(signed(d[:, 0].copy())), pa.array(signed(d[:, 1].copy())),
+                 pa.array(set_ids(d[:, 0], d[:, 1])), nothing, nothing], names)
+            waiting += found
+            size += int(n.sum())
+            if size > 1 << 20:
+                keys, times = merge(keys, times, waiting)
+                waiting, size = [], 0
         if waiting:
-            keys, n = merge(keys, n, waiting)
-        often = n >= COMMON_IN_TASK
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys[often])), pa.array(n[often])], ["s", "n"])
+            keys, times = merge(keys, times, waiting)
+        often = times >= COMMON_IN_TASK
+        if often.any():
+            nothing = pa.nulls(int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [nothing, nothing.cast(pa.int32()), *[nothing] * 4, pa.array(signed(keys[often])), pa.array(times[often])], names)
+
+    return rows.select("key", "tag", "text").mapInArrow(run, _SCAN)
 
-    counts = saved(rows.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "common")
-    # the least power of two that at most ``limit`` shingles reach
+
+def common_shingles(found: DataFrame, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles from the least power of two of occurrences on that at most
+    ``limit`` shingles reach, and their counts."""
+    counts = saved(found.where("times IS NOT NULL").groupBy("s").agg(F.sum("times").alias("n")), "common")
     steps = counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("n")) \
         .orderBy(F.col("p").desc()).collect()
-    power, total = 63, 0
+    power, total = 62, 0
     for r in steps:
         total += r.n
         if total > limit:
             break
         power = r.p
-    top = counts.where(F.col("n") >= F.lit(1 << min(power, 62))).toArrow()
+    top = counts.where(F.col("n") >= F.lit(1 << power)).toArrow()
     s, n = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
-
-
-def sets(rows: DataFrame, common, percent: int) -> DataFrame:
-    """(key, n, d1, d2, prefix): size, digest and ordered prefix of each set."""
+def sharing(rows: DataFrame, common, percent: int) -> DataFrame:
+    """(half, shared): by the lower half of a set's id, how many entries of its
+    prefix other sets hold too. Prefixes go by hash, common shingles last. Two
+    ids with equal halves look like one set here; ``join`` adds all such ids."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, often = shared.value
         for b in batches:
-            size, d1, d2, prefix, ends = [], [], [], [], [0]
-            for data in _texts(b.column("text")):
+            entries, ids, size = [], [], []
+            for data in _texts(b.column(0)):
                 s = shingles(data)
-                size.append(len(s))
-                d1.append(np.bitwise_xor.reduce(s) if len(s) else 0)
-                d2.append((mix64(s) * (s | np.uint64(1))).sum() if len(s) else 0)
                 m = prefix_length(len(s), percent)
-                if len(s) and len(keys):
+                if not m:
+                    continue
+                d1, d2 = digest(s)
+                ids.append(set_ids(np.array([d1]), np.array([d2]))[0])
+                if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    count = np.where(keys[at] == s, often[at], 0)
-                    s = s[np.argsort(count, kind="stable")]
-                prefix.append(s[:m])
-                ends.append(ends[-1] + m)
-            values = signed(np.concatenate(prefix)) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("tag"), pa.array(np.array(size, np.int64)),
-                 pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(values))],
-                ["key", "tag", "n", "d1", "d2", "prefix"])
+                    known = keys[at] == s
+                    if known.any():
+                        s = s[np.argsort(np.where(known, often[at], 0), kind="stable")]
+                entries.append(s[:m])
+                size.append(m)
+            if entries:
+                half = (np.repeat(np.array(ids), size) & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(entries))), pa.array(half)], ["s", "half"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted. The last different row is held back until its
+        successor shows, with whether its predecessor has the same entry."""
+        last, held = None, False
+        for b in batches:
+            s, half = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if last is not None:
+                s, half = np.append(last[0], s), np.append(last[1], half)
+            if not len(s):
+                continue
+            new = np.append(True, (s[1:] != s[:-1]) | (half[1:] != half[:-1]))  # copies count once
+            s, half = s[new], half[new]
+            same = s[1:] == s[:-1]
+            before = np.append(held, same)
+            yield counted(half[:-1][before[:-1] | same])
+            last, held = (s[-1], half[-1]), bool(before[-1])
+        if held:
+            yield counted(np.array([last[1]], np.int32))
+
+    def counted(half: np.ndarray) -> pa.RecordBatch:
+        half, n = np.unique(half, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(half.astype(np.int32)), pa.array(n)], ["half", "shared"])
+
+    entries = rows.select("text").mapInArrow(prefixes, "s long, half int")
+    return entries.repartition(shuffle_partitions(rows.sparkSession), "s").sortWithinPartitions("s", "half") \
+        .mapInArrow(near, "half int, shared long") \
+        .groupBy(F.col("half").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")).agg(F.sum("shared").alias("shared"))
+
+
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose (key, tag) may be wanted, by a bitmap of ``MARKS`` bits
+    whatever the data: only few of the texts then need a shuffle to be joined.
+    The join decides."""
+    place = F.pmod(F.xxhash64("key", "tag"), F.lit(MARKS))
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros(MARKS // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            p = b.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays(b.columns[:3], ["key", "tag", "text"]) \
+                .filter(pa.array(bits[p >> 6] >> (p & 63) & 1 == 1))
+
+    return rows.select("key", "tag", "text", place.alias("place")).mapInArrow(run, "key long, tag int, text string")
+
+
+def rare_prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """(id, n, s): the entries of each set's prefix that other sets hold too,
+    where prefixes go by the number of sets that hold a shingle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [signed(shingles(data)) for data in _texts(b.column(1))]
+            ids = np.repeat(b.column(0).to_numpy(), [len(s) for s in found])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["id", "s"])
 
-    return rows.select("key", "tag", "text").mapInArrow(
-        run, "key long, tag int, n long, d1 long, d2 long, prefix array<long>")
+    held = texts.select("id", "text").mapInArrow(run, "id long, s long")
+    shared = held.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("df > 1")
+    lists = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared")) \
+        .join(texts.select("id", "n"), "id")
+    # what is left of the prefix after the shingles of the set's own
+    room = F.size("shared") - F.ceil(F.col("n") * percent / 100) + 1
+    return lists.where(room > 0).select("id", "n", F.explode(F.slice("shared", F.lit(1), room.cast("int"))).alias("e")) \
+        .select("id", "n", F.col("e.s").alias("s"))
 
 
 class Forest:
@@ -378,28 +487,30 @@ def compare(rows: DataFrame, percent: int) -> DataFrame:
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, tag, n_shingles, component_id, links): one row per input row; tag
-    is a hash of its text. links: how many other rows it is linked with."""
+    """(id, tag, n_shingles, component_id, links, group): one row per input row;
+    tag is a hash of its text. links: how many other rows it is linked with.
+    group: a number for the component, null for rows without shingles."""
     spark = df.sparkSession
     prepare(spark)
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
-    found = saved(sets(rows, common_shingles(rows), percent), "sets")
+    seen = saved(scan(rows), "sets")
+    found = seen.where("times IS NULL").select("key", "tag", "n", "d1", "d2", "id")
     # one representative of equal sets
-    classes = saved(found.where("n > 0").groupBy("n", "d1", "d2").agg(
+    classes = saved(found.where("n > 0").groupBy("id", "n", "d1", "d2").agg(
         F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "tag")).alias("r"),
         F.count(F.lit(1)).alias("weight"))
-        .select("n", "d1", "d2", "r.key", "r.tag", F.col("weight").cast("long").alias("weight"),
-                F.xxhash64("d1", "d2", "n").alias("id")), "set_classes")
-    first = found.where("n > 0").join(
-        classes.select("id", F.col("key").alias("k"), F.col("tag").alias("t")),
-        F.col("key").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t")))
-    postings = first.select("id", "n", F.explode("prefix").alias("s"))
-    near = saved(components(chains(postings, percent), "chain_rounds"), "chained")
-    # the texts of the sets that are chained to others, by component and block
-    member = classes.join(near, "id")
-    picked = saved(rows.alias("r").join(
-        member.alias("m"), F.col("r.key").eqNullSafe(F.col("m.key")) & (F.col("r.tag") == F.col("m.tag")))
-        .select("m.id", "m.component", "m.weight", "r.text"), "chained_texts")
+        .select("id", "n", "d1", "d2", "r.key", "r.tag", F.col("weight").cast("long").alias("weight"),
+                F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").alias("half")), "set_classes")
+    twins = classes.groupBy("half").agg(F.count(F.lit(1)).alias("twins"))
+    halves = sharing(rows, common_shingles(seen), percent)
+    near = saved(classes.join(twins, "half").join(halves, "half", "left")
+                 .where((F.col("twins") > 1) | (F.col("shared") >= least_shared(F.col("n"), percent)))
+                 .select("id", "n", "weight", "key", "tag"), "sharing_sets")
+    texts = saved(marked(rows, near).alias("r").join(
+        near.alias("m"), F.col("r.key").eqNullSafe(F.col("m.key")) & (F.col("r.tag") == F.col("m.tag")))
+        .select("m.id", "m.n", "m.weight", "r.text").dropDuplicates(["id"]), "set_texts")
+    chained = components(chains(rare_prefixes(texts, percent), percent), "chain_rounds")
+    picked = saved(texts.join(chained, "id").select("id", "component", "weight", "text"), "chained_texts")
     sizes = picked.groupBy("component").agg(
         F.ceil(F.sum(F.octet_length("text").cast("long") + 200) / F.lit(block_bytes)).cast("int").alias("blocks"))
     placed = picked.join(sizes, "component").withColumn("block", F.pmod(F.col("id"), F.col("blocks")).cast("int")) \
@@ -412,8 +523,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
         .withColumn("component", F.coalesce("component", "id"))
     name_of = named.groupBy("component").agg(F.min("key").alias("component_id"))
     answered = named.join(name_of, "component").select(
-        "n", "d1", "d2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    return found.drop("prefix").join(answered, ["n", "d1", "d2"], "left").select(
+        "n", "d1", "d2", "component_id", F.col("component").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    return found.drop("id").join(answered, ["n", "d1", "d2"], "left").select(
         F.col("key").alias(id_col), "tag", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"), "group")
