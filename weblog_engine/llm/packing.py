@@ -26,9 +26,8 @@ BUCKETS, STEPS, BUDGET, PARTS = 16, 32, 16384, 256
 
 def n_tokens(text_col: str = "text") -> Column:
     """Number of words (runs between white space)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    starts = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++"))
-    return starts.cast("long")
+    words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]++")
+    return F.size(F.array_remove(words, "")).cast("long")
 
 
 def on_grid(n: Column, steps: int = STEPS) -> Column:
@@ -90,7 +89,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(length, F.lit(1)))).cast("long")
     in_part = Window.partitionBy("bucket", "_part").orderBy(F.col(id_col), F.col(text_col))
     index = F.col("_before") + F.row_number().over(in_part) - 1
-    return rows.withColumn("bucket", bucket_of).join(F.broadcast(before), ["bucket", "_part"]) \
+    # every part of a bucket is in ``before``; a left join spares the null check
+    # on its keys, which would count the words of each text many times over
+    return rows.withColumn("bucket", bucket_of).join(F.broadcast(before), ["bucket", "_part"], "left") \
         .withColumn("_index", index.cast("long")).withColumn("bucket_len", length) \
         .withColumn("batch_id", F.floor(F.col("_index") / per_batch)) \
         .withColumn("batch_pos", (F.col("_index") % per_batch).cast("int")) \
