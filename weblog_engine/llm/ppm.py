@@ -204,12 +204,16 @@ def train(df: DataFrame, lang_col: str = "lang", docs_per_language: int = DOCS_P
     return Model(langs, counts)
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+             keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, lang_pred, score, bits_per_byte): the language with the shortest
-    code, its share 2^-bits of all languages' and its bits per byte."""
+    code, its share 2^-bits of all languages' and its bits per byte. The
+    columns named in ``keep`` come as one struct ``row``."""
     spark = df.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
+    rows = df.select(id_col, F.col(text_col).alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
+    names = [id_col, "lang_pred", "score", "bits_per_byte", *(["row"] if keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -229,11 +233,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 lang = [m.langs[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), readable.tolist())]
                 rate = least / np.maximum(np.diff(offsets), 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(lang), pa.array(score), pa.array(rate)],
-                [id_col, "lang_pred", "score", "bits_per_byte"])
+                [b.column(0), pa.array(lang), pa.array(score), pa.array(rate), *b.columns[2:]], names)
 
-    return df.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(
+        run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double"
+             + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else ""))
 
 
 def held_out(id_col: str = "doc_id"):

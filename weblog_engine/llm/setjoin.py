@@ -254,25 +254,17 @@ def sharing(rows: DataFrame, common, percent: int) -> DataFrame:
         .groupBy(F.col("half").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")).agg(F.sum("shared").alias("shared"))
 
 
-def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose (key, tag) may be wanted, by a bitmap of ``MARKS`` bits
-    whatever the data: only few of the texts then need a shuffle to be joined.
-    The join decides."""
+def mark(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds ``marked``: whether a row's (key, tag) may be among the wanted, by
+    a bitmap of ``MARKS`` bits, at most ``MARKS`` / 64 broadcast rows whatever
+    the data. So only few texts need a shuffle for the join that decides."""
     place = F.pmod(F.xxhash64("key", "tag"), F.lit(MARKS))
-    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")) \
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
-    bitmap = np.zeros(MARKS // 64, np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for b in batches:
-            p = b.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays(b.columns[:3], ["key", "tag", "text"]) \
-                .filter(pa.array(bits[p >> 6] >> (p & 63) & 1 == 1))
-
-    return rows.select("key", "tag", "text", place.alias("place")).mapInArrow(run, "key long, tag int, text string")
+    bit = lambda p: F.expr(f"shiftleft(1L, CAST({p} & 63 AS INT))")
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(bit("p")).alias("_bits"))
+    return rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)) \
+        .join(F.broadcast(words), "_word", "left") \
+        .withColumn("marked", F.coalesce(F.col("_bits").bitwiseAND(bit("_place")) != 0, F.lit(False))) \
+        .drop("_place", "_word", "_bits")
 
 
 def rare_prefixes(texts: DataFrame, percent: int) -> DataFrame:
@@ -506,7 +498,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     near = saved(classes.join(twins, "half").join(halves, "half", "left")
                  .where((F.col("twins") > 1) | (F.col("shared") >= least_shared(F.col("n"), percent)))
                  .select("id", "n", "weight", "key", "tag"), "sharing_sets")
-    texts = saved(marked(rows, near).alias("r").join(
+    texts = saved(mark(rows, near).where("marked").alias("r").join(
         near.alias("m"), F.col("r.key").eqNullSafe(F.col("m.key")) & (F.col("r.tag") == F.col("m.tag")))
         .select("m.id", "m.n", "m.weight", "r.text").dropDuplicates(["id"]), "set_texts")
     chained = components(chains(rare_prefixes(texts, percent), percent), "chain_rounds")
