@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import with_scalar
-from .prefix import BUCKET, running_sums
+from ..functions.scalar import with_scalar
+from .prefix import running_sums
 
 # Seed and test fraction of the reference's training job.
 SEED = 42
@@ -18,52 +19,46 @@ def hash_order(id_col: str = "id", seed: int = SEED):
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
-def split(df: DataFrame, frac: float = TEST_FRACTION, seed: int = SEED, by: str | None = None,
-          id_col: str = "id", buckets: int | None = None) -> DataFrame:
-    """Add ``split`` in {'train','test'}: within each ``by`` group (the label
-    for a stratified split), rows ordered by md5(id||seed); the first
-    ceil(frac * n_group) are test. Exact, reproducible in SQL, and computed
-    as a bucketed running count, so a class with most rows is still spread
-    over many tasks."""
+def _cut_off(df: DataFrame, frac: float, seed: int, by: str | None, id_col: str, buckets: int | None) -> DataFrame:
+    """Per group the (hash, id) of the last row that belongs to the test part:
+    the ceil(frac * n_group)-th in hash order. Only ids, hashes and groups are
+    shuffled, as a bucketed running count, so a class with most rows is still
+    spread over many tasks."""
+    groups = [by] if by else []
     h = hash_order(id_col, seed)
     # 15 leading hex digits as a number: monotone with the hash text.
-    x = df.withColumn("_h", h).withColumn("_hk", F.conv(F.substring("_h", 1, 15), 16, 10)
-                                           .cast("long"))
-    groups = [by] if by else []
-    ps = running_sums(x, ["_hk", "_h", id_col], {"_pos": F.lit(1).cast("long")}, by=groups,
-                      buckets=buckets)
-    # Group sizes: one row per group. No broadcast hint: adaptive execution
-    # broadcasts it once measured small (a label), shuffles otherwise.
-    sizes = x.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn")) if groups else None
-    if sizes is not None:
-        ps = ps.join(sizes, on=groups, how="left")
+    x = df.select(*groups, F.col(id_col), h.alias("_h")) \
+        .withColumn("_hk", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
+    ps = running_sums(x, ["_hk", "_h", id_col], {"_pos": F.lit(1).cast("long")}, by=groups, buckets=buckets)
+    if groups:
+        # one row per group; adaptive execution sizes the join
+        ps = ps.join(x.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn")), on=groups, how="left")
     else:
         ps = ps.withColumn("_gn", x.agg(F.count(F.lit(1))).scalar())
-    test = F.col("_pos") <= F.ceil(F.lit(float(frac)) * F.col("_gn"))
-    return ps.withColumn("split", F.when(test, "test").otherwise("train")) \
-        .drop("_h", "_hk", "_pos", "_gn", BUCKET)
+    return ps.where(F.col("_pos") <= F.ceil(F.lit(float(frac)) * F.col("_gn"))) \
+        .groupBy(*groups).agg(F.max(F.struct("_h", id_col)).alias("_cut"))
+
+
+def split(df: DataFrame, frac: float = TEST_FRACTION, seed: int = SEED, by: str | None = None,
+          id_col: str = "id", buckets: int | None = None) -> DataFrame:
+    """Add ``split`` in {'train','test'}: within each ``by`` group (the label
+    for a stratified split), rows ordered by md5(id||seed); the first
+    ceil(frac * n_group) are test. Exact and reproducible in SQL."""
+    return split_multi(df, {"split": by}, frac, seed, id_col, buckets)
 
 
 def split_multi(df: DataFrame, outputs: dict[str, str | None], frac: float = TEST_FRACTION,
                 seed: int = SEED, id_col: str = "id", buckets: int | None = None) -> DataFrame:
-    """Several splits in one pass: ``outputs`` maps an output column to the
-    column to stratify by (None = not stratified). All share the hash order,
-    hence one bucketing and one window pass."""
-    from .prefix import running_sums_multi
-    h = hash_order(id_col, seed)
-    x = df.withColumn("_h", h).withColumn("_hk", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
-    one = F.lit(1).cast("long")
-    specs = [(f"_pos_{o}", one, [b] if b else [], True) for o, b in outputs.items()]
-    ps = running_sums_multi(x, ["_hk", "_h", id_col], specs, buckets=buckets)
-    for o, b in outputs.items():
-        if b:
-            sizes = x.groupBy(b).agg(F.count(F.lit(1)).alias(f"_gn_{o}"))
-            ps = ps.join(sizes, on=b, how="left")
-        else:
-            ps = ps.withColumn(f"_gn_{o}", x.agg(F.count(F.lit(1))).scalar())
-        test = F.col(f"_pos_{o}") <= F.ceil(F.lit(float(frac)) * F.col(f"_gn_{o}"))
-        ps = ps.withColumn(o, F.when(test, "test").otherwise("train")).drop(f"_pos_{o}", f"_gn_{o}")
-    return ps.drop("_h", "_hk", BUCKET)
+    """Several splits: ``outputs`` maps an output column to the column to
+    stratify by (None = not stratified). Each compares rows with their group's
+    cut-off; the rows themselves are not shuffled for it."""
+    out = df
+    for name, by in outputs.items():
+        cut = _cut_off(df, frac, seed, by, id_col, buckets)
+        out = out.join(cut, on=by, how="left") if by else with_scalar(out, "_cut", cut.select("_cut._h", f"_cut.{id_col}"))
+        test = F.struct(hash_order(id_col, seed).alias("_h"), F.col(id_col)) <= F.col("_cut")
+        out = out.withColumn(name, F.when(test, "test").otherwise("train")).drop("_cut")
+    return out.select(*df.columns, *outputs)
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
