@@ -6,7 +6,9 @@ windows have equal anchors at equal distances. Consecutive windows with the
 same anchor form a unit; its bytes are its segment.
 
 1. Units are sorted by (anchor hash, segment hash). A unit whose segment occurs
-   twice is repeated in full; one whose anchor occurs nowhere else is not.
+   twice is repeated in full; one whose anchor occurs nowhere else is not. Of a
+   segment that occurs twice in one batch a single unit goes to the sort, so a
+   passage in a third of all texts makes no large task.
 2. Of the other units, and of one unit of each repeated segment under the same
    anchor, the segments go to the anchor's task. Their windows are suffix
    sorted by a merge sort whose comparisons find the common extension of two
@@ -122,10 +124,23 @@ def _key(id_col: str, text_col: str):
 
 
 _UNIT = "anchor long, segment long, doc long, tag int, first int, shape int"
+_ALONE, _SETTLED, _STANDS = 0, 1, 2
+
+
+def known_here(anchor: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """Of units with equal segments the first stands for them, the others are
+    settled."""
+    order = np.lexsort((seg, anchor))
+    same = (anchor[order][1:] == anchor[order][:-1]) & (seg[order][1:] == seg[order][:-1])
+    out = np.zeros(len(order), np.int32)
+    out[order[:-1][same]] = _STANDS
+    out[order[1:][same]] = _SETTLED
+    return out
 
 
 def unit_rows(df: DataFrame, window: int, k: int) -> DataFrame:
-    """One row per unit of (doc, tag, text) rows; shape: windows and anchor."""
+    """One row per unit of (doc, tag, text) rows; shape: windows and anchor;
+    known: what equal segments of the batch tell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, tag, texts = b.columns
@@ -141,10 +156,11 @@ def unit_rows(df: DataFrame, window: int, k: int) -> DataFrame:
                 row = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(anchor)), pa.array(signed(seg)), doc.take(row), tag.take(row),
-                     pa.array(first.astype(np.int32)), pa.array((count << 16 | d).astype(np.int32))],
-                    ["anchor", "segment", "doc", "tag", "first", "shape"])
+                     pa.array(first.astype(np.int32)), pa.array((count << 16 | d).astype(np.int32)),
+                     pa.array(known_here(anchor, seg))],
+                    ["anchor", "segment", "doc", "tag", "first", "shape", "known"])
 
-    return df.mapInArrow(run, _UNIT)
+    return df.mapInArrow(run, _UNIT + ", known int")
 
 
 def sort_out(rows: DataFrame) -> DataFrame:
@@ -175,22 +191,26 @@ def sort_out(rows: DataFrame) -> DataFrame:
         prev_a = np.concatenate([[before is not None and before[0] == anchor[0]], same_a])
         prev_s = np.concatenate([[before == (anchor[0], seg[0])], same_s])
         next_a, next_s = np.append(same_a, False), np.append(same_s, False)
-        twice = prev_s | next_s
+        known = t.column("known").to_numpy()
+        twice = prev_s | next_s | (known == _STANDS)
         # a segment's first row stands for it; whether its anchor has other
         # segments shows before the first or after the last of its rows, so
         # representatives are sent whenever the segment occurs twice and the
         # anchors without any fate-1 unit are dropped in the next step
         fate = np.where(twice, np.where(prev_s, 0, 2), np.where(prev_a | next_a, 1, -1))
+        fate[known == _SETTLED] = 0
         keep = fate >= 0
         if not last:
             keep[-1] = False
         rows = np.flatnonzero(keep)
         if len(rows):
-            out = t.take(pa.array(rows)).append_column("fate", pa.array(fate[rows].astype(np.int32)))
+            out = t.drop_columns(["known"]).take(pa.array(rows)).append_column("fate", pa.array(fate[rows].astype(np.int32)))
             yield from out.combine_chunks().to_batches()
 
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "anchor") \
-        .sortWithinPartitions("anchor", "segment").mapInArrow(run, _UNIT + ", fate int")
+    # settled units go anywhere
+    deal = F.when(F.col("known") == _SETTLED, F.xxhash64("doc", "first")).otherwise(F.col("anchor"))
+    return rows.repartition(shuffle_partitions(rows.sparkSession), deal) \
+        .sortWithinPartitions("anchor", "segment", F.col("known") == _SETTLED).mapInArrow(run, _UNIT + ", fate int")
 
 
 class Suffixes:
