@@ -81,3 +81,33 @@ def test_trees_learn():
     a, b = pii.calibrate(score, yes, 91 - yes)
     p = 1 / (1 + np.exp(-(a * score + b)))
     assert abs((p * 91).sum() - yes.sum()) < 5
+
+
+def iban(i, wrong=0):
+    body = f"{37040044:08d}{i:010d}"
+    check = 98 - int(body + "131400") % 97
+    return f"DE{(check + wrong - 2) % 97 + 2:02d}{body}"
+
+
+def others(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.other] for r in pii.detect(df).collect()}
+
+
+def test_sure_at_every_size(spark):
+    spaced = "DE89 3704 0044 0532 0130 00"
+    texts = [f"pay {spaced} 41 now", "tel. 030 1234567, hotel 030 7654321", "GB82WEST12345698765432 x DE88370400440532013000"]
+    want = [[spaced], ["030 1234567"], ["GB82WEST12345698765432"]]
+    for i, t in enumerate(texts):
+        assert others(spark, [t]) == {0: want[i]}
+    got = others(spark, texts + [f"nothing {i} here {10 ** 8 + i}" for i in range(300)])
+    assert [got[i] for i in range(3)] == want
+
+
+def test_trees_add_candidates(spark):
+    texts = [f"iban: {iban(i)} ok" for i in range(200)] + [f"iban: {iban(900, 1)} ok"] \
+        + [f"lot {10 ** 8 + i} ok" for i in range(200)] + [f"+1 (811) 555-{1000 + i} ok" for i in range(50)]
+    got = others(spark, texts)
+    assert all(got[i] == [iban(i)] for i in range(200))
+    assert got[200] == [iban(900, 1)]  # like the others but for its check digits
+    assert not any(got[i] for i in range(201, 451))

@@ -3,12 +3,17 @@
 Base spans follow fixed patterns and checks. Besides, high-recall generators
 propose overlapping candidate spans; small integer features tell their format
 (digits, separators, groups, signs) and context (neighbouring characters, a
-keyword before). Boosted trees, trained on whether a candidate covers a base
-span, score each feature vector; a logistic calibration on held-out documents
-turns scores into probabilities, and candidates from the least probability with
-the wanted precision on are redacted too, unless they overlap a base span. The
-trees are fitted to the counts per feature vector over all rows, a table bounded
-by the features' ranges, and applied as SQL expressions.
+keyword before). Candidates that no base span overlaps can be emitted. Of them,
+IBANs of their country's length that pass mod 97 and numbers of 7 to 15 digits
+right after a word for phone are sure, by themselves, in a table of any size.
+
+Boosted trees add candidates of like format and context. They learn from the
+sure candidates and from base phones with their sign masked, against all other
+candidates that can be emitted. A logistic calibration on the held-out
+documents' candidates that can be emitted, with Platt's smoothed targets, turns
+scores into probabilities; those of the wanted precision are emitted. The trees
+are fitted to the counts per feature vector over all rows, a table bounded by
+the features' ranges, and applied as SQL expressions.
 
 Cases: null and empty texts have no spans. Texts are searched whole. Repeated
 rows give repeated results; with no candidates no trees are grown. Patterns are
@@ -34,19 +39,32 @@ _PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _SIGN = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+# The countries of each IBAN length.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items())
 # Generators of candidates, and a character without which they find nothing.
 _GENERATORS = (
     (r"(?<!\S)[^\s@]*+@\S*+", "@"),
     (r"\+?[0-9](?:[ ().,/:-]{0,2}[0-9]){6,}+", None),
-    (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b", None),
+    (rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_IBAN})(?![A-Z0-9])|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}+(?: ?[A-Z0-9]{{1,3}}\b)?+\b)", None),
 )
+NUMBER, IBAN = 1, 2
 # Words before a candidate that speak for personal data.
 _KEYWORDS = (("phone", "tel", "call", "fax", "mobil"), ("mail", "contact"), ("card", "visa", "account", "iban"),
              ("address", "server", "ip"))
+# What stands right before a number that is surely a phone's.
+_CALLED = (r"(?:^|[^\p{L}])(?:tel|tele(?:ph|f)one?|téléphone|teléfono|phone|fon|fax|mobile?|móvil|handy|cell|call|whatsapp)"
+           r"(?: ?(?:no|nr|number|nummer))?[.:]{0,2}\s{0,3}\(?$")
 FEATURES = ("generator", "digits", "separators", "groups", "plus", "dotted", "keyword", "before", "after")
 ROUNDS, DEPTH, RATE, PENALTY = 20, 3, 0.3, 1.0
-PRECISION, SUPPORT = 0.95, 200  # of the selected candidates of the held-out fold
+PRECISION = 0.95  # least calibrated probability of a candidate that the trees add
 _SPAN = "array<struct<start:int,end:int,text:string>>"
+_KINDS_SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
 def _digits(s: Column) -> Column:
@@ -64,6 +82,14 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def mod97(s: Column) -> Column:
+    """Whether an IBAN's check digits are right."""
+    signs = F.regexp_extract_all(s, F.lit("[A-Z0-9]"), F.lit(0))
+    turned = F.concat(F.slice(signs, 5, 64), F.slice(signs, 1, 4))
+    step = lambda a, c: F.when(c <= "9", a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(turned, F.lit(0), step) == 1
+
+
 def _valid(kind: str, s: Column) -> Column:
     n = F.length(_digits(s))
     if kind == "ip":
@@ -113,11 +139,25 @@ def _class_of(c: Column) -> Column:
     return F.when((c == "") | c.rlike(r"^\s"), 0).when(c.rlike("^[0-9]"), 1).when(c.rlike(r"^\w"), 2).otherwise(3)
 
 
+def _lead(text: Column, x: Column) -> Column:
+    return F.lower(F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24))))
+
+
+def _sure(text: Column, x: Column, generator: int) -> Column:
+    """Whether a candidate is personal data by its own checks."""
+    if generator == IBAN:
+        return x["text"].rlike(f"^(?:{_IBAN})$") & mod97(x["text"])
+    if generator == NUMBER:
+        return ~x["text"].startswith("+") & F.length(_digits(x["text"])).between(7, 15) \
+            & (_class_of(F.substring(text, x["end"] + 1, F.lit(1))) != 2) & _lead(text, x).rlike(_CALLED)
+    return F.lit(False)
+
+
 def _features(text: Column, x: Column, generator: int) -> Column:
     s = x["text"]
     n = F.length(_digits(s))
     seps = F.regexp_replace(s, "[0-9+]", "")
-    lead = F.lower(F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24))))
+    lead = _lead(text, x)
     keyword = F.lit(0)
     for i, words in reversed(list(enumerate(_KEYWORDS, 1))):
         keyword = F.when(lead.rlike("|".join(words)), i).otherwise(keyword)
@@ -140,11 +180,11 @@ def _proposed(text: Column, generator: int) -> Column:
     pattern, sign = _GENERATORS[generator]
     return F.transform(matches(text, pattern, lambda s: F.lit(True), sign),
                        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
-                                          _features(text, x, generator).alias("f")))
+                                          _sure(text, x, generator).alias("sure"), _features(text, x, generator).alias("f")))
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, f>> of all generators, overlaps included."""
+    """array<struct<start, end, sure, f>> of all generators, overlaps included."""
     return F.concat(*[_proposed(text, g) for g in range(len(_GENERATORS))])
 
 
@@ -206,7 +246,10 @@ def boost(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> list:
 
 
 def calibrate(score: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the logistic fit of labels to scores."""
+    """Slope and intercept of the logistic fit of labels to scores, the labels
+    smoothed by one more candidate of either kind (Platt)."""
+    high, low = (yes.sum() + 1) / (yes.sum() + 2), 1 / (no.sum() + 2)
+    yes, no = yes * high + no * low, yes * (1 - high) + no * (1 - low)
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(a * score + b)))
@@ -218,10 +261,10 @@ def calibrate(score: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float
 
 
 class Detector:
-    """Trees, calibration and threshold."""
+    """Trees and calibration; ``precision`` is the least probability."""
 
-    def __init__(self, trees: list, slope: float, intercept: float, threshold: float):
-        self.trees, self.slope, self.intercept, self.threshold = trees, slope, intercept, threshold
+    def __init__(self, trees: list, slope: float, intercept: float, precision: float):
+        self.trees, self.slope, self.intercept, self.precision = trees, slope, intercept, precision
 
     def probability(self, f: Column) -> Column:
         score = F.lit(0.0)
@@ -230,41 +273,39 @@ class Detector:
         return 1 / (1 + F.exp(-(F.lit(self.slope) * score + F.lit(self.intercept))))
 
     def selected(self, base: Column, found: Column) -> Column:
-        """Candidates over the threshold that no base span overlaps."""
-        if self.threshold > 1:
-            return F.array().cast("array<struct<kind:int,start:int,end:int>>")
-        chosen = F.filter(found, lambda x: (self.probability(x["f"]) >= self.threshold) & ~_overlaps(x, base))
+        """Of the candidates that can be emitted, the sure and the probable."""
+        chosen = F.filter(emittable(base, found), lambda x: x["sure"] | (self.probability(x["f"]) >= self.precision))
         return F.array_sort(F.transform(chosen, lambda x: F.struct(
             F.lit(len(KINDS)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
 
 
+def emittable(base: Column, found: Column) -> Column:
+    """Candidates that overlap neither a base span nor, if not sure, a sure one."""
+    sure = F.filter(found, lambda x: x["sure"])
+    return F.filter(found, lambda x: ~_overlaps(x, base) & (x["sure"] | ~_overlaps(x, sure)))
+
+
 def fit(found: DataFrame, precision: float = PRECISION) -> Detector:
-    """Fit to all candidates of ``find``: counts per feature vector and fold."""
-    rows = found.select("fold", "base", F.explode("found").alias("x")) \
-        .select("fold", "x.f.*", _covers(F.col("x"), F.col("base")).alias("hit"))
+    """Fit to the candidates of ``find``: counts per feature vector and fold,
+    and of masked base phones, which only train."""
+    phones = F.filter("base", lambda b: b["kind"] == KINDS.index("phone"))
+    masked = F.transform(F.filter("found", lambda x: F.exists(phones, lambda b: _same(x, b))),
+                         lambda x: F.struct(x["f"].withField("plus", F.lit(0)).alias("f"), F.lit(2).alias("hit")))
+    free = F.transform(emittable(F.col("base"), F.col("found")),
+                       lambda x: F.struct(x["f"].alias("f"), x["sure"].cast("int").alias("hit")))
+    rows = found.select("fold", F.explode(F.concat(free, masked)).alias("x")).select("fold", "x.f.*", "x.hit")
     counts = rows.groupBy(*FEATURES).agg(*[
-        F.sum(((F.col("fold") == fold) & (F.col("hit") == hit)).cast("long")).alias(f"n{fold}{int(hit)}")
-        for fold in (0, 1) for hit in (False, True)]).orderBy(*FEATURES).collect()
+        F.sum(((F.col("fold") == fold) & (F.col("hit") == hit)).cast("long")).alias(f"n{fold}{hit}")
+        for fold in (0, 1) for hit in (0, 1, 2)]).orderBy(*FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in counts], np.int64).reshape(-1, len(FEATURES))
-    n = {c: np.array([r[c] for r in counts], float) for c in ("n00", "n01", "n10", "n11")}
-    trees = boost(x, n["n01"], n["n00"])
+    n = {c: np.array([r[c] for r in counts], float) for c in ("n00", "n01", "n02", "n10", "n11")}
+    trees = boost(x, n["n01"] + n["n02"], n["n00"])
     score = sum((_value(t, x) for t in trees), np.zeros(len(x)))
-    slope, intercept = calibrate(score, n["n11"], n["n10"])
-    p = 1 / (1 + np.exp(-(slope * score + intercept)))
-    threshold = 2.0
-    order = np.argsort(-p, kind="stable")
-    yes, all_ = np.cumsum(n["n11"][order]), np.cumsum((n["n11"] + n["n10"])[order])
-    # the least probability at which held-out precision still holds, at the
-    # last of equal probabilities
-    last = np.append(p[order][1:] != p[order][:-1], True) if len(x) else np.zeros(0, bool)
-    ok = np.flatnonzero(last & (all_ >= SUPPORT) & (yes >= precision * all_)) if len(x) else []
-    if len(ok):
-        threshold = float(p[order][ok[-1]]) * (1 - 1e-9)
-    return Detector(trees, slope, intercept, threshold)
+    return Detector(trees, *calibrate(score, n["n11"], n["n10"]), precision)
 
 
-def _covers(x: Column, base: Column) -> Column:
-    return F.exists(base, lambda b: (x["start"] <= b["start"]) & (b["end"] <= x["end"]))
+def _same(x: Column, b: Column) -> Column:
+    return (x["start"] == b["start"]) & (x["end"] == b["end"])
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,6 +334,15 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     brackets; overlapping spans become one, under the first one's name."""
     detector = fit(saved(find(df, id_col, text_col), "pii"))
     text = F.col(text_col)
+    rows = df.withColumn("_base", base_spans(text)).withColumn("_found", candidates(text))
+    rows = rows.withColumn("_other", detector.selected(F.col("_base"), F.col("_found"))) \
+        .withColumn(text_col, _cut(text, F.concat("_base", "_other")))
+    # cutting a candidate can free a base span from the digits beside it
+    freed = F.when(F.size("_other") > 0, base_spans(text)).otherwise(F.array().cast(_KINDS_SPAN))
+    return rows.withColumn("_freed", freed).withColumn(text_col, _cut(text, F.col("_freed"))).select(*df.columns)
+
+
+def _cut(text: Column, spans: Column) -> Column:
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, OTHER)])
     cut_type = "struct<at:int,out:string>"
 
@@ -301,17 +351,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), new.alias("out"))) \
             .otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out"))).cast(cut_type)
 
-    base, found = base_spans(text), candidates(text)
-    rows = df.withColumn("_base", base).withColumn("_found", F.when(F.lit(detector.threshold <= 1), found)
-                                                   .otherwise(F.array().cast(found_type())))
-    spans = F.array_sort(F.transform(F.concat("_base", detector.selected(F.col("_base"), F.col("_found"))),
-                                     lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(cut_type), step)
-    rows = rows.withColumn("_done", F.when(F.size("_base") + F.size("_found") > 0, done))
-    whole = F.concat(F.col("_done.out"), F.substring(text, F.col("_done.at") + 1, F.length(text)))
-    return rows.withColumn(text_col, F.when(F.col("_done").isNull(), text).otherwise(whole)) \
-        .select(*df.columns)
-
-
-def found_type() -> str:
-    return "array<struct<start:int,end:int,f:struct<" + ",".join(f"{f}:int" for f in FEATURES) + ">>>"
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(cut_type), step,
+                       lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
