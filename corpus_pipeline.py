@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblog_engine.llm import packing, pii, ppm, setjoin, suffix
-from weblog_engine.llm.common import documents, saved
+from weblog_engine.llm.common import documents, saved, text_key
 
 # A text that costs more bits than unpredicted bytes is like none of the languages.
 MOST_BITS_PER_BYTE = 8.0
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         (F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("tag") == F.col("r.tag"))).alias("first")).distinct()
     member = saved(member, "members")
     # only documents that may be members are shuffled to be looked up
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("key"), F.hash("text").alias("tag"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("key"), text_key("text").alias("tag"))
     rows = setjoin.mark(whole, member.select(F.col("k").alias("key"), F.col("t").alias("tag")))
     judged = rows.where("marked").join(
         member, F.col("key").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t")), "left")

@@ -93,3 +93,19 @@ def test_answer_equals_pairs():
                 if 100 * both >= 75 * (len(found[i]) + len(found[j]) - both) and (sides is None or side[i] != side[j]):
                     want.add((i, j))
         assert set(zip(x.tolist(), y.tolist())) == want and len(x) == len(want) > 5
+
+
+def test_null_ids_with_equal_32_bit_hashes(spark):
+    from corpus_pipeline import near_duplicates
+
+    pair = spark.sql("SELECT min(id) a, max(id) b FROM (SELECT id, hash(concat('one two three four five six ', id)) h "
+                     "FROM range(300000)) GROUP BY h HAVING count(*) = 2 ORDER BY a LIMIT 1").collect()[0]
+    text = lambda i: f"one two three four five six {i}"
+    # the second text of the pair has a copy under an id, the first has none
+    rows = [(None, text(pair.a)), (None, text(pair.b)), (1, text(pair.b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.selectExpr("count(DISTINCT hash(text)) n").collect()[0].n == 1
+    links = sorted((r.doc_id or 0, r.links) for r in setjoin.join(df, percent=100).collect())
+    assert links == [(0, 0), (0, 1), (1, 1)]
+    got = {(r.doc_id, r.text) for r in near_duplicates(spark, df, "").collect()}
+    assert got == {(None, text(pair.a)), (1, text(pair.b))}

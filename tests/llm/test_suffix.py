@@ -78,3 +78,17 @@ def test_merge_sort_orders_suffixes():
         assert sorted(mine) == np.flatnonzero(group == g).tolist()
         keys = [bytes(buf[a:a + 40]) for a in at[mine]]
         assert keys == sorted(keys)
+
+
+def test_null_ids_with_equal_32_bit_hashes(spark):
+    # two texts of one F.hash, the second with a passage that occurs elsewhere
+    passage, other = "p" * 30 + "q" * 30, "r" * 30 + "s" * 30
+    pair = spark.sql("SELECT min(id) a, max(id) b, max(id % 2) x, min(id % 2) y FROM (SELECT id, hash(concat(id, if(id % 2 = 1, "
+                     f"'{passage}', '{other}'))) h FROM range(300000)) GROUP BY h HAVING count(*) = 2 AND max(id % 2) > min(id % 2) "
+                     "ORDER BY a LIMIT 1").collect()[0]
+    odd, even = (pair.a, pair.b) if pair.a % 2 else (pair.b, pair.a)
+    texts = [(None, f"{odd}{passage}"), (None, f"{even}{other}"), (1, f"zz {passage}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert df.where("doc_id IS NULL").selectExpr("count(DISTINCT hash(text)) n").collect()[0].n == 1
+    got = sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in suffix.report(df, window=40, k=16).collect())
+    assert got == [(0, 0, 0), (0, 60, 1), (1, 60, 1)]

@@ -37,6 +37,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key(column: str | Column) -> Column:
+    """128 bits that stand for a text; null stands as empty."""
+    text = F.col(column) if isinstance(column, str) else column
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus

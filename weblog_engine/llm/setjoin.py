@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from .common import byte_codes, mix64, prepare, saved, signed, text_bytes
+from .common import byte_codes, mix64, prepare, saved, signed, text_bytes, text_key
 
 WORDS = 5
 PERCENT = 75  # links from 100 * intersection >= PERCENT * union
@@ -133,7 +133,7 @@ def set_ids(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
     return signed(mix64(d1 ^ mix64(d2)))
 
 
-_SCAN = "key long, tag int, n long, d1 long, d2 long, id long, s long, times long"
+_SCAN = "key long, tag binary, n long, d1 long, d2 long, id long, s long, times long"
 
 
 def scan(rows: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def scan(rows: DataFrame) -> DataFrame:
         if often.any():
             nothing = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nothing, nothing.cast(pa.int32()), *[nothing] * 4, pa.array(signed(keys[often])), pa.array(times[often])], names)
+                [nothing, pa.nulls(len(nothing), pa.binary()), *[nothing] * 4, pa.array(signed(keys[often])), pa.array(times[often])], names)
 
     return rows.select("key", "tag", "text").mapInArrow(run, _SCAN)
 
@@ -480,11 +480,11 @@ def compare(rows: DataFrame, percent: int) -> DataFrame:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, tag, n_shingles, component_id, links, group): one row per input row;
-    tag is a hash of its text. links: how many other rows it is linked with.
+    tag: 128 bits of its text. links: how many other rows it is linked with.
     group: a number for the component, null for rows without shingles."""
     spark = df.sparkSession
     prepare(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("key"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("key"), text_key(text_col).alias("tag"), F.col(text_col).alias("text"))
     seen = saved(scan(rows), "sets")
     found = seen.where("times IS NULL").select("key", "tag", "n", "d1", "d2", "id")
     # one representative of equal sets

@@ -26,7 +26,7 @@ bits together.
 Cases: null and empty texts keep nothing of nothing (0 bytes, 0 spans); texts
 shorter than the window stay whole. Matches never cross documents. Repeated
 rows are documents of their own: their windows occur in each other. Rows are
-told apart by id and text, so null and repeated ids do no harm.
+told apart by id and 128 bits of the text, so null and repeated ids do no harm.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from .common import byte_codes, mix64, prepare, saved, signed
+from .common import byte_codes, mix64, prepare, saved, signed, text_key
 
 WINDOW, K = 200, 80
 GROUP = 1 << 13  # different segments of one anchor that a task sorts together
@@ -119,11 +119,11 @@ def units(data: np.ndarray, window: int = WINDOW, k: int = K) -> list[np.ndarray
 
 
 def _key(id_col: str, text_col: str):
-    """A row's key: id and a hash of the text."""
-    return F.col(id_col).cast("long").alias("doc"), F.hash(F.col(text_col)).alias("tag")
+    """A row's key: id and 128 bits of the text."""
+    return F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("tag")
 
 
-_UNIT = "anchor long, segment long, doc long, tag int, first int, shape int"
+_UNIT = "anchor long, segment long, doc long, tag binary, first int, shape int"
 _ALONE, _SETTLED, _STANDS = 0, 1, 2
 
 
@@ -315,7 +315,7 @@ def _compare_group(t: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np
     return row[begin], j[begin], j[last]
 
 
-_CONTEXT = "anchor long, doc long, tag int, first int, shape int, fate int, large boolean, bytes binary"
+_CONTEXT = "anchor long, doc long, tag binary, first int, shape int, fate int, large boolean, bytes binary"
 
 
 def contexts(df: DataFrame, asked: DataFrame, window: int) -> DataFrame:
@@ -349,7 +349,7 @@ def contexts(df: DataFrame, asked: DataFrame, window: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("first", pa.int32()),
+    schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("tag", pa.binary()), ("first", pa.int32()),
                         ("shape", pa.int32()), ("fate", pa.int32()), ("large", pa.bool_()), ("bytes", pa.binary())])
     # null ids join too
     return df.join(per_doc, df["doc"].eqNullSafe(per_doc["doc"]) & (df["tag"] == per_doc["tag"])) \
@@ -424,7 +424,7 @@ def compare(rows: DataFrame, window: int) -> DataFrame:
 
     return rows.repartition(shuffle_partitions(rows.sparkSession), "anchor") \
         .sortWithinPartitions("large", "anchor", "shape", "bytes") \
-        .mapInArrow(run, "doc long, tag int, first int, until int")
+        .mapInArrow(run, "doc long, tag binary, first int, until int")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -482,7 +482,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     joined = rows.join(per_doc, rows["doc"].eqNullSafe(per_doc["d"]) & (rows["tag"] == per_doc["t"]), "left") \
         .select("doc", "tag", "text", "spans", *(["row"] if keep else []))
     kept_types = "".join(f", {f.name} {f.dataType.simpleString()}" for f in joined.schema.fields[4:])
-    return joined.mapInArrow(run, "doc long, tag int, kept binary, n_bytes long, n_spans long" + kept_types)
+    return joined.mapInArrow(run, "doc long, tag binary, kept binary, n_bytes long, n_spans long" + kept_types)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K,
