@@ -98,3 +98,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
     labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     return toxicity.predictions(documents(spark, sf_dir), labels)
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whiten
+    return whiten.whiten(spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet")))
