@@ -104,3 +104,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import whiten
     return whiten.whiten(spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet")))
+
+
+# 40 hexadecimal digits to 32 of base 32: five digits are 20 bits, four letters
+_BASE32 = """list_aggregate([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr({hex}, CAST(5 * (i // 4) + 1 AS INTEGER), 5))::INTEGER >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1,
+           1) for i in range(0, 32)], 'string_agg', '')"""
+
+
+@register("op12_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first_id, sha1(h) AS hex FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32.format(hex='hex')} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM q""")
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    return warc.round_trip(spark.read.parquet(os.path.join(sf_dir, "pages.parquet"))) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
