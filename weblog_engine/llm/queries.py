@@ -124,3 +124,33 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
     return warc.round_trip(spark.read.parquet(os.path.join(sf_dir, "pages.parquet"))) \
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op11_hard_negatives", """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+pairs AS (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS other_id, b.label AS other_label,
+           CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+    SELECT anchor_id, anchor_label, other_id AS positive_id, score AS positive_score FROM pairs
+    WHERE anchor_label = other_label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+       n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND n.other_label <> p.anchor_label
+     AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import hardneg
+    rows = spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0, label=moved)
