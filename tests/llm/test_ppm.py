@@ -74,3 +74,33 @@ def test_odd_rows(spark):
     assert ppm.predictions(df).count() == len(rows)
     assert ppm.predictions(df.limit(0)).count() == 0
     assert {r.lang_pred for r in ppm.predictions(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_counts_do_not_follow_the_partitions(spark, sf_dir):
+    rows = ppm.sample(documents(spark, sf_dir), "lang", 30, "doc_id", "text")
+    seen = {}
+    for parts in (1, 211):
+        dealt = rows.repartition(parts)
+        counted = ppm.count_grams(dealt)
+        seen[parts] = {(r.g, r["size"], r.gram): r.n for r in counted.collect()}
+        # rows that leave the counting tasks, before they are added up
+        tasks = dealt.coalesce(ppm.COUNTERS).rdd.getNumPartitions()
+        assert tasks <= ppm.COUNTERS
+    assert seen[1] == seen[211]
+
+
+def test_counts_are_merged(monkeypatch):
+    monkeypatch.setattr(ppm, "_SLICE", 10)
+    rng, c, want = random.Random(2), ppm.Counts(), Counter()
+    for _ in range(50):
+        codes = [rng.randrange(30) for _ in range(rng.randrange(9))]
+        want.update(codes)
+        c.add(("g", 1), np.array(codes, np.uint32))
+    (_, (codes, n)), = c.items()
+    assert dict(zip(codes.tolist(), n.tolist())) == dict(want)
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "MOST_LANGUAGES", 2)
+    rows = [(i, f"words number {i}", lang) for i, lang in enumerate(["a", "b", "b", "c", "c", "d"] * 4)]
+    assert ppm.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["b", "c"]

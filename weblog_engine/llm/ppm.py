@@ -9,8 +9,9 @@ after training, so for each n-gram the code length under every language, escapes
 included, is worked out once; a text's code length is a sum of table lookups.
 
 Training takes a bounded sample: about ``docs_per_language`` whole documents of
-each language, chosen by a hash of id and text. The tables are bounded by that
-sample and are broadcast; every document is scored whole.
+each language, chosen by a hash of id and text, and of the ``MOST_LANGUAGES``
+languages with most documents (ties: first in order). The tables are bounded by
+that sample and are broadcast; every document is scored whole.
 
 Cases: null texts and texts without a letter are ``und`` with score 1. Equal
 code lengths go to the language first in order. With no training rows all
@@ -32,6 +33,8 @@ from .common import id_remainder, prepare, text_bytes
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 300
+MOST_LANGUAGES = 256
+COUNTERS = 4  # tasks that count the sample
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SLICE = 1 << 19
@@ -61,7 +64,8 @@ def sample(df: DataFrame, group_col: str, docs_per_group: int, id_col: str, text
     """About ``docs_per_group`` different rows of each group: those with the
     least hashes, cut off at the share that the group's size calls for."""
     rows = df.where(F.col(group_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(group_col).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy(F.col(group_col).alias("g")).agg(F.count(F.lit(1)).alias("n")) \
+        .orderBy(F.col("n").desc(), "g").limit(MOST_LANGUAGES)
     place_of = F.xxhash64(id_col, text_col)
     share = F.lit(2.0 ** 63 * docs_per_group) / F.col("n")
     return rows.select(F.col(group_col).alias("g"), F.col(text_col).alias("text"), place_of.alias("h")) \
@@ -71,8 +75,11 @@ def sample(df: DataFrame, group_col: str, docs_per_group: int, id_col: str, text
 
 def count_grams(rows: DataFrame) -> DataFrame:
     """(g, size, gram, n): how often each run of 1 to ORDER + 1 bytes occurs in
-    the texts of each group."""
+    the texts of each group. ``rows`` is a bounded sample, so ``COUNTERS`` tasks
+    count it, each over all its batches before it gives a row: the rows follow
+    from the sample, not from how it was dealt out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts()
         for b in batches:
             groups = b.column(0).to_pylist()
             data, offsets = text_bytes(b.column(1))
@@ -85,16 +92,47 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     doc, pos = place(offsets, at, end)
                     for size in range(1, ORDER + 2):
                         ok = mine[doc] & (pos >= size - 1)
-                        codes, n = np.unique(g[ok] & np.uint32((1 << 8 * size) - 1), return_counts=True)
-                        if len(codes):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([group] * len(codes)), pa.array(np.full(len(codes), size, np.int32)),
-                                 pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["g", "size", "gram", "n"])
-
-    return rows.mapInArrow(run, "g string, size int, gram long, n long") \
+                        held.add((group, size), g[ok] & np.uint32((1 << 8 * size) - 1))
+        for (group, size), (codes, n) in held.items():
+            for at in range(0, len(codes), _SLICE):
+                part = codes[at:at + _SLICE]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group] * len(part)), pa.array(np.full(len(part), size, np.int32)),
+                     pa.array(part.astype(np.int64)), pa.array(n[at:at + _SLICE])], ["g", "size", "gram", "n"])
+
+    return rows.coalesce(COUNTERS).mapInArrow(run, "g string, size int, gram long, n long") \
         .groupBy("g", "size", "gram").agg(F.sum("n").alias("n"))
 
 
+class Counts:
+    """How often each code occurs, by key: sorted codes and their counts, and
+    codes not yet merged into them (at most ``_SLICE``)."""
+
+    def __init__(self):
+        self.sorted: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self.new: dict[tuple, list[np.ndarray]] = {}
+
+    def add(self, key: tuple, codes: np.ndarray) -> None:
+        if len(codes):
+            waiting = self.new.setdefault(key, [])
+            waiting.append(codes)
+            if sum(map(len, waiting)) >= _SLICE:
+                self._merge(key)
+
+    def _merge(self, key: tuple) -> None:
+        codes, n = np.unique(np.concatenate(self.new.pop(key)), return_counts=True)
+        old, old_n = self.sorted.get(key, (codes[:0], n[:0]))
+        both, where = np.unique(np.concatenate([old, codes]), return_inverse=True)
+        total = np.zeros(len(both), np.int64)
+        np.add.at(total, where, np.concatenate([old_n, n]))
+        self.sorted[key] = both, total
+
+    def items(self):
+        for key in list(self.new):
+            self._merge(key)
+        return sorted(self.sorted.items())
+
+
 class Lookup:
     """Row numbers of 32-bit keys: open addressing, probed for many at once."""
 
