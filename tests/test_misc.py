@@ -43,9 +43,9 @@ def test_forest_json_round_trip(spark, sf_dir):
 
 
 def test_path_length_constants():
-    assert iforest.average_path_length([1])[0] == 0.0
-    assert iforest.average_path_length([2])[0] == 1.0
-    c256 = iforest.average_path_length([256])[0]
+    assert iforest.average_path_length(1) == 0.0
+    assert iforest.average_path_length(2) == 1.0
+    c256 = iforest.average_path_length(256)
     assert abs(c256 - (2 * (np.log(255) + 0.5772156649015329) - 2 * 255 / 256)) < 1e-12
 
 

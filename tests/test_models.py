@@ -115,7 +115,9 @@ def test_detect_requests_public_api(spark, feats):
                                 [(300.0, m, 12) for m in ("GET", "POST", "PUT", "DELETE", "PATCH")],
                                 "response_time_ms double, method string, hour int")
     out = anomaly.detect_requests(req, det).collect()
-    assert len(out) == 7
+    assert len(out) == 8
+    bad = [r for r in out if r["reject_reason"] is not None]
+    assert [(r["response_time_ms"], r["is_anomaly"], r["reject_reason"]) for r in bad] == [(-5.0, None, "invalid response_time_ms")]
     big = [r for r in out if r["response_time_ms"] == 15000.0][0]
     assert big["is_anomaly"] and big["details"]["z_score"]["is_anomaly"]
     b = anomaly.detect_batch(feats, det)

@@ -191,17 +191,18 @@ def fit_detector(df: DataFrame, features: list[str], baseline: str = "response_t
 
 def detect_requests(requests: DataFrame, det: Detector) -> DataFrame:
     """Anomaly check of request rows (response_time_ms, method[, hour,
-    day_of_week]): invalid rows are dropped (see ``validate_requests``); the
-    request's own response time stands in for the rolling mean; result is
-    is_anomaly, score and nested details per row."""
+    day_of_week]): the request's own response time stands in for the rolling
+    mean; result is is_anomaly, score and nested details per row. An invalid
+    row (see ``validate_requests``) is kept with a ``reject_reason`` and no result."""
     from . import iforest
     from .features import request_features, validate_requests
     req = requests if "hour" in requests.columns else requests.withColumn("hour", F.lit(12))
-    good, _ = validate_requests(req, "anomaly")
+    good, bad = validate_requests(req, "anomaly")
     feats = request_features(good.withColumn("historical_avg_response", F.col("response_time_ms")))
     z = zscore_detect(feats, det)
     scored = iforest.score(z, det.forest) if det.forest is not None else z
-    return combine(scored)
+    done = combine(scored).withColumn("reject_reason", F.lit(None).cast("string"))
+    return done.unionByName(bad, allowMissingColumns=True)
 
 
 def detect_batch(df: DataFrame, det: Detector, col: str = "response_time_ms") -> DataFrame:
