@@ -154,6 +154,7 @@ class Tree:
     left: list[int] = field(default_factory=lambda: [-1])
     right: list[int] = field(default_factory=lambda: [-1])
     value: list[float] = field(default_factory=lambda: [0.0])
+    cover: list[float] = field(default_factory=lambda: [0.0])
 
     def split(self, at: int, feature: int, cut: int, null_left: bool) -> tuple[int, int]:
         ends = len(self.feature), len(self.feature) + 1
@@ -161,7 +162,7 @@ class Tree:
         self.left[at], self.right[at] = ends
         for _ in ends:
             for column, x in ((self.feature, -1), (self.cut, 0), (self.null_left, False), (self.left, -1), (self.right, -1),
-                              (self.value, 0.0)):
+                              (self.value, 0.0), (self.cover, 0.0)):
                 column.append(x)
         return ends
 
@@ -282,10 +283,11 @@ def grow(blocks: DataFrame, known: np.ndarray, objective: str, depth: int, rate:
                 continue
             gain, feature, cut, null_left, (gl, hl) = found
             g0, h0 = float(g[0].sum()), float(h[0].sum())
+            tree.cover[n] = h0
             gains[feature] += gain
             ends = tree.split(n, feature, cut, null_left)
             for end, (a, c) in zip(ends, ((gl, hl), (g0 - gl, h0 - hl))):
-                tree.value[end] = -rate * a / (c + l2)
+                tree.value[end], tree.cover[end] = -rate * a / (c + l2), c
             light, heavy = ends if hl <= h0 - hl else ends[::-1]
             measured.append(light)
             derived[heavy] = (n, light)
@@ -295,14 +297,14 @@ def grow(blocks: DataFrame, known: np.ndarray, objective: str, depth: int, rate:
             break
     if len(tree.feature) == 1:
         g, h = (float(x[0].sum()) for x in sums[0])
-        tree.value[0] = -rate * g / (h + l2) if h + l2 else 0.0
+        tree.value[0], tree.cover[0] = -rate * g / (h + l2) if h + l2 else 0.0, h
     return tree
 
 
 def _append(nodes: Nodes, tree: Tree, edges: list[np.ndarray], depth: int) -> None:
     first = len(nodes.feature)
-    for v in tree.value:
-        nodes.add_leaf(v)
+    for v, c in zip(tree.value, tree.cover):
+        nodes.add_leaf(v, c)
     for at, f in enumerate(tree.feature):
         if f >= 0:
             nodes.set_split(first + at, f, float(edges[f][tree.cut[at]]), first + tree.left[at], first + tree.right[at],

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Nodes:
-    """Flat nodes of all trees; ``roots`` are the first nodes of the trees and
-    ``depth`` is the longest walk."""
+    """Flat nodes of all trees; ``roots`` are the first nodes of the trees,
+    ``depth`` is the longest walk and ``cover`` the weight of the training rows
+    that reached each node (where it is known)."""
     feature: list[int] = field(default_factory=list)
     threshold: list[float] = field(default_factory=list)
     left: list[int] = field(default_factory=list)
@@ -29,11 +30,12 @@ class Nodes:
     value: list = field(default_factory=list)
     roots: list[int] = field(default_factory=list)
     depth: int = 0
+    cover: list[float] = field(default_factory=list)
 
-    def add_leaf(self, value) -> int:
+    def add_leaf(self, value, cover: float = 0.0) -> int:
         at = len(self.feature)
         for column, x in ((self.feature, 0), (self.threshold, 0.0), (self.left, at), (self.right, at),
-                          (self.null_left, False), (self.value, value)):
+                          (self.null_left, False), (self.value, value), (self.cover, cover)):
             column.append(x)
         return at
 
