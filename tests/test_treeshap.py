@@ -71,3 +71,28 @@ def test_deep_random_trees():
         want, base = brute(nodes, x, 5)
         got = treeshap.contributions(np.array([[np.nan if v is None else v for v in x]]), leaves)[0]
         assert np.allclose(got, want) and abs(mean - base) < 1e-9
+
+
+def test_models_of_every_kind(spark, sf_dir):
+    """Mean and contributions add up to the output of the model."""
+    from pyspark.sql import functions as F
+
+    from weblog_engine.operators import explain, features, split, train
+    from weblog_engine.sources.tables import weblogs
+    f = split.split(features.engineer_features(weblogs(spark, sf_dir)), by="is_error").persist()
+    tr, te = f.where("split = 'train'"), f.where("split = 'test'")
+    feats = features.CLASSIFICATION_FEATURES
+    log_odds = lambda p: math.log(p / (1 - p))
+    for k, c in enumerate(train.classifier_candidates(5, 2, n_weighted_rows=800.0)):
+        t, _ = train.fit_classifiers(tr, te, feats, "is_error", [c], concurrent=False)
+        out = {r.id: r.score for r in train.positive_score(t.model.transform(f)).select("id", "score").collect()}
+        got = explain.exact(t, f, n_rows=6).groupBy("id").agg(F.sum("contribution").alias("s"), F.first("mean").alias("m")).collect()
+        assert len(got) == 6
+        for r in got:
+            want = out[r.id] if c.name == "random_forest" else log_odds(out[r.id])
+            assert abs(r.s + r.m - want) < 1e-8, c.name
+    for c in train.regressor_candidates(5, 2)[::2]:
+        t, _ = train.fit_regressors(tr, te, feats, "response_time_ms", [c], concurrent=False)
+        out = {r.id: r.prediction for r in t.model.transform(f).select("id", "prediction").collect()}
+        got = explain.exact(t, f, n_rows=6).groupBy("id").agg(F.sum("contribution").alias("s"), F.first("mean").alias("m")).collect()
+        assert all(abs(r.s + r.m - out[r.id]) < 1e-6 * max(1, abs(out[r.id])) for r in got), c.name

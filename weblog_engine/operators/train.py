@@ -10,16 +10,18 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import MODEL_METADATA_SCHEMA, TRAINING_RUNS_SCHEMA
 from . import metrics
+from .native import BoostedFit, LinearFit, NativeModel
 from .split import SEED, with_class_weights
+from .treewalk import Nodes
 
 # Reference hyper-parameters.
 CLF_LOGISTIC_MAX_ITER = 1000
@@ -33,13 +35,19 @@ REG_BOOST_ROUNDS, REG_BOOST_DEPTH, REG_BOOST_RATE = 200, 6, 0.1
 class Candidate:
     name: str
     estimator: object
-    weight: str | None = None          # 'balanced', 'positive', or None
+    weight: str | None = None          # 'balanced' or None
+
+    @property
+    def native(self) -> bool:
+        """One of this package's models: fitted on every row."""
+        return isinstance(self.estimator, (BoostedFit, LinearFit))
 
 
 def classifier_candidates(n_trees: int = CLF_FOREST_TREES, boost_rounds: int = CLF_BOOST_ROUNDS,
                           seed: int = SEED, n_weighted_rows: float | None = None) -> list[Candidate]:
     """Logistic regression (L2, C=1 on the weighted loss: regParam = 1/sum(w)),
-    random forest and boosted trees, with the reference's class weighting.
+    random forest and second-order boosted trees, with the reference's class
+    weighting.
     The logistic fit standardises internally: with raw feature scales (hour
     vs. a rolling mean in ms) L-BFGS needs hundreds of distributed
     iterations, and with a penalty this small the optimum barely moves."""
@@ -52,19 +60,17 @@ def classifier_candidates(n_trees: int = CLF_FOREST_TREES, boost_rounds: int = C
                   RandomForestClassifier(numTrees=n_trees, maxDepth=CLF_FOREST_DEPTH, seed=seed,
                                          weightCol="weight"), "balanced"),
         Candidate("gradient_boosted_trees",
-                  GBTClassifier(maxIter=boost_rounds, maxDepth=CLF_BOOST_DEPTH, stepSize=CLF_BOOST_RATE,
-                                seed=seed, weightCol="weight"), "positive"),
+                  BoostedFit("logistic", boost_rounds, CLF_BOOST_DEPTH, CLF_BOOST_RATE, CLF_BOOST_POS_WEIGHT)),
     ]
 
 
 def regressor_candidates(n_trees: int = REG_FOREST_TREES, boost_rounds: int = REG_BOOST_ROUNDS,
                          seed: int = SEED) -> list[Candidate]:
     return [
-        Candidate("linear_regression", LinearRegression(regParam=0.0, solver="normal")),
+        Candidate("linear_regression", LinearFit()),
         Candidate("random_forest_regressor",
                   RandomForestRegressor(numTrees=n_trees, maxDepth=REG_FOREST_DEPTH, seed=seed)),
-        Candidate("gradient_boosting",
-                  GBTRegressor(maxIter=boost_rounds, maxDepth=REG_BOOST_DEPTH, stepSize=REG_BOOST_RATE, seed=seed)),
+        Candidate("gradient_boosting", BoostedFit("squared", boost_rounds, REG_BOOST_DEPTH, REG_BOOST_RATE)),
     ]
 
 
@@ -72,7 +78,7 @@ def regressor_candidates(n_trees: int = REG_FOREST_TREES, boost_rounds: int = RE
 class Trained:
     kind: str                       # 'classifier' | 'regressor'
     best_name: str
-    model: PipelineModel
+    model: PipelineModel | NativeModel
     features: list[str]
     metrics: dict = field(default_factory=dict)     # name -> metric dict
     version: str = ""
@@ -87,15 +93,19 @@ def _model_spec(features: list[str], est) -> Pipeline:
 
 
 def positive_score(pred: DataFrame) -> DataFrame:
-    return pred.withColumn("score", vector_to_array("probability")[1])
+    """The probability of label 1 as ``score`` (this package's models give it
+    under that name)."""
+    return pred.withColumn("score", vector_to_array("probability")[1]) if "probability" in pred.columns else pred
 
 
 def _weighted(df: DataFrame, label: str, mode: str | None) -> DataFrame:
-    if mode == "balanced":
-        return with_class_weights(df, label)
-    if mode == "positive":
-        return with_class_weights(df, label, positive_weight=CLF_BOOST_POS_WEIGHT)
-    return df
+    return with_class_weights(df, label) if mode == "balanced" else df
+
+
+def _fitted(c: Candidate, rows: DataFrame, features: list[str]) -> PipelineModel | NativeModel:
+    if c.native:
+        return c.estimator.fit(rows, features, "label")
+    return _model_spec(features, c.estimator).fit(_weighted(rows, "label", c.weight))
 
 
 def run_concurrently(tasks: list) -> list:
@@ -111,19 +121,21 @@ def run_concurrently(tasks: list) -> list:
 
 def fit_classifiers(train: DataFrame, test: DataFrame, features: list[str], label: str = "is_error",
                     candidates: list[Candidate] | None = None,
-                    concurrent: bool = True) -> tuple[Trained, DataFrame]:
+                    concurrent: bool = True, sample: DataFrame | None = None) -> tuple[Trained, DataFrame]:
     """Fit each candidate, score the test split, and keep the best by ROC-AUC
     (first candidate wins ties). Returns the winner and a metrics table
-    (one row per candidate). Only metric values reach the driver."""
+    (one row per candidate). Only metric values reach the driver. Spark ML's
+    candidates are fitted on ``sample`` where one is given, this package's own
+    on all of ``train``."""
     spark = train.sparkSession
     tr = train.withColumn("label", F.col(label).cast("double"))
     te = test.withColumn("label", F.col(label).cast("double"))
+    few = tr if sample is None else sample.withColumn("label", F.col(label).cast("double"))
     if candidates is None:
-        n = tr.count()
-        candidates = classifier_candidates(n_weighted_rows=float(n))
+        candidates = classifier_candidates(n_weighted_rows=float(few.count()))
 
     def one(pos, c):
-        m = _model_spec(features, c.estimator).fit(_weighted(tr, "label", c.weight))
+        m = _fitted(c, tr if c.native else few, features)
         # Three metric passes read the same scored test split: keep it
         # (three narrow columns) for their duration only.
         pred = positive_score(m.transform(te)).select(F.col("label").cast("int").alias("label"),
@@ -157,7 +169,7 @@ def fit_regressors(train: DataFrame, test: DataFrame, features: list[str], label
     cands = candidates or regressor_candidates()
 
     def one(pos, c):
-        m = _model_spec(features, c.estimator).fit(tr)
+        m = _fitted(c, tr, features)
         r = metrics.regression_metrics(m.transform(te)).first()
         return m, (pos, c.name, float(r["rmse"]), float(r["mae"]),
                    float(r["r2"]) if r["r2"] is not None else None)
@@ -185,8 +197,10 @@ def feature_importance(trained: Trained) -> DataFrame:
     """(feature, importance) of a tree model, most important first; linear
     models report the absolute coefficients."""
     spark = SparkSession.getActiveSession()
-    est = trained.model.stages[-1]
-    if hasattr(est, "featureImportances"):
+    est = trained.model if isinstance(trained.model, NativeModel) else trained.model.stages[-1]
+    if isinstance(est, NativeModel):
+        vals = est.importances()
+    elif hasattr(est, "featureImportances"):
         vals = est.featureImportances.toArray().tolist()
     elif hasattr(est, "coefficients"):
         vals = [abs(x) for x in est.coefficients.toArray().tolist()]
@@ -201,10 +215,15 @@ def feature_importance(trained: Trained) -> DataFrame:
 def save_model(trained: Trained, path: str) -> str:
     """Pipeline model plus a sidecar with features and metrics, so a
     reloaded regressor keeps its RMSE for prediction intervals."""
-    trained.model.write().overwrite().save(os.path.join(path, "model"))
     spark = SparkSession.getActiveSession()
+    native = trained.model.kind if isinstance(trained.model, NativeModel) else None
+    if native:
+        spark.createDataFrame([(trained.model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").json(
+            os.path.join(path, "model"))
+    else:
+        trained.model.write().overwrite().save(os.path.join(path, "model"))
     side = json.dumps({"kind": trained.kind, "best_name": trained.best_name, "features": trained.features,
-                       "metrics": trained.metrics, "version": trained.version})
+                       "metrics": trained.metrics, "version": trained.version, "native": native})
     spark.createDataFrame([(side,)], "meta string").coalesce(1).write.mode("overwrite").json(
         os.path.join(path, "meta"))
     return path
@@ -213,10 +232,38 @@ def save_model(trained: Trained, path: str) -> str:
 def load_model(path: str) -> Trained:
     spark = SparkSession.getActiveSession()
     meta = json.loads(spark.read.json(os.path.join(path, "meta")).first()["meta"])
-    model = PipelineModel.load(os.path.join(path, "model"))
+    where = os.path.join(path, "model")
+    if meta.get("native"):
+        model = NativeModel.from_json(meta["native"], spark.read.json(where).first()["model"])
+    else:
+        model = PipelineModel.load(where)
     return Trained(meta["kind"], meta["best_name"], model, meta["features"], meta["metrics"], meta["version"])
 
 
+def forest_nodes(model: PipelineModel, path: str) -> Nodes:
+    """A Spark ML random forest classifier as flat nodes, from the table of its
+    nodes: it is written to ``path`` and read back. Leaves hold the share of
+    label 1 over the number of trees, so a walk adds up to the probability. The
+    nodes are bounded by the parameters (trees, depth)."""
+    spark = SparkSession.getActiveSession()
+    model.stages[-1].write().overwrite().save(path)
+    rows = spark.read.parquet(os.path.join(path, "data")).select(
+        "treeID", "nodeData.id", "nodeData.impurityStats", "nodeData.leftChild", "nodeData.rightChild",
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")).orderBy("treeID", "id").collect()
+    nodes, at = Nodes(), {}
+    trees = max((r.treeID for r in rows), default=-1) + 1
+    for r in rows:
+        total = sum(r.impurityStats)
+        at[r.treeID, r.id] = nodes.add_leaf(r.impurityStats[1] / total / trees if total else 0.0, total)
+    for r in rows:
+        if r.leftChild >= 0:
+            nodes.set_split(at[r.treeID, r.id], r.feature, r.threshold, at[r.treeID, r.leftChild], at[r.treeID, r.rightChild])
+    nodes.roots = [at[t, 0] for t in range(trees)]
+    nodes.depth = max((t.depth for t in model.stages[-1].trees), default=0)
+    return nodes
+
+
 def model_version(now: dt.datetime | None = None) -> str:
     return (now or dt.datetime.now()).strftime("v%Y%m%d_%H%M%S")
 

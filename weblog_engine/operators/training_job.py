@@ -39,11 +39,11 @@ def train_all(logs: DataFrame, out_dir: str, n_trees: int = train.CLF_FOREST_TRE
               label: str = "is_error", baseline: str = "response_time_ms",
               clf_features: list[str] | None = None, reg_features: list[str] | None = None,
               chunk_rows: int = 1_000_000, max_labelled_rows: int = 20_000) -> TrainResult:
-    """Run the training job. ``max_labelled_rows`` bounds the labelled rows
-    that the candidate models are fitted on (those with the least hashes of
-    their ids); splits, metrics, the detector's moments and the snapshot cover
-    all rows. A failure is recorded as a 'failed' run row
-    before the error is raised again."""
+    """Run the training job. ``max_labelled_rows`` bounds, to about so many, the
+    labelled rows that the logistic and the random-forest classifier are fitted
+    on (those with the least hashes of their ids). Boosted trees, all regressors,
+    splits, metrics, the detector's moments and the snapshot cover all rows. A
+    failure is recorded as a 'failed' run row before the error is raised again."""
     spark = logs.sparkSession
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     run_id = uuid.uuid4().hex
@@ -78,17 +78,18 @@ def _train_all(logs, out_dir, n_trees, boost_rounds, forest_trees, label, baseli
     clf_train, clf_test = feats.where(F.col("split_clf") == "train"), feats.where(F.col("split_clf") == "test")
     reg_train, reg_test = feats.where(F.col("split_reg") == "train"), feats.where(F.col("split_reg") == "test")
 
-    n_train = min(clf_train.count(), max_labelled_rows)
-    share = max_labelled_rows / max(n, 1)
-    in_sample = F.pmod(F.xxhash64("id", F.lit(split.SEED)), F.lit(1 << 30)) < F.lit(share * (1 << 30))
+    share = max_labelled_rows / max(clf_train.count(), 1)
+    sample = clf_train if share >= 1 else clf_train.where(
+        F.pmod(F.xxhash64("id", F.lit(split.SEED)), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    n_sample = sample.count()
     # Classifiers, regressors and the detector are independent: run them
     # as concurrent Spark jobs.
     (clf, clf_table), (reg, reg_table), det = train.run_concurrently([
         lambda: train.fit_classifiers(
-            clf_train.where(in_sample), clf_test, clf_f, label,
-            train.classifier_candidates(n_trees, boost_rounds, n_weighted_rows=float(n_train))),
+            clf_train, clf_test, clf_f, label,
+            train.classifier_candidates(n_trees, boost_rounds, n_weighted_rows=float(n_sample)), sample=sample),
         lambda: train.fit_regressors(
-            reg_train.where(in_sample), reg_test, reg_f, "response_time_ms",
+            reg_train, reg_test, reg_f, "response_time_ms",
             train.regressor_candidates(n_trees, boost_rounds)),
         lambda: _fit_detector(feats, clf_f, baseline, forest_trees),
     ])
