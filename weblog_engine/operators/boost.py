@@ -18,8 +18,10 @@ summed, the other is the parent less its sibling. Gradients are rounded to a
 power of two that keeps all sums whole numbers below 2^53, so neither the order
 of addition nor the partitioning changes the model.
 
-Margins are kept between rounds; every ``CUT`` rounds they go to the shared
-checkpoint folder, so an executor's loss costs a few passes."""
+The blocks hold the margins as of the last cut; the few trees since then are
+walked again by each pass. Every ``CUT`` rounds the margins are brought up to date
+and go to the shared checkpoint folder, so plans stay short and an executor's loss
+costs one pass."""
 
 from __future__ import annotations
 
@@ -30,7 +32,6 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,13 @@ from .prefix import running_sums
 from .treewalk import Nodes, leaf_sum
 
 BINS = 256
-BLOCK = 65_536  # rows of a block
-CUT = 25
+BLOCK = 65_536  # most rows of a block
+TASK = 1 << 20  # most rows of a task
+CUT = 8
+# A level's sums come to the driver by task if all tasks' together stay within so
+# many bytes by their parameters, and are added up by Spark otherwise. They are
+# whole numbers: the sums are the same.
+DRIVER_BYTES = 32 << 20
 WEIGHT_UNIT, LABEL_UNIT = 1 << 20, 1 << 24
 LEAST_GAIN = 1e-6
 
@@ -178,6 +184,9 @@ class Tree:
             node[rows] = np.where(to_left, left[n], right[n])
         return node
 
+    def values_of(self, bins: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return np.array(self.value)[self.nodes_of(bins, known)]
+
 
 def gradients(objective: str, margin: np.ndarray, w: np.ndarray, wy: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
     """Summed gradients and Hessians of the rows, as whole numbers of 1/unit."""
@@ -209,10 +218,11 @@ def best_split(g: np.ndarray, h: np.ndarray, known: np.ndarray, l2: float, least
     return best
 
 
-def level_sums(blocks: DataFrame, tree: Tree, measured: list[int], known: np.ndarray, objective: str,
-               unit: float) -> DataFrame:
+def level_sums(blocks: DataFrame, recent: list[Tree], tree: Tree, measured: list[int], known: np.ndarray, objective: str,
+               unit: float, tasks: int | None = None) -> DataFrame:
     """(node, feature, bin, g, h): summed gradients and Hessians of the rows in
-    the nodes ``measured``."""
+    the nodes ``measured``, margins including the trees ``recent``; by task, not
+    added up yet, if ``tasks`` is given and small."""
     features, width = len(known), int(known.max(initial=0)) + 1
     slot = np.full(len(tree.feature), -1)
     slot[measured] = np.arange(len(measured))
@@ -225,10 +235,13 @@ def level_sums(blocks: DataFrame, tree: Tree, measured: list[int], known: np.nda
             for bins, w, wy, margin in _matrices(b, features):
                 at = slot[tree.nodes_of(bins, known)]
                 on = np.flatnonzero(at >= 0)
-                gr, he = gradients(objective, margin[on], w[on], wy[on], unit)
+                margin, some = margin[on], bins[on]
+                for t in recent:
+                    margin = margin + t.values_of(some, known)
+                gr, he = gradients(objective, margin, w[on], wy[on], unit)
                 first = at[on] * (features * width)
                 for f in range(features):
-                    pos = first + f * width + bins[on, f]
+                    pos = first + f * width + some[:, f]
                     g += np.bincount(pos, gr, size)
                     h += np.bincount(pos, he, size)
         some = np.flatnonzero(h)
@@ -237,8 +250,10 @@ def level_sums(blocks: DataFrame, tree: Tree, measured: list[int], known: np.nda
             [pa.array(names[node], pa.int32()), pa.array(rest // width, pa.int32()), pa.array(rest % width, pa.int32()),
              pa.array(g[some]), pa.array(h[some])], ["node", "feature", "bin", "g", "h"])
 
-    return blocks.mapInArrow(run, "node int, feature int, bin int, g double, h double") \
-        .groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    parts = blocks.mapInArrow(run, "node int, feature int, bin int, g double, h double")
+    if tasks is not None and tasks * len(measured) * features * width * 28 <= DRIVER_BYTES:
+        return parts
+    return parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
 def _matrices(b: pa.RecordBatch, features: int) -> Iterator[tuple]:
@@ -247,32 +262,35 @@ def _matrices(b: pa.RecordBatch, features: int) -> Iterator[tuple]:
                np.frombuffer(margin))
 
 
-def _advanced(blocks: DataFrame, tree: Tree, known: np.ndarray) -> DataFrame:
-    """Blocks whose margins include the leaves of ``tree``."""
+def _advanced(blocks: DataFrame, recent: list[Tree], known: np.ndarray) -> DataFrame:
+    """Blocks whose margins include the leaves of ``recent``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = np.array(tree.value)
         for b in batches:
-            margins = [(m + value[tree.nodes_of(bins, known)]).tobytes() for bins, _, _, m in _matrices(b, len(known))]
+            margins = []
+            for bins, _, _, margin in _matrices(b, len(known)):
+                for t in recent:
+                    margin = margin + t.values_of(bins, known)
+                margins.append(margin.tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(margins, pa.binary())], ["bins", "w", "wy", "margin"])
 
     return blocks.mapInArrow(run, _BLOCKS)
 
 
-def grow(blocks: DataFrame, known: np.ndarray, objective: str, depth: int, rate: float, l2: float, least_weight: float,
-         unit: float, gains: np.ndarray) -> Tree:
+def grow(blocks: DataFrame, recent: list[Tree], known: np.ndarray, objective: str, depth: int, rate: float, l2: float, least_weight: float,
+         unit: float, gains: np.ndarray, tasks: int | None = None) -> Tree:
     """One tree, a job a level."""
     tree, features, width = Tree(), len(known), int(known.max(initial=0)) + 1
     sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     measured, derived, frontier = [0], {}, [0]
     for _ in range(depth):
-        got = level_sums(blocks, tree, measured, known, objective, unit).toArrow()
+        got = level_sums(blocks, recent, tree, measured, known, objective, unit, tasks).toArrow()
         node, f, b = (got.column(c).to_numpy() for c in ("node", "feature", "bin"))
         for n in measured:
             g, h = np.zeros((features, width)), np.zeros((features, width))
             mine = node == n
-            g[f[mine], b[mine]] = got.column("g").to_numpy()[mine] / unit
-            h[f[mine], b[mine]] = got.column("h").to_numpy()[mine] / unit
-            sums[n] = g, h
+            for total, c in ((g, "g"), (h, "h")):
+                np.add.at(total, (f[mine], b[mine]), got.column(c).to_numpy()[mine])
+            sums[n] = g / unit, h / unit
         for n, (parent, sibling) in derived.items():
             sums[n] = tuple(p - s for p, s in zip(sums[parent], sums[sibling]))
         measured, derived, following = [], {}, []
@@ -344,20 +362,14 @@ def fit(df: DataFrame, features: list[str], label: str, objective: str = "logist
     unit = 2.0 ** min(24, 51 - math.ceil(math.log2(max(w, 1.0))))
     base = -(0.5 * w - wy) / (0.25 * w) if objective == "logistic" else 0.0
     model, gains = Boosted(list(features), objective, base, centre, scale), np.zeros(len(features))
-    blocks = _packed(rows.repartition(max(1, math.ceil(total.n / BLOCK))), base).persist(StorageLevel.MEMORY_AND_DISK)
-    before = None
+    tasks = max(1, math.ceil(total.n / TASK), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total.n / 8192)))
+    blocks, recent = pin(_packed(rows.repartition(tasks), base)), []
     for k in range(rounds):
-        tree = grow(blocks, known, objective, depth, rate, l2, least_weight, unit, gains)
+        tree = grow(blocks, recent, known, objective, depth, rate, l2, least_weight, unit, gains, tasks)
         _append(model.nodes, tree, edges, depth)
-        if before is not None:
-            before.unpersist()  # its successor is there by now
-        before = blocks
-        if k + 1 < rounds:
-            blocks = _advanced(blocks, tree, known)
-            blocks = pin(blocks) if k % CUT == CUT - 1 else blocks.persist(StorageLevel.MEMORY_AND_DISK)
-    blocks.unpersist()
-    if before is not None:
-        before.unpersist()
+        recent.append(tree)
+        if len(recent) == CUT and k + 1 < rounds:
+            blocks, recent = pin(_advanced(blocks, recent, known)), []
     share = gains / gains.sum() if gains.sum() else gains
     model.gains = share.tolist()
     return model
