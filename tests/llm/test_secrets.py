@@ -55,6 +55,31 @@ def test_queries_are_necessary(rule):
                 assert holds(query, low)
 
 
+def spans(kind, text):
+    rule = next(r for r in secrets.RULES if r.kind == kind)
+    return [text[a:z] for a, z in rule.spans(text)]
+
+
+def test_long_values_are_found():
+    url = "https://" + "u" * 80 + ":" + "p" * 500 + "@host/x"
+    assert spans("login_url", f"see {url}") == [url.removesuffix("host/x")]
+    assert spans("login_url", "git+https://u:p@h verylongschemename://u:p@h") == ["https://u:p@", "verylongschemename://u:p@"]
+    head = "-----BEGIN " + "VERY " * 20 + "PRIVATE KEY-----"
+    assert spans("pem", head * 2) == [head] * 2
+    assert spans("jwt", "a eyJ" + "x" * 20 + ".eyJ" + "y" * 20 + "." + "z" * 20) == ["eyJ" + "x" * 20 + ".eyJ" + "y" * 20 + "." + "z" * 20]
+
+
+@pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
+def test_time_follows_length(rule):
+    """Texts of what a rule begins with, over and over."""
+    import time
+    for unit in ("eyJ", "eyJ" + "a" * 12 + ".", "http://", "a://b:", "-----BEGIN ", "A ", "token=", "AKIA", "gho_", "Bearer ", "xoxb-", "sk_live_"):
+        text = unit * (300_000 // len(unit))
+        began = time.perf_counter()
+        rule.spans(text)
+        assert time.perf_counter() - began < 2, unit
+
+
 def test_unlikely_texts_are_skipped():
     import numpy as np
     index = secrets.BlockIndex([b"abc", b"bcd"])

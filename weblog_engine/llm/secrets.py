@@ -61,10 +61,12 @@ RULES = (
     Rule("slack", "xox[abpr]-[0-9A-Za-z-]{10,}"),
     Rule("google", "AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", "[rs]k_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,}"),
-    Rule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # runs are taken whole and begin at their first character, so that a text is
+    # read once however long its runs are
+    Rule("jwt", r"(?<![\w-])eyJ[\w-]{10,}+\.eyJ[\w-]{10,}+\.[\w-]{10,}+"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", "[Bb]earer [A-Za-z0-9._~+/-]{20,}"),
-    Rule("login_url", r"[a-z]{2,12}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("login_url", r"(?<![a-z])[a-z]{2,}+://[^\s:/@]++:[^\s:/@]++@"),
 )
 
 # A trigram query: True (no condition), a trigram, or ("and" | "or", parts).
@@ -108,7 +110,7 @@ def _walk(items) -> tuple[set[str] | None, object]:
             need = _both("or", [n for _, n in sides])
             if all(t is not None for t, _ in sides):
                 texts = set().union(*(t for t, _ in sides))
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             least, most, inner = arg
             texts, need = _walk(inner)
             if texts is not None and (least, most) == (0, 1):
