@@ -1,5 +1,6 @@
 """The grammar's patterns, and held-out accuracy."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weblog_engine.llm import toxicity as tox
@@ -22,6 +23,14 @@ def test_patterns():
     assert not g.features(None).any() and not g.features("x" * 100_000).any()
 
 
+def test_clauses_of_any_length():
+    g = tox.Grammar({"idiot": 4.0})
+    for filler in ("", "and so on " * 1_000, "word " * 40_000):
+        for text, pattern in ((f"he said {filler}you are an idiot", "reported"), (f"hm. you {filler}idiot", "aimed_insult"),
+                              (f"he said. {filler}you idiot; well", "aimed_insult"), (f"idiot. {filler}he said", "insult")):
+            assert np.flatnonzero(g.features(text)).tolist() == [tox.PATTERNS.index(pattern)], text[:30]
+
+
 def test_probe_finds_whole_words():
     g = tox.Grammar({"idiot": 4.0, "idio*": 3.0, "scum": 2.0})
     assert [m.start() for m in g.probe.finditer("scum scummy idiotic idio ascum")] == [0, 12]

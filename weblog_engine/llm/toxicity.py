@@ -34,7 +34,7 @@ from .common import id_remainder, prepare, saved
 
 SAMPLE = 6000  # labelled documents of each label that the fits may take
 STEMS = (4, 5, 6)  # lengths of the word beginnings that the lexicon may hold
-LEXICON = 5000  # learned words and stems
+LEXICON = 5000  # most learned words and stems of a fit, those of most toxic documents first
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 # Words of the classes that are not learned, in four languages.
@@ -119,16 +119,15 @@ class Grammar:
         sums = np.zeros(len(PATTERNS))
         text = (text or "").lower()
         if text:
-            end = -1
+            end, before = -1, 0
+            ends = _CLAUSE.finditer(text)  # read along with the hits
+            following = next(ends, None)
             for hit in self.probe.finditer(text):
                 if hit.start() < end:
                     continue  # in a clause read already
-                before = 0
-                for b in _CLAUSE.finditer(text, max(0, hit.start() - 2000), hit.start()):
-                    before = b.end()
-                before = max(before, end, hit.start() - 2000, 0)
-                after = _CLAUSE.search(text, hit.end())
-                end = after.start() if after else len(text)
+                while following and following.end() <= hit.start():
+                    before, following = following.end(), next(ends, None)
+                end = following.start() if following else len(text)
                 classes, strength = self.classify(_WORD.findall(text[before:end]))
                 pattern = match_clause(classes)
                 if pattern:
