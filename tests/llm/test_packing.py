@@ -8,20 +8,40 @@ import numpy as np
 from weblog_engine.llm import packing
 
 
+def least_padding(lengths, buckets):
+    """The least total padding of documents of these lengths, by trying all ends."""
+    ends = sorted(set(lengths))
+    return min(sum(next(e for e in (*some, ends[-1]) if e >= x) - x for x in lengths)
+               for r in range(min(buckets, len(ends))) for some in itertools.combinations(ends[:-1], r))
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(2)
-    for _ in range(30):
-        lengths = sorted(rng.sample(range(1, 100), rng.randrange(1, 9)))
+    for _ in range(200):
+        lengths = sorted(rng.sample(range(rng.choice((12, 100))), rng.randrange(1, 10)))
         counts = [rng.randrange(1, 9) for _ in lengths]
-        totals = [c * x - rng.randrange(2) for c, x in zip(counts, lengths)]
-        k = rng.randrange(1, 5)
+        every = [x for x, c in zip(lengths, counts) for _ in range(c)]
+        k = rng.randrange(1, 6)
+        ends = packing.best_buckets(lengths, counts, k)
+        assert len(ends) <= k and ends == sorted(ends) and set(ends) <= set(lengths)
+        assert sum(next(e for e in ends if e >= x) - x for x in every) == least_padding(every, k)
+
+
+def test_many_lengths():
+    rng = random.Random(3)
+    lengths = list(range(0, 60_000, 3))
+    ends = packing.best_buckets(lengths, [rng.randrange(1, 1000) for _ in lengths], 16)
+    assert len(ends) == 16 and ends[-1] == lengths[-1]
 
-        def waste(ends):
-            return sum(next(e for e in ends if e >= x) * c - t for x, c, t in zip(lengths, counts, totals))
 
-        best = min(waste((*e, lengths[-1])) for r in range(k) for e in itertools.combinations(lengths[:-1], r))
-        ends = packing.best_buckets(lengths, counts, totals, k)
-        assert len(ends) <= k and ends == sorted(ends) and waste(ends) == best
+def test_padding_of_whole_tables_is_least(spark):
+    rng = random.Random(5)
+    for lengths, k in (([65] * 200, 16), ([rng.choice((1, 2, 70, 71, 400, 5000, 5001)) for _ in range(300)], 3)):
+        df = spark.createDataFrame([(i, "w " * n, 1, 2, "p", "r") for i, n in enumerate(lengths)],
+                                   "doc_id long, text string, _part int, `index` int, part string, row string")
+        got = packing.pack(df, buckets=k, parts=4)
+        assert got.agg({"padding": "sum"}).first()[0] == least_padding(lengths, k)
+        assert {(r._part, r["index"], r.part, r.row) for r in got.collect()} == {(1, 2, "p", "r")}
 
 
 def test_pack(spark):

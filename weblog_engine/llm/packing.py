@@ -1,99 +1,112 @@
 """Packing documents into length buckets and token-budget batches.
 
-Lengths (words) are rounded up on a grid with ``STEPS`` points per power of
-two, so the global histogram has a bounded number of entries whatever the data.
-Dynamic programming over it chooses the bucket boundaries with the least total
-padding. Inside a bucket, batches take as many documents as the token budget
-holds at the bucket's length. Documents are numbered in their bucket from the
-counts of its parts, so no task needs a whole bucket.
+The global histogram of lengths (words) is counted exactly. Dynamic programming
+over it chooses the bucket boundaries with the least total padding: for one more
+bucket the best boundary before each length is the lower hull of straight lines,
+walked once, in whole numbers. Inside a bucket, batches take as many documents as
+the token budget holds at the bucket's length. Documents are numbered in their
+bucket from the counts of its parts, so no task needs a whole bucket.
+
+The histogram has a row for each length that occurs, at most as many as the
+longest text has words (n different lengths take n^2 / 2 words); it is all that
+the driver holds.
 
 Cases: null and empty texts and texts without words have length 0 and take the
 first bucket; a document over the budget is a batch of its own. Rows with the
 same id are numbered in order of id and text; an empty table gives an empty
-one; other columns pass through unless their names clash with those added.
+one; other columns, whatever their names, pass through unless they are named like
+those added.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
-BUCKETS, STEPS, BUDGET, PARTS = 16, 32, 16384, 256
+BUCKETS, BUDGET, PARTS = 16, 16384, 256
 
 
-def n_tokens(text_col: str = "text") -> Column:
+def n_tokens(text: Column) -> Column:
     """Number of words (runs between white space)."""
-    words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]++")
+    words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]++")
     return F.size(F.array_remove(words, "")).cast("long")
 
 
-def on_grid(n: Column, steps: int = STEPS) -> Column:
-    """``n`` rounded up to the grid: exact below 2 * steps, then ``steps``
-    points per power of two."""
-    step = F.expr(f"shiftleft(1L, greatest(0, CAST(floor(log2(greatest(n_tokens, 1))) AS INT) - {steps.bit_length() - 1}))")
-    return F.ceil(n / step) * step
-
-
-def best_buckets(lengths: list[int], counts: list[int], totals: list[int], buckets: int) -> list[int]:
+def best_buckets(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper ends of at most ``buckets`` buckets with the least padding, where
-    every document is padded to its bucket's end. totals: tokens by length."""
+    every document is padded to its bucket's end. ``lengths`` ascend."""
     n = len(lengths)
     if not n:
         return []
-    top = np.array(lengths, np.float64)
-    c = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
-    t = np.concatenate([[0], np.cumsum(totals, dtype=np.float64)])
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
+    below, words = [0], [0]  # documents and words of the first so many lengths
+    for x, c in zip(lengths, counts):
+        below.append(below[-1] + c)
+        words.append(words[-1] + x * c)
+    best: list = [0] + [None] * n  # least padding of the first so many lengths
     choices = []
     for _ in range(min(buckets, n)):
-        now, choice = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        now: list = [None] * (n + 1)
+        choice = [0] * (n + 1)
+        hull: list[tuple[int, int, int]] = []  # lines (slope, height, start), slopes fall
+        at = 0
         for end in range(1, n + 1):
-            # padding if the last bucket holds lengths start..end-1
-            cost = best[:end] + top[end - 1] * (c[end] - c[:end]) - (t[end] - t[:end])
-            choice[end] = int(np.argmin(cost))
-            now[end] = cost[choice[end]]
+            start = end - 1
+            if best[start] is not None:
+                # a last bucket of lengths start..end-1 pads by top * (documents) - (words)
+                line = (-below[start], best[start] + words[start], start)
+                while len(hull) > 1 and _never_least(hull[-2], hull[-1], line):
+                    hull.pop()
+                hull.append(line)
+                at = min(at, len(hull) - 1)
+            if not hull:
+                continue
+            top = lengths[end - 1]
+            value = lambda x: x[0] * top + x[1]
+            while at + 1 < len(hull) and value(hull[at + 1]) <= value(hull[at]):
+                at += 1
+            choice[end] = hull[at][2]
+            now[end] = value(hull[at]) + top * below[end] - words[end]
         best = now
-        best[0] = np.inf
         choices.append((now[n], choice))
-    used = int(np.argmin([x for x, _ in choices]))
+    used = min((k for k in range(len(choices)) if choices[k][0] is not None), key=lambda k: choices[k][0])
     ends, at = [], n
     for k in range(used, -1, -1):
         ends.append(lengths[at - 1])
-        at = int(choices[k][1][at])
+        at = choices[k][1][at]
     return ends[::-1]
 
 
+def _never_least(a: tuple, b: tuple, c: tuple) -> bool:
+    """Of lines with falling slopes: the middle one is nowhere below both others."""
+    return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
          budget: int = BUDGET, parts: int = PARTS) -> DataFrame:
     """Adds n_tokens, bucket, bucket_len, batch_id, batch_pos and padding."""
     added = ["n_tokens", "bucket", "bucket_len", "batch_id", "batch_pos", "padding"]
-    rows = df.drop(*added).withColumn("n_tokens", n_tokens(text_col))
-    rows = rows.withColumn("_grid", on_grid(F.col("n_tokens"))) \
-        .withColumn("_part", F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int"))
-    sizes = saved(rows.groupBy("_grid", "_part")
-                  .agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")), "lengths")
-    histogram = sizes.groupBy("_grid").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")) \
-        .orderBy("_grid").collect()  # bounded by the grid
-    ends = best_buckets([r["_grid"] for r in histogram], [r["n"] for r in histogram],
-                        [r["tokens"] for r in histogram], buckets)
-    bucket_of = F.coalesce(*[F.when(F.col("_grid") <= e, F.lit(i)) for i, e in enumerate(ends)]) if ends else F.lit(0)
+    kept = [c for c in df.columns if c not in added]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), n_tokens(F.col(text_col)).alias("n_tokens"),
+                     F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int").alias("part"))
+    sizes = saved(rows.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = sizes.groupBy("n_tokens").agg(F.sum("n").alias("n")).orderBy("n_tokens").toArrow()
+    ends = best_buckets(histogram.column("n_tokens").to_pylist(), histogram.column("n").to_pylist(), buckets)
+    bucket_of = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(i)) for i, e in enumerate(ends)]) if ends else F.lit(0)
     # documents of the bucket in parts before this one: buckets x parts rows
-    before = sizes.withColumn("bucket", bucket_of).groupBy("bucket", "_part").agg(F.sum("n").alias("n")) \
-        .withColumn("_before", F.sum("n").over(Window.partitionBy("bucket").orderBy("_part")) - F.col("n")) \
-        .select("bucket", "_part", "_before")
+    before = sizes.withColumn("bucket", bucket_of).groupBy("bucket", "part").agg(F.sum("n").alias("n")) \
+        .withColumn("before", F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")) \
+        .select("bucket", "part", "before")
     length = F.element_at(F.array(*[F.lit(int(e)).cast("long") for e in ends or [0]]), F.col("bucket") + 1)
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(length, F.lit(1)))).cast("long")
-    in_part = Window.partitionBy("bucket", "_part").orderBy(F.col(id_col), F.col(text_col))
-    index = F.col("_before") + F.row_number().over(in_part) - 1
+    in_part = Window.partitionBy("bucket", "part").orderBy(F.col("row")[id_col], F.col("row")[text_col])
+    index = F.col("before") + F.row_number().over(in_part) - 1
     # every part of a bucket is in ``before``; a left join spares the null check
     # on its keys, which would count the words of each text many times over
-    return rows.withColumn("bucket", bucket_of).join(F.broadcast(before), ["bucket", "_part"], "left") \
-        .withColumn("_index", index.cast("long")).withColumn("bucket_len", length) \
-        .withColumn("batch_id", F.floor(F.col("_index") / per_batch)) \
-        .withColumn("batch_pos", (F.col("_index") % per_batch).cast("int")) \
+    return rows.withColumn("bucket", bucket_of).join(F.broadcast(before), ["bucket", "part"], "left") \
+        .withColumn("index", index.cast("long")).withColumn("bucket_len", length) \
+        .withColumn("batch_id", F.floor(F.col("index") / per_batch)) \
+        .withColumn("batch_pos", (F.col("index") % per_batch).cast("int")) \
         .withColumn("padding", F.col("bucket_len") - F.col("n_tokens")) \
-        .select(*[c for c in df.columns if c not in added], *added)
+        .select(*[F.col("row")[c].alias(c) for c in kept], *added)
