@@ -59,3 +59,17 @@ def test_query(spark):
     arr = bpe.encode(df, PATH).select("doc_id", bpe.ids_array().alias("a")).where("doc_id = 1").collect()[0].a
     assert arr == REF.encode("Hello there", add_special_tokens=False).ids
     assert bpe.digests(df.limit(0), PATH).count() == 0
+
+
+def test_two_vocabularies_in_one_session(spark, tmp_path):
+    import json
+    doc = json.load(open(PATH, encoding="utf-8"))
+    doc["model"]["merges"] = doc["model"]["merges"][:300]
+    other = str(tmp_path / "other.json")
+    json.dump(doc, open(other, "w", encoding="utf-8"))
+    df = spark.createDataFrame([(i, f"some words {i} thereafter") for i in range(20)], "doc_id long, text string").coalesce(1)
+    want = {p: {i: Tokenizer.from_file(p).encode(t, add_special_tokens=False).ids for i, t in df.collect()} for p in (PATH, other)}
+    assert want[PATH] != want[other]
+    for path in (PATH, other) * 4:
+        got = {r.doc_id: r.ids for r in bpe.encode(df, path).select("doc_id", bpe.ids_array().alias("ids")).collect()}
+        assert got == want[path]

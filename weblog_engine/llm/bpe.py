@@ -205,15 +205,15 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[int, Bpe] = {}
+_LOADED: list = []  # the vocabulary text that the worker's encoder was made of, and the encoder
 
 
 def _bpe(shared) -> Bpe:
-    """One encoder per worker process and broadcast vocabulary."""
-    if id(shared) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[id(shared)] = Bpe(shared.value)
-    return _LOADED[id(shared)]
+    """One encoder per worker process; another vocabulary takes its place."""
+    text = shared.value
+    if not _LOADED or (_LOADED[0] is not text and _LOADED[0] != text):
+        _LOADED[:] = text, Bpe(text)
+    return _LOADED[1]
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -266,8 +266,21 @@ def ids_array(col: str = "ids"):
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token count and SHA-256 of the packed ids and of the decoded text."""
-    both = decode(encode(df, path, id_col, text_col), path, id_col)
+    """Token count and SHA-256 of the packed ids and of the text decoded from
+    them, in one pass over the texts."""
+    spark = df.sparkSession
+    prepare(spark)
+    shared = vocabulary(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _bpe(shared)
+        for batch in batches:
+            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())],
+                                             [id_col, "ids", "decoded"])
+
+    both = df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
     return both.select(
         id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
