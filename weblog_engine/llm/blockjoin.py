@@ -10,8 +10,10 @@ of a query's tasks are merged at the end. The result is exact.
 
 Nearness is the inner product, ties go to the smaller candidate id. Null, zero
 or empty vectors and vectors with null or non-finite components take no part,
-nor do null ids; an id's repeated rows count as one (the least vector); vectors
-of different lengths are compared only within their length. With fewer
+nor do null ids. Rows equal in id and vector count as one, and a query's own row is
+the one equal to it in both: rows that share an id but not the vector are different
+rows, found by each other, and each of them that asks gets ranks of its own.
+Vectors of different lengths are compared only within their length. With fewer
 candidates than k all are returned; extra columns are not read.
 """
 
@@ -82,12 +84,17 @@ def search_block(q_ids, q, c_ids, c, k: int) -> Heaps:
         # |<q, c> - <q', c'>| <= |q'| |c - c'| + |q - q'| |c'| + |q - q'| |c - c'|
         off = qn[:, None] * cr[None, part] + qr[:, None] * (cn[None, part] + cr[None, part])
         off = off * (1 + 1e-9) + 1e-12 * (qn[:, None] + qr[:, None]) * (cn + cr)[None, part]
-        about[q_ids[:, None] == c_ids[None, part]] = -np.inf
+        at_q, at_c = np.nonzero(q_ids[:, None] == c_ids[None, part])
+        own = (q[at_q] == c[part][at_c]).all(axis=1)
+        about[at_q[own], at_c[own]] = -np.inf
+        # products beyond the range of doubles have no bound: such pairs stay
         low = about - off
+        low[np.isnan(low)] = -np.inf
         bar = heaps.least.copy()
         if low.shape[1] >= k:
             bar = np.maximum(bar, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
-        alive = (about + off >= bar[:, None]) & (about > -np.inf)
+        alive = ~(about + off < bar[:, None])
+        alive[at_q[own], at_c[own]] = False
         for row in np.flatnonzero(alive.any(axis=1)):
             cols = at + np.flatnonzero(alive[row])
             heaps.push(row, c_ids[cols], c[cols] @ q[row])
@@ -110,9 +117,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str
             & F.exists("v", lambda x: x != 0)
         return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")) \
             .where(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False))) \
-            .groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+            .distinct().withColumn("dim", F.size("v"))
 
-    c, q = saved(clean(candidates), "vectors"), saved(clean(queries), "query_vectors")
+    c = saved(clean(candidates).withColumn("number", F.lit(0).cast("long")), "vectors")
+    # the number tells queries of one id apart; it is fixed once written
+    q = saved(clean(queries).withColumn("number", F.monotonically_increasing_id()), "query_vectors")
     per_q, per_c = (max(1, math.ceil(x.count() / n)) for x, n in ((q, BLOCK_QUERIES), (c, BLOCK_CANDIDATES)))
     # every query block meets every candidate block: the stated query set
     # against all rows, in blocks
@@ -148,13 +157,14 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str
         heaps = search_block(ids[is_query], v[is_query], ids[~is_query], v[~is_query], k)
         n = [len(x) for x in heaps.ids]
         if sum(n):
+            numbers = t.column("number").to_numpy()[is_query]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[is_query], n)), pa.array(np.concatenate(heaps.ids)),
-                 pa.array(np.concatenate(heaps.scores))], ["query_id", "vec_id", "score"])
+                [pa.array(np.repeat(ids[is_query], n)), pa.array(np.repeat(numbers, n)), pa.array(np.concatenate(heaps.ids)),
+                 pa.array(np.concatenate(heaps.scores))], ["query_id", "number", "vec_id", "score"])
 
     found = rows.repartition(per_q * per_c, "dim", "qb", "cb").sortWithinPartitions("dim", "qb", "cb") \
-        .select("id", "v", "dim", "is_query", "qb", "cb") \
-        .mapInArrow(run, "query_id long, vec_id long, score double")
-    nearest_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        .select("id", "v", "dim", "is_query", "qb", "cb", "number") \
+        .mapInArrow(run, "query_id long, number long, vec_id long, score double")
+    nearest_first = Window.partitionBy("query_id", "number").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
