@@ -10,7 +10,8 @@ from test_setjoin import brute as groups
 from test_suffix import brute as passages
 from weblog_engine.llm import ppm
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string"
+NAMES = ["row", "lang_pred", "_new", "_base", "_found", "_other", "_freed", "_part", "found", "tag", "marked"]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in NAMES)
 
 
 def corpus():
@@ -32,7 +33,7 @@ def corpus():
     rows[40][1] += " call +49 30 1234567 or a.b@c.de from 10.1.2.3"
     rows += [[200, None, "en"], [201, "", "en"], [202, "123 456", "fr"], [203, " ".join(f"x{i}y" for i in range(40_000)), "en"],
              [None, rows[3][1] + " more", None], [3, rows[3][1], "en"]]
-    return [(i, t, lang, "s", len(t or ""), "x") for i, t, lang in rows]
+    return [(i, t, lang, "s", len(t or ""), *["x"] * len(NAMES)) for i, t, lang in rows]
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +48,7 @@ def stages(spark):
 def test_columns_pass(stages):
     for rows in stages[1:-1]:
         assert set(rows[0]) == {c.split(" ")[0] for c in COLUMNS.split(", ")}
-        assert all(r["n_chars"] == len(r["text"] or "") and r["row"] == "x" for r in rows)
+        assert all(r["n_chars"] == len(r["text"] or "") and all(r[c] == "x" for c in NAMES) for r in rows)
 
 
 def test_language(stages):

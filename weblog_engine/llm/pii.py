@@ -333,13 +333,15 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """All columns of ``df`` with each span of the text replaced by its kind in
     brackets; overlapping spans become one, under the first one's name."""
     detector = fit(saved(find(df, id_col, text_col), "pii"))
-    text = F.col(text_col)
-    rows = df.withColumn("_base", base_spans(text)).withColumn("_found", candidates(text))
-    rows = rows.withColumn("_other", detector.selected(F.col("_base"), F.col("_found"))) \
-        .withColumn(text_col, _cut(text, F.concat("_base", "_other")))
+    text = F.col("text")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("base", base_spans(text)).withColumn("found", candidates(text))
+    rows = rows.withColumn("other", detector.selected(F.col("base"), F.col("found"))) \
+        .withColumn("text", _cut(text, F.concat("base", "other")))
     # cutting a candidate can free a base span from the digits beside it
-    freed = F.when(F.size("_other") > 0, base_spans(text)).otherwise(F.array().cast(_KINDS_SPAN))
-    return rows.withColumn("_freed", freed).withColumn(text_col, _cut(text, F.col("_freed"))).select(*df.columns)
+    freed = F.when(F.size("other") > 0, base_spans(text)).otherwise(F.array().cast(_KINDS_SPAN))
+    return rows.withColumn("freed", freed).withColumn("text", _cut(text, F.col("freed"))) \
+        .select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def _cut(text: Column, spans: Column) -> Column:
