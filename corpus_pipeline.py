@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = ppm.train(docs.where(~ppm.held_out()))
     found = ppm.identify(docs, model, keep=tuple(docs.columns)) \
         .where((F.col("lang_pred") != ppm.UNDETERMINED) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE))
-    return found.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return _row_with(found, docs.columns, lang=F.coalesce(F.col("row.lang"), F.col("lang_pred")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +59,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # characters that were cut in two, unless the text holds the sign itself
     left = F.when(F.col("row.text").contains("�"), left).otherwise(F.replace(left, F.lit("�"), F.lit("")))
     text = F.when(F.col("row.text").isNotNull(), F.when(F.col("n_spans") > 0, left).otherwise(F.col("row.text")))
-    return _with_text(found.select("row.*", text.alias("_new")), docs.columns)
+    return _with_text(found.select("row", text.alias("text")), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the name of its kind."""
-    return _with_text(pii.redact(docs).withColumn("_new", F.col("text")), docs.columns)
+    redacted = pii.redact(docs)
+    return _with_text(redacted.select(F.struct(*docs.columns).alias("row"), "text"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +73,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _row_with(df: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The columns of the struct ``row``, some of them changed."""
+    return df.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
 def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumn("text", F.col("_new")) \
-        .withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*columns)
+    """``row`` with the column ``text`` as its text."""
+    return _row_with(df, columns, text=F.col("text"), n_chars=F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 STAGES = [
