@@ -331,18 +331,23 @@ def _append(nodes: Nodes, tree: Tree, edges: list[np.ndarray], depth: int) -> No
     nodes.depth = max(nodes.depth, depth)
 
 
-def fit(df: DataFrame, features: list[str], label: str, objective: str = "logistic", rounds: int = 200, depth: int = 6,
-        rate: float = 0.1, l2: float | None = None, least_weight: float | None = None, positive_weight: float = 1.0,
-        bins: int = BINS) -> Boosted:
-    """A model of all rows with a label. ``l2`` and ``least_weight`` (Hessian a
-    child needs) default to 1 for 'logistic' and to 0 and 1 row for 'squared',
-    where leaves are then plain means of residuals. The margin starts at the
-    Newton step from zero; 'squared' labels are centred and scaled to at most 1."""
+@dataclass
+class Start:
+    """A table ready for its first tree."""
+    edges: list[np.ndarray]
+    known: np.ndarray
+    blocks: DataFrame
+    tasks: int
+    unit: float
+    base: float
+    centre: float
+    scale: float
+
+
+def start(df: DataFrame, features: list[str], label: str, objective: str, positive_weight: float, bins: int) -> Start:
     ship_package(df.sparkSession)
     if objective not in ("logistic", "squared"):
         raise ValueError(f"unknown objective {objective}")
-    l2 = (1.0 if objective == "logistic" else 0.0) if l2 is None else l2
-    least_weight = 1.0 if least_weight is None else least_weight
     y = F.col(label).cast("double")
     weight = F.when(y == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0)) if objective == "logistic" else None
     centre, scale = 0.0, 1.0
@@ -352,7 +357,6 @@ def fit(df: DataFrame, features: list[str], label: str, objective: str = "logist
             centre = ends.m
             scale = max(abs(ends.lo - centre), abs(ends.hi - centre)) or 1.0
     edges = _edges(df.where(y.isNotNull()), features, bins)
-    known = np.array([len(e) for e in edges])
     rows = pin(summed_rows(df, features, label, weight, edges, centre, scale))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum("wy").alias("wy")).first()
     if not total.n:
@@ -361,15 +365,40 @@ def fit(df: DataFrame, features: list[str], label: str, objective: str = "logist
     # sums stay whole numbers below 2^53; gradients of 'squared' are at most 2 a row
     unit = 2.0 ** min(24, 51 - math.ceil(math.log2(max(w, 1.0))))
     base = -(0.5 * w - wy) / (0.25 * w) if objective == "logistic" else 0.0
-    model, gains = Boosted(list(features), objective, base, centre, scale), np.zeros(len(features))
     tasks = max(1, math.ceil(total.n / TASK), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total.n / 8192)))
-    blocks, recent = pin(_packed(rows.repartition(tasks), base)), []
+    return Start(edges, np.array([len(e) for e in edges]), pin(_packed(rows.repartition(tasks), base)), tasks, unit, base,
+                 centre, scale)
+
+
+def root_sums(df: DataFrame, features: list[str], label: str, objective: str = "logistic", positive_weight: float = 1.0,
+              bins: int = BINS) -> DataFrame:
+    """(feature, bin, edge, g, h): what the first split is chosen from. Nulls are
+    the bin after a feature's last, without an edge."""
+    s = start(df, features, label, objective, positive_weight, bins)
+    sums = level_sums(s.blocks, [], Tree(), [0], s.known, objective, s.unit)
+    edges = F.array(*[F.array(*[F.lit(float(v)) for v in e]).cast("array<double>") for e in s.edges])
+    return sums.select(F.get(F.array(*[F.lit(f) for f in features]), F.col("feature")).alias("feature"),
+                       F.col("bin").cast("long").alias("bin"), F.get(F.get(edges, F.col("feature")), F.col("bin")).alias("edge"),
+                       (F.col("g") / s.unit).alias("g"), (F.col("h") / s.unit).alias("h"))
+
+
+def fit(df: DataFrame, features: list[str], label: str, objective: str = "logistic", rounds: int = 200, depth: int = 6,
+        rate: float = 0.1, l2: float | None = None, least_weight: float = 1.0, positive_weight: float = 1.0,
+        bins: int = BINS) -> Boosted:
+    """A model of all rows with a label. ``least_weight`` is the Hessian that a
+    child needs; ``l2`` defaults to 1 for 'logistic' and to 0 for 'squared', where
+    leaves are then plain means of residuals. The margin starts at the Newton step
+    from zero; 'squared' labels are centred and scaled to at most 1."""
+    l2 = (1.0 if objective == "logistic" else 0.0) if l2 is None else l2
+    s = start(df, features, label, objective, positive_weight, bins)
+    model, gains = Boosted(list(features), objective, s.base, s.centre, s.scale), np.zeros(len(features))
+    blocks, recent = s.blocks, []
     for k in range(rounds):
-        tree = grow(blocks, recent, known, objective, depth, rate, l2, least_weight, unit, gains, tasks)
-        _append(model.nodes, tree, edges, depth)
+        tree = grow(blocks, recent, s.known, objective, depth, rate, l2, least_weight, s.unit, gains, s.tasks)
+        _append(model.nodes, tree, s.edges, depth)
         recent.append(tree)
         if len(recent) == CUT and k + 1 < rounds:
-            blocks, recent = pin(_advanced(blocks, recent, known)), []
+            blocks, recent = pin(_advanced(blocks, recent, s.known)), []
     share = gains / gains.sum() if gains.sum() else gains
     model.gains = share.tolist()
     return model

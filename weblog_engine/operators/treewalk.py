@@ -60,22 +60,26 @@ def leaf_sum(nodes: Nodes, features: list[str | Column], kind: str = "double") -
     zero = F.lit(0).cast(kind)
     if not nodes.roots:
         return zero
-    x = F.array(*[(F.col(f) if isinstance(f, str) else f).cast("double") for f in features])
+    own = F.array(*[(F.col(f) if isinstance(f, str) else f).cast("double") for f in features])
     feature, left, right = (constant(v, "int") for v in (nodes.feature, nodes.left, nodes.right))
     threshold, value = constant(nodes.threshold, "double"), constant(nodes.value, kind)
     null_left = constant([int(b) for b in nodes.null_left], "int") if any(nodes.null_left) else None
     steps = F.sequence(F.lit(1), F.lit(nodes.depth))
 
-    def step(node: Column, _) -> Column:
-        v = F.get(x, F.get(feature, node))
-        # NaN is greater than any number in Spark's order, so it goes right unless told otherwise
-        at_most = v <= F.get(threshold, node)
-        if null_left is not None:
-            at_most = F.when(v.isNull() | F.isnan(v), F.get(null_left, node) == 1).otherwise(at_most)
-        return F.when(at_most, F.get(left, node)).otherwise(F.get(right, node))
+    def walk(x: Column) -> Column:
+        def step(node: Column, _) -> Column:
+            v = F.get(x, F.get(feature, node))
+            # NaN is greater than any number in Spark's order, so it goes right unless told otherwise
+            at_most = v <= F.get(threshold, node)
+            if null_left is not None:
+                at_most = F.when(v.isNull() | F.isnan(v), F.get(null_left, node) == 1).otherwise(at_most)
+            return F.when(at_most, F.get(left, node)).otherwise(F.get(right, node))
 
-    def tree(total: Column, root: Column) -> Column:
-        leaf = F.aggregate(steps, root, step) if nodes.depth else root
-        return total + F.get(value, leaf)
+        def tree(total: Column, root: Column) -> Column:
+            leaf = F.aggregate(steps, root, step) if nodes.depth else root
+            return total + F.get(value, leaf)
 
-    return F.aggregate(constant(nodes.roots, "int"), zero, tree)
+        return F.aggregate(constant(nodes.roots, "int"), zero, tree)
+
+    # a row's values are put into an array once, as the variable of a function
+    return F.get(F.transform(F.array(own), walk), 0)

@@ -859,142 +859,9 @@ SELECT metric, series, {r("arg_max(value, ts)", 6)} AS value,
        CASE WHEN metric = 'up' THEN CASE WHEN arg_max(value, ts) >= 1 THEN 'UP' ELSE 'DOWN' END END AS state
 FROM samples WHERE ts > (SELECT max(ts) FROM samples) - INTERVAL 300 SECOND GROUP BY 1, 2""")(_instant)
 
-# ------------------------------------------------- H/I: models and scoring
+# ---------------------------------------------- H/I: scoring records
 
-from ..operators import explain, iforest, score, train as training, training_job  # noqa: E402
-
-_TRAINED: dict = {}
-_TRAIN_LOCK = threading.Lock()
-
-
-def _trained(spark, d) -> training_job.TrainResult:
-    """One training job per application and data folder, shared by the
-    model queries (safe when queries run from several threads)."""
-    key = (spark.sparkContext.applicationId, d)
-    with _TRAIN_LOCK:
-        if key not in _TRAINED:
-            out = scratch_path(spark, f"train-{uuid.uuid4().hex}")
-            _TRAINED[key] = training_job.train_all(weblogs(spark, d), out)
-        return _TRAINED[key]
-
-
-register("train_classifiers")(lambda spark, d: _trained(spark, d).classifier_table)
-register("train_regressors")(lambda spark, d: _trained(spark, d).regressor_table)
-
-
-def _score_error(spark, d):
-    t = _trained(spark, d)
-    return score.score_error(_requests(spark, d), t.classifier).select(
-        "id", "error_probability", "risk_level", "model_used")
-
-
-register("score_error_requests")(_score_error)
-
-
-def _score_rt(spark, d):
-    t = _trained(spark, d)
-    req = _requests(spark, d).withColumn("is_error", F.lit(0))
-    return score.score_response_time(req, t.regressor).select(
-        "id", "predicted_response_time_ms", "lower_bound_ms", "upper_bound_ms", "model_used")
-
-
-register("score_response_time_requests")(_score_rt)
-
-
-def _iforest(spark, d):
-    t = _trained(spark, d)
-    s = iforest.score(t.features, t.detector.forest)
-    return s.select("id", round_half_up("if_score", 6).alias("if_score"), "if_anomaly")
-
-
-register("isolation_forest")(_iforest)
-
-
-def _detect_batch(spark, d):
-    t = _trained(spark, d)
-    return anomaly.detect_batch(t.features, t.detector).select("id", "is_anomaly", "anomaly_score")
-
-
-register("detect_batch")(_detect_batch)
-
-
-def _detect_requests(spark, d):
-    t = _trained(spark, d)
-    req = weblogs(spark, d).select("id", "method", F.hour("timestamp").alias("hour"),
-                                   F.weekday("timestamp").alias("day_of_week"), "response_time_ms")
-    return anomaly.detect_requests(req, t.detector).select("id", "is_anomaly", "score", "details")
-
-
-register("anomaly_detect_requests")(_detect_requests)
-
-register("feature_importance")(lambda spark, d: training.feature_importance(_trained(spark, d).classifier))
-
-
-def _shapley(spark, d):
-    t = _trained(spark, d)
-    return explain.shapley(t.classifier, t.features)
-
-
-register("shapley_values")(_shapley)
-
-
-def _registry(spark, d):
-    t = _trained(spark, d)
-    meta = spark.read.parquet(t.paths["model_metadata"])
-    return training.active_models(meta).select("model_type", "is_active")
-
-
-register("model_registry", """
-SELECT * FROM (VALUES ('anomaly_detector', true), ('classifier', true), ('regressor', true)) t(model_type, is_active)
-WHERE (SELECT count(*) FROM events) > 0""")(_registry)
-
-
-def _runs(spark, d):
-    t = _trained(spark, d)
-    known = [c.name for c in training.classifier_candidates()], [c.name for c in training.regressor_candidates()]
-    return spark.read.parquet(t.paths["training_runs"]).select(
-        "status", "num_samples", F.col("best_classifier").isin(known[0]).alias("known_classifier"),
-        F.col("best_regressor").isin(known[1]).alias("known_regressor"))
-
-
-register("training_runs", """
-SELECT 'success' AS status, count(*) AS num_samples, true AS known_classifier, true AS known_regressor
-FROM events""")(_runs)
-
-
-def _health(spark, d):
-    t = _trained(spark, d)
-    meta = spark.read.parquet(t.paths["model_metadata"])
-    return training.model_health(meta, drift.load_snapshot(spark, t.paths["reference"]) is not None)
-
-
-register("model_health", """
-SELECT count(*) > 0 AS classifier, count(*) > 0 AS regressor, count(*) > 0 AS anomaly_detector,
-       count(*) > 0 AS reference_data, count(*) > 0 AS healthy FROM events""")(_health)
-
-
-def _gate(spark, d):
-    t = _trained(spark, d)
-    # the newest 5000 rows, as the reference's monitor takes them, get features
-    # of their own
-    current = features.engineer_features(drift.current_window(weblogs(spark, d), newest=5000))
-    return drift.drift_gate(current, drift.load_snapshot(spark, t.paths["reference"]), trainer=None)
-
-
-register("drift_gate")(_gate)
-
-
-def _reload(spark, d):
-    t = _trained(spark, d)
-    m = training.load_model(t.paths["classifier"])
-    req = _requests(spark, d)
-    a = score.score_error(req, t.classifier).select("id", F.col("error_probability").alias("a"))
-    b = score.score_error(req, m).select("id", F.col("error_probability").alias("b"))
-    return a.join(b, "id").select("id", (F.col("a") == F.col("b")).alias("same_score"))
-
-
-register("model_reload_scores", with_weblogs() + """
-SELECT id, true AS same_score FROM weblogs""")(_reload)
+from ..operators import explain, score  # noqa: E402
 
 # Audit of deterministic scoring (type 'error': every request; type
 # 'response_time': requests that did not fail).
@@ -1193,17 +1060,6 @@ UNION ALL
 SELECT "column", 'ks_2samp', {r('p_value', 6)}, p_value < 0.05, N_ref, N_cur FROM p WHERE N_ref <= 1000""")(_drift_auto)
 
 
-def _alerts_forest(spark, d):
-    t = _trained(spark, d)
-    a = anomaly.alerts(weblogs(spark, d), t.detector,
-                       forest_scorer=lambda x: iforest.score(x, t.detector.forest))
-    return a.select("id", "severity", "score", "anomaly_details")
-
-
-register("alert_stream_forest")(_alerts_forest)
-
-
-
 def _document(spark, d):
     """The document's maps as text, entries in order of their keys."""
     def text(m, value):

@@ -24,10 +24,10 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, QueryFn]:
-    from . import catalog  # noqa: F401  (registers everything)
+    from . import catalog, models  # noqa: F401  (register everything)
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog  # noqa: F401
+    from . import catalog, models  # noqa: F401
     return dict(_ORACLE)
