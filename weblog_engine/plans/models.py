@@ -382,3 +382,74 @@ def _reload(spark, d):
 
 register("model_reload_scores", with_weblogs() + """
 SELECT id, true AS same_score FROM weblogs""")(_reload)
+
+# --- drift ---------------------------------------------------------------------------
+
+from ..operators import fewvalued  # noqa: E402
+from .catalog import _DRIFT_LONG, _KS_SQL, _drift_frames  # noqa: E402
+
+_FEW = ["status_code", "is_error", "is_business_hours", "day_of_week"]
+
+
+def _few_valued(spark, d):
+    ref, cur = _drift_frames(spark, d)
+    t = fewvalued.few_valued_tests(ref, cur, _FEW)
+    six = lambda c: round_half_up(c, 6).alias(c)
+    return t.select("column", "n_values", "n_ref", "n_cur", *[six(c) for c in ("chi_square", "chi_square_p", "z", "z_p", "js_distance")],
+                    "stattest_name", "drift_detected")
+
+
+def _down(least: str, terms: str, body: str, first: str = "CAST(1 AS DOUBLE)") -> str:
+    """A fold over terms, ..., 1: ``body`` of acc and n."""
+    return f"list_reduce(list_prepend({first}, list_transform(range({terms}, 0, -1), lambda i: CAST(i AS DOUBLE))), lambda acc, n: {body})"
+
+
+def _erfc_sql(z: str) -> str:
+    series = _down("1", str(fewvalued.TERMS), f"CAST(1 AS DOUBLE) + CAST(2 AS DOUBLE) * {z} * {z} / (CAST(2 AS DOUBLE) * n + 1) * acc")
+    fraction = _down("1", str(fewvalued.TERMS), f"{z} + n / CAST(2 AS DOUBLE) / acc", z)
+    pi = f"CAST({fewvalued.ROOT_PI} AS DOUBLE)"
+    return f"CASE WHEN {z} < 2.5 THEN 1 - CAST(2 AS DOUBLE) * {z} / {pi} * exp(-{z} * {z}) * {series} ELSE exp(-{z} * {z}) / {pi} / {fraction} END"
+
+
+_H = "(chi_square / CAST(2 AS DOUBLE))"
+_HALF = "((n_values - 1) // 2 - 1)"
+_CHI_P = f"""CASE WHEN n_values < 2 OR {_H} <= 0 THEN CAST(1 AS DOUBLE)
+  WHEN (n_values - 1) % 2 = 0 THEN exp(-{_H}) * {_down("1", _HALF, f"1 + {_H} / n * acc")}
+  ELSE {_erfc_sql(f"sqrt({_H})")} + CASE WHEN n_values > 2 THEN exp(-{_H}) * sqrt({_H}) / CAST({fewvalued.ROOT_PI / 2} AS DOUBLE)
+    * {_down("1", _HALF, f"1 + {_H} / (n + CAST(0.5 AS DOUBLE)) * acc")} ELSE 0 END END"""
+
+register("drift_few_valued", with_weblogs(
+    *_DRIFT_LONG, """ct AS (SELECT "column", value, CAST(count(*) FILTER (WHERE src = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE src = 1) AS DOUBLE) AS b
+  FROM long WHERE "column" IN ('""" + "', '".join(_FEW) + """') AND value IS NOT NULL GROUP BY 1, 2)""",
+    """sz AS (SELECT "column", sum(a) AS ta, sum(b) AS tb FROM ct GROUP BY 1)""",
+    """cells AS (SELECT "column", value, ta, tb, (b - a / ta * tb) * (b - a / ta * tb) / (a / ta * tb) AS x,
+    CASE WHEN a > 0 THEN a / ta * ln(a / ta / ((a / ta + b / tb) / 2)) ELSE 0 END
+    + CASE WHEN b > 0 THEN b / tb * ln(b / tb / ((a / ta + b / tb) / 2)) ELSE 0 END AS js,
+    (a / ta - b / tb) / sqrt((a + b) / (ta + tb) * (1 - (a + b) / (ta + tb)) * (1 / ta + 1 / tb)) AS z FROM ct JOIN sz USING ("column"))""",
+    """g AS (SELECT "column", count(*) AS n_values, CAST(max(ta) AS BIGINT) AS n_ref, CAST(max(tb) AS BIGINT) AS n_cur, sum(x) AS chi_square,
+    sqrt(greatest(sum(js) / 2, 0)) AS js_distance, CASE WHEN count(*) = 2 THEN arg_max(z, value) END AS z FROM cells GROUP BY 1)""",
+    f"""t AS (SELECT *, {_CHI_P} AS chi_square_p,
+    CASE WHEN z IS NOT NULL THEN {_erfc_sql("(abs(coalesce(z, 0)) / sqrt(CAST(2 AS DOUBLE)))")} END AS z_p FROM g)""") + f"""
+SELECT "column", n_values, n_ref, n_cur, {r("chi_square", 6)} AS chi_square, {r("chi_square_p", 6)} AS chi_square_p, {r("z", 6)} AS z,
+       {r("z_p", 6)} AS z_p, {r("js_distance", 6)} AS js_distance,
+       CASE WHEN n_ref > 1000 THEN 'jensenshannon' WHEN n_values = 2 THEN 'z' ELSE 'chisquare' END AS stattest_name,
+       CASE WHEN n_ref > 1000 THEN js_distance > 0.1 WHEN n_values = 2 THEN z_p < 0.05 ELSE chi_square_p < 0.05 END AS drift_detected
+FROM t""")(_few_valued)
+
+
+def _gate(spark, d):
+    """The gate over the whole current window, against a stored snapshot; on
+    drift it fits a new detector."""
+    ref, cur = _drift_frames(spark, d)
+    path = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    drift.save_snapshot(ref, path)
+    return drift.drift_gate(drift.current_window(cur), drift.load_snapshot(spark, path),
+                            lambda: anomaly.fit_moments(cur, ["hour", "response_time_ms"]))
+
+
+register("drift_gate", _KS_SQL + """
+SELECT sum(CAST(p_value < 0.05 AS INTEGER)) > 0.5 * count(*) AS drift_detected,
+       CASE WHEN sum(CAST(p_value < 0.05 AS INTEGER)) > 0.5 * count(*) THEN 'retrained' ELSE 'none' END AS action,
+       CASE WHEN sum(CAST(p_value < 0.05 AS INTEGER)) > 0.5 * count(*) THEN 'dataset drift detected' ELSE 'no significant drift' END AS reason,
+       sum(CAST(p_value < 0.05 AS INTEGER)) / CAST(greatest(count(*), 1) AS DOUBLE) AS drift_share,
+       CAST(sum(CAST(p_value < 0.05 AS INTEGER)) AS BIGINT) AS n_drifted_columns FROM p""")(_gate)
