@@ -722,6 +722,37 @@ register("stream_window_5m", with_weblogs(_WIN_CTE) + """
 SELECT * FROM win WHERE window_end <= (SELECT max("timestamp") FROM weblogs)""")(_stream_windows)
 
 
+def _open_windows(spark, d):
+    root = _run_stream(spark, d, lambda ev, r: jobs.start_window_job(
+        ev, os.path.join(r, "out"), os.path.join(r, "ckpt")))
+    out = jobs.open_windows(spark, os.path.join(root, "ckpt"))
+    return out.select("method", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      "count", "avg_response_time_ms", "error_count")
+
+
+register("open_windows", with_weblogs(_WIN_CTE) + """
+SELECT * FROM win WHERE window_end > (SELECT max("timestamp") FROM weblogs)""")(_open_windows)
+
+
+def _offset_table(spark, d):
+    """The log table's messages arrive in part, then once more from the start."""
+    from ..streaming import offsets
+    messages = weblogs(spark, d).select(
+        F.lit(jobs.RAW_TOPIC).alias("topic"), (F.col("id") % 4).cast("int").alias("partition"),
+        F.floor(F.col("id") / 4).alias("offset"), "id", "method", "status_code")
+    target = scratch_path(spark, f"offsets-{uuid.uuid4().hex}")
+    for part in (messages.where("offset < 200"), messages, messages):
+        offsets.append(part, target)
+    offsets.compact(spark, target, messages.schema)
+    return offsets.read_table(spark, target, messages.schema)
+
+
+register("offset_table", with_weblogs() + f"""
+SELECT '{jobs.RAW_TOPIC}' AS topic, CAST(id % 4 AS INTEGER) AS "partition", id // 4 AS "offset", id, method, status_code
+FROM weblogs""")(_offset_table)
+
+
 def _stream_persist(spark, d):
     root = _run_stream(spark, d, lambda ev, r: jobs.persist_stream(
         ev, os.path.join(r, "table"), os.path.join(r, "ckpt")))

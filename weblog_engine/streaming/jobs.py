@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalar import round_half_up
 from ..sources.ingest import decode_events
 from .windows import GRACE, WINDOW, encode_windows, windowed_stats
 
@@ -108,3 +109,18 @@ def start_alert_job(events: DataFrame, detector, sink_path: str, checkpoint: str
     a = alerts(events, detector, rule, forest_scorer)
     return (a.writeStream.outputMode("append").format("parquet")
             .option("checkpointLocation", checkpoint).start(sink_path))
+
+
+# The buffers of the window aggregate as the state store keeps them, by position.
+_STATE = "struct<count: bigint, total: decimal(38,6), empty: boolean, known: bigint, errors: bigint>"
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The window job's state, read from its checkpoint while it runs or after
+    it: the windows that have not closed yet, with what they have counted so far."""
+    v = F.col("value").cast(_STATE)
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(
+        F.col("key.method").alias("method"), F.col("key.window.start").alias("window_start"),
+        F.col("key.window.end").alias("window_end"), v["count"].alias("count"),
+        round_half_up(v["total"].cast("double") / v["known"], 2).alias("avg_response_time_ms"), v["errors"].alias("error_count"))
