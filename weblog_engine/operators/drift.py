@@ -11,7 +11,7 @@ value order (bucketed, see ``prefix``). From the prefix table:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,9 +51,9 @@ def _prefix(ref: DataFrame, cur: DataFrame, columns: list[str], buckets=None) ->
         F.sum((F.col("src") == 0).cast("long")).alias("n_ref"),
         F.sum((F.col("src") == 1).cast("long")).alias("n_cur"))
     ps = running_sums(counts, ["value"], {"c_ref": F.col("n_ref"), "c_cur": F.col("n_cur"),
-                                          "_k": F.lit(1).cast("long")}, by=["column"],
+                                          }, by=["column"],
                       buckets=buckets, edge_source=long.select("value"),
-                      group_domains={"column": len(columns)}).drop(BUCKET)
+                      group_domains={"column": len(columns)})
     # Column-level sizes and moments: one row per column (bounded by schema).
     sizes = long.groupBy("column").agg(
         F.sum((F.col("src") == 0).cast("long")).alias("tot_ref"),
@@ -180,9 +180,9 @@ def wasserstein_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | Non
                         threshold: float = WASSERSTEIN_THRESHOLD,
                         buckets: int | None = None) -> DataFrame:
     """Per column: W1 distance of the two empirical distributions divided by
-    the reference population std; drift if above ``threshold``. The gap to
-    the next distinct value comes from an equi-join on the per-column
-    position (no window over a whole column)."""
+    the reference population std; drift if above ``threshold``. The next
+    distinct value comes from the bucket, for its last value from a table of
+    the buckets' first values (no window over a whole column)."""
     cols = columns or numeric_columns(ref, cur)
     ps, sizes = _prefix(ref, cur, cols, buckets)
     return _wasserstein_from(ps, sizes, threshold)
@@ -190,9 +190,12 @@ def wasserstein_columns(ref: DataFrame, cur: DataFrame, columns: list[str] | Non
 
 def _wasserstein_from(ps: DataFrame, sizes: DataFrame,
                       threshold: float = WASSERSTEIN_THRESHOLD) -> DataFrame:
-    nxt = ps.select("column", (F.col("_k") - 1).alias("_k"), F.col("value").alias("next_value"))
-    j = ps.join(nxt, on=["column", "_k"], how="left").join(F.broadcast(sizes), on="column")
-    gap = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
+    inside = ps.withColumn("_next", F.lead("value").over(Window.partitionBy(BUCKET, "column").orderBy("value")))
+    # a row for each bucket and column
+    after = ps.groupBy(BUCKET, "column").agg(F.min("value").alias("_first")).select(
+        BUCKET, "column", F.lead("_first").over(Window.partitionBy("column").orderBy(BUCKET)).alias("_after"))
+    j = inside.join(after, on=[BUCKET, "column"], how="left").join(F.broadcast(sizes), on="column")
+    gap = F.coalesce(F.coalesce("_next", "_after") - F.col("value"), F.lit(0.0))
     w = j.groupBy("column").agg(F.sum(F.abs(F.col("c_ref") / F.col("tot_ref") -
                                             F.col("c_cur") / F.col("tot_cur")) * gap).alias("wasserstein"))
     w = w.join(F.broadcast(sizes), on="column")
