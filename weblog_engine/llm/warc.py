@@ -5,7 +5,7 @@ their content. The running sum of their sizes in that order cuts it into shards,
 so a shard's records follow from the rows and ``shard_bytes`` alone, whatever the
 number of tasks; the first key of each shard is the one thing the driver holds
 (at most ``MOST_SHARDS`` keys: beyond that the shards grow). Pages are shuffled
-once, to their shard, and sorted there. A shard is written as gzip members, one a
+once, each shard to a task of its own, and sorted there. A shard is written as gzip members, one a
 record; its file is closed once its compressed size reaches ``file_bytes``, and
 the next one begins. Headers, ids and digests are made anew from the row.
 
@@ -255,8 +255,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             [pa.array(c, t) for c, t in zip(zip(*writer.done), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))],
             ["name", "temporary", "bytes", "records", "sha1"])
 
-    parts = max(2 * len(starts), spark.sparkContext.defaultParallelism)
-    written = saved(both.repartition(parts, "shard").sortWithinPartitions("shard", *KEY, "is_page").mapInArrow(run, _FILES),
+    # a shard is a partition: no task holds more than one
+    written = saved(both.repartitionById(len(starts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", *KEY, "is_page").mapInArrow(run, _FILES),
                     "warc_attempts")
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
