@@ -88,7 +88,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     """Adds n_tokens, bucket, bucket_len, batch_id, batch_pos and padding."""
     added = ["n_tokens", "bucket", "bucket_len", "batch_id", "batch_pos", "padding"]
     kept = [c for c in df.columns if c not in added]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), n_tokens(F.col(text_col)).alias("n_tokens"),
+    # other columns travel as one, whatever their names; id and text, which order
+    # the rows, beside them, so that a text is moved once
+    others = [c for c in kept if c not in (id_col, text_col)]
+    rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row"),
+                     F.col(id_col).alias("id"), F.col(text_col).alias("text"), n_tokens(F.col(text_col)).alias("n_tokens"),
                      F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int").alias("part"))
     sizes = saved(rows.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = sizes.groupBy("n_tokens").agg(F.sum("n").alias("n")).orderBy("n_tokens").toArrow()
@@ -100,8 +104,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
         .select("bucket", "part", "before")
     length = F.element_at(F.array(*[F.lit(int(e)).cast("long") for e in ends or [0]]), F.col("bucket") + 1)
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(length, F.lit(1)))).cast("long")
-    in_part = Window.partitionBy("bucket", "part").orderBy(F.col("row")[id_col], F.col("row")[text_col])
+    in_part = Window.partitionBy("bucket", "part").orderBy("id", "text")
     index = F.col("before") + F.row_number().over(in_part) - 1
+    back = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col("row")[f"c{i}"] for i, c in enumerate(others)}
     # every part of a bucket is in ``before``; a left join spares the null check
     # on its keys, which would count the words of each text many times over
     return rows.withColumn("bucket", bucket_of).join(F.broadcast(before), ["bucket", "part"], "left") \
@@ -109,4 +114,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
         .withColumn("batch_id", F.floor(F.col("index") / per_batch)) \
         .withColumn("batch_pos", (F.col("index") % per_batch).cast("int")) \
         .withColumn("padding", F.col("bucket_len") - F.col("n_tokens")) \
-        .select(*[F.col("row")[c].alias(c) for c in kept], *added)
+        .select(*[back[c].alias(c) for c in kept], *added)
