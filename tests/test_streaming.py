@@ -20,7 +20,7 @@ def test_window_stream_late_rows_and_emit_on_close(spark):
                [msg("00:05:00", "POST", 30, 200)],
                [msg("00:02:00", "GET", 99, 200)],
                [msg("00:12:00", "GET", 5, 200), "garbage"]]
-    events, _ = jobs.event_stream(jobs.file_source(spark, src, 1))
+    events, _ = jobs.event_stream(jobs.file_source(spark, src, 1), observe="decoded")
     q = jobs.start_window_job(events, out, ck)
     seen = []
     try:
@@ -31,8 +31,11 @@ def test_window_stream_late_rows_and_emit_on_close(spark):
             rows = spark.read.parquet(out).collect() if os.path.exists(os.path.join(out, "_spark_metadata")) else []
             seen.append(sorted((r["method"], r["window_start"].strftime("%H:%M"), r["count"],
                                 r["avg_response_time_ms"], r["error_count"]) for r in rows))
+        told = jobs.accounted(q, "decoded").collect()
     finally:
         q.stop()
+    # every message is counted: six came, one was no JSON, one came too late
+    assert [sum(r[c] for r in told) for c in ("messages", "undecodable", "late_groups")] == [6, 1, 1]
     assert seen[0] == []
     assert seen[1] == [("GET", "00:00", 2, 15.0, 1)]
     assert seen[2] == seen[1]

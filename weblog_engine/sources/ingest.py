@@ -238,14 +238,17 @@ def publish_events(logs: DataFrame, bootstrap: str, topic: str = "weblogs.raw")
      .option("kafka.bootstrap.servers", bootstrap).option("topic", topic).save())
 
 
-def decode_events(messages: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def decode_events(messages: DataFrame, value_col: str = "value", observe: str | None = None) -> tuple[DataFrame, DataFrame]:
     """JSON messages -> (log rows, undecodable messages). Numbers may come as
     JSON numbers or numeric text, decimals are cut to integers where one is
-    due; a missing or non-numeric status is 200, such a response time 0.0; text that is not a JSON object is quarantined."""
+    due; a missing or non-numeric status is 200, such a response time 0.0; text that is not a JSON object is quarantined.
+    With ``observe``, both frames count all messages and the undecodable ones under that name as they pass."""
     schema = T.StructType(EVENT_JSON_SCHEMA.fields + [T.StructField("_bad", T.StringType())])
     j = messages.withColumn("_j", F.from_json(F.col(value_col).cast("string"), schema,
                                               {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_j").isNull() | F.col("_j._bad").isNotNull()
+    if observe:
+        j = j.observe(observe, F.count(F.lit(1)).alias("messages"), F.count_if(bad).alias("undecodable"))
     rows = j.where(~bad).select(
         F.col("_j.id").try_cast("long").alias("id"),
         parse_timestamp(F.col("_j.timestamp")).alias("timestamp"),

@@ -44,10 +44,11 @@ def file_source(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.load(path).select(F.get_json_object("value", "$.method").alias("key"), "value")
 
 
-def event_stream(messages: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def event_stream(messages: DataFrame, value_col: str = "value", observe: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Decode messages; the event time is cast to TIMESTAMP (UTC), which a
-    watermark requires. Undecodable messages go to the second frame."""
-    rows, bad = decode_events(messages, value_col)
+    watermark requires. Undecodable messages go to the second frame. ``observe``
+    names the counts that ``accounted`` reads."""
+    rows, bad = decode_events(messages, value_col, observe)
     return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")), bad
 
 
@@ -98,6 +99,23 @@ def persist_stream(events: DataFrame, target: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).start())
 
 
+ACCOUNTED = "batch_id long, messages long, undecodable long, late_groups long"
+
+
+def accounted(query: StreamingQuery, observe: str) -> DataFrame:
+    """What became of each micro-batch's messages: how many came, how many could
+    not be decoded, and how many (window, method) groups came after their window
+    had closed and were dropped. Taken from the query's own progress, which Spark
+    keeps for ``spark.sql.streaming.numRecentProgressUpdates`` batches."""
+    rows = {}
+    for p in query.recentProgress:
+        seen = p.observedMetrics.get(observe)
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        old = rows.get(p.batchId, (0, 0, 0))
+        rows[p.batchId] = (old[0] + (seen.messages if seen else 0), old[1] + (seen.undecodable if seen else 0), old[2] + late)
+    return SparkSession.getActiveSession().createDataFrame([(k, *v) for k, v in sorted(rows.items())], ACCOUNTED)
+
+
 def error_events(events: DataFrame) -> DataFrame:
     """Side output of failed requests (status >= 400)."""
     return events.where(F.col("status_code") >= 400)
