@@ -54,3 +54,32 @@ def test_persist_stream_restart_no_duplicates(spark):
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_live_alerts_follow_the_registry(spark, tmp_path):
+    """The version that scores changes while the stream runs."""
+    import datetime as dt
+
+    from weblog_engine.operators import anomaly, train
+    source, out, meta = (str(tmp_path / x) for x in ("in", "out", "meta"))
+    os.makedirs(source)
+
+    def publish(version, mean, day):
+        det = anomaly.Detector(["response_time_ms"], [mean], [10.0], 5, baseline_mean=mean, baseline_std=10.0)
+        path = anomaly.save_detector(spark, det, str(tmp_path / version))
+        train.detector_row(spark, det, version, path, dt.datetime(2025, 1, day)).write.mode("append").parquet(meta)
+
+    events, _ = jobs.event_stream(jobs.file_source(spark, source, 1))
+    q = jobs.start_live_alert_job(events, meta, out, str(tmp_path / "ck"))
+    try:
+        for k, step in enumerate((None, ("v1", 100.0, 1), ("v2", 500.0, 2))):
+            if step:
+                publish(*step)
+            with open(os.path.join(source, f"{k}.json"), "w") as fh:
+                fh.write("\n".join(msg(f"00:0{k}:0{i}", "GET", rt, 200) for i, rt in enumerate((100, 500, 5000))) + "\n")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(out).selectExpr("_batch", "model_version", "get_json_object(log_data, '$.response_time_ms') AS rt").collect()
+    assert sorted((r._batch, r.model_version, float(r.rt)) for r in got) == [
+        (0, None, 5000.0), (1, "v1", 500.0), (1, "v1", 5000.0), (2, "v2", 100.0), (2, "v2", 5000.0)]

@@ -4,11 +4,13 @@ a folder of message files in tests (no Kafka connector is bundled here)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import round_half_up
+from ..schema import MODEL_METADATA_SCHEMA
 from ..sources.ingest import decode_events
 from .windows import GRACE, WINDOW, encode_windows, windowed_stats
 
@@ -142,3 +144,36 @@ def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
         F.col("key.method").alias("method"), F.col("key.window.start").alias("window_start"),
         F.col("key.window.end").alias("window_end"), v["count"].alias("count"),
         round_half_up(v["total"].cast("double") / v["known"], 2).alias("avg_response_time_ms"), v["errors"].alias("error_count"))
+
+
+def start_live_alert_job(events: DataFrame, metadata: str, sink_path: str, checkpoint: str,
+                         rule: str = "zscore") -> StreamingQuery:
+    """Alerts by the detector that is active in the model table at ``metadata``
+    when a micro-batch begins: one version a batch, named in its alerts as
+    ``model_version``. Without one the fixed moments serve, under no version. A
+    batch that is replayed replaces its own alerts."""
+    from ..operators import anomaly, iforest, train
+    known: dict = {}
+
+    def active(spark: SparkSession):
+        try:
+            meta = spark.read.schema(MODEL_METADATA_SCHEMA).parquet(metadata)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None, None
+        row = train.active_models(meta).where(F.col("model_type") == "anomaly_detector").first()
+        if row is None:
+            return None, None
+        if known.get("at") != (row.version, row.file_path):
+            known.update(at=(row.version, row.file_path), detector=anomaly.load_detector(spark, row.file_path))
+        return row.version, known["detector"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        version, det = active(batch.sparkSession)
+        forest = (lambda d: iforest.score(d, det.forest)) if det and det.forest else None
+        found = anomaly.alerts(batch, det, rule, forest).withColumn("model_version", F.lit(version).cast("string"))
+        found.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(sink_path)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
