@@ -630,6 +630,21 @@ SELECT count(*) FILTER (WHERE NOT (status_code >= 500 AND response_time_ms > 100
 FROM weblogs""")(_csv_counts)
 
 
+def _csv_records(spark, d):
+    """An upload whose fields hold quotes and line breaks, cut into records by
+    quote parity."""
+    from ..sources.records import read_records
+    note = F.concat("path", F.lit(', "'), "method", F.lit('"\n"'), F.col("status_code").cast("string"), F.lit('"'))
+    path = scratch_path(spark, f"records-{uuid.uuid4().hex}")
+    weblogs(spark, d).select("id", note.alias("note")).write.option("escape", '"').option("quoteAll", True).csv(path)
+    fields = F.from_csv("record", F.lit("id long, note string"), {"escape": '"', "mode": "FAILFAST"})
+    return read_records(spark, path).where("record <> ''").select(fields.alias("f")).select("f.id", "f.note")
+
+
+register("csv_records", with_weblogs() + """
+SELECT id, path || ', "' || method || '"' || chr(10) || '"' || status_code || '"' AS note FROM weblogs""")(_csv_records)
+
+
 def _event_roundtrip(spark, d):
     msgs = ingest.encode_events(weblogs(spark, d))
     rows, _ = ingest.decode_events(msgs)
