@@ -77,3 +77,19 @@ def test_equal_leading_values_are_divided(spark):
     w = Window.orderBy("x", "id")
     want = {r["id"]: r["c"] for r in df.select("id", F.row_number().over(w).alias("c")).collect()}
     assert {r["id"]: r["c"] for r in got.collect()} == want
+
+
+def test_values_that_most_rows_share_take_no_ranges(spark):
+    """Buckets of counted values are balanced by the counted rows: the few
+    values of flags, repeated in most rows, leave the ranges to the others."""
+    raw = spark.range(20_000).select(F.when(F.col("id") % 10 != 0, F.col("id") % 3).otherwise(F.col("id")).cast("double").alias("value"))
+    counts = raw.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    b = prefix.add_range_bucket(counts, ["value"], 8, edge_source=raw)
+    sizes = [r["count"] for r in b.groupBy(prefix.BUCKET).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / 8
+    got = prefix.running_sums(counts, ["value"], {"c": F.col("n")}, buckets=8, edge_source=raw).orderBy("value").collect()
+    total = 0
+    for r in got:
+        total += r.n
+        assert r.c == total
+    assert total == 20_000
