@@ -122,3 +122,14 @@ def test_detect_requests_public_api(spark, feats):
     assert big["is_anomaly"] and big["details"]["z_score"]["is_anomaly"]
     b = anomaly.detect_batch(feats, det)
     assert b.where("is_anomaly").count() > 0
+
+
+def test_features_of_queries_are_worked_out_once(spark, sf_dir):
+    """Models read the features many times; no read goes back to the windows."""
+    from weblog_engine.operators import features
+    from weblog_engine.plans import models
+    from weblog_engine.sources.tables import weblogs
+    got = models._features(spark, sf_dir)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = features.engineer_features(weblogs(spark, sf_dir)).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
