@@ -63,3 +63,13 @@ def test_rows_are_walked_once_under_a_filter(spark):
 
 def test_no_trees(spark):
     assert [r[0] for r in spark.range(2).select(treewalk.leaf_sum(Nodes(), [], "bigint")).collect()] == [0, 0]
+
+
+def test_sum_in_a_thread(spark):
+    """Candidates are fitted and scored from driver threads."""
+    from concurrent.futures import ThreadPoolExecutor
+    nodes = grown(random.Random(7), 3, "double", False)
+    df = spark.range(3).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
+    with ThreadPoolExecutor(1) as pool:
+        got = pool.submit(lambda: [r.s for r in df.select(treewalk.leaf_sum(nodes, NAMES).alias("s")).collect()]).result()
+    assert got == [walked(nodes, [float(i), 1.0]) for i in range(3)]
