@@ -132,6 +132,15 @@ def test_partitions_change_nothing(spark, monkeypatch):
     assert models[0] == models[1] == models[2]
 
 
+def test_levels_are_jobs_without_a_plan(spark, monkeypatch):
+    kind = type(spark.range(1))
+    plans, to_arrow = [], kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: plans.append(self) or to_arrow(self))
+    monkeypatch.setattr(boost, "CUT", 2)
+    m = boost.fit(frame(spark, rows(150, 4)), FEATS, "y", rounds=5, depth=3, bins=16)
+    assert len(m.nodes.roots) == 5 and len(plans) == 1  # the edges
+
+
 def test_odd_tables(spark):
     data = [(i, None, None, None, i % 2, 1.0) for i in range(10)]
     m = boost.fit(frame(spark, data), FEATS, "y", rounds=2)
