@@ -141,6 +141,29 @@ def test_levels_are_jobs_without_a_plan(spark, monkeypatch):
     assert len(m.nodes.roots) == 5 and len(plans) == 1  # the edges
 
 
+@pytest.mark.parametrize("objective, label", [("logistic", "y"), ("squared", "v")])
+def test_one_task_takes_all_levels_of_a_small_table(spark, monkeypatch, objective, label):
+    levels, level_sums = [], boost.level_sums
+    monkeypatch.setattr(boost, "level_sums", lambda *a: levels.append(a) or level_sums(*a))
+    data = rows(200, 5)
+    fit = lambda: boost.fit(frame(spark, data), FEATS, label, objective, rounds=5, depth=4, bins=32).to_json()
+    alone = fit()
+    assert not levels  # no job a level
+    monkeypatch.setattr(boost, "ALONE", 0)
+    monkeypatch.setattr(boost, "BLOCK", 40)
+    monkeypatch.setattr(boost, "CUT", 2)
+    assert fit() == alone and len(levels) >= 5
+    monkeypatch.setattr(boost, "DRIVER_BYTES", 0)  # sums added up by Spark
+    assert fit() == alone
+
+
+def test_one_task_takes_all_blocks(spark, monkeypatch):
+    data = rows(200, 5)
+    one = boost.fit(frame(spark, data), FEATS, "y", rounds=2, depth=4, bins=32).to_json()
+    monkeypatch.setattr(boost, "BLOCK", 7)
+    assert boost.fit(frame(spark, data), FEATS, "y", rounds=2, depth=4, bins=32).to_json() == one
+
+
 def test_odd_tables(spark):
     data = [(i, None, None, None, i % 2, 1.0) for i in range(10)]
     m = boost.fit(frame(spark, data), FEATS, "y", rounds=2)
