@@ -57,6 +57,17 @@ def test_scoring_and_reload(spark, clf):
     assert a == b and again.best_name == t.best_name
 
 
+def test_forests_keep_nodes_of_rows(spark, feats):
+    """The same trees as without; the walk from the roots is spared."""
+    cands = [*train.classifier_candidates(n_trees=4), *train.regressor_candidates(n_trees=4)]
+    data = split.with_class_weights(feats, "is_error").withColumn("label", F.col("is_error").cast("double"))
+    for c in (c for c in cands if c.name.startswith("random_forest")):
+        assert c.estimator.getCacheNodeIds()
+        kept, plain = (train._model_spec(FEATS, c.estimator.copy({c.estimator.cacheNodeIds: k})).fit(data).stages[-1].toDebugString
+                       for k in (True, False))
+        assert kept.split("\n", 1)[1] == plain.split("\n", 1)[1]
+
+
 def test_regressor_interval(spark, feats):
     tr, te = feats.where("split = 'train'"), feats.where("split = 'test'")
     t, table = train.fit_regressors(tr, te, features.REGRESSION_FEATURES, "response_time_ms",
