@@ -68,6 +68,19 @@ def test_forests_keep_nodes_of_rows(spark, feats):
         assert kept.split("\n", 1)[1] == plain.split("\n", 1)[1]
 
 
+def test_kept_nodes_are_bounded(spark, feats, monkeypatch):
+    """Of a table too large for that, forests walk again: the same trees."""
+    data, fits, spec = feats.withColumn("label", F.col("response_time_ms")), [], train._model_spec
+    monkeypatch.setattr(train, "_model_spec", lambda f, est: fits.append(est) or spec(f, est))
+    c = train.regressor_candidates(n_trees=3)[1]
+    kept = train._fitted(c, data, FEATS[:4])
+    monkeypatch.setattr(train, "NODE_ID_BYTES", 0)
+    walked = train._fitted(c, data, FEATS[:4])
+    assert [e.getCacheNodeIds() for e in fits] == [True, False]
+    a, b = (m.stages[-1].toDebugString.split("\n", 1)[1] for m in (kept, walked))
+    assert a == b
+
+
 def test_regressor_interval(spark, feats):
     tr, te = feats.where("split = 'train'"), feats.where("split = 'test'")
     t, table = train.fit_regressors(tr, te, features.REGRESSION_FEATURES, "response_time_ms",
