@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,34 @@ def test_odd_tables(spark):
     assert {r.s for r in frame(spark, data).select(flat.score().alias("s")).collect()} == {2.0}
     with pytest.raises(ValueError):
         boost.fit(frame(spark, data).where("id < 0"), FEATS, "y")
+
+
+def test_one_task_keeps_nodes_and_derivatives(spark, monkeypatch):
+    """Derivatives are taken once a round, and a level's walk is one step."""
+    x = np.random.default_rng(1)
+    bins = x.integers(0, 16, (3, 500)).astype("<u2")
+    w = np.ones(500)
+    y = x.integers(0, 2, 500) * 1.0
+    block = tuple(a.tobytes() for a in (bins, w, y, np.zeros(500)))
+
+    class Blocks:
+        def mapPartitions(self, run):
+            self.out = run(iter([block]))
+            return self
+
+        def first(self):
+            return next(self.out)
+
+    known = np.array([16, 16, 16])
+    taken, gradients, walked, nodes_of = [], boost.gradients, [], boost.Tree.nodes_of
+    monkeypatch.setattr(boost, "gradients", lambda *a: taken.append(1) or gradients(*a))
+
+    def walk(tree, bins, known, node=None, reached=0):
+        walked.append(max(tree.level) - reached)
+        return nodes_of(tree, bins, known, node, reached)
+
+    monkeypatch.setattr(boost.Tree, "nodes_of", walk)
+    s = boost.Start([], known, Blocks(), 1, 2.0 ** 20, 0.0, 0.0, 1.0)
+    trees, _ = boost.grown_alone(s, "logistic", 4, 4, 0.1, 1.0, 1.0)
+    assert len(taken) == 4 and max(walked) == 1
+    assert sum(walked) == sum(max(t.level) for t in trees)
