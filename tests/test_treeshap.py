@@ -96,3 +96,25 @@ def test_models_of_every_kind(spark, sf_dir):
         out = {r.id: r.prediction for r in t.model.transform(f).select("id", "prediction").collect()}
         got = explain.exact(t, f, n_rows=6).groupBy("id").agg(F.sum("contribution").alias("s"), F.first("mean").alias("m")).collect()
         assert all(abs(r.s + r.m - out[r.id]) < 1e-6 * max(1, abs(out[r.id])) for r in got), c.name
+
+
+def test_parts_of_any_size(monkeypatch):
+    """Tables of whole trees, of leaves alone, and none for long paths: the same values."""
+    import numpy as np
+    rng, nodes = random.Random(3), Nodes(depth=5)
+
+    def grow(level, cover):
+        at = nodes.add_leaf(rng.gauss(0, 1), cover)
+        if level < 5 and cover > 2:
+            part = rng.randrange(1, int(cover))
+            nodes.set_split(at, rng.randrange(6), rng.random(), grow(level + 1, part), grow(level + 1, cover - part), rng.random() < 0.5)
+        return at
+
+    nodes.roots += [grow(0, 1000) for _ in range(3)]
+    x = np.array([[np.nan if rng.random() < 0.1 else rng.random() for _ in range(6)] for _ in range(200)])
+    got = []
+    for bits in (16, 11, 2):
+        monkeypatch.setattr(treeshap, "BITS", bits)
+        forest, _ = treeshap.leaves_of(nodes)
+        got.append(treeshap.contributions(x, forest))
+    assert np.allclose(got[0], got[1]) and np.allclose(got[0], got[2])
