@@ -204,3 +204,17 @@ def test_one_task_keeps_nodes_and_derivatives(spark, monkeypatch):
     trees, _ = boost.grown_alone(s, "logistic", 4, 4, 0.1, 1.0, 1.0)
     assert len(taken) == 4 and max(walked) == 1
     assert sum(walked) == sum(max(t.level) for t in trees)
+
+
+def test_joint_bins_give_each_features_sums(monkeypatch):
+    """Features added up together or alone, nulls among them: the same sums."""
+    rng = np.random.default_rng(2)
+    known, n = np.array([2, 40, 3, 2, 200, 7]), 5000
+    bins = np.array([rng.integers(0, k + 1, n) for k in known], "<u2")
+    node, g, h = rng.integers(0, 6, n), rng.integers(-99, 99, n).astype(float), rng.integers(0, 9, n).astype(float)
+    alone = dict(boost.node_sums([(bins, node, g, h)], 6, [1, 4, 5], known, [[f] for f in range(6)]))
+    groups = boost.together(known)
+    assert len(groups) == 3 and sorted(sum(groups, [])) == list(range(6))
+    joint = dict(boost.node_sums([(boost.joint(bins, known, groups), node, g, h)], 6, [1, 4, 5], known, groups))
+    assert all(np.array_equal(alone[k], joint[k]) for k in (1, 4, 5))
+    assert alone[4][0, 2, 3] == g[(node == 4) & (bins[2] == 3)].sum()
